@@ -121,10 +121,10 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 _OP6 = r"""
 WITH l AS (SELECT doc_id, i, trim(translate(x, chr(9) || chr(13) || chr(11) || chr(12), '    ')) AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
 n AS (SELECT doc_id, i, x, array_to_string(string_split(x, ' ')[1:2], ' ') AS lead FROM l WHERE x <> ''),
-c AS (SELECT doc_id, i, list_filter(string_split(regexp_replace(x, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), t -> t <> '') AS ts, lag(lead) OVER w AS above, lead(lead) OVER w AS below FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, list_filter(string_split(regexp_replace(x, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda t: t <> '') AS ts, lag(lead) OVER w AS above, lead(lead) OVER w AS below FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 t AS (
   SELECT doc_id, i, above, below, [len(ts)::VARCHAR, '3', array_to_string(ts, ' ')] AS t FROM c
-  UNION ALL SELECT doc_id, i, above, below, [len(ts)::VARCHAR, j::VARCHAR, array_to_string(list_transform(list_filter(list_zip(ts, range(0, len(ts))), z -> z[2] < 2 OR z[2] % 3 <> j), z -> z[1]), ' ')] FROM c, range(0, 3) r(j) WHERE len(ts) >= 9),
+  UNION ALL SELECT doc_id, i, above, below, [len(ts)::VARCHAR, j::VARCHAR, array_to_string(list_transform(list_filter(list_zip(ts, range(0, len(ts))), lambda z: z[2] < 2 OR z[2] % 3 <> j), lambda z: z[1]), ' ')] FROM c, range(0, 3) r(j) WHERE len(ts) >= 9),
 once AS (SELECT t, doc_id, arg_min({'a': above, 'b': below}, i) AS place FROM t GROUP BY t, doc_id),
 placed AS (SELECT t, place.a AS a, place.b AS b, count(*) AS n FROM once GROUP BY ALL),
 bad AS (SELECT t FROM placed GROUP BY t HAVING sum(n) - coalesce(max(n) FILTER (a IS NOT NULL OR b IS NOT NULL), 0) - coalesce(sum(n) FILTER (a IS NULL AND b IS NULL), 0) >= 10
