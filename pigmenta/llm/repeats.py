@@ -47,6 +47,8 @@ COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14)}
 PERIOD = 13
 #: Entries that a worker gathers before it settles and sends them.
 FLUSH = 400_000
+#: Least number of hash buckets; a partition takes several.
+BUCKETS = 128
 NO_ID = -(1 << 63)
 
 BLOCK = "bucket int, block binary"
@@ -115,7 +117,9 @@ def _anchor_blocks(cover: tuple[int, ...], period: int, window: int, buckets: in
         known = np.full(len(first), 2, np.uint8)
         known[first] = size > 1
         bucket = np.where(first, (hashes % np.uint64(buckets)).astype(np.int64), _doc_bucket(docs, buckets))
-        return _block_batch(list(_by_bucket(bucket, hashes, docs, places, known)))
+        hashes = np.where(first, hashes, 0)  # what is passed through needs none
+        order = np.lexsort((places, docs))  # neighbours side by side: all but the hashes compresses away
+        return _block_batch(list(_by_bucket(bucket[order], hashes[order], docs[order], places[order], known[order])))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, d, p, n = [], [], [], 0
@@ -221,7 +225,9 @@ def _window_blocks(period: int, window: int, buckets: int):
         order, repeat = _later(h, g, doc, start)
         h, g, doc, fp, start, deal = (c[order] for c in (h, g, doc, fp, start, deal))
         bucket = np.where(repeat, _doc_bucket(doc, buckets), (deal % np.uint64(buckets)).astype(np.int64))
-        return _block_batch(list(_by_bucket(bucket, h, g, doc, fp, start, repeat.astype(np.uint8))))
+        h, g = np.where(repeat, 0, h), np.where(repeat, 0, g)
+        order = np.lexsort((start, fp, doc))
+        return _block_batch(list(_by_bucket(*(c[order] for c in (bucket, h, g, doc, fp, start, repeat.astype(np.uint8))))))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
@@ -307,7 +313,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     cover = COVERS[period]
     if not is_cover(cover, period) or window <= period:
         raise ValueError("the period needs a difference cover and must be under the window")
-    buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     doc = F.col(key).cast("long")
     docs = df.select(F.coalesce(doc, F.lit(NO_ID)).alias("k"), F.xxhash64(text).alias("fp"), F.col(text).cast("binary").alias("t"), doc.alias("doc_id"))
 
