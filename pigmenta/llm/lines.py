@@ -38,6 +38,8 @@ LEAD = 2
 GENERAL = 9
 RECUR = 10
 FIELD = "<*>"
+#: Trimmed at both ends of a line; inside it only spaces separate tokens.
+BLANK = " \t\r\x0b\x0c"
 _NO_ID = -(1 << 63)
 
 
@@ -59,7 +61,7 @@ def template_hashes(tokens: Column, lead: int = LEAD, general: int = GENERAL) ->
 
 def occurrences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each line that isn't blank: document, print of its text, line number, templates, and surroundings (null at an end)."""
-    docs = df.select(_key(key).alias("k"), F.xxhash64(text).alias("fp"), F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")).alias("x"))), lambda s: s["x"] != "").alias("lines"))
+    docs = df.select(_key(key).alias("k"), F.xxhash64(text).alias("fp"), F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), F.trim(x, F.lit(BLANK)).alias("x"))), lambda s: s["x"] != "").alias("lines"))
     each = docs.select("k", "fp", "lines", F.posexplode("lines").alias("j", "line"))
     start = lambda j: F.xxhash64(F.substring_index(F.get("lines", j)["x"], " ", LEAD))
     beside = lambda j: F.when(F.get("lines", j).isNotNull(), start(j))
@@ -88,6 +90,6 @@ def drop_lines(df: DataFrame, key: str = "doc_id", text: str = "text", recur: in
     own = F.split(F.col(f"d.{text}"), "\n", -1)
     kept = F.when(gone.isNull(), F.col(f"d.{text}")).otherwise(F.array_join(F.filter(own, lambda x, i: ~F.array_contains(gone, i)), "\n"))
     same = (F.coalesce(F.col(f"d.{key}").cast("long"), F.lit(_NO_ID)) == F.col("h.k")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("h.fp"))
-    count = F.coalesce(F.size(F.filter(own, lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "")), F.lit(0))
+    count = F.coalesce(F.size(F.filter(own, lambda x: F.trim(x, F.lit(BLANK)) != "")), F.lit(0))
     columns = [kept.alias(text) if c == text else F.col(f"d.{c}") for c in df.columns if c not in ("n_lines", "n_dropped")]
     return df.alias("d").join(hit.alias("h"), same, "left").select(*columns, F.when(F.col(f"d.{text}").isNull(), 0).otherwise(count).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))

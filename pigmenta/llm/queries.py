@@ -119,7 +119,7 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 _OP6 = r"""
-WITH l AS (SELECT doc_id, i, trim(translate(x, chr(9) || chr(13) || chr(11) || chr(12), '    ')) AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
+WITH l AS (SELECT doc_id, i, trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
 n AS (SELECT doc_id, i, x, array_to_string(string_split(x, ' ')[1:2], ' ') AS lead FROM l WHERE x <> ''),
 c AS (SELECT doc_id, i, list_filter(string_split(regexp_replace(x, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda t: t <> '') AS ts, lag(lead) OVER w AS above, lead(lead) OVER w AS below FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 t AS (
