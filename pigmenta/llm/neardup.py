@@ -7,17 +7,20 @@ connected components of the links.
 
 1. Each document gets a signature of ``COORDINATES`` minima. Equal sets form one class, which
    goes on with one representative. Under four shingles only equal sets can be linked.
-2. Classes are posted under their (coordinate, value) pairs. A pair of classes must agree in
-   ``MATCHES`` coordinates, so a class leaves out its ``MATCHES - 1`` commonest ones (prefix filter): any two
+2. Classes are posted under the (coordinate, value) pairs of the first ``POSTED`` coordinates. A pair of classes must
+   agree in ``AGREE`` of them, so a class leaves out its ``AGREE - 1`` commonest ones (prefix filter): any two
    that agree often enough still meet under a rarer one. Values of one class only are never posted.
-   A pair of similarity 0.8 agrees in fewer than 8 of 24 coordinates with probability under 1e-7.
+   A pair of similarity 0.8 agrees in fewer than 9 of 24 coordinates with a probability of about 1e-6.
 3. Each posting list goes to its hub, the member whose coordinates are the commonest overall (the
-   original among edited copies), so the many lists of one group of copies become one group. Groups are dealt in chunks of at most
-   ``CHUNK`` members. Inside a chunk collisions are counted for all pairs at once; pairs below the
-   threshold, of incompatible size, or already connected are skipped; the rest are confirmed on the full sets.
-   What comes out is a spanning forest of links, never a row for every pair.
-4. Chunks of one group also hold its hub. Members of a group of several chunks that are not in the group's
-   largest component are then compared with all of its other chunks, block by block; nothing is left out.
+   original among edited copies), so the many lists of one group of copies become one group. Groups are dealt in
+   chunks of at most about ``CHUNK`` members. Between any two chunks of a group collisions are counted over the
+   whole signature, one byte a coordinate (which can only add collisions); members without a partner that agrees in ``MATCHES`` coordinates and has a compatible size
+   drop out. (At similarity 0.8 fewer than 35 of 64 agree with probability under 1e-6.)
+4. Only now are the full sets of what is left fetched. Inside a chunk, which also holds its group's hub, pairs above
+   the threshold that are not connected yet are confirmed on the full sets; connected ones are skipped.
+   What comes out is a spanning forest of links, never a row for every pair. In groups of several chunks the
+   members outside the group's largest component are then compared with all of its chunks, block by
+   block; nothing is left out.
 5. Components are found by alternating large-star and small-star steps on the executors.
 
 Defined results
@@ -34,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +45,8 @@ from pigmenta.llm.common import checkpointed, hash_words, mixed, small_side
 
 SHINGLE = 2
 PERCENT = 80
-COORDINATES = 24
-MATCHES = 8
+COORDINATES, MATCHES = 64, 35
+POSTED, AGREE = 24, 9
 CHUNK = 1024
 #: Shingles to a step of the minima, which bounds a worker's memory on very long texts.
 STEP = 1 << 16
@@ -50,9 +54,13 @@ STEP = 1 << 16
 _MULTIPLY = np.random.default_rng(24).integers(1, 1 << 63, COORDINATES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted 64-bit hashes of the document's set."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: str | None) -> list[bytes]:
+    """Words with A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Sorted 64-bit hashes of a document's set."""
     if not words:
         return np.zeros(0, np.uint64)
     h = hash_words(words)
@@ -70,7 +78,7 @@ def signature(own: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id long, n long, h1 long, h2 long, sig array<int>"
+SIGNED = "doc_id long, n long, h1 long, h2 long, sig array<int>, bytes binary"
 
 
 def _prints(own: np.ndarray) -> tuple[int, int]:
@@ -79,25 +87,29 @@ def _prints(own: np.ndarray) -> tuple[int, int]:
 
 
 def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The posted coordinates as an array, and the last byte of all of them."""
     for b in it:
         n, h1, h2, sig = [], [], [], []
         for value in b.column(1):
-            own = shingles(value.as_py())
+            own = shingles(words_of(value.as_py()))
             p = _prints(own)
             n.append(len(own))
             h1.append(p[0])
             h2.append(p[1])
-            sig.append(signature(own).view(np.int32))
-        sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * COORDINATES, pa.int32()), pa.array(np.concatenate(sig) if sig else [], pa.int32()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), sigs], ["doc_id", "n", "h1", "h2", "sig"])
+            sig.append(signature(own))
+        posted = np.concatenate([x[:POSTED] for x in sig]).view(np.int32) if sig else []
+        posted = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * POSTED, pa.int32()), pa.array(posted, pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), posted, pa.array([x.astype(np.uint8).tobytes() for x in sig], pa.binary())], ["doc_id", "n", "h1", "h2", "sig", "bytes"])
 
 
 def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The print of each document's set, and its words, compressed: a third of the size of the set's hashes."""
+    pack = zstandard.ZstdCompressor(level=3)
     for b in it:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
-            own = [shingles(v.as_py()) for v in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_prints(x)[0] for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "h1", "own"])
+            words = [words_of(v.as_py()) for v in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_prints(shingles(x))[0] for x in words], pa.int64()), pa.array([pack.compress(b" ".join(x)) for x in words], pa.binary())], ["node", "h1", "own"])
 
 
 class Forest:
@@ -133,25 +145,31 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def close_pairs(sigs: np.ndarray, size: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs between members marked in ``first`` and in ``second`` that agree often enough and have compatible sizes, with their collisions."""
+    rows, cols = np.flatnonzero(first), np.flatnonzero(second)
+    if len(rows) * len(cols) <= 2048:
+        hits = (sigs[rows][:, None, :] == sigs[cols][None, :, :]).sum(2)
+    else:
+        hits = np.zeros((len(rows), len(cols)), np.uint8)
+        for c in range(COORDINATES):
+            hits += sigs[rows, c][:, None] == sigs[cols, c][None, :]
+    x, y = np.nonzero(hits >= MATCHES)
+    n = hits[x, y].astype(np.int64)
+    x, y = rows[x], cols[y]
+    fit = (np.minimum(size[x], size[y]) * 100 >= np.maximum(size[x], size[y]) * PERCENT) & ((x < y) | ((x > y) & ~(first[y] & second[x])))
+    return x[fit], y[fit], n[fit]  # a pair that is there both ways comes once
+
+
 def link_block(nodes: list[int], comps: list[int], first: np.ndarray, second: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that connect different components, between members marked in ``first`` and in ``second``; a spanning forest of them."""
-    m = len(nodes)
     place: dict[int, int] = {}
-    forest = Forest(m)
+    forest = Forest(len(nodes))
     for i, c in enumerate(comps):
         forest.join(place.setdefault(c, i), i)
-    size = np.array([len(x) for x in sets])
-    sigs = np.stack([signature(x) for x in sets])
-    rows, cols = np.flatnonzero(first), np.flatnonzero(second)
-    hits = np.zeros((len(rows), len(cols)), np.uint8)
-    for c in range(COORDINATES):
-        hits += sigs[rows, c][:, None] == sigs[cols, c][None, :]
-    lo, hi = np.minimum(size[rows][:, None], size[cols][None, :]), np.maximum(size[rows][:, None], size[cols][None, :])
-    x, y = np.nonzero((hits >= MATCHES) & (lo * 100 >= hi * PERCENT) & (rows[:, None] != cols[None, :]))
-    order = np.argsort(-hits[x, y].astype(np.int16), kind="stable")
-    a, b = rows[x[order]], cols[y[order]]
-    once = (a < b) | ~(first[b] & second[a])  # a pair that is there both ways is looked at once
-    a, b = a[once], b[once]
+    a, b, hits = close_pairs(np.stack([signature(x) for x in sets]), np.array([len(x) for x in sets]), first, second)
+    order = np.argsort(-hits, kind="stable")
+    a, b = a[order], b[order]
     out, step = [], 256
     while len(a):
         for i, j in zip(a[:step].tolist(), b[:step].tolist(), strict=True):
@@ -165,32 +183,47 @@ def link_block(nodes: list[int], comps: list[int], first: np.ndarray, second: np
     return out
 
 
-BLOCK = "hub long, hub_h1 long, chunk int, other int, side int, node long, h1 long, comp long, own binary"
+GROUP = ["hub", "hub_h1"]
+PLACED = [*GROUP, "chunk", "other", "side", "node", "h1"]
 LINKS = "a long, b long"
+MEMBERS = "hub long, hub_h1 long, node long, h1 long"
 
 
-def _link_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks come sorted by (hub, chunk, other). side: 1 first, 2 second, 3 both."""
-
-    def settle(rows: list[tuple]) -> list[tuple[int, int]]:
-        by: dict[tuple[int, int], list] = {}
-        for side, node, h1, comp, own in rows:
-            x = by.setdefault((node, h1), [0, comp, own])
-            x[0] |= side
-        if len(by) < 2:
-            return []
-        side = np.array([x[0] for x in by.values()])
-        return link_block([k[0] for k in by], [x[1] for x in by.values()], (side & 1) > 0, (side & 2) > 0, [np.frombuffer(x[2], np.uint64) for x in by.values()])
+def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict[tuple[int, int], list]]]:
+    """Blocks of a partition sorted by (hub, chunk, other): key, and for each member (node, h1) its side, its component or size, and its data.
 
-    now, held, out = None, [], []
+    side: 1 first, 2 second, 3 both.
+    """
+    now, held = None, {}
     for b in it:
-        cols = [c.to_pylist() for c in b.columns]
-        for r in zip(*cols, strict=True):
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if r[:4] != now:
-                out += settle(held)
-                now, held = r[:4], []
-            held.append(r[4:])
-    out += settle(held)
+                if len(held) > 1:
+                    yield now, held
+                now, held = r[:4], {}
+            held.setdefault((r[5], r[6]), [0, r[7], r[8]])[0] |= r[4]
+    if len(held) > 1:
+        yield now, held
+
+
+def _with_partner(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of each block that have a close partner there."""
+    out: list[tuple] = []
+    for key, by in _blocks(it):
+        side = np.array([x[0] for x in by.values()])
+        sigs = np.frombuffer(b"".join(x[2] for x in by.values()), np.uint8).reshape(-1, COORDINATES)
+        a, b, _ = close_pairs(sigs, np.array([x[1] for x in by.values()]), (side & 1) > 0, (side & 2) > 0)
+        names = list(by)
+        out += [(*key[:2], *names[i]) for i in np.unique(np.concatenate((a, b))).tolist()]
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], [x.split(" ")[0] for x in MEMBERS.split(", ")])
+
+
+def _link_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple[int, int]] = []
+    unpack = zstandard.ZstdDecompressor()
+    for _, by in _blocks(it):
+        side = np.array([x[0] for x in by.values()])
+        out += link_block([k[0] for k in by], [x[1] for x in by.values()], (side & 1) > 0, (side & 2) > 0, [shingles(unpack.decompress(x[2]).split()) for x in by.values()])
     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
@@ -212,49 +245,61 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """Groups of classes that may be linked: (hub, hub_h1, node, h1), the hub itself not among them."""
+    """Groups of classes that may be linked: (hub, hub_h1, node, h1), the hub itself among them."""
     coords = classes.select("node", "h1", F.posexplode("sig").alias("c", "v"))
     common = coords.groupBy("c", "v").agg(F.count("*").alias("df")).where("df > 1")
     ranked = coords.join(common, ["c", "v"]).groupBy("node", "h1").agg(F.array_sort(F.collect_list(F.struct("df", "c", "v"))).alias("s"), F.sum("df").alias("score"))
-    posts = ranked.where(F.size("s") >= MATCHES).select("node", "h1", "score", F.explode(F.slice("s", F.lit(1), F.size("s") - (MATCHES - 1))).alias("p")).select("node", "h1", "score", "p.c", "p.v")
+    posts = ranked.where(F.size("s") >= AGREE).select("node", "h1", "score", F.explode(F.slice("s", F.lit(1), F.size("s") - (AGREE - 1))).alias("p")).select("node", "h1", "score", "p.c", "p.v")
     lists = posts.groupBy("c", "v").agg(F.max(F.struct("score", "node", "h1")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    pairs = posts.join(lists, ["c", "v"]).select(F.col("hub.node").alias("hub"), F.col("hub.h1").alias("hub_h1"), "node", "h1").distinct()
-    return pairs.where((F.col("hub") != F.col("node")) | (F.col("hub_h1") != F.col("h1")))
+    return posts.join(lists, ["c", "v"]).select(F.col("hub.node").alias("hub"), F.col("hub.h1").alias("hub_h1"), "node", "h1").distinct()
 
 
 def _chunk_of(n: str) -> F.Column:
-    return F.pmod(F.xxhash64("node", "h1"), F.greatest(F.lit(1), F.col(n))).cast("int")
+    return F.pmod(F.xxhash64("node", "h1"), F.col(n)).cast("int")
+
+
+def _chunked(members: DataFrame) -> DataFrame:
+    """``members`` with their group's number of chunks and their own chunk."""
+    sized = members.groupBy(*GROUP).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.count("*").alias("m")).where("m > 1")
+    return members.join(sized, GROUP).select(*GROUP, "chunks", _chunk_of("chunks").alias("chunk"), "node", "h1")
+
+
+def _dealt(blocks: DataFrame, data: DataFrame, worker, schema: str) -> DataFrame:
+    """Run ``worker`` on blocks (columns as in ``PLACED`` and one more) after joining ``data`` (node, h1 and one more, or two) to their members."""
+    more = [c for c in (*blocks.columns, *data.columns) if c not in PLACED]
+    full = data.join(small_side(blocks), ["node", "h1"]).select(*PLACED, *more)
+    place = PLACED[:4]
+    return full.repartition(*(F.col(c) for c in place)).sortWithinPartitions(*place, "node", "h1").mapInArrow(worker, schema)
 
 
-def _confirm(blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of blocks (columns as in ``BLOCK``, without the sets)."""
-    full = blocks.join(sets, ["node", "h1"]).select(*(x.split(" ")[0] for x in BLOCK.split(", ")))
-    dealt = full.repartition("hub", "hub_h1", "chunk", "other").sortWithinPartitions("hub", "hub_h1", "chunk", "other", "node", "h1")
-    return dealt.mapInArrow(_link_blocks, LINKS)
+def _close_members(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``members`` without those that have no close partner in their group: every two chunks of a group meet in one block."""
+    own = _chunked(members)
+    ahead = own.select(*GROUP, "chunk", F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("other"), "node", "h1").withColumn("side", F.when(F.col("other") == F.col("chunk"), 3).otherwise(1))
+    behind = own.where("chunk > 0").select(*GROUP, F.col("chunk").alias("other"), F.explode(F.sequence(F.lit(0), F.col("chunk") - 1)).alias("chunk"), F.lit(2).alias("side"), "node", "h1")
+    signed = classes.select("node", "h1", "n", "bytes")
+    return _dealt(ahead.select(*PLACED).union(behind.select(*PLACED)), signed, _with_partner, MEMBERS).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (it is that one)."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = checkpointed(docs.mapInArrow(_sign, SIGNED))
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    sets = signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n")
+    classes = checkpointed(sets.agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first(F.struct("sig", "bytes")).alias("s")).select("h1", "h2", "n", "node", "copies", "s.sig", "s.bytes"))
     least = next(n for n in range(1, 101) if 100 * n >= PERCENT * (n + 1))
-    members = checkpointed(_members(classes.where(F.col("n") >= least)))
-    sized = members.groupBy("hub", "hub_h1").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    group = ["hub", "hub_h1"]
-    each = members.join(sized, group).select(*group, "chunks", "node", "h1", _chunk_of("chunks").alias("chunk"))
-    heads = sized.select(*group, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("hub").alias("node"), F.col("hub_h1").alias("h1"))
-    blocks = each.select(*group, "chunk", "node", "h1").union(heads.select(*group, "chunk", "node", "h1"))
-    blocks = blocks.withColumns({"other": F.lit(0), "side": F.lit(3), "comp": F.col("node")})
-    wanted = checkpointed(blocks.select("node").distinct())
+    large = classes.where(F.col("n") >= least)
+    members = checkpointed(_close_members(checkpointed(_members(large)), large))
+    wanted = checkpointed(members.select("node").distinct())
     near = docs.join(small_side(wanted), docs["doc_id"] == wanted["node"], "left_semi")
     sets = near.mapInArrow(_sets, "node long, h1 long, own binary")
-    links = checkpointed(_confirm(blocks, sets))
-    comps = checkpointed(components(links))
-    wide = checkpointed(each.where("chunks > 1").union(heads.join(sized.where("chunks > 1"), group).where("chunk = 0").select(*group, "chunks", "node", "h1", F.lit(0).alias("chunk"))))
+    own = _chunked(members)
+    heads = own.where("hub = node and hub_h1 = h1").select(*GROUP, "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "h1")
+    blocks = own.union(heads).distinct().select(*GROUP, "chunk", F.lit(0).alias("other"), F.lit(3).alias("side"), "node", "h1", F.col("node").alias("comp"))
+    comps = checkpointed(components(checkpointed(_dealt(blocks, sets, _link_blocks, LINKS))))
+    wide = own.where("chunks > 1")
     if wide.limit(1).count():
-        links2 = checkpointed(_confirm(_rest(wide, comps), sets))
-        comps = _merge(comps, links2)
+        comps = _merge(comps, checkpointed(_dealt(_rest(wide, comps), sets, _link_blocks, LINKS)))
     twins = classes.where("copies > 1").select("h1", "h2", "n", "node")
     out = signed.select("doc_id", "n", "h1", "h2").join(twins, ["h1", "h2", "n"], "left")
     out = out.withColumn("node", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
@@ -264,14 +309,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def _rest(wide: DataFrame, comps: DataFrame) -> DataFrame:
     """Blocks for what the chunks of a group left apart: members outside its largest component against all its members."""
-    group = ["hub", "hub_h1"]
     own = wide.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    most = own.groupBy(*group, "comp").agg(F.count("*").alias("n")).groupBy(*group).agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
-    own = own.join(most, group)
-    apart = own.where("comp <> main").groupBy(*group).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("others"))
-    own = own.join(apart, group)  # groups that are one component by now drop out
-    second = own.select(*group, "chunk", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), F.lit(2).alias("side"), "node", "h1", "comp")
-    first = own.where("comp <> main").select(*group, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), _chunk_of("others").alias("other"), F.lit(1).alias("side"), "node", "h1", "comp")
+    most = own.groupBy(*GROUP, "comp").agg(F.count("*").alias("n")).groupBy(*GROUP).agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
+    own = own.join(most, GROUP)
+    apart = own.where("comp <> main").groupBy(*GROUP).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("others"))
+    own = own.join(apart, GROUP)  # groups that are one component by now drop out
+    second = own.select(*GROUP, "chunk", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), F.lit(2).alias("side"), "node", "h1", "comp")
+    first = own.where("comp <> main").select(*GROUP, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), _chunk_of("others").alias("other"), F.lit(1).alias("side"), "node", "h1", "comp")
     return second.union(first)
 
 
