@@ -36,7 +36,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words, once A-Z are in lower case; and a word before that.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _NO_ID = -(1 << 63)
 
 
@@ -47,6 +47,12 @@ def normalised(text: Column) -> Column:
     return F.concat(F.trim(F.regexp_replace(low, _BETWEEN, " ")), F.lit(" "))
 
 
+def count_words(text: Column) -> Column:
+    """Number of words; 0 for null."""
+    spaced = F.trim(F.regexp_replace(text, _GAP + "+", " "))
+    return F.when(spaced != "", F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1).otherwise(0).cast("long")
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(normalised(text), F.lit("")), " "), lambda w: w != "")
 
@@ -104,7 +110,7 @@ def covered(spans: Column) -> Column:
 def contamination(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, spans of hit words and the items with occurring windows."""
     hits = find_hits(df, benchmark, key, text, item, window)
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("k"), F.xxhash64(text).alias("fp"), F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("k"), F.xxhash64(text).alias("fp"), count_words(F.col(text)).alias("n_words"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     out = rows.join(hits, ["k", "fp"], "left").withColumn("spans", F.coalesce("spans", none))
     return out.select("doc_id", "n_words", covered(F.col("spans")).cast("long").alias("n_hit"), "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
@@ -121,7 +127,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
     if how != "span":
         raise ValueError(f"how is document or span, not {how}")
     whole, spans = F.col(f"d.{text}"), F.col("h.spans")
-    parts = F.regexp_extract_all(whole, F.lit(_GAP + _WORD), F.lit(0))
+    parts = F.regexp_extract_all(whole, F.lit(_GAP + "*" + _WORD), F.lit(0))
     stay = F.filter(parts, lambda p, i: ~F.exists(spans, lambda s: (s["start"] <= i) & (i < s["end"])))
-    cut = F.concat(F.array_join(stay, ""), F.regexp_extract(whole, _GAP + "$", 0))
+    cut = F.concat(F.array_join(stay, ""), F.regexp_extract(whole, _GAP + "*$", 0))
     return df.alias("d").join(hits.alias("h"), same, "left").select(*(F.when(spans.isNotNull(), cut).otherwise(whole).alias(c) if c == text else F.col(f"d.{c}") for c in df.columns))
