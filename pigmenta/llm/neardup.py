@@ -9,7 +9,8 @@ connected components of the links.
    goes on with one representative. Under four shingles only equal sets can be linked.
 2. Classes are posted under the (coordinate, value) pairs of the first ``POSTED`` coordinates. A pair of classes must
    agree in ``AGREE`` of them, so a class leaves out its ``AGREE - 1`` commonest ones (prefix filter): any two
-   that agree often enough still meet under a rarer one. Values of one class only are never posted.
+   that agree often enough still meet under a rarer one. Values of one class only are never posted. Lists are kept by
+   size band as well, a class standing in its own band's and in the next one's, as sizes of linked sets are close.
    A pair of similarity 0.8 agrees in fewer than 9 of 24 coordinates with a probability of about 1e-6.
 3. Each posting list goes to its hub, the member whose coordinates are the commonest overall (the
    original among edited copies), so the many lists of one group of copies become one group. Groups are dealt in
@@ -32,6 +33,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +50,8 @@ PERCENT = 80
 COORDINATES, MATCHES = 64, 35
 POSTED, AGREE = 24, 9
 CHUNK = 1024
+#: Ratio of sizes in one band; over 100 / PERCENT, so that linked sets are at most one band apart.
+BAND = 1.26
 #: Shingles to a step of the minima, which bounds a worker's memory on very long texts.
 STEP = 1 << 16
 
@@ -246,12 +250,14 @@ def components(links: DataFrame) -> DataFrame:
 
 def _members(classes: DataFrame) -> DataFrame:
     """Groups of classes that may be linked: (hub, hub_h1, node, h1), the hub itself among them."""
-    coords = classes.select("node", "h1", F.posexplode("sig").alias("c", "v"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
+    coords = classes.select("node", "h1", band.alias("band"), F.posexplode("sig").alias("c", "v"))
     common = coords.groupBy("c", "v").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = coords.join(common, ["c", "v"]).groupBy("node", "h1").agg(F.array_sort(F.collect_list(F.struct("df", "c", "v"))).alias("s"), F.sum("df").alias("score"))
-    posts = ranked.where(F.size("s") >= AGREE).select("node", "h1", "score", F.explode(F.slice("s", F.lit(1), F.size("s") - (AGREE - 1))).alias("p")).select("node", "h1", "score", "p.c", "p.v")
-    lists = posts.groupBy("c", "v").agg(F.max(F.struct("score", "node", "h1")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    return posts.join(lists, ["c", "v"]).select(F.col("hub.node").alias("hub"), F.col("hub.h1").alias("hub_h1"), "node", "h1").distinct()
+    ranked = coords.join(common, ["c", "v"]).groupBy("node", "h1", "band").agg(F.array_sort(F.collect_list(F.struct("df", "c", "v"))).alias("s"), F.sum("df").alias("score"))
+    posts = ranked.where(F.size("s") >= AGREE).select("node", "h1", "score", "band", F.explode(F.slice("s", F.lit(1), F.size("s") - (AGREE - 1))).alias("p"))
+    posts = posts.select("node", "h1", "score", "p.c", "p.v", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    lists = posts.groupBy("c", "v", "band").agg(F.max(F.struct("score", "node", "h1")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    return posts.join(lists, ["c", "v", "band"]).select(F.col("hub.node").alias("hub"), F.col("hub.h1").alias("hub_h1"), "node", "h1").distinct()
 
 
 def _chunk_of(n: str) -> F.Column:
@@ -275,10 +281,11 @@ def _dealt(blocks: DataFrame, data: DataFrame, worker, schema: str) -> DataFrame
 def _close_members(members: DataFrame, classes: DataFrame) -> DataFrame:
     """``members`` without those that have no close partner in their group: every two chunks of a group meet in one block."""
     own = _chunked(members)
-    ahead = own.select(*GROUP, "chunk", F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("other"), "node", "h1").withColumn("side", F.when(F.col("other") == F.col("chunk"), 3).otherwise(1))
-    behind = own.where("chunk > 0").select(*GROUP, F.col("chunk").alias("other"), F.explode(F.sequence(F.lit(0), F.col("chunk") - 1)).alias("chunk"), F.lit(2).alias("side"), "node", "h1")
-    signed = classes.select("node", "h1", "n", "bytes")
-    return _dealt(ahead.select(*PLACED).union(behind.select(*PLACED)), signed, _with_partner, MEMBERS).distinct()
+    c, last = F.col("chunk"), F.col("chunks") - 1
+    ahead = F.transform(F.sequence(c, last), lambda j: F.struct(c.alias("chunk"), j.alias("other"), F.when(j == c, 3).otherwise(1).alias("side")))
+    behind = F.when(c > 0, F.transform(F.sequence(F.lit(0), F.greatest(c - 1, F.lit(0))), lambda i: F.struct(i.alias("chunk"), c.alias("other"), F.lit(2).alias("side")))).otherwise(F.array().cast("array<struct<chunk:int,other:int,side:int>>"))
+    placed = own.select(*GROUP, F.explode(F.concat(ahead, behind)).alias("at"), "node", "h1").select(*GROUP, "at.chunk", "at.other", "at.side", "node", "h1")
+    return _dealt(placed, classes.select("node", "h1", "n", "bytes"), _with_partner, MEMBERS).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
