@@ -85,7 +85,7 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
 def _by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    edges = np.flatnonzero(_starts(bucket)) if len(bucket) else np.zeros(0, np.int64)
+    edges = np.flatnonzero(_starts(bucket))  # the callers have at least one entry
     for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
         yield int(bucket[a]), packed(*(c[order[a:b]] for c in columns))
 
@@ -159,7 +159,9 @@ def _buckets_of(it: Iterator[pa.RecordBatch], *kinds: str) -> Iterator[list[np.n
 
 def _runs(doc: np.ndarray, data: np.ndarray, width: int) -> Iterator[tuple[int, bytes]]:
     """(document, bytes) of each run of equal ``doc``; ``data`` has ``width`` bytes a row."""
-    edges = np.flatnonzero(_starts(doc)) if len(doc) else np.zeros(0, np.int64)
+    if not len(doc):
+        return
+    edges = np.flatnonzero(_starts(doc))
     raw = data.tobytes()
     for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(doc)], strict=True):
         yield int(doc[a]), raw[a * width : b * width]
