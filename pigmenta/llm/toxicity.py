@@ -65,8 +65,8 @@ class Model:
 
 
 def ftrl(rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, alpha: float = 1.0, beta: float = 1.0, l1: float | None = None, l2: float = 0.05) -> Model:
-    """Fit on rows of distinct coordinates, in the given order, ``epochs`` times. ``l1`` grows with the sample unless given."""
-    l1 = 2 + len(rows) / 800 if l1 is None else l1
+    """Fit on rows of distinct coordinates, in the given order, ``epochs`` times. ``l1`` grows with the rarer label unless given."""
+    l1 = 2.5 + min(sum(labels), len(labels) - sum(labels)) / 300 if l1 is None else l1
     z, n = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
     for _ in range(epochs):
         for row, y in zip(rows, labels, strict=True):
