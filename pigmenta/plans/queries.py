@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pigmenta.functions.color import ciede2000_stages, hex_stages, nest, pixel_lab_stages, unlab_stages, xyz_stages
-from pigmenta.operators import assignment, grouping, raster
+from pigmenta.operators import assignment, grouping, raster, surface
 
 TABLES = ("customer", "embeddings", "events", "part", "supplier")
 SPARK = {"div": "div", "pct": "percentile", "raster": "SELECT vec_id div 50 AS photo_id, CAST(vec_id % 50 AS INT) AS y, x, CAST(v AS DOUBLE) AS v FROM embeddings LATERAL VIEW posexplode(embedding) t AS x, v", "at": "element_at(embedding, {})"}
@@ -104,6 +104,8 @@ TEXTS: dict[str, str] = {
     "colour_covariance": "SELECT photo_id, round(covar_samp(lab_l, lab_l), 5) AS ll, round(covar_samp(lab_l, lab_a), 5) AS la, round(covar_samp(lab_l, lab_b), 5) AS lb, round(covar_samp(lab_a, lab_a), 5) AS aa, round(covar_samp(lab_a, lab_b), 5) AS ab, round(covar_samp(lab_b, lab_b), 5) AS bb FROM (" + _objects() + ") AS o GROUP BY photo_id",
 }
 
+TEXTS["match_summary"] = f"SELECT count(*) AS matched, round(avg(delta_e), 6) AS mean_delta_e, max_by(flavor, delta_e) AS worst, round(max(delta_e), 6) AS worst_delta_e FROM ({TEXTS['match_assignment_small']}) AS m"
+
 
 def _filled(text: str, dialect: dict[str, str]) -> str:
     for i in (1, 2, 3):
@@ -127,6 +129,15 @@ def _assignment_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assignment.assign_projects(costs).select("flavor", "paper", F.round("delta_e", 6).alias("delta_e"))
 
 
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = _assignment_small(spark, sf_dir)
+    return matched.agg(F.count("paper").alias("matched"), F.round(F.avg("delta_e"), 6).alias("mean_delta_e"), F.max_by("flavor", "delta_e").alias("worst"), F.round(F.max("delta_e"), 6).alias("worst_delta_e"))
+
+
+def _surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surface.fit_surface(run(spark, sf_dir, "SELECT photo_id, v, 2e0 * x / 64e0 - 1e0 AS u, 2e0 * y / 50e0 - 1e0 AS w FROM ({raster}) AS t WHERE x % 6 = 0 AND y % 6 = 0"))
+
+
 def _assignment_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     costs = run(spark, sf_dir, _costs()).where("available").select(F.lit(0).cast("long").alias("project"), "flavor", "paper", "delta_e")
     return assignment.assign_projects(costs)
@@ -161,7 +172,7 @@ def _ward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Spark's own plan where it isn't the text; without a text beside it, SQL can't state the result.
-OWN: dict[str, Query] = {"match_assignment_small": _assignment_small, "components": _labels, "component_boxes": _boxes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "ward_cut": _ward}
+OWN: dict[str, Query] = {"match_assignment_small": _assignment_small, "components": _labels, "component_boxes": _boxes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "surface_fit": _surface, "ward_cut": _ward}
 
 
 def queries() -> dict[str, Query]:

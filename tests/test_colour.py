@@ -12,6 +12,7 @@ from pigmenta.operators import records
 from pigmenta.operators.assignment import assign
 from pigmenta.operators.grouping import cut, eigen, ward_merges
 from pigmenta.operators.raster import label
+from pigmenta.operators.surface import fit_surface, solve
 from pigmenta.plans import queries as plans
 from pigmenta.sources.ppm import decode_ppm, read_ppm, read_projects
 
@@ -69,6 +70,13 @@ def test_clusters_axes_and_labels():
     assert label(mask, diagonal=True).max() == 1
 
 
+def test_solve_and_surface(spark):
+    assert np.allclose(solve([[2, 1, -1], [-3, -1, 2], [-2, 1, 2]], [8, -11, -3]), (2, 3, -1)) and solve([[1, 2], [2, 4]], [1, 2]) is None
+    rows = [(1, u / 5, w / 5, 1 + u / 5 - w / 5 + 0.5 * u * w / 25) for u in range(-5, 6) for w in range(-5, 6)] + [(2, 0.0, 0.0, 1.0)]
+    got = {r.photo_id: r[1:] for r in fit_surface(spark.createDataFrame(rows, "photo_id long, u double, w double, v double")).collect()}
+    assert np.allclose(got[1], (1, 1, -1, 0, 0.5, 0), atol=1e-9) and got[2][0] is None
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.ppm").write_bytes(b"P6 # note\n2 1\n255\n" + bytes([1, 2, 3, 4, 5, 6]))
     (tmp_path / "b.ppm").write_bytes(b"P6 2 2 255\n123")
