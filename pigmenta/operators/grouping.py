@@ -1,13 +1,21 @@
-"""Ward clustering cut at every group count, and principal axes; one photo's objects to a task."""
+"""Ward clustering cut at every group count, the suggested count, and principal axes; one photo's objects to a task."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from pigmenta.functions.kernels import ciede2000
+
 MOST_OBJECTS = 5000
 GROUPS = 6
+LIGHTNESS = 0.7
+# Least silhouette and colour distance of a suggested count; least variance of an axis that is stretched.
+LEAST_SCORE, LEAST_SEPARATION = 0.5, 2.0
+LEAST_VARIANCE = 2.25
 
 
 def ward_merges(points: np.ndarray) -> list[tuple[int, int]]:
@@ -55,6 +63,83 @@ def eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, vectors
 
 
+def silhouette(distances: np.ndarray, groups: np.ndarray) -> float:
+    """Mean silhouette; a lone object scores 0."""
+    one = np.eye(groups.max() + 1)[groups]
+    size, total = one.sum(0), distances @ one
+    own = total[np.arange(len(groups)), groups] / np.maximum(size[groups] - 1, 1)
+    near = np.where(one > 0, np.inf, total / size).min(1)
+    score = (near - own) / np.maximum(np.maximum(own, near), 1e-12)
+    return float(np.where(size[groups] > 1, score, 0.0).mean())
+
+
+class Partition(NamedTuple):
+    """Objects in ``k`` groups numbered light to dark, with median colours and sizes; distance of the two closest groups."""
+
+    k: int
+    assignment: np.ndarray
+    centroids: np.ndarray
+    counts: np.ndarray
+    separation: float | None
+    score: float | None
+
+
+class Grouped(NamedTuple):
+    """``enhanced`` are colours with equal spread along the principal axes, ``principal`` places on the first two."""
+
+    enhanced: np.ndarray
+    principal: np.ndarray
+    partitions: list[Partition]
+    suggested: int
+
+
+def group(labs: np.ndarray) -> Grouped:
+    """Groups of Lab colours at every count, and the suggested count: the best silhouette among those far enough apart."""
+    n = len(labs)
+    if n > MOST_OBJECTS:
+        raise ValueError(f"{n} objects; at most {MOST_OBJECTS} are grouped in one task")
+    features = labs * [LIGHTNESS, 1, 1]
+    enhanced, principal = labs.copy(), np.zeros((n, 2))
+    if n >= 3:
+        off = features - features.mean(0)
+        values, axes = eigen(off.T @ off / (n - 1))
+        spread = (off @ axes / np.sqrt(np.maximum(values, LEAST_VARIANCE))) @ axes.T
+        enhanced = np.column_stack([np.clip(62 + 15 * spread[:, 0], 25, 92), 36 * spread[:, 1:]])
+        principal = off @ axes[:, :2]
+    partitions = [Partition(1, np.zeros(n, int), np.median(labs, 0)[None] if n else np.zeros((0, 3)), np.array([n]), None, None)]
+    if n < 2:
+        return Grouped(enhanced, principal, partitions, 1)
+    merges, suggested, best = ward_merges(features), 1, LEAST_SCORE
+    distances = np.sqrt(((features[:, None] - features[None]) ** 2).sum(2))
+    for k in range(2, min(GROUPS, n) + 1):
+        raw = np.array(cut(merges, n, k))
+        middle = np.array([np.median(labs[raw == g], 0) for g in range(k)])
+        order = np.argsort(-middle[:, 0], kind="stable")
+        assignment, middle = np.argsort(order)[raw], middle[order]
+        i, j = np.triu_indices(k, 1)
+        apart = float(ciede2000(middle[i], middle[j]).min())
+        score = silhouette(distances, assignment) if k < n else None
+        partitions.append(Partition(k, assignment, middle, np.bincount(assignment, minlength=k), apart, score))
+        if score is not None and score > best and apart >= LEAST_SEPARATION:
+            suggested, best = k, score
+    return Grouped(enhanced, principal, partitions, suggested)
+
+
+GROUPS_OF = "photo_id long, k int, grp int, size int, lab_l double, lab_a double, lab_b double, separation double, score double, suggested boolean"
+
+
+def group_objects(objects: DataFrame) -> DataFrame:
+    """(photo_id, object_id, lab_l, lab_a, lab_b) to the groups at every count (see ``GROUPS_OF``), light to dark."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("object_id")
+        got = group(pdf[["lab_l", "lab_a", "lab_b"]].to_numpy(float))
+        rows = [(pdf["photo_id"].iloc[0], p.k, g, int(p.counts[g]), *p.centroids[g], p.separation, p.score, p.k == got.suggested) for p in got.partitions for g in range(p.k)]
+        return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in GROUPS_OF.split(", ")])
+
+    return objects.groupBy("photo_id").applyInPandas(one, GROUPS_OF)
+
+
 CUT = "photo_id long, k int, object_id long, grp int"
 
 
@@ -66,7 +151,7 @@ def ward_groups(objects: DataFrame, most: int = GROUPS) -> DataFrame:
         n = len(pdf)
         if n > MOST_OBJECTS:
             raise ValueError(f"photo {pdf['photo_id'].iloc[0]} has {n} objects; at most {MOST_OBJECTS} are clustered in one task")
-        merges = ward_merges(pdf[["lab_l", "lab_a", "lab_b"]].to_numpy(float) * [0.7, 1, 1])
+        merges = ward_merges(pdf[["lab_l", "lab_a", "lab_b"]].to_numpy(float) * [LIGHTNESS, 1, 1])
         parts = [pd.DataFrame({"photo_id": pdf["photo_id"], "k": k, "object_id": pdf["object_id"], "grp": cut(merges, n, k)}) for k in range(1, min(most, n) + 1)]
         return pd.concat(parts)
 

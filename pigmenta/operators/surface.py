@@ -44,3 +44,15 @@ def fit_surface(points: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in SURFACE.split(", ")])
 
     return sums.mapInPandas(each, SURFACE)
+
+
+def fit_surface_robust(points: DataFrame) -> DataFrame:
+    """``fit_surface``, fitted again without the points more than 1.5 robust deviations below; the first fit stays where the second fails."""
+    keys, value = [f"c{i}" for i in range(6)], " + ".join(f"c{i} * ({t})" for i, t in enumerate(TERMS))
+    first = fit_surface(points)
+    off = points.join(first, "photo_id").select("photo_id", "u", "w", "v", F.expr(f"v - ({value})").alias("off"))
+    middle = off.groupBy("photo_id").agg(F.percentile("off", F.lit(0.5)).alias("middle"))
+    spread = off.join(middle, "photo_id").groupBy("photo_id").agg((F.percentile(F.abs(F.col("off") - F.col("middle")), F.lit(0.5)) * 1.4826 + 1e-6).alias("spread"))
+    again = fit_surface(off.join(spread, "photo_id").where("off > -1.5 * spread").select("photo_id", "u", "w", "v"))
+    names = [F.coalesce(F.col(f"again.{c}"), F.col(f"first.{c}")).alias(c) for c in keys]
+    return first.alias("first").join(again.alias("again"), "photo_id", "left").select("photo_id", *names)

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pigmenta.functions.color import ciede2000_stages, hex_stages, nest, pixel_lab_stages, unlab_stages, xyz_stages
-from pigmenta.operators import assignment, grouping, raster, surface
+from pigmenta.operators import assignment, grouping, measure, raster, segment, surface
+from pigmenta.sources.scenes import TRIOS, scene_photos
 
 TABLES = ("customer", "embeddings", "events", "part", "supplier")
 SPARK = {"div": "div", "pct": "percentile", "raster": "SELECT vec_id div 50 AS photo_id, CAST(vec_id % 50 AS INT) AS y, x, CAST(v AS DOUBLE) AS v FROM embeddings LATERAL VIEW posexplode(embedding) t AS x, v", "at": "element_at(embedding, {})"}
@@ -134,8 +135,45 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched.agg(F.count("paper").alias("matched"), F.round(F.avg("delta_e"), 6).alias("mean_delta_e"), F.max_by("flavor", "delta_e").alias("worst"), F.round(F.max("delta_e"), 6).alias("worst_delta_e"))
 
 
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, "SELECT photo_id, v, 2e0 * x / 64e0 - 1e0 AS u, 2e0 * y / 50e0 - 1e0 AS w FROM ({raster}) AS t WHERE x % 6 = 0 AND y % 6 = 0")
+
+
 def _surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surface.fit_surface(run(spark, sf_dir, "SELECT photo_id, v, 2e0 * x / 64e0 - 1e0 AS u, 2e0 * y / 50e0 - 1e0 AS w FROM ({raster}) AS t WHERE x % 6 = 0 AND y % 6 = 0"))
+    return surface.fit_surface(_points(spark, sf_dir))
+
+
+def _robust_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surface.fit_surface_robust(_points(spark, sf_dir))
+
+
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rendered photo of every twenty suppliers, each an object in one of three look-alike reds."""
+    colour = "CASE s_suppkey * 7 % 3 " + " ".join(f"WHEN {i} THEN array({', '.join(f'{v}e0' for v in c)})" for i, c in enumerate(TRIOS["reds"])) + " END"
+    return scene_photos(run(spark, sf_dir, f"SELECT photo_id, object_id, c[0] AS r, c[1] AS g, c[2] AS b FROM (SELECT s_suppkey div 20 AS photo_id, s_suppkey AS object_id, {colour} AS c FROM supplier) AS s"))
+
+
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.analyse_photos(scenes(spark, sf_dir)).select("photo_id", "status", F.size("beans").alias("beans"), F.size("clumps").alias("clumps"), "white_paper", "calibrated", "suggested", F.expr("transform(sheet, v -> round(v, 3))").alias("sheet"))
+
+
+def _beans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.analyse_photos(scenes(spark, sf_dir)).select("photo_id", "suggested", "partitions", F.posexplode("beans").alias("bean", "of")).select("photo_id", "bean", "of.*", F.expr("element_at(filter(partitions, p -> p.k = suggested), 1).assignment[bean]").alias("grp"))
+
+
+def _whites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.measure_whites(scenes(spark, sf_dir))
+
+
+def _taps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tap on every object's place before jitter."""
+    at = run(spark, sf_dir, "SELECT s_suppkey AS id, s_suppkey div 20 AS photo_id, row_number() OVER (PARTITION BY s_suppkey div 20 ORDER BY s_suppkey) - 1 AS i FROM supplier")
+    taps = at.select("id", "photo_id", F.expr("73.5e0 + i % 5 * 70").alias("x"), F.expr("77e0 + i div 5 * 70").alias("y"), F.lit(5.0).alias("r"))
+    return measure.measure_taps(scenes(spark, sf_dir).withColumn("white", F.lit(None).cast("array<double>")), taps)
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.group_objects(run(spark, sf_dir, _objects()).drop("grp"))
 
 
 def _assignment_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +210,7 @@ def _ward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Spark's own plan where it isn't the text; without a text beside it, SQL can't state the result.
-OWN: dict[str, Query] = {"match_assignment_small": _assignment_small, "components": _labels, "component_boxes": _boxes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "surface_fit": _surface, "ward_cut": _ward}
+OWN: dict[str, Query] = {"match_assignment_small": _assignment_small, "components": _labels, "component_boxes": _boxes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "surface_fit": _surface, "surface_fit_robust": _robust_surface, "ward_cut": _ward, "group_suggestion": _groups, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
 
 
 def queries() -> dict[str, Query]:
