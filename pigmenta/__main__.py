@@ -7,6 +7,7 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,10 +90,10 @@ def main(arguments: list[str]) -> int:
     a = parser.parse_args(arguments)
     spark = SparkSession.builder.config("spark.ui.enabled", "false").getOrCreate()
     read = read_ppm_photos if a.photo.lower().endswith((".ppm", ".pnm")) else read_photos
-    try:
+    try:  # reading a path that isn't there fails at once
         for line in report(spark, read(spark, a.photo, "displayP3" if a.p3 else "sRGB"), a.command, a.spots, a.white, a.fallback):
             print(line)
-    except (Failure, argparse.ArgumentTypeError) as e:
+    except (Failure, argparse.ArgumentTypeError, AnalysisException) as e:
         print(e, file=sys.stderr)
         return 2
     return 0
