@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pigmenta.llm import contamination, lines, neardup, packing, toxicity
+from pigmenta.llm import contamination, fields, neardup, packing, toxicity
 from pigmenta.llm.common import checkpointed, read, small_side
 from pigmenta.llm.queries import tokenizer_path, toxicity_model
 
@@ -29,7 +29,7 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; every document stays."""
-    kept = lines.drop_lines(docs)
+    kept = fields.drop_fields(docs)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

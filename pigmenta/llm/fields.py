@@ -1,0 +1,83 @@
+"""Line dedup that counts groups of documents, with DataFrame functions only.
+
+``lines`` tells copies from boilerplate by a line's neighbours; its result is stated in SQL. Here
+a template is boilerplate if it recurs in at least ``RECUR`` groups of equal or near-equal documents, whatever
+  stands beside it. Equal texts are one group. Of the others, a document's two-word shingles are sketched by their ``SKETCH``
+  smallest hashes; documents that share one of the ``KEYS`` smallest are held against the first of them, and are of
+  its group if the sketches put their similarity at ``NEAR`` or more.
+
+Templates are those of ``lines``. A line that is all of its document is no evidence, but is dropped if its template is boilerplate. Otherwise the results
+are defined as in ``lines``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from pigmenta.llm.common import checkpointed, small_side
+from pigmenta.llm.lines import BLANK, FIELD, GENERAL, LEAD, RECUR, _key, cut_lines
+
+SKETCH, KEYS, NEAR = 32, 8, 0.7
+#: Sketches are larger than other rows.
+_HUBS = 200_000
+
+
+def _anchors(tokens: Column) -> Column:
+    """Hashes of a line as it is, and without each third place."""
+    n = F.size(tokens)
+    even = lambda kind, part: F.xxhash64(F.lit(kind), n, part)
+    without = lambda j: F.filter(tokens, lambda t, i: (i < LEAD) | (F.pmod(i, F.lit(3)) != j))
+    whole, thirds = even(3, tokens), [even(j, without(j)) for j in range(3)]
+    return F.when(n >= GENERAL, F.array(whole, *thirds)).otherwise(F.array(whole))
+
+
+def _tokens(line: Column) -> Column:
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", F.lit(FIELD))).otherwise(line)
+    return F.split(masked, " +")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(fp, g) for the distinct texts that belong to another text's group; ``docs`` has fp and text."""
+    words = F.filter(F.split("text", r"[ \n\t\r\x0b\x0c]+"), lambda w: w != "")
+    w = F.col("w")
+    pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.xxhash64(a, b))).otherwise(F.transform(w, lambda a: F.xxhash64(a)))
+    sketches = docs.where("text IS NOT NULL").select("fp", words.alias("w")).select("fp", F.slice(F.sort_array(F.array_distinct(pairs)), 1, SKETCH).alias("s"))
+    sketches = checkpointed(sketches.dropDuplicates(["fp"]))
+    keys = sketches.select("fp", F.explode(F.slice("s", 1, KEYS)).alias("x"))
+    hubs = keys.groupBy("x").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").select("x", "hub")
+    near = checkpointed(keys.join(hubs, "x").where("fp <> hub").select("fp", "hub").distinct())
+    seen = small_side(checkpointed(sketches.join(near.select(F.col("hub").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("hub"), F.col("s").alias("h"))), _HUBS)
+    both = F.array_intersect("s", "h")
+    least = F.slice(F.sort_array(F.array_union("s", "h")), 1, SKETCH)
+    alike = F.size(F.array_intersect(least, both)) >= NEAR * F.size(least)
+    edges = checkpointed(sketches.join(small_side(near), "fp").join(seen, "hub").where(alike).groupBy("fp").agg(F.min("hub").alias("g")))
+    while True:  # hubs decrease, so following them ends
+        up = edges.select(F.col("fp").alias("g"), F.col("g").alias("root"))
+        next_ = checkpointed(edges.join(small_side(up), "g", "left").select("fp", F.coalesce("root", "g").alias("g"), F.col("root").isNotNull().alias("moved")))
+        edges = next_.select("fp", "g")
+        if next_.where("moved").limit(1).count() == 0:
+            return edges
+
+
+def drop_fields(df: DataFrame, key: str = "doc_id", text: str = "text", recur: int = RECUR) -> DataFrame:
+    """``df`` with boilerplate lines cut out of ``text``, and the columns ``n_lines`` (not blank, before) and ``n_dropped``."""
+    docs = df.select(_key(key).alias("k"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
+    own = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), F.trim(x, F.lit(BLANK)).alias("x"))), lambda s: s["x"] != "")
+    each = docs.select("k", "fp", own.alias("lines")).select("k", "fp", (F.size("lines") == 1).alias("solo"), F.explode("lines").alias("line"))
+    each = each.select("k", "fp", "solo", F.col("line")["i"].alias("i"), _tokens(F.col("line")["x"]).alias("tokens"))
+    lines = checkpointed(each.select("k", "fp", "solo", "i", _anchors(F.col("tokens")).alias("anchors")))
+
+    # equal texts are counted once; only what recurs in enough texts can recur in enough groups
+    once = lines.where("NOT solo").select(F.explode("anchors").alias("t"), "fp").distinct()
+    hot = small_side(checkpointed(_recurring(once, recur)))
+    cand = checkpointed(lines.select("k", "fp", "solo", "i", F.explode("anchors").alias("t")).join(hot, "t", "left_semi"))
+    texts = small_side(checkpointed(cand.select("fp").distinct()))
+    group = small_side(groups(docs.select("fp", "text").join(texts, "fp", "left_semi")))
+    cand = cand.join(group, "fp", "left").withColumn("g", F.coalesce("g", "fp"))
+    gone = cand.join(small_side(checkpointed(_recurring(cand.where("NOT solo").select("t", "g").distinct(), recur))), "t", "left_semi").select("k", "fp", "i")
+    return cut_lines(df, gone.groupBy("k", "fp").agg(F.collect_set("i").alias("gone")), key, text)
+
+
+def _recurring(once: DataFrame, recur: int) -> DataFrame:
+    return once.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= recur).select("t")

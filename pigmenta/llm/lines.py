@@ -85,7 +85,11 @@ def drop_lines(df: DataFrame, key: str = "doc_id", text: str = "text", recur: in
     lines = checkpointed(occurrences(df, key, text))
     known = small_side(checkpointed(boilerplate(lines, recur)))
     hit = lines.select("k", "fp", "i", F.explode("templates").alias("t")).join(known, "t", "left_semi")
-    hit = hit.groupBy("k", "fp").agg(F.collect_set("i").alias("gone"))
+    return cut_lines(df, hit.groupBy("k", "fp").agg(F.collect_set("i").alias("gone")), key, text)
+
+
+def cut_lines(df: DataFrame, hit: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` without the lines that ``hit`` (k, fp, numbers ``gone``) names, and the two counts."""
     gone = F.col("h.gone")
     own = F.split(F.col(f"d.{text}"), "\n", -1)
     kept = F.when(gone.isNull(), F.col(f"d.{text}")).otherwise(F.array_join(F.filter(own, lambda x, i: ~F.array_contains(gone, i)), "\n"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pigmenta.llm import contamination, langid, lines, neardup, ogg, packing, quality, repeats, secrets, toxicity
+from pigmenta.llm import contamination, fields, langid, lines, neardup, ogg, packing, quality, repeats, secrets, toxicity
 from pigmenta.llm.common import class_sample, crc_mod, read, small_side
 
 
@@ -56,6 +56,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_line_dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts groups of documents; SQL can't state the sketches."""
+    kept = fields.drop_fields(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -90,7 +96,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ogg_media, op2_substring_dedup, op3_secret_scan, op4_language_id, op5_decontamination, op6_line_dedup, op7_packing, op8_minhash_neardup, op9_toxicity, op10_quality)
+    f.__name__: f for f in (op1_ogg_media, op2_substring_dedup, op3_secret_scan, op4_language_id, op5_decontamination, op6_line_dedup, op6_line_dedup_groups, op7_packing, op8_minhash_neardup, op9_toxicity, op10_quality)
 }
 
 _OP2 = r"""

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pigmenta.llm import contamination, langid, lines, neardup, ogg, packing, quality, queries, repeats, secrets, toxicity
+from pigmenta.llm import contamination, fields, langid, lines, neardup, ogg, packing, quality, queries, repeats, secrets, toxicity
 from tests.llm import brute
 
 SMALL = "/root/testdata/sf0.001"
@@ -207,6 +207,30 @@ def test_lines(spark):
     assert rows_of(awkward, "doc_id", "text") == sorted(([d, t] for d, t in brute.EDGE), key=str)
 
 
+def unlike(seed, n=30):
+    """A line of its own."""
+    rng = random.Random(f"line {seed}")
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
+
+
+def left(spark, rows):
+    return {r.doc_id: r.text for r in fields.drop_fields(brute.edge_frame(spark, rows)).collect()}
+
+
+def test_lines_blocks_and_skew(spark):
+    block = "Share this page with friends\nFollow us on every channel\nWrite to the editor today"
+    head, foot, hot = "The Daily News of London\nAll the news of today", "Printed on recycled paper\nKeep the town tidy", "Thanks for reading this story"
+    rows = [(d, f"{unlike(d)}\n{block}\n{unlike(-d)}") for d in range(1, 31)]
+    rows += [(d, f"{head}\n{unlike(d)}\n{foot}") for d in range(101, 131)]
+    rows += [(d, f"{unlike(d)}\n{hot}\n{unlike(-d)}") for d in range(201, 221)]
+    rows += [(d, f"{unlike('copied', 80)}\n{hot}\n{unlike('again', 80)} {unlike(d, 2)}") for d in range(301, 401)]
+    got = left(spark, rows)
+    assert all(got[d] == f"{unlike(d)}\n{unlike(-d)}" for d in [*range(1, 31), *range(201, 221)])
+    assert all(got[d] == unlike(d) for d in range(101, 131))
+    assert all(got[d] == f"{unlike('copied', 80)}\n{unlike('again', 80)} {unlike(d, 2)}" for d in range(301, 401))  # copies keep their own lines
+    assert left(spark, brute.EDGE) == {d: t for d, t in brute.EDGE}
+
+
 # 7 Packing
 
 
