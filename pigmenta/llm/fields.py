@@ -1,12 +1,19 @@
-"""Line dedup that counts groups of documents, with DataFrame functions only.
+"""Line dedup that counts groups of documents and finds fields from the data, with DataFrame functions only.
 
-``lines`` tells copies from boilerplate by a line's neighbours; its result is stated in SQL. Here
-a template is boilerplate if it recurs in at least ``RECUR`` groups of equal or near-equal documents, whatever
+``lines`` tells copies from boilerplate by a line's neighbours and has fixed fields; its result is stated in SQL. Here
+
+* a template is boilerplate if it recurs in at least ``RECUR`` groups of equal or near-equal documents, whatever
   stands beside it. Equal texts are one group. Of the others, a document's two-word shingles are sketched by their ``SKETCH``
   smallest hashes; documents that share one of the ``KEYS`` smallest are held against the first of them, and are of
-  its group if the sketches put their similarity at ``NEAR`` or more.
+  its group if the sketches put their similarity at ``NEAR`` or more;
+* fields are found at the leaf. A leaf is a number of tokens and one quarter of the line, whichever stays the same. In it a
+  line stands under two templates: with tokens that recur there in fewer than ``RECUR`` groups as fields, and with all places of at
+  least ``RECUR`` different tokens as fields. At least ``CONSTANT`` tokens, and two thirds, must remain.
+
+The templates of ``lines`` count as well. Not generalised: fields in all four quarters of a line, unless
+all are of one third place; templates with less than that constant; a field of several tokens whose number differs.
 
-Templates are those of ``lines``. A line that is all of its document is no evidence, but is dropped if its template is boilerplate. Otherwise the results
+A line that is all of its document is no evidence, but is dropped if its template is boilerplate. Otherwise the results
 are defined as in ``lines``.
 """
 
@@ -19,17 +26,20 @@ from pigmenta.llm.common import checkpointed, small_side
 from pigmenta.llm.lines import BLANK, FIELD, GENERAL, LEAD, RECUR, _key, cut_lines
 
 SKETCH, KEYS, NEAR = 32, 8, 0.7
+CONSTANT = 3
 #: Sketches are larger than other rows.
 _HUBS = 200_000
 
 
 def _anchors(tokens: Column) -> Column:
-    """Hashes of a line as it is, and without each third place."""
+    """Hashes of a line as it is, without each third place, and of each quarter; those of quarters (leaves) are odd, the others even."""
     n = F.size(tokens)
-    even = lambda kind, part: F.xxhash64(F.lit(kind), n, part)
+    even = lambda kind, part: F.xxhash64(F.lit(kind), n, part).bitwiseAND(F.lit(-2))
     without = lambda j: F.filter(tokens, lambda t, i: (i < LEAD) | (F.pmod(i, F.lit(3)) != j))
+    start = lambda b: F.floor(F.lit(b) * n / 4).cast("int")
     whole, thirds = even(3, tokens), [even(j, without(j)) for j in range(3)]
-    return F.when(n >= GENERAL, F.array(whole, *thirds)).otherwise(F.array(whole))
+    quarters = [F.xxhash64(F.lit(4 + b), n, F.slice(tokens, start(b) + 1, start(b + 1) - start(b))).bitwiseOR(F.lit(1)) for b in range(4)]
+    return F.when(n >= GENERAL, F.array(whole, *thirds, *quarters)).when(n > CONSTANT, F.array(whole, *quarters)).otherwise(F.array(whole))
 
 
 def _tokens(line: Column) -> Column:
@@ -37,6 +47,9 @@ def _tokens(line: Column) -> Column:
     return F.split(masked, " +")
 
 
+LEAF = "t % 2 <> 0"
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(fp, g) for the distinct texts that belong to another text's group; ``docs`` has fp and text."""
     words = F.filter(F.split("text", r"[ \n\t\r\x0b\x0c]+"), lambda w: w != "")
@@ -75,7 +88,25 @@ def drop_fields(df: DataFrame, key: str = "doc_id", text: str = "text", recur: i
     texts = small_side(checkpointed(cand.select("fp").distinct()))
     group = small_side(groups(docs.select("fp", "text").join(texts, "fp", "left_semi")))
     cand = cand.join(group, "fp", "left").withColumn("g", F.coalesce("g", "fp"))
-    gone = cand.join(small_side(checkpointed(_recurring(cand.where("NOT solo").select("t", "g").distinct(), recur))), "t", "left_semi").select("k", "fp", "i")
+    flat = cand.where(f"NOT ({LEAF})")
+    gone = flat.join(small_side(checkpointed(_recurring(flat.where("NOT solo").select("t", "g").distinct(), recur))), "t", "left_semi").select("k", "fp", "i")
+
+    # leaves: c is the print of a line's tokens
+    at = cand.where(LEAF).groupBy("k", "fp", "g", "solo").agg(F.collect_set(F.struct("i", "t")).alias("at"))
+    full = docs.join(small_side(checkpointed(at)), ["k", "fp"]).select("k", "fp", "g", "solo", F.split("text", "\n", -1).alias("ls"), F.explode("at").alias("at"))
+    full = full.select("k", "fp", "g", "solo", "at.*", _tokens(F.trim(F.get("ls", F.col("at.i")), F.lit(BLANK))).alias("ts"))
+    full = checkpointed(full.select("k", "fp", "g", "solo", "i", "t", F.transform("ts", lambda t: F.when(t != FIELD, F.xxhash64(t))).alias("tokens")).withColumn("c", F.xxhash64("tokens")))
+    cell = full.where("NOT solo").select("t", "g", F.posexplode("tokens").alias("p", "v")).where("v IS NOT NULL").distinct()
+    seen = checkpointed(cell.groupBy("t", "p", "v").agg(F.count("*").alias("n")))
+    fixed = small_side(checkpointed(seen.where(F.col("n") >= recur).select("t", "p", "v", F.lit(True).alias("fixed"))))
+    wide = small_side(checkpointed(seen.groupBy("t", "p").agg(F.count("*").alias("n")).where(F.col("n") >= recur).select("t", "p", F.lit(True).alias("wide"))))
+    marked = full.select("t", "c", "tokens").distinct().select("t", "c", F.size("tokens").alias("size"), F.posexplode("tokens").alias("p", "v")).where("v IS NOT NULL").join(fixed, ["t", "p", "v"], "left").join(wide, ["t", "p"], "left")
+    kept = lambda c: F.sort_array(F.collect_set(F.when(c, F.struct("p", "v"))))
+    shape = marked.groupBy("t", "c", "size").agg(kept(F.col("fixed").isNotNull()).alias("a"), kept(F.col("wide").isNull()).alias("b")).select("t", "c", "size", F.explode(F.array("a", "b")).alias("x"))
+    shape = checkpointed(shape.where((F.size("x") >= CONSTANT) & (F.size("x") * 3 >= F.col("size") * 2)).select("t", "c", F.xxhash64("t", "x").alias("u")).distinct())
+    shaped = full.select("k", "fp", "g", "solo", "i", "t", "c").join(small_side(shape), ["t", "c"]).select("k", "fp", "g", "solo", "i", F.col("u").alias("t"))
+    known = _recurring(shaped.where("NOT solo").select("t", "g").distinct(), recur)
+    gone = gone.union(shaped.join(small_side(checkpointed(known)), "t", "left_semi").select("k", "fp", "i"))
     return cut_lines(df, gone.groupBy("k", "fp").agg(F.collect_set("i").alias("gone")), key, text)
 
 

@@ -57,7 +57,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts groups of documents; SQL can't state the sketches."""
+    """Counts groups of documents and finds fields; SQL can't state the sketches."""
     kept = fields.drop_fields(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 

@@ -231,6 +231,13 @@ def test_lines_blocks_and_skew(spark):
     assert left(spark, brute.EDGE) == {d: t for d, t in brute.EDGE}
 
 
+def test_lines_fields(spark):
+    for form in ("Posted by {0} in News", "This article was written by {0} {1} for the Daily News", "{0} is a staff writer at the Daily News of London"):
+        rows = [(d, f"{unlike(d)}\n{form.format(unlike(f'first {d}', 1), unlike(f'last {d}', 1))}\n{unlike(-d)}") for d in range(1, 41)]
+        got = left(spark, rows)
+        assert all(got[d] == f"{unlike(d)}\n{unlike(-d)}" for d, _ in rows), form
+
+
 # 7 Packing
 
 
