@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Cells of one project's cost matrix; a larger one is refused with a clear error.
 MOST_CELLS = 25_000_000
@@ -69,3 +70,9 @@ def assign_projects(costs: DataFrame) -> DataFrame:
         })
 
     return costs.groupBy("project").applyInPandas(one, ASSIGNED)
+
+
+def summarise(matched: DataFrame, available: DataFrame) -> DataFrame:
+    """One row over (flavor, paper, delta_e), with the one row of ``available`` sheets: flavours, matched, mean and worst difference, spare sheets."""
+    found = matched.agg(F.count("*").alias("flavors"), F.count("paper").alias("matched"), F.round(F.avg("delta_e"), 6).alias("mean_delta_e"), F.max_by("flavor", "delta_e").alias("worst"), F.round(F.max("delta_e"), 6).alias("worst_delta_e"))
+    return found.crossJoin(available).select("*", F.greatest(F.col("available") - F.col("matched"), F.lit(0)).alias("spare")).drop("available")

@@ -181,6 +181,12 @@ def _assignment_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assignment.assign_projects(costs)
 
 
+def _summary_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table; without SQL, as the assignment has none. ``match_summary`` has some, over few flavours and sheets."""
+    available = run(spark, sf_dir, f"SELECT count(*) AS available FROM ({_papers()}) AS p WHERE available")
+    return assignment.summarise(_assignment_full(spark, sf_dir), available)
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.components(run(spark, sf_dir, _sites()))
 
@@ -210,7 +216,7 @@ def _ward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Spark's own plan where it isn't the text; without a text beside it, SQL can't state the result.
-OWN: dict[str, Query] = {"match_assignment_small": _assignment_small, "components": _labels, "component_boxes": _boxes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "surface_fit": _surface, "surface_fit_robust": _robust_surface, "ward_cut": _ward, "group_suggestion": _groups, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
+OWN: dict[str, Query] = {"match_assignment_small": _assignment_small, "components": _labels, "component_boxes": _boxes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_summary_full": _summary_full, "surface_fit": _surface, "surface_fit_robust": _robust_surface, "ward_cut": _ward, "group_suggestion": _groups, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
 
 
 def queries() -> dict[str, Query]:

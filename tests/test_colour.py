@@ -106,6 +106,17 @@ def test_records(spark):
     assert left.count() == 1 and cleared.where(F.col("photo_id") == "q").count() == 1 and cleared.where("tap_x is null").count() == 2
 
 
+def test_summary_of_the_whole_table(spark):
+    d = "/root/testdata/sf0.001"
+    sizes = [plans.run(spark, d, t).first()[0] for t in (f"SELECT count(*) FROM ({plans._flavors()}) AS f", f"SELECT count(*) FROM ({plans._papers()}) AS p WHERE available")]
+    pairs = {(r.flavor, r.paper): r.delta_e for r in plans.run(spark, d, plans._costs()).collect()}
+    at = [(r.flavor, r.paper) for r in plans.queries()["match_assignment_full"](spark, d).collect() if r.paper is not None]
+    got = plans.queries()["match_summary_full"](spark, d).first()
+    off = [pairs[x] for x in at]
+    assert (got.flavors, got.matched, got.spare) == (sizes[0], min(sizes), max(sizes[1] - sizes[0], 0)) and got.flavors > 4
+    assert (got.mean_delta_e, got.worst_delta_e) == (pytest.approx(sum(off) / len(off), abs=1e-6), pytest.approx(max(off), abs=1e-6))
+
+
 @pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_query_against_sql(spark, name):
     d = "/root/testdata/sf0.001"
