@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Cells of one project's cost matrix; a larger one is refused with a clear error.
 MOST_CELLS = 25_000_000
+ALTERNATES = 5
 
 
 def assign(cost: np.ndarray) -> np.ndarray:
@@ -76,3 +77,28 @@ def summarise(matched: DataFrame, available: DataFrame) -> DataFrame:
     """One row over (flavor, paper, delta_e), with the one row of ``available`` sheets: flavours, matched, mean and worst difference, spare sheets."""
     found = matched.agg(F.count("*").alias("flavors"), F.count("paper").alias("matched"), F.round(F.avg("delta_e"), 6).alias("mean_delta_e"), F.max_by("flavor", "delta_e").alias("worst"), F.round(F.max("delta_e"), 6).alias("worst_delta_e"))
     return found.crossJoin(available).select("*", F.greatest(F.col("available") - F.col("matched"), F.lit(0)).alias("spare")).drop("available")
+
+
+def match_projects(flavors: DataFrame, costs: DataFrame, locks: DataFrame) -> DataFrame:
+    """A row for each flavour: project, flavor, paper and delta_e (null without a sheet), locked, and the closest sheets as alternates.
+
+    flavors: project, flavor, label. costs: project, flavor, paper, available, delta_e, for all pairs. locks: project, flavor, paper;
+    those of unknown flavours or sheets are ignored. Locked pairs stay as they are; the other flavours are assigned the available
+    sheets that no lock holds. Alternates are available or locked sheets; taken_by is the label of the flavour that holds one, null
+    if that is the own label. If locks give several flavours one sheet, the last of them in order of ``flavor`` counts as its holder.
+    """
+    pair = ["project", "flavor", "paper"]
+    locked = costs.join(locks.select(*pair).distinct(), pair, "left_semi").select(*pair, "delta_e")
+    held = locked.select("project", "paper").distinct()
+    free = costs.where("available").join(locked, ["project", "flavor"], "left_anti").join(held, ["project", "paper"], "left_anti")
+    solved = assign_projects(free.select("project", "flavor", "paper", "delta_e")).where("paper IS NOT NULL")
+    chosen = locked.withColumn("locked", F.lit(True)).unionByName(solved.withColumn("locked", F.lit(False)))
+    owners = chosen.join(flavors, ["project", "flavor"]).groupBy("project", "paper").agg(F.max_by("label", "flavor").alias("holder"))
+    sheets = costs.where("available").unionByName(costs.where("NOT coalesce(available, false)").join(held, ["project", "paper"], "left_semi"))
+    near = sheets.groupBy("project", "flavor").agg(F.slice(F.array_sort(F.collect_list(F.struct("delta_e", "paper"))), 1, ALTERNATES).alias("near"))
+    near = near.select("project", "flavor", F.posexplode("near").alias("place", "at")).select("project", "flavor", "place", "at.paper", "at.delta_e")
+    near = near.join(owners, ["project", "paper"], "left").join(flavors, ["project", "flavor"])
+    taken = F.when(F.col("holder") != F.col("label"), F.col("holder")).alias("taken_by")
+    alternates = near.groupBy("project", "flavor").agg(F.array_sort(F.collect_list(F.struct((F.col("place") + 1).alias("place"), "paper", "delta_e", taken))).alias("alternates"))
+    out = flavors.join(chosen, ["project", "flavor"], "left").join(alternates, ["project", "flavor"], "left")
+    return out.select("project", "flavor", "label", "paper", "delta_e", F.coalesce("locked", F.lit(False)).alias("locked"), F.coalesce("alternates", F.array()).alias("alternates"))

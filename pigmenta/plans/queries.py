@@ -187,6 +187,16 @@ def _summary_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assignment.summarise(_assignment_full(spark, sf_dir), available)
 
 
+def _locked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The match under the locks of FIXTURES.md: the first two flavours to the two lowest sheets."""
+    project = F.lit(0).cast("long").alias("project")
+    flavors = run(spark, sf_dir, _flavors()).select(project, "flavor", "label")
+    costs = run(spark, sf_dir, _costs()).select(project, "flavor", "paper", "available", "delta_e")
+    first = "SELECT f.flavor, p.paper FROM (SELECT flavor, row_number() OVER (ORDER BY flavor) AS i FROM (SELECT DISTINCT lower(trim(p_name)) AS flavor FROM part) AS d ORDER BY flavor LIMIT 2) AS f JOIN (SELECT s_suppkey AS paper, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier ORDER BY s_suppkey LIMIT 2) AS p ON f.i = p.i"
+    matched = assignment.match_projects(flavors, costs, run(spark, sf_dir, first).select(project, "flavor", "paper"))
+    return matched.select("flavor", "paper", F.round("delta_e", 6).alias("delta_e"), "locked", F.expr("transform(alternates, a -> named_struct('paper', a.paper, 'delta_e', round(a.delta_e, 6), 'taken_by', a.taken_by))").alias("alternates"))
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.components(run(spark, sf_dir, _sites()))
 
@@ -216,7 +226,7 @@ def _ward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Spark's own plan where it isn't the text; without a text beside it, SQL can't state the result.
-OWN: dict[str, Query] = {"match_assignment_small": _assignment_small, "components": _labels, "component_boxes": _boxes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_summary_full": _summary_full, "surface_fit": _surface, "surface_fit_robust": _robust_surface, "ward_cut": _ward, "group_suggestion": _groups, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
+OWN: dict[str, Query] = {"match_assignment_small": _assignment_small, "components": _labels, "component_boxes": _boxes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_summary_full": _summary_full, "match_locked": _locked, "surface_fit": _surface, "surface_fit_robust": _robust_surface, "ward_cut": _ward, "group_suggestion": _groups, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
 
 
 def queries() -> dict[str, Query]:

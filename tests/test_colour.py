@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pigmenta.functions.color import apply, ciede2000_stages, hex_stages, lab_stages, pixel_lab_stages, unlab_stages
 from pigmenta.operators import records
-from pigmenta.operators.assignment import assign
+from pigmenta.operators.assignment import assign, match_projects
 from pigmenta.operators.grouping import cut, eigen, ward_merges
 from pigmenta.operators.raster import label
 from pigmenta.operators.surface import fit_surface, solve
@@ -106,6 +106,34 @@ def test_records(spark):
     assert left.count() == 1 and cleared.where(F.col("photo_id") == "q").count() == 1 and cleared.where("tap_x is null").count() == 2
 
 
+def test_match_with_locks(spark):
+    def match(costs, locks, names=("Cherry", "Berry")):
+        flavors = spark.createDataFrame([(1, n.lower(), n) for n in names], "project long, flavor string, label string")
+        rows = [(1, f, p, a, e) for f, p, a, e in costs]
+        pairs = spark.createDataFrame(rows, "project long, flavor string, paper long, available boolean, delta_e double")
+        held = spark.createDataFrame([(1, *x) for x in locks], "project long, flavor string, paper long")
+        return {r.label: r for r in match_projects(flavors, pairs, held).collect()}
+
+    costs = [("cherry", 1, True, 0.0), ("cherry", 2, True, 9.0), ("cherry", 3, True, 30.0), ("berry", 1, True, 8.0), ("berry", 2, True, 1.0), ("berry", 3, True, 25.0)]
+    free = match(costs, [])
+    assert [(r.paper, r.locked) for r in (free["Cherry"], free["Berry"])] == [(1, False), (2, False)]
+    assert [(a.paper, a.taken_by) for a in free["Cherry"].alternates] == [(1, None), (2, "Berry"), (3, None)]
+    got = match(costs, [("berry", 1), ("cherry", 99), ("nobody", 2)])  # unknown sheets and flavours are ignored
+    assert [(r.paper, r.delta_e, r.locked) for r in (got["Berry"], got["Cherry"])] == [(1, 8.0, True), (2, 9.0, False)]
+    used = [("cherry", 1, False, 0.0), ("cherry", 2, True, 9.0), ("berry", 1, False, 8.0), ("berry", 2, True, 1.0)]
+    assert (match(used, [])["Cherry"].paper, match(used, [])["Berry"].paper) == (None, 2)
+    got = match(used, [("cherry", 1)])
+    assert (got["Cherry"].paper, got["Cherry"].locked, got["Berry"].paper) == (1, True, 2)
+    assert [(a.paper, a.taken_by) for a in got["Berry"].alternates] == [(2, None), (1, "Cherry")]
+    none = match([], [])
+    assert [(r.paper, r.locked, r.alternates) for r in none.values()] == [(None, False, [])] * 2
+    rows = plans.queries()["match_locked"](spark, "/root/testdata/sf0.001").collect()
+    held = sorted((r.flavor, r.paper) for r in rows if r.locked)
+    assert [p for _, p in held] == [0, 1] and [f for f, _ in held] == sorted(r.flavor for r in rows)[:2]
+    held = [r.paper for r in rows if r.paper is not None]
+    assert len(set(held)) == len(held)
+
+
 def test_summary_of_the_whole_table(spark):
     d = "/root/testdata/sf0.001"
     sizes = [plans.run(spark, d, t).first()[0] for t in (f"SELECT count(*) FROM ({plans._flavors()}) AS f", f"SELECT count(*) FROM ({plans._papers()}) AS p WHERE available")]
