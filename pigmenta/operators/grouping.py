@@ -129,13 +129,16 @@ GROUPS_OF = "photo_id long, k int, grp int, size int, lab_l double, lab_a double
 
 
 def group_objects(objects: DataFrame) -> DataFrame:
-    """(photo_id, object_id, lab_l, lab_a, lab_b) to the groups at every count (see ``GROUPS_OF``), light to dark."""
+    """(photo_id, object_id, lab_l, lab_a, lab_b) to the groups at every count (see ``GROUPS_OF``), light to dark; of a photo with over ``MOST_OBJECTS``, one row of nulls."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        columns = [x.split(" ")[0] for x in GROUPS_OF.split(", ")]
+        if len(pdf) > MOST_OBJECTS:
+            return pd.DataFrame([(pdf["photo_id"].iloc[0], *[None] * (len(columns) - 1))], columns=columns, dtype=object)
         pdf = pdf.sort_values("object_id")
         got = group(pdf[["lab_l", "lab_a", "lab_b"]].to_numpy(float))
         rows = [(pdf["photo_id"].iloc[0], p.k, g, int(p.counts[g]), *p.centroids[g], p.separation, p.score, p.k == got.suggested) for p in got.partitions for g in range(p.k)]
-        return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in GROUPS_OF.split(", ")])
+        return pd.DataFrame(rows, columns=columns)
 
     return objects.groupBy("photo_id").applyInPandas(one, GROUPS_OF)
 
@@ -144,13 +147,13 @@ CUT = "photo_id long, k int, object_id long, grp int"
 
 
 def ward_groups(objects: DataFrame, most: int = GROUPS) -> DataFrame:
-    """(photo_id, object_id, lab_l, lab_a, lab_b) to each object's group at every count up to ``most`` (see ``CUT``); lightness counts 0.7."""
+    """(photo_id, object_id, lab_l, lab_a, lab_b) to each object's group at every count up to ``most`` (see ``CUT``); lightness counts 0.7. Over ``MOST_OBJECTS`` k and grp are null."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("object_id")
         n = len(pdf)
         if n > MOST_OBJECTS:
-            raise ValueError(f"photo {pdf['photo_id'].iloc[0]} has {n} objects; at most {MOST_OBJECTS} are clustered in one task")
+            return pd.DataFrame({"photo_id": pdf["photo_id"], "k": pd.array([None] * n, "Int32"), "object_id": pdf["object_id"], "grp": pd.array([None] * n, "Int32")})
         merges = ward_merges(pdf[["lab_l", "lab_a", "lab_b"]].to_numpy(float) * [LIGHTNESS, 1, 1])
         parts = [pd.DataFrame({"photo_id": pdf["photo_id"], "k": k, "object_id": pdf["object_id"], "grp": cut(merges, n, k)}) for k in range(1, min(most, n) + 1)]
         return pd.concat(parts)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from pigmenta.functions.color import BRADFORD, D65, TO_XYZ
 from pigmenta.functions.kernels import CONE_TARGET, FROM_CONE, LIGHT, neutral_chroma, xyz_lab
-from pigmenta.operators.grouping import group
+from pigmenta.operators import grouping
 from pigmenta.operators.measure import CAMERA_FLOOR, NEUTRAL, auto_white, body_colour, per_photo, pixels
 from pigmenta.operators.raster import label
 from pigmenta.operators.surface import TERMS, solve
@@ -301,7 +301,7 @@ ANALYSIS = (
 def analyse_photos(photos: DataFrame) -> DataFrame:
     """One row (photo_id and ``ANALYSIS``) for each photo row of ``measure``; optional array columns ``tapped`` and ``fallback`` are whites.
 
-    ``status`` is ``ok``, ``no_objects``, ``too_large``, or what is wrong with the row; all else is null unless ``ok``.
+    ``status`` is ``ok``, ``no_objects``, ``too_large``, ``too_many_objects``, or what is wrong with the row; all else is null unless ``ok``.
     """
     extra = [c for c in ("tapped", "fallback") if c in photos.columns]
 
@@ -317,7 +317,9 @@ def analyse_photos(photos: DataFrame) -> DataFrame:
             return [out | {"status": "no_objects"}]
         except ValueError as e:
             return [out | {"status": str(e)}]
-        grouped = group(found.labs)
+        if len(found.labs) > grouping.MOST_OBJECTS:
+            return [out | {"status": "too_many_objects"}]
+        grouped = grouping.group(found.labs)
         named = [dict(zip(_ELLIPSE, e, strict=True)) for e in found.beans.tolist()]
         tints = zip(found.labs.tolist(), grouped.enhanced.tolist(), grouped.principal.tolist(), strict=True)
         beans = [e | {"lab": a, "enhanced": b, "principal": c} for e, (a, b, c) in zip(named, tints, strict=True)]

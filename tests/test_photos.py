@@ -230,3 +230,25 @@ def test_photo_queries(spark):
     assert len(beans) == suppliers == sum(r.beans for r in photos) and all(r.status == "ok" and r.white_paper for r in photos)
     assert q["tap_colours"](spark, d).count() == suppliers and all(r.found for r in q["photo_whites"](spark, d).collect())
     assert {r.k for r in q["group_suggestion"](spark, d).collect()} == set(range(1, 7)) and q["surface_fit_robust"](spark, d).where("c0 IS NULL").count() == 0
+
+
+def test_too_many_objects_fail_no_other_photo(spark):
+    from pigmenta.operators.grouping import MOST_OBJECTS, ward_groups
+
+    many = spark.range(MOST_OBJECTS + 1).selectExpr("1L AS photo_id", "id AS object_id", "50e0 AS lab_l", "CAST(id % 7 AS DOUBLE) AS lab_a", "0e0 AS lab_b")
+    few = spark.range(4).selectExpr("2L AS photo_id", "id AS object_id", "50e0 AS lab_l", "CAST(id * 9 AS DOUBLE) AS lab_a", "0e0 AS lab_b")
+    rows = group_objects(many.union(few)).collect()
+    assert [(r.k, r.suggested) for r in rows if r.photo_id == 1] == [(None, None)] and sum(r.photo_id == 2 for r in rows) == 10
+    cuts = ward_groups(many.union(few)).collect()
+    assert {(r.k, r.grp) for r in cuts if r.photo_id == 1} == {(None, None)} and len(cuts) == MOST_OBJECTS + 1 + 4 * 4
+
+
+def test_too_many_objects_of_a_scene(monkeypatch):
+    from pigmenta.operators import grouping, segment
+
+    monkeypatch.setattr(grouping, "MOST_OBJECTS", 0)
+    monkeypatch.setattr(segment, "pixels", lambda row: np.zeros((1, 1, 3)))
+    monkeypatch.setattr(segment, "segment", lambda *a: type("Found", (), {"labs": np.zeros((1, 3))}))
+    monkeypatch.setattr(segment, "per_photo", lambda df, one, schema: one({"photo_id": 1, "space": "sRGB"}))
+    photos = type("Photos", (), {"columns": [], "select": lambda self, *a: self, "schema": {"photo_id": type("T", (), {"dataType": type("D", (), {"simpleString": staticmethod(lambda: "bigint")})})}})()
+    assert segment.analyse_photos(photos) == [{"photo_id": 1, "status": "too_many_objects"}]
