@@ -6,7 +6,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pigmenta.llm import contamination, fields, neardup, packing, toxicity
-from pigmenta.llm.common import checkpointed, read, small_side
+from pigmenta.llm.common import checkpointed, read, shared_folder, small_side
 from pigmenta.llm.queries import tokenizer_path, toxicity_model
 
 TOXIC = 0.7
@@ -34,7 +33,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, with all its rows; rows without id stay."""
     others = small_side(checkpointed(neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()))
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
@@ -58,9 +57,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    folder, docs = f"{base}/pipeline-{uuid.uuid4().hex}", read(spark, sf_dir, "documents")
+    folder, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}_{name}")
         docs = spark.read.parquet(f"{folder}/{i}_{name}")

@@ -8,26 +8,69 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a checked table is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Bytes (of values, before Spark's own overhead) up to which a checked table is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 96 << 20
+#: Most keys that ``spread_join`` broadcasts.
+HEAVY_KEYS = 20_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, named by the cluster; a temporary one only for a local master (tests)."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return named or tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that the cluster names; without one (tests), in a temporary folder."""
+    """Cut the lineage in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, which must be cheap to count, marked for broadcast if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes_of(df: DataFrame) -> Column:
+    """Size of a row's values."""
+    out = F.lit(16)
+    for f in df.schema:
+        kind, c = f.dataType, F.col(f"`{f.name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            own = F.octet_length(c)
+        elif isinstance(kind, T.ArrayType):
+            own = F.octet_length(F.array_join(c, " ")) if isinstance(kind.elementType, T.StringType) else F.size(c) * 16
+        else:
+            own = F.lit(16)
+        out = out + F.coalesce(own, F.lit(0))
+    return out
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, which must be cheap to read, marked for broadcast if its values take at most ``most`` bytes."""
+    size = df.agg(F.sum(_bytes_of(df).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
+def heavy_from(rows: int) -> int:
+    """Rows of a key from which it counts as heavy: at most ``HEAVY_KEYS`` keys of ``rows`` rows can be."""
+    return max(1000, rows // HEAVY_KEYS)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str, heavy: int, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, which has one row for each key and in ``n`` the key's rows in ``left``.
+
+    The few keys of more than ``heavy`` rows (see ``heavy_from``) are broadcast, so that no key's rows meet in one task.
+    """
+    often = F.broadcast(right.where(F.col(n) > heavy))
+    rest = left.join(often, on, "left_anti").join(right.where(F.col(n) <= heavy), on, how)
+    return left.join(often, on).unionByName(rest)
 
 
 def crc_mod(key: str | Column, n: int) -> Column:

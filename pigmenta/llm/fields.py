@@ -60,7 +60,7 @@ def groups(docs: DataFrame) -> DataFrame:
     keys = sketches.select("fp", F.explode(F.slice("s", 1, KEYS)).alias("x"))
     hubs = keys.groupBy("x").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").select("x", "hub")
     near = checkpointed(keys.join(hubs, "x").where("fp <> hub").select("fp", "hub").distinct())
-    seen = small_side(checkpointed(sketches.join(near.select(F.col("hub").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("hub"), F.col("s").alias("h"))), _HUBS)
+    seen = small_side(checkpointed(sketches.join(near.select(F.col("hub").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("hub"), F.col("s").alias("h"))))
     both = F.array_intersect("s", "h")
     least = F.slice(F.sort_array(F.array_union("s", "h")), 1, SKETCH)
     alike = F.size(F.array_intersect(least, both)) >= NEAR * F.size(least)

@@ -14,8 +14,9 @@ connected components of the links.
    A pair of similarity 0.8 agrees in fewer than 9 of 24 coordinates with a probability of about 1e-6.
 3. Each posting list goes to its hub, the member whose coordinates are the commonest overall (the
    original among edited copies), so the many lists of one group of copies become one group. Groups are dealt in
-   chunks of at most about ``CHUNK`` members. Between any two chunks of a group collisions are counted over the
-   whole signature, one byte a coordinate (which can only add collisions); members without a partner that agrees in ``MATCHES`` coordinates and has a compatible size
+   chunks of at most about ``CHUNK`` members. Each member is held against its chunk and the hub: collisions are counted over the
+   whole signature, one byte a coordinate (which can only add collisions). Members without a partner there that agrees in ``MATCHES``
+   coordinates and has a compatible size meet the group's other chunks; those without any partner
    drop out. (At similarity 0.8 fewer than 35 of 64 agree with probability under 1e-6.)
 4. Only now are the full sets of what is left fetched. Inside a chunk, which also holds its group's hub, pairs above
    the threshold that are not connected yet are confirmed on the full sets; connected ones are skipped.
@@ -24,10 +25,16 @@ connected components of the links.
    block; nothing is left out.
 5. Components are found by alternating large-star and small-star steps on the executors.
 
+Keys with many rows (a set that a third of the documents share, a common coordinate value, the centre of a star)
+never meet in one task: their side of a join is broadcast, at most ``HEAVY_KEYS`` of them.
+
 Defined results
   * null or empty text: n_shingles 0, its own component, kept;
   * null doc_id: component_id null, kept, linked with nothing (it can't be named);
-  * rows with one doc_id are one document for links; each row reports its own set's size;
+  * rows with one doc_id are one document: it holds the classes of all its rows together, and all its rows, those without words
+    too, get one component and one verdict; each row reports its own set's size;
+  * ties: equal scores of a hub go to the larger node, which changes no result;
+  * very long texts are treated whole; a worker holds one such text's words and set at a time, and one chunk's sets;
   * an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -43,13 +50,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pigmenta.llm.common import checkpointed, hash_words, mixed, small_side
+from pigmenta.llm.common import checkpointed, hash_words, heavy_from, mixed, small_side, spread_join
 
-SHINGLE = 2
 PERCENT = 80
 COORDINATES, MATCHES = 64, 35
 POSTED, AGREE = 24, 9
+#: Most members, and about the most shingles, to a chunk, which bounds what a worker holds.
 CHUNK = 1024
+MOST = 1 << 22
 #: Ratio of sizes in one band; over 100 / PERCENT, so that linked sets are at most one band apart.
 BAND = 1.26
 #: Shingles to a step of the minima, which bounds a worker's memory on very long texts.
@@ -190,7 +198,7 @@ def link_block(nodes: list[int], comps: list[int], first: np.ndarray, second: np
 GROUP = ["hub", "hub_h1"]
 PLACED = [*GROUP, "chunk", "other", "side", "node", "h1"]
 LINKS = "a long, b long"
-MEMBERS = "hub long, hub_h1 long, node long, h1 long"
+MEMBERS = "hub long, hub_h1 long, node long, h1 long, n long"
 
 
 def _blocks(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict[tuple[int, int], list]]]:
@@ -218,8 +226,8 @@ def _with_partner(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs = np.frombuffer(b"".join(x[2] for x in by.values()), np.uint8).reshape(-1, COORDINATES)
         a, b, _ = close_pairs(sigs, np.array([x[1] for x in by.values()]), (side & 1) > 0, (side & 2) > 0)
         names = list(by)
-        out += [(*key[:2], *names[i]) for i in np.unique(np.concatenate((a, b))).tolist()]
-    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], [x.split(" ")[0] for x in MEMBERS.split(", ")])
+        out += [(*key[:2], *names[i], by[names[i]][1]) for i in np.unique(np.concatenate((a, b))).tolist()]
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(5)], [x.split(" ")[0] for x in MEMBERS.split(", ")])
 
 
 def _link_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,24 +248,28 @@ def components(links: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select("v", "v")).groupBy("node").agg(F.min("comp").alias("comp"))
-        before = now
+        before, heavy = now, heavy_from(2 * now[0])
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("k"))
+        large = checkpointed(spread_join(both, least, ["u"], "k", heavy).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        pair = lambda x, y: F.struct(F.col(x).alias("u"), F.col(y).alias("v"))
+        edges = spread_join(large, least, ["u"], "k", heavy).select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """Groups of classes that may be linked: (hub, hub_h1, node, h1), the hub itself among them."""
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
-    coords = classes.select("node", "h1", band.alias("band"), F.posexplode("sig").alias("c", "v"))
+    """Groups of classes that may be linked (see ``MEMBERS``), the hub itself among them."""
+    heavy = heavy_from(classes.count() * POSTED)
+    coords = classes.select("node", "h1", "n", F.posexplode("sig").alias("c", "v"))
     common = coords.groupBy("c", "v").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = coords.join(common, ["c", "v"]).groupBy("node", "h1", "band").agg(F.array_sort(F.collect_list(F.struct("df", "c", "v"))).alias("s"), F.sum("df").alias("score"))
-    posts = ranked.where(F.size("s") >= AGREE).select("node", "h1", "score", "band", F.explode(F.slice("s", F.lit(1), F.size("s") - (AGREE - 1))).alias("p"))
-    posts = posts.select("node", "h1", "score", "p.c", "p.v", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    lists = posts.groupBy("c", "v", "band").agg(F.max(F.struct("score", "node", "h1")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    return posts.join(lists, ["c", "v", "band"]).select(F.col("hub.node").alias("hub"), F.col("hub.h1").alias("hub_h1"), "node", "h1").distinct()
+    ranked = spread_join(coords, common, ["c", "v"], "df", heavy).groupBy("node", "h1", "n").agg(F.array_sort(F.collect_list(F.struct("df", "c", "v"))).alias("s"), F.sum("df").alias("score"))
+    rare = F.transform(F.slice("s", F.lit(1), F.size("s") - (AGREE - 1)), lambda x: F.struct(x["c"].alias("c"), x["v"].alias("v")))
+    ranked = checkpointed(ranked.where(F.size("s") >= AGREE).select("node", "h1", "n", "score", rare.alias("p")))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
+    posts = ranked.select("node", "h1", "n", "score", F.explode("p").alias("p")).select("node", "h1", "n", "score", "p.c", "p.v", F.explode(F.array(band, band + 1)).alias("band"))
+    lists = posts.groupBy("c", "v", "band").agg(F.max(F.struct("score", "node", "h1")).alias("hub"), F.count("*").alias("k")).where("k > 1")
+    met = spread_join(posts.drop("score"), lists, ["c", "v", "band"], "k", heavy)
+    return met.select(F.col("hub.node").alias("hub"), F.col("hub.h1").alias("hub_h1"), "node", "h1", "n").distinct()
 
 
 def _chunk_of(n: str) -> F.Column:
@@ -265,65 +277,93 @@ def _chunk_of(n: str) -> F.Column:
 
 
 def _chunked(members: DataFrame) -> DataFrame:
-    """``members`` with their group's number of chunks and their own chunk."""
-    sized = members.groupBy(*GROUP).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.count("*").alias("m")).where("m > 1")
-    return members.join(sized, GROUP).select(*GROUP, "chunks", _chunk_of("chunks").alias("chunk"), "node", "h1")
+    """``members`` with their group's number of chunks and their own chunk. Only groups of several chunks are broadcast: at most one row for each ``CHUNK`` members or ``MOST`` shingles."""
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / MOST)).cast("int")
+    sized = small_side(checkpointed(members.groupBy(*GROUP).agg(chunks.alias("chunks")).where("chunks > 1")))
+    return members.join(sized, GROUP, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).select(*GROUP, "chunks", _chunk_of("chunks").alias("chunk"), "node", "h1", "n")
+
+
+def _with_heads(own: DataFrame) -> DataFrame:
+    """Chunks of ``_chunked`` members, each with its group's hub, as blocks in which all meet all."""
+    heads = own.where("hub = node and hub_h1 = h1").select(*GROUP, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "h1")
+    return own.select(*heads.columns).union(heads).distinct().select(*GROUP, "chunk", F.lit(0).alias("other"), F.lit(3).alias("side"), "node", "h1")
 
 
 def _dealt(blocks: DataFrame, data: DataFrame, worker, schema: str) -> DataFrame:
-    """Run ``worker`` on blocks (columns as in ``PLACED`` and one more) after joining ``data`` (node, h1 and one more, or two) to their members."""
+    """Run ``worker`` on blocks (columns as in ``PLACED``, and perhaps one more) after joining ``data`` (node, h1 and one more, or two) to their members."""
     more = [c for c in (*blocks.columns, *data.columns) if c not in PLACED]
-    full = data.join(small_side(blocks), ["node", "h1"]).select(*PLACED, *more)
+    full = data.join(small_side(checkpointed(blocks)), ["node", "h1"]).select(*PLACED, *more)
     place = PLACED[:4]
     return full.repartition(*(F.col(c) for c in place)).sortWithinPartitions(*place, "node", "h1").mapInArrow(worker, schema)
 
 
+def _against(wide: DataFrame, apart: DataFrame, *more: str) -> DataFrame:
+    """Blocks in which the members ``apart`` of groups of several chunks meet all members of their groups, chunk by chunk."""
+    sized = small_side(checkpointed(apart.groupBy(*GROUP).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("others"))))
+    second = wide.join(sized, GROUP).select(*GROUP, "chunk", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), F.lit(2).alias("side"), "node", "h1", *more)
+    first = apart.join(sized, GROUP).select(*GROUP, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), _chunk_of("others").alias("other"), F.lit(1).alias("side"), "node", "h1", *more)
+    return second.union(first)
+
+
 def _close_members(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """``members`` without those that have no close partner in their group: every two chunks of a group meet in one block."""
-    own = _chunked(members)
-    c, last = F.col("chunk"), F.col("chunks") - 1
-    ahead = F.transform(F.sequence(c, last), lambda j: F.struct(c.alias("chunk"), j.alias("other"), F.when(j == c, 3).otherwise(1).alias("side")))
-    behind = F.when(c > 0, F.transform(F.sequence(F.lit(0), F.greatest(c - 1, F.lit(0))), lambda i: F.struct(i.alias("chunk"), c.alias("other"), F.lit(2).alias("side")))).otherwise(F.array().cast("array<struct<chunk:int,other:int,side:int>>"))
-    placed = own.select(*GROUP, F.explode(F.concat(ahead, behind)).alias("at"), "node", "h1").select(*GROUP, "at.chunk", "at.other", "at.side", "node", "h1")
-    return _dealt(placed, classes.select("node", "h1", "n", "bytes"), _with_partner, MEMBERS).distinct()
+    """``members`` without those that have no close partner in their group.
+
+    Each is held against its own chunk and the hub; only those without a partner there meet the other chunks.
+    """
+    own, data = checkpointed(_chunked(members)), classes.select("node", "h1", "n", "bytes")
+    near = checkpointed(_dealt(_with_heads(own), data, _with_partner, MEMBERS).distinct())
+    wide = own.where("chunks > 1")
+    lonely = checkpointed(wide.join(near, [*GROUP, "node", "h1"], "left_anti"))
+    if lonely.limit(1).count():
+        near = near.union(_dealt(_against(wide, lonely), data, _with_partner, MEMBERS)).distinct()
+    return near
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (it is that one)."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = checkpointed(docs.mapInArrow(_sign, SIGNED))
-    sets = signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n")
-    classes = checkpointed(sets.agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first(F.struct("sig", "bytes")).alias("s")).select("h1", "h2", "n", "node", "copies", "s.sig", "s.bytes"))
+    rows = signed.select("doc_id", "n", "h1", "h2")
+    named, print_ = rows.where("n > 0 and doc_id is not null"), ["h1", "h2", "n"]
+    sets = signed.where("n > 0 and doc_id is not null").groupBy(*print_)
+    classes = checkpointed(sets.agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first(F.struct("sig", "bytes")).alias("s")).select(*print_, "node", "copies", "s.sig", "s.bytes"))
+    heavy = heavy_from(signed.count())
+
     least = next(n for n in range(1, 101) if 100 * n >= PERCENT * (n + 1))
     large = classes.where(F.col("n") >= least)
     members = checkpointed(_close_members(checkpointed(_members(large)), large))
     wanted = checkpointed(members.select("node").distinct())
     near = docs.join(small_side(wanted), docs["doc_id"] == wanted["node"], "left_semi")
     sets = near.mapInArrow(_sets, "node long, h1 long, own binary")
-    own = _chunked(members)
-    heads = own.where("hub = node and hub_h1 = h1").select(*GROUP, "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "h1")
-    blocks = own.union(heads).distinct().select(*GROUP, "chunk", F.lit(0).alias("other"), F.lit(3).alias("side"), "node", "h1", F.col("node").alias("comp"))
-    comps = checkpointed(components(checkpointed(_dealt(blocks, sets, _link_blocks, LINKS))))
+
+    again = checkpointed(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k"), (F.min("h1") != F.max("h1")).alias("differ")).where("k > 1"))
+    repeated = again.limit(1).count() > 0
+    if repeated:
+        sets = sets.dropDuplicates(["node", "h1"])
+    own = checkpointed(_chunked(members))
+    links = _dealt(_with_heads(own).withColumn("comp", F.col("node")), sets, _link_blocks, LINKS)
+    if repeated:  # a document of several sets holds their classes together
+        several = named.join(small_side(again.where("differ").select("doc_id")), "doc_id", "left_semi").distinct()
+        links = links.union(spread_join(several, classes.select(*print_, "node", "copies"), print_, "copies", heavy).select("doc_id", "node"))
+    comps = checkpointed(components(checkpointed(links)))
     wide = own.where("chunks > 1")
     if wide.limit(1).count():
         comps = _merge(comps, checkpointed(_dealt(_rest(wide, comps), sets, _link_blocks, LINKS)))
-    twins = classes.where("copies > 1").select("h1", "h2", "n", "node")
-    out = signed.select("doc_id", "n", "h1", "h2").join(twins, ["h1", "h2", "n"], "left")
-    out = out.withColumn("node", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
-    out = out.join(comps, "node", "left").withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("comp", "node")).otherwise(F.col("doc_id")))
+
+    component = lambda at: F.coalesce("comp", at).alias("component_id")
+    placed = classes.select(*print_, "node", "copies").join(comps, "node", "left").select(*print_, "copies", component("node"))
+    out = spread_join(named, placed, print_, "copies", heavy).select("doc_id", "n", "component_id")
+    empty = rows.where("n = 0 and doc_id is not null").select("doc_id", "n").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", component("doc_id"))
+    out = out.union(empty).union(rows.where("doc_id is null").select("doc_id", "n", F.lit(None).cast("long")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _rest(wide: DataFrame, comps: DataFrame) -> DataFrame:
     """Blocks for what the chunks of a group left apart: members outside its largest component against all its members."""
-    own = wide.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    most = own.groupBy(*GROUP, "comp").agg(F.count("*").alias("n")).groupBy(*GROUP).agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
-    own = own.join(most, GROUP)
-    apart = own.where("comp <> main").groupBy(*GROUP).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("others"))
-    own = own.join(apart, GROUP)  # groups that are one component by now drop out
-    second = own.select(*GROUP, "chunk", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), F.lit(2).alias("side"), "node", "h1", "comp")
-    first = own.where("comp <> main").select(*GROUP, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), _chunk_of("others").alias("other"), F.lit(1).alias("side"), "node", "h1", "comp")
-    return second.union(first)
+    own = checkpointed(wide.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    most = own.groupBy(*GROUP, "comp").agg(F.count("*").alias("k")).groupBy(*GROUP).agg(F.max(F.struct("k", "comp"))["comp"].alias("main"))
+    apart = own.join(small_side(checkpointed(most)), GROUP).where("comp <> main").select(*own.columns)
+    return _against(own, checkpointed(apart), "comp")
 
 
 def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:

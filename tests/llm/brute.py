@@ -101,12 +101,13 @@ def lines(rows, recur=10):
 
 
 def near(rows):
-    """[(doc, set size, component)]; ids must be distinct."""
-    sets = {}
-    for d, t in rows:
+    """[(doc, set size, component)] of each row; rows with one id are one document, those without id stand alone."""
+    sets = []
+    for _, t in rows:
         w = words(low(t))
-        sets[d] = {tuple(w[i : i + 2]) for i in range(len(w) - 1)} if len(w) > 1 else {tuple(w)} if w else set()
-    ids, up = sorted(sets), {d: d for d in sets}
+        sets.append({tuple(w[i : i + 2]) for i in range(len(w) - 1)} if len(w) > 1 else {tuple(w)} if w else set())
+    ids = [d for d, _ in rows]
+    up = {d: d for d in ids if d is not None}
 
     def root(x):
         while up[x] != x:
@@ -114,9 +115,9 @@ def near(rows):
         return x
 
     for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
-                x, y = sorted((root(a), root(b)))
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if a is not None and ids[j] is not None and both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                x, y = sorted((root(a), root(ids[j])))
                 up[y] = x
-    return [(d, len(sets[d]), root(d)) for d in ids]
+    return [(d, len(s), None if d is None else root(d)) for d, s in zip(ids, sets, strict=True)]

@@ -301,13 +301,52 @@ def test_near_duplicates(spark, seed, chunk, monkeypatch):
     assert rows_of(got.where("kept"), "doc_id") == sorted(([d] for d, _, c in want if d == c), key=str)
 
 
+def near_rows(df):
+    return rows_of(df, "doc_id", "n_shingles", "component_id")
+
+
 def test_near_duplicates_awkward(spark):
     got = neardup.near_duplicates(brute.edge_frame(spark))
-    assert got.count() == len(brute.EDGE) and got.where("doc_id = 7 and component_id = 1").count() == 2
+    assert near_rows(got) == sorted(([*x] for x in brute.near(brute.EDGE)), key=str)
     assert got.where("doc_id is null and kept and component_id is null").count() == 2
     assert neardup.near_duplicates(brute.edge_frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_repeated_ids(spark):
+    one, two = "alpha beta gamma delta epsilon zeta eta theta", "north east south west up down left right"
+    rows = [(1, one), (7, one), (7, two), (9, two)]
+    assert {r.component_id for r in neardup.near_duplicates(brute.edge_frame(spark, rows)).collect()} == {1}
+    rows = [(1, one), (7, one), (7, ""), (7, None), (9, two), (8, two), (8, two), (8, "x"), (5, "x"), (None, one)]  # a document's empty rows go with it
+    assert near_rows(neardup.near_duplicates(brute.edge_frame(spark, rows))) == sorted(([*x] for x in brute.near(rows)), key=str)
+
+
+@pytest.mark.parametrize(("seed", "heavy"), [(3, 1000), (4, 1)])
+def test_near_duplicates_repeated_ids_at_random(spark, seed, heavy, monkeypatch):
+    monkeypatch.setattr(neardup, "heavy_from", lambda rows: heavy)  # 1: every key with two rows goes the way of heavy ones
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, *range(60)]), t) for _, t in corpus(seed, 60, 200)] + [(rng.randrange(60), None), (rng.randrange(60), "")]
+    rows += [(70 + i, "the same words in many documents of this test") for i in range(12)]
+    got = neardup.near_duplicates(brute.edge_frame(spark, rows).repartition(5))
+    assert near_rows(got) == sorted(([*x] for x in brute.near(rows)), key=str)
+    assert got.where("kept <> (doc_id = component_id)").count() == 0
+
+
+def test_near_duplicates_of_one_boilerplate(spark, monkeypatch):
+    """A group held together by shared words only: members without a close partner in their chunk meet all the others."""
+    monkeypatch.setattr(neardup, "CHUNK", 6)
+    rng = random.Random(8)
+    notice = [f"n{i}" for i in range(60)]
+    rows = []
+    for d in range(40):
+        w = [*notice, *(f"u{d % 20}x{i}" for i in range(40))]  # d and d + 20 are alike
+        w[rng.randrange(60, 100)] = f"e{d}"
+        rows.append((d, " ".join(w)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute.near(rows)
+    assert near_rows(got) == sorted(([*x] for x in want), key=str) and [c for _, _, c in want] == [d % 20 for d in range(40)]
+
+
 # 9 and 10: held-out labels
 
 
