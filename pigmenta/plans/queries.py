@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pigmenta.functions.color import ciede2000_stages, hex_stages, nest, pixel_lab_stages, unlab_stages, xyz_stages
 from pigmenta.operators import assignment, grouping, measure, raster, segment, surface
-from pigmenta.sources.scenes import TRIOS, scene_photos
+from pigmenta.sources.scenes import COLUMNS, MARGIN, PITCH, family, scene_photos
 
 TABLES = ("customer", "embeddings", "events", "part", "supplier")
 SPARK = {"div": "div", "pct": "percentile", "raster": "SELECT vec_id div 50 AS photo_id, CAST(vec_id % 50 AS INT) AS y, x, CAST(v AS DOUBLE) AS v FROM embeddings LATERAL VIEW posexplode(embedding) t AS x, v", "at": "element_at(embedding, {})"}
@@ -149,7 +149,7 @@ def _robust_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rendered photo of every twenty suppliers, each an object in one of three look-alike reds."""
-    colour = "CASE s_suppkey * 7 % 3 " + " ".join(f"WHEN {i} THEN array({', '.join(f'{v}e0' for v in c)})" for i, c in enumerate(TRIOS["reds"])) + " END"
+    colour = "CASE s_suppkey * 7 % 3 " + " ".join(f"WHEN {i} THEN array({', '.join(f'{v}e0' for v in c)})" for i, c in enumerate(family("reds").tolist())) + " END"
     return scene_photos(run(spark, sf_dir, f"SELECT photo_id, object_id, c[0] AS r, c[1] AS g, c[2] AS b FROM (SELECT s_suppkey div 20 AS photo_id, s_suppkey AS object_id, {colour} AS c FROM supplier) AS s"))
 
 
@@ -168,7 +168,7 @@ def _whites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _taps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tap on every object's place before jitter."""
     at = run(spark, sf_dir, "SELECT s_suppkey AS id, s_suppkey div 20 AS photo_id, row_number() OVER (PARTITION BY s_suppkey div 20 ORDER BY s_suppkey) - 1 AS i FROM supplier")
-    taps = at.select("id", "photo_id", F.expr("73.5e0 + i % 5 * 70").alias("x"), F.expr("77e0 + i div 5 * 70").alias("y"), F.lit(5.0).alias("r"))
+    taps = at.select("id", "photo_id", F.expr(f"({MARGIN}e0 + i % {COLUMNS} + 0.5e0 * (i div {COLUMNS} % 2)) * {PITCH}").alias("x"), F.expr(f"({MARGIN}e0 + i div {COLUMNS}) * {PITCH}").alias("y"), F.lit(5.0).alias("r"))
     return measure.measure_taps(scenes(spark, sf_dir).withColumn("white", F.lit(None).cast("array<double>")), taps)
 
 

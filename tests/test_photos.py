@@ -16,7 +16,7 @@ from pigmenta.operators.segment import NoObjects, analyse_photos, grown, nearest
 from pigmenta.operators.surface import fit_surface_robust
 from pigmenta.plans import queries as plans
 from pigmenta.sources.photos import read_photos, read_ppm_photos, shrink
-from pigmenta.sources.scenes import PAPER, SHEETS, TRIOS, WARM, grid, render
+from pigmenta.sources.scenes import LAMP, PAPER, family, lattice, photograph
 from tests.test_colour import PAIRS
 
 PAPER_L = 116 * np.cbrt(WHITE_Y) - 16
@@ -25,8 +25,8 @@ PAPER_L = 116 * np.cbrt(WHITE_Y) - 16
 def scene(trio, per, **how):
     """Photo, places and kind of each object."""
     kind = np.random.default_rng(1).permutation(np.arange(3 * per) % 3)
-    places = grid(3 * per)
-    return render(places, np.array(TRIOS[trio])[kind], **how), places, kind
+    places = lattice(3 * per)
+    return photograph(places, family(trio)[kind], **how), places, kind
 
 
 def separated(rgb, places, kind, **whites):
@@ -53,33 +53,33 @@ def test_other_families(trio):
     assert separated(*scene(trio, 14))[0].light.is_white
 
 
-@pytest.mark.parametrize("sheet", ["black", "navy"])
+@pytest.mark.parametrize("sheet", ["slate", "indigo"])
 def test_pale_objects_on_a_dark_sheet(sheet):
-    found, _ = separated(*scene("whites", 14, sheet=SHEETS[sheet]))
+    found, _ = separated(*scene("whites", 14, ground=sheet))
     assert found.light.calibrated and not found.light.is_white and found.sheet[0] < 40
 
 
 def test_a_white_from_anywhere_gives_the_same_colours():
-    _, on_paper = separated(*scene("reds", 14, falloff=0.0))
-    white = TO_XYZ["sRGB"] @ (WARM * PAPER)
-    black = scene("reds", 14, falloff=0.0, sheet=SHEETS["black"], border=0)
+    _, on_paper = separated(*scene("reds", 14, decay=0.0))
+    white = TO_XYZ["sRGB"] @ (LAMP * PAPER)
+    black = scene("reds", 14, decay=0.0, ground="slate", rim=0)
     tapped, part = separated(*black, tapped=white)
     assert tapped.light.calibrated and not tapped.light.is_white and (ciede2000(part.centroids, on_paper.centroids) < 1).all()
-    _, part = separated(*scene("reds", 14, falloff=0.0, sheet=SHEETS["black"]))
+    _, part = separated(*scene("reds", 14, decay=0.0, ground="slate"))
     assert (ciede2000(part.centroids, on_paper.centroids) < 1).all()
-    lent, part = separated(*scene("reds", 14, falloff=0.0, sheet=SHEETS["navy"], border=0), fallback=white)
+    lent, part = separated(*scene("reds", 14, decay=0.0, ground="indigo", rim=0), fallback=white)
     assert not lent.light.calibrated and (ciede2000(part.centroids, on_paper.centroids) < 1).all()
-    alone, part = separated(*scene("reds", 14, sheet=SHEETS["navy"], border=0))
+    alone, part = separated(*scene("reds", 14, ground="indigo", rim=0))
     assert not alone.light.calibrated and (part.centroids[:, 0] > 15).all() and (part.centroids[:, 1] > 25).all()
-    pale, _ = separated(*scene("whites", 14, sheet=SHEETS["black"], border=0))
+    pale, _ = separated(*scene("whites", 14, ground="slate", rim=0))
     assert not pale.light.calibrated
 
 
 def test_folds_grain_and_surroundings():
-    rgb, places, _ = scene("reds", 14, sheet=SHEETS["navy"], border=0, sheen=6)
+    rgb, places, _ = scene("reds", 14, ground="indigo", rim=0, creases=6)
     found = segment(rgb, "sRGB")
     assert len(found.beans) == len(places) and not len(found.clumps)
-    separated(*scene("greens", 14, sheet=SHEETS["wood"], border=0, grain=0.12))
+    separated(*scene("greens", 14, ground="bark", rim=0, fibre=0.1))
     rgb, places, _ = scene("reds", 10)
     rgb = rgb.copy()
     rgb[:, :40] = (40, 35, 70)
@@ -87,17 +87,17 @@ def test_folds_grain_and_surroundings():
 
 
 def test_touching_single_kind_and_even_light():
-    red = TRIOS["reds"][0]
-    close = [(300, 300, 0), (300, 330, 0), (600, 300, 0), (650, 300, 0), *((200 + 90 * i, 600, 30 * i) for i in range(8))]
-    found = segment(render(np.array(close, float), [red] * 12), "sRGB")
+    red = family("reds")[0]
+    close = [(300, 300, 0), (300, 333, 0), (600, 300, 0), (650, 300, 0), *((200 + 90 * i, 600, 30 * i) for i in range(8))]
+    found = segment(photograph(np.array(close, float), [red] * 12), "sRGB")
     assert len(found.beans) == 12 and not len(found.clumps)
-    found = segment(render(grid(40), [red] * 40), "sRGB")
+    found = segment(photograph(lattice(40), [red] * 40), "sRGB")
     assert len(found.beans) == 40 and group(found.labs).suggested == 1
-    assert (segment(render(grid(60), [red] * 60, jitter=0.0), "sRGB").labs.std(0) < 1).all()
+    assert (segment(photograph(lattice(60), [red] * 60, vary=0.0), "sRGB").labs.std(0) < 1).all()
 
 
 def test_photos_without_objects():
-    for rgb in (np.zeros((20, 40, 3), np.uint8), np.full((80, 120, 3), (120, 40, 40), np.uint8), render(np.zeros((0, 3)), [], 200, 150), np.random.default_rng(0).integers(0, 256, (90, 90, 3), np.uint8)):
+    for rgb in (np.zeros((20, 40, 3), np.uint8), np.full((80, 120, 3), (120, 40, 40), np.uint8), photograph(np.zeros((0, 3)), [], 200, 150), np.random.default_rng(0).integers(0, 256, (90, 90, 3), np.uint8)):
         with pytest.raises(NoObjects):
             segment(rgb, "sRGB")
 
