@@ -1,30 +1,33 @@
 """Line dedup with a log-template tree, with DataFrame functions only.
 
-A line's place in the tree is fixed: its number of tokens, then its first
-``LEAD`` tokens. At the leaf, variable fields are generalised. A token with a digit
-is a field by itself. Beyond that, a line of ``GENERAL`` or more tokens stands
-under several templates: as it is, and with the tokens at every third place
-after the leading ones as fields, for each of the three offsets. Lines that differ in fields
-of one offset only meet under one template, and at least two thirds of its
-tokens are constant. Templates are known by a 64-bit hash, so no line is sent anywhere.
-
-A template is boilerplate if it recurs in at least ``RECUR`` documents besides
-its commonest surroundings, and these are at least half of its documents. A
-line's surroundings are the leading tokens of the line before and after it: in copies of
-a document a line always stands in the same place, so copies alone make no
-boilerplate, and near-duplicate detection still finds them whole. A line that is all
-of its document never counts.
-
-Every line under a boilerplate template is dropped; all other lines and all
-documents stay. Counting first merges a document's own repetitions, dealt by
-template and document, then counts by template and surroundings with partial
-sums, so no frequent line meets in one task.
+A line's place in the tree has a fixed depth: its number of tokens, then its leading third (all of a line of up
+to three tokens). As a field may come first, each line is parsed from its other end as well. Tokens with a digit
+are fields by themselves. At a leaf that recurs in ``RECUR`` texts fields are generalised from the data: by native sums
+over (leaf, place, token) a line gets up to three templates,
+
+* the line as it is;
+* with tokens that recur at their place in fewer than ``RECUR`` lines and texts as fields;
+* with places that hold ``RECUR`` or more different tokens as fields.
+
+The first must keep a word and half of its tokens, the others ``LEAST`` words and two thirds. So a line generalises any
+fields, neighbouring ones too, that leave its first or its last third alone; fields in both, a varying number of
+tokens, and lines under five tokens do not.
+
+A template is boilerplate if it recurs in ``RECUR`` texts that are mostly their own. Equal texts count once,
+and a text gives no evidence if lines under recurring templates make up more than half of it: it is one of a group
+of near copies, which near-duplicate detection shall find whole. Where boilerplate stands, and what stands beside it,
+has no say. Lines under a boilerplate template go from every document; all else, and all documents, stay.
+
+The text is read three times and shuffled at most once (when the cut lines are too many to broadcast); lines outside
+recurring leaves are never sent anywhere but as a hash.
 
 Defined results
   * null text stays null; blank lines have no template and stay; a document may become empty;
-  * rows with one doc_id count as one document; each row's lines are judged by its own text;
-  * null doc_ids count as one document; an empty table gives an empty result;
-  * other columns pass through.
+  * equal texts lose the same lines, whatever their ids; null and repeated ids are of no account;
+  * a text of one line alone is no evidence, but loses the line if it is boilerplate elsewhere;
+  * ties: every count is compared with a fixed number, so order has no say;
+  * very long texts and lines are treated whole: one row holds a text's lines, one the tokens of a line in a recurring leaf;
+  * an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -32,68 +35,89 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pigmenta.llm.common import checkpointed, small_side
+from pigmenta.llm.common import checkpointed, heavy_from, small_side, spread_join
 
-LEAD = 2
-GENERAL = 9
 RECUR = 10
+#: Least words of a template with learned fields.
+LEAST = 4
 FIELD = "<*>"
 #: Trimmed at both ends of a line; inside it only spaces separate tokens.
 BLANK = " \t\r\x0b\x0c"
-_NO_ID = -(1 << 63)
-
 
-def _key(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("long"), F.lit(_NO_ID))
 
+def _own_lines(text: str) -> Column:
+    """Lines that aren't blank, trimmed, with their numbers."""
+    return F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), F.trim(x, F.lit(BLANK)).alias("x"))), lambda s: s["x"] != "")
 
-def template_hashes(tokens: Column, lead: int = LEAD, general: int = GENERAL) -> Column:
-    """Hashes of the templates under which a line's (masked) tokens stand."""
-    n = F.size(tokens)
-
-    def without(j: int) -> Column:
-        return F.filter(tokens, lambda t, i: (i < lead) | (F.pmod(i, F.lit(3)) != j))
-
-    less = [F.xxhash64(F.lit(j), n, without(j)) for j in range(3)]
-    whole = F.xxhash64(F.lit(3), n, tokens)
-    return F.when(n >= general, F.array(whole, *less)).otherwise(F.array(whole))
 
+def _tokens(line: Column) -> Column:
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", F.lit(FIELD))).otherwise(line)
+    return F.array_remove(F.split(masked, " ", -1), "")  # a single character is split without a regular expression
 
-def occurrences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each line that isn't blank: document, print of its text, line number, templates, and surroundings (null at an end)."""
-    docs = df.select(_key(key).alias("k"), F.xxhash64(text).alias("fp"), F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), F.trim(x, F.lit(BLANK)).alias("x"))), lambda s: s["x"] != "").alias("lines"))
-    each = docs.select("k", "fp", "lines", F.posexplode("lines").alias("j", "line"))
-    start = lambda j: F.xxhash64(F.substring_index(F.get("lines", j)["x"], " ", LEAD))
-    beside = lambda j: F.when(F.get("lines", j).isNotNull(), start(j))
-    x = F.col("line")["x"]
-    masked = F.when(x.rlike("[0-9]"), F.regexp_replace(x, "[^ ]*[0-9][^ ]*", F.lit(FIELD))).otherwise(x)
-    cut = each.select("k", "fp", F.col("line")["i"].alias("i"), F.split(masked, " +").alias("tokens"), beside(F.col("j") - 1).alias("above"), beside(F.col("j") + 1).alias("below"))
-    return cut.select("k", "fp", "i", template_hashes(F.col("tokens")).alias("templates"), "above", "below")
 
-
-def boilerplate(lines: DataFrame, recur: int = RECUR) -> DataFrame:
-    """Templates (``t``) of ``occurrences`` that recur across documents."""
-    once = lines.select("k", "i", "above", "below", F.explode("templates").alias("t")).groupBy("t", "k").agg(F.min(F.struct("i", "above", "below")).alias("at"))
-    placed = once.groupBy("t", F.col("at.above").alias("above"), F.col("at.below").alias("below")).agg(F.count("*").alias("n"))
-    alone = F.col("above").isNull() & F.col("below").isNull()
-    counts = placed.groupBy("t").agg(F.sum("n").alias("docs"), (F.sum("n") - F.coalesce(F.max(F.when(~alone, F.col("n"))), F.lit(0)) - F.sum(F.when(alone, F.col("n")).otherwise(0))).alias("fresh"))
-    return counts.where((F.col("fresh") >= recur) & (F.col("fresh") * 2 >= F.col("docs"))).select("t")
+def _leaves(tokens: Column) -> Column:
+    n = F.size(tokens)
+    third = F.ceil(n / 3).cast("int")
+    part = lambda end, start, length: F.xxhash64(F.lit(end), n, F.slice(tokens, start, length))
+    return F.when(n <= 3, F.array(part(0, F.lit(1), n))).otherwise(F.array(part(0, F.lit(1), third), part(1, n - third + 1, third)))
+
+
+def _recurring(uses: DataFrame, key: str, recur: int) -> DataFrame:
+    """Values of ``key`` that stand in at least ``recur`` different texts."""
+    return uses.select(key, "fp").distinct().groupBy(key).agg(F.count("*").alias("texts")).where(F.col("texts") >= recur)
+
+
+def candidates(docs: DataFrame, recur: int = RECUR) -> DataFrame:
+    """Lines of (fp, text) in recurring leaves: fp, number ``i``, characters of the line and of its text's lines, leaf ``t``, print ``c`` and hashed tokens (null for a field)."""
+    lines = docs.select("fp", _own_lines("text").alias("ls"))
+    cut = lines.select("fp", F.explode("ls.x").alias("x")).select("fp", _tokens(F.col("x")).alias("ts")).select("fp", F.explode(_leaves(F.col("ts"))).alias("t"))
+    hot = small_side(checkpointed(_recurring(cut, "t", recur).select("t")))
+    total = F.aggregate("ls", F.lit(0).cast("long"), lambda a, s: a + F.char_length(s["x"]))
+    each = lines.select("fp", total.alias("total"), F.explode("ls").alias("l")).select("fp", "total", "l.i", "l.x", _tokens(F.col("l.x")).alias("ts"))
+    placed = each.select("fp", "total", "i", "x", F.explode(_leaves(F.col("ts"))).alias("t")).join(hot, "t", "left_semi")
+    found = placed.select("fp", "i", F.char_length("x").alias("chars"), "total", "t", _tokens(F.col("x")).alias("ts"))
+    hashed = F.transform("ts", lambda t: F.when(t != FIELD, F.xxhash64(t)))
+    return found.select("fp", "i", "chars", "total", "t", F.xxhash64("ts").alias("c"), hashed.alias("h")).dropDuplicates(["fp", "i", "t"])
+
+
+def templates(lines: DataFrame, recur: int = RECUR) -> DataFrame:
+    """Templates ``u`` of each (leaf ``t``, line ``c``) among ``candidates``, with the texts that hold the line there."""
+    kinds = checkpointed(lines.groupBy("t", "c", "fp").agg(F.first("h").alias("h")).groupBy("t", "c").agg(F.first("h").alias("h"), F.count("*").alias("texts")))
+    cells = checkpointed(kinds.select("t", "texts", F.posexplode("h").alias("p", "v")).where("v IS NOT NULL").groupBy("t", "p", "v").agg(F.sum("texts").alias("k")))
+    same = small_side(checkpointed(cells.where(F.col("k") >= recur).select("t", "p", "v", F.lit(True).alias("same"))))
+    varied = small_side(checkpointed(cells.groupBy("t", "p").agg(F.count("*").alias("k")).where(F.col("k") >= recur).select("t", "p", F.lit(True).alias("varied"))))
+    marked = kinds.select("t", "c", "texts", F.size("h").alias("n"), F.posexplode("h").alias("p", "v")).where("v IS NOT NULL").join(same, ["t", "p", "v"], "left").join(varied, ["t", "p"], "left")
+    keep = lambda c: F.sort_array(F.collect_list(F.when(c, F.struct("p", "v"))))
+    shapes = marked.groupBy("t", "c", "texts", "n").agg(keep(F.lit(True)).alias("whole"), keep(F.col("same").isNotNull()).alias("a"), keep(F.col("varied").isNull()).alias("b"))
+    words = F.size("x")
+    enough = F.when(F.col("learned"), (words >= LEAST) & (words * 3 >= F.col("n") * 2)).otherwise(words * 2 >= F.col("n"))
+    form = lambda x, learned: F.struct(F.lit(learned).alias("learned"), F.col(x).alias("x"))
+    forms = shapes.select("t", "c", "texts", "n", F.explode(F.array(form("whole", False), form("a", True), form("b", True))).alias("f")).select("t", "c", "texts", "n", "f.*")
+    return forms.where(enough).select("t", "c", "texts", F.xxhash64("n", "x").alias("u")).distinct()
 
 
 def drop_lines(df: DataFrame, key: str = "doc_id", text: str = "text", recur: int = RECUR) -> DataFrame:
     """``df`` with boilerplate lines cut out of ``text``, and the columns ``n_lines`` (not blank, before) and ``n_dropped``."""
-    lines = checkpointed(occurrences(df, key, text))
-    known = small_side(checkpointed(boilerplate(lines, recur)))
-    hit = lines.select("k", "fp", "i", F.explode("templates").alias("t")).join(known, "t", "left_semi")
-    return cut_lines(df, hit.groupBy("k", "fp").agg(F.collect_set("i").alias("gone")), key, text)
-
-
-def cut_lines(df: DataFrame, hit: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` without the lines that ``hit`` (k, fp, numbers ``gone``) names, and the two counts."""
-    gone = F.col("h.gone")
-    own = F.split(F.col(f"d.{text}"), "\n", -1)
-    kept = F.when(gone.isNull(), F.col(f"d.{text}")).otherwise(F.array_join(F.filter(own, lambda x, i: ~F.array_contains(gone, i)), "\n"))
-    same = (F.coalesce(F.col(f"d.{key}").cast("long"), F.lit(_NO_ID)) == F.col("h.k")) & (F.xxhash64(F.col(f"d.{text}")) == F.col("h.fp"))
+    docs = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
+    lines = checkpointed(candidates(docs, recur))
+    known = checkpointed(templates(lines, recur))
+    heavy = heavy_from(lines.count())
+    at = spread_join(lines.select("fp", "i", "chars", "total", "t", "c"), known, ["t", "c"], "texts", heavy)
+    uses = checkpointed(at.select("fp", "i", "chars", "total", "u").distinct())
+    often = small_side(checkpointed(_recurring(uses, "u", recur).select("u")))
+    seen = uses.join(often, "u", "left_semi")
+    share = seen.select("fp", "i", "chars", "total").distinct().groupBy("fp", "total").agg(F.sum("chars").alias("covered"))
+    own = small_side(checkpointed(share.where(F.col("covered") * 2 <= F.col("total")).select("fp")))
+    bad = small_side(checkpointed(_recurring(seen.join(own, "fp", "left_semi"), "u", recur).select("u")))
+    gone = uses.join(bad, "u", "left_semi").groupBy("fp").agg(F.collect_set("i").alias("gone"))
+    return cut_lines(df, small_side(checkpointed(gone)), text)
+
+
+def cut_lines(df: DataFrame, gone: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` without the lines that ``gone`` (print of the text, numbers) names, and the two counts."""
+    own, numbers = F.split(F.col(f"d.{text}"), "\n", -1), F.col("h.gone")
+    kept = F.when(numbers.isNull(), F.col(f"d.{text}")).otherwise(F.array_join(F.filter(own, lambda x, i: ~F.array_contains(numbers, i)), "\n"))
     count = F.coalesce(F.size(F.filter(own, lambda x: F.trim(x, F.lit(BLANK)) != "")), F.lit(0))
     columns = [kept.alias(text) if c == text else F.col(f"d.{c}") for c in df.columns if c not in ("n_lines", "n_dropped")]
-    return df.alias("d").join(hit.alias("h"), same, "left").select(*columns, F.when(F.col(f"d.{text}").isNull(), 0).otherwise(count).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
+    joined = df.alias("d").join(gone.alias("h"), F.xxhash64(F.col(f"d.{text}")) == F.col("h.fp"), "left")
+    return joined.select(*columns, F.when(F.col(f"d.{text}").isNull(), 0).otherwise(count).cast("long").alias("n_lines"), F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias("n_dropped"))

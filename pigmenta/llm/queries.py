@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pigmenta.llm import contamination, fields, langid, lines, neardup, ogg, packing, quality, repeats, secrets, toxicity
+from pigmenta.llm import contamination, langid, lines, neardup, ogg, packing, quality, repeats, secrets, toxicity
 from pigmenta.llm.common import class_sample, crc_mod, read, small_side
 
 
@@ -56,12 +56,6 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def op6_line_dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts groups of documents and finds fields; SQL can't state the sketches."""
-    kept = fields.drop_fields(read(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -96,7 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ogg_media, op2_substring_dedup, op3_secret_scan, op4_language_id, op5_decontamination, op6_line_dedup, op6_line_dedup_groups, op7_packing, op8_minhash_neardup, op9_toxicity, op10_quality)
+    f.__name__: f for f in (op1_ogg_media, op2_substring_dedup, op3_secret_scan, op4_language_id, op5_decontamination, op6_line_dedup, op7_packing, op8_minhash_neardup, op9_toxicity, op10_quality)
 }
 
 _OP2 = r"""
@@ -125,21 +119,30 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 _OP6 = r"""
-WITH l AS (SELECT doc_id, i, trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
-n AS (SELECT doc_id, i, x, array_to_string(string_split(x, ' ')[1:2], ' ') AS lead FROM l WHERE x <> ''),
-c AS (SELECT doc_id, i, list_filter(string_split(regexp_replace(x, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda t: t <> '') AS ts, lag(lead) OVER w AS above, lead(lead) OVER w AS below FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-t AS (
-  SELECT doc_id, i, above, below, [len(ts)::VARCHAR, '3', array_to_string(ts, ' ')] AS t FROM c
-  UNION ALL SELECT doc_id, i, above, below, [len(ts)::VARCHAR, j::VARCHAR, array_to_string(list_transform(list_filter(list_zip(ts, range(0, len(ts))), lambda z: z[2] < 2 OR z[2] % 3 <> j), lambda z: z[1]), ' ')] FROM c, range(0, 3) r(j) WHERE len(ts) >= 9),
-once AS (SELECT t, doc_id, arg_min({'a': above, 'b': below}, i) AS place FROM t GROUP BY t, doc_id),
-placed AS (SELECT t, place.a AS a, place.b AS b, count(*) AS n FROM once GROUP BY ALL),
-bad AS (SELECT t FROM placed GROUP BY t HAVING sum(n) - coalesce(max(n) FILTER (a IS NOT NULL OR b IS NOT NULL), 0) - coalesce(sum(n) FILTER (a IS NULL AND b IS NULL), 0) >= 10
-  AND 2 * (sum(n) - coalesce(max(n) FILTER (a IS NOT NULL OR b IS NOT NULL), 0) - coalesce(sum(n) FILTER (a IS NULL AND b IS NULL), 0)) >= sum(n)),
-gone AS (SELECT DISTINCT doc_id, i FROM t JOIN bad USING (t)),
-raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
-kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS k FROM raw ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
-SELECT d.doc_id, CAST((SELECT count(*) FROM n WHERE n.doc_id = d.doc_id) AS BIGINT) AS n_lines, CAST((SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id) AS BIGINT) AS n_dropped, sha256(coalesce(k, '')) AS kept_sha256
-FROM documents d LEFT JOIN kept USING (doc_id)
+WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+l AS (SELECT DISTINCT text, i, trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS x FROM raw),
+n AS (SELECT text, i, length(x) AS chars, list_filter(string_split(regexp_replace(x, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' '), lambda t: t <> '') AS ts FROM l WHERE x <> ''),
+m AS (SELECT *, len(ts) AS n, CASE WHEN len(ts) <= 3 THEN len(ts) ELSE (len(ts) + 2) // 3 END AS w FROM n),
+leaves AS (SELECT text, ts, n, {'end': 0, 'n': n, 'part': ts[1:w]} AS leaf FROM m UNION SELECT text, ts, n, {'end': 1, 'n': n, 'part': ts[n - w + 1:n]} FROM m WHERE n > 3),
+hot AS (SELECT leaf FROM leaves GROUP BY leaf HAVING count(DISTINCT text) >= 10),
+kinds AS (SELECT leaf, ts, n, count(*) AS texts FROM leaves SEMI JOIN hot USING (leaf) GROUP BY leaf, ts, n),
+tokens AS (SELECT leaf, ts, n, texts, unnest(ts) AS v, unnest(range(0, n)) AS p FROM kinds),
+cells AS (SELECT leaf, p, v, sum(texts) AS k FROM tokens WHERE v <> '<*>' GROUP BY leaf, p, v),
+places AS (SELECT leaf, p, count(*) AS d FROM cells GROUP BY leaf, p),
+marked AS (SELECT t.ts, t.n, t.leaf, t.p, v, v <> '<*>' AS word, v <> '<*>' AND k >= 10 AS same, v <> '<*>' AND d < 10 AS alike FROM tokens t LEFT JOIN cells USING (leaf, p, v) LEFT JOIN places o ON o.leaf = t.leaf AND o.p = t.p),
+shapes AS (SELECT leaf, ts, n, list(CASE WHEN same THEN v ELSE '<*>' END ORDER BY p) AS a, count(*) FILTER (same) AS na, list(CASE WHEN alike THEN v ELSE '<*>' END ORDER BY p) AS b, count(*) FILTER (alike) AS nb, count(*) FILTER (word) AS nw FROM marked GROUP BY leaf, ts, n),
+forms AS (SELECT ts, ts AS u FROM shapes WHERE nw > 0 AND 2 * nw >= n UNION SELECT ts, a FROM shapes WHERE na >= 4 AND 3 * na >= 2 * n UNION SELECT ts, b FROM shapes WHERE nb >= 4 AND 3 * nb >= 2 * n),
+uses AS (SELECT text, i, chars, u FROM m JOIN forms USING (ts)),
+often AS (SELECT u FROM uses GROUP BY u HAVING count(DISTINCT text) >= 10),
+covered AS (SELECT text, sum(chars) AS c FROM (SELECT DISTINCT text, i, chars FROM uses SEMI JOIN often USING (u)) GROUP BY text),
+own AS (SELECT text FROM covered JOIN (SELECT text, sum(chars) AS total FROM m GROUP BY text) USING (text) WHERE 2 * c <= total),
+bad AS (SELECT u FROM uses SEMI JOIN often USING (u) SEMI JOIN own USING (text) GROUP BY u HAVING count(DISTINCT text) >= 10),
+gone AS (SELECT DISTINCT text, i FROM uses SEMI JOIN bad USING (u)),
+kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS k FROM raw ANTI JOIN gone USING (text, i) GROUP BY doc_id),
+counts AS (SELECT text, count(*) AS n FROM m GROUP BY text),
+drops AS (SELECT text, count(*) AS n FROM gone GROUP BY text)
+SELECT d.doc_id, CAST(coalesce(counts.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(drops.n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(k, '')) AS kept_sha256
+FROM documents d LEFT JOIN counts USING (text) LEFT JOIN drops USING (text) LEFT JOIN kept USING (doc_id)
 """
 
 _OP8 = r"""

@@ -67,35 +67,53 @@ def hits(rows, items, window=10):
 
 
 def lines(rows, recur=10):
-    """Texts without boilerplate lines."""
-    def templates(x):
-        t = [v for v in re.sub("[^ ]*[0-9][^ ]*", "<*>", x).split(" ") if v]
-        out = [(len(t), 3, tuple(t))]
-        if len(t) >= 9:
-            out += [(len(t), j, tuple(v for i, v in enumerate(t) if i < 2 or i % 3 != j)) for j in range(3)]
-        return out
-
-    found, place = [], {}
-    for d, text in rows:
-        own = [(i, x.strip(" \t\r\x0b\x0c")) for i, x in enumerate(text.split("\n"))] if text is not None else []
-        own = [(i, x) for i, x in own if x]
-        lead = [" ".join(x.split(" ")[:2]) for _, x in own]
-        for j, (i, x) in enumerate(own):
-            around = (lead[j - 1] if j else None, lead[j + 1] if j + 1 < len(own) else None)
-            for t in templates(x):
-                place.setdefault((t, d), (i, around))
-        found.append(own)
-    by = defaultdict(Counter)
-    for (t, _), (_, around) in place.items():
-        by[t][around] += 1
-    bad = set()
-    for t, c in by.items():
-        fresh = sum(c.values()) - max([n for a, n in c.items() if a != (None, None)], default=0) - c[(None, None)]
-        if fresh >= recur and 2 * fresh >= sum(c.values()):
-            bad.add(t)
+    """[(doc, text without boilerplate lines, number of them)]; templates are tuples of tokens with None for a field."""
+
+    def own(text):
+        found = [(i, x.strip(" \t\r\x0b\x0c")) for i, x in enumerate(text.split("\n"))]
+        return [(i, x, tuple(None if re.search("[0-9]", v) else v for v in x.split(" ") if v)) for i, x in found if x]
+
+    def leaves(t):
+        w = -(-len(t) // 3)
+        return [(0, len(t), t)] if len(t) <= 3 else [(0, len(t), t[:w]), (1, len(t), t[-w:])]
+
+    texts = {t: own(t) for _, t in rows if t is not None}
+    held = defaultdict(set)
+    for text, ls in texts.items():
+        for _, _, t in ls:
+            for leaf in leaves(t):
+                held[leaf].add((text, t))
+    forms = defaultdict(set)
+    for leaf, pairs in held.items():
+        if len({x for x, _ in pairs}) < recur:
+            continue
+        cell, kinds = Counter(), {t for _, t in pairs}
+        for _, t in pairs:
+            cell.update((p, v) for p, v in enumerate(t) if v is not None)
+        various = Counter(p for p, _ in cell)
+        for t in kinds:
+            n = len(t)
+            if 2 * sum(v is not None for v in t) >= n:
+                forms[t].add(t)
+            for f in (tuple(v if cell[p, v] >= recur else None for p, v in enumerate(t)), tuple(v if various[p] < recur else None for p, v in enumerate(t))):
+                w = sum(v is not None for v in f)
+                if w >= 4 and 3 * w >= 2 * n:
+                    forms[t].add(f)
+
+    def often(which):
+        by = defaultdict(set)
+        for text in which:
+            for _, _, t in texts[text]:
+                for f in forms[t]:
+                    by[f].add(text)
+        return {f for f, x in by.items() if len(x) >= recur}
+
+    seen = often(texts)
+    mostly_own = [x for x, ls in texts.items() if 2 * sum(len(v) for _, v, t in ls if forms[t] & seen) <= sum(len(v) for _, v, _ in ls)]
+    bad = often(mostly_own)
     out = []
-    for (d, text), own in zip(rows, found, strict=True):
-        gone = {i for i, x in own if any(t in bad for t in templates(x))}
+    for d, text in rows:
+        gone = {i for i, _, t in texts.get(text, []) if forms[t] & bad}
         out.append((d, text if not gone else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone), len(gone)))
     return out
 

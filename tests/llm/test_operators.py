@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pigmenta.llm import contamination, fields, langid, lines, neardup, ogg, packing, quality, queries, repeats, secrets, toxicity
+from pigmenta.llm import contamination, langid, lines, neardup, ogg, packing, quality, queries, repeats, secrets, toxicity
 from tests.llm import brute
 
 SMALL = "/root/testdata/sf0.001"
@@ -185,56 +185,57 @@ def test_hits(spark):
 # 6 Line dedup
 
 
-def test_lines(spark):
-    rng = random.Random(4)
+def unlike(seed, n=30):
+    """A line of its own."""
+    rng = random.Random(f"line {seed}")
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
+
+
+def dropped(spark, rows):
+    """Texts after line dedup, which must be those of the plain version."""
+    got = lines.drop_lines(brute.edge_frame(spark, rows))
+    assert rows_of(got, "doc_id", "text", "n_dropped") == sorted(([*x] for x in brute.lines(rows)), key=str)
+    return {r.doc_id: r.text for r in got.collect()}
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_lines(spark, seed):
+    rng = random.Random(seed)
     say = lambda n: " ".join(f"w{'abcdefgh'[rng.randrange(8)]}{'xyz'[rng.randrange(3)]}{'klmnop'[rng.randrange(6)]}" for _ in range(n))
     rows, copy = [], "\n".join(say(8) for _ in range(4))
-    for d in range(60):
-        own = [say(rng.randrange(3, 12)) for _ in range(rng.randrange(1, 6))]
+    for d in range(90):
+        own = [say(rng.randrange(1, 14)) for _ in range(rng.randrange(4, 12))]
         if d % 3 == 0:
             own.insert(rng.randrange(len(own) + 1), f"Page {d} of 60")
         if d % 4 == 0:
             own.insert(rng.randrange(len(own) + 1), f"all rights reserved by the house of {say(1)} and sons limited")
+        if d % 2 == 0:
+            own.insert(rng.randrange(len(own) + 1), say(1) + " is a reader of  the daily news\t")
         rows.append((d, copy if d % 5 == 4 else "\n".join(own)))
-    rows += [(200, None), (201, ""), (202, "\n \n"), (203, "Page 7 of 60")]
-    got = lines.drop_lines(brute.edge_frame(spark, rows))
-    want = brute.lines(rows)
-    assert rows_of(got, "doc_id", "text", "n_dropped") == sorted(([*x] for x in want), key=str)
-    dropped = {d: n for d, _, n in want}
-    assert dropped[0] and dropped[12] >= 2 and not any(dropped[d] for d in range(4, 60, 5))  # copies stay whole
-    assert lines.drop_lines(brute.edge_frame(spark, [])).count() == 0
-    awkward = lines.drop_lines(brute.edge_frame(spark))
-    assert rows_of(awkward, "doc_id", "text") == sorted(([d, t] for d, t in brute.EDGE), key=str)
-
-
-def unlike(seed, n=30):
-    """A line of its own."""
-    rng = random.Random(f"line {seed}")
-    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
-
-
-def left(spark, rows):
-    return {r.doc_id: r.text for r in fields.drop_fields(brute.edge_frame(spark, rows)).collect()}
+    rows += [(200, None), (201, ""), (202, "\n \n"), (203, "Page 7 of 60"), (203, rows[0][1]), (None, rows[0][1])]
+    left = dropped(spark, rows)
+    assert "Page" not in left[0] and "all rights" not in left[12] and all(left[d] == copy for d in range(4, 90, 5))  # copies stay whole
+    assert left[203] in ("", left[0]) and lines.drop_lines(brute.edge_frame(spark, [])).count() == 0
+    assert dropped(spark, brute.EDGE) == {d: t for d, t in brute.EDGE}
 
 
 def test_lines_blocks_and_skew(spark):
-    block = "Share this page with friends\nFollow us on every channel\nWrite to the editor today"
+    block = "Share this page with friends\nFollow us on every channel\nWrite to the editor today\nRead the terms before you go"
     head, foot, hot = "The Daily News of London\nAll the news of today", "Printed on recycled paper\nKeep the town tidy", "Thanks for reading this story"
     rows = [(d, f"{unlike(d)}\n{block}\n{unlike(-d)}") for d in range(1, 31)]
     rows += [(d, f"{head}\n{unlike(d)}\n{foot}") for d in range(101, 131)]
     rows += [(d, f"{unlike(d)}\n{hot}\n{unlike(-d)}") for d in range(201, 221)]
     rows += [(d, f"{unlike('copied', 80)}\n{hot}\n{unlike('again', 80)} {unlike(d, 2)}") for d in range(301, 401)]
-    got = left(spark, rows)
+    got = dropped(spark, rows)
     assert all(got[d] == f"{unlike(d)}\n{unlike(-d)}" for d in [*range(1, 31), *range(201, 221)])
     assert all(got[d] == unlike(d) for d in range(101, 131))
     assert all(got[d] == f"{unlike('copied', 80)}\n{unlike('again', 80)} {unlike(d, 2)}" for d in range(301, 401))  # copies keep their own lines
-    assert left(spark, brute.EDGE) == {d: t for d, t in brute.EDGE}
 
 
 def test_lines_fields(spark):
-    for form in ("Posted by {0} in News", "This article was written by {0} {1} for the Daily News", "{0} is a staff writer at the Daily News of London"):
+    for form in ("Posted by {0} {1} in news", "This article was written by {0} {1} for the Daily News", "{0} is a staff writer at the Daily News of London"):
         rows = [(d, f"{unlike(d)}\n{form.format(unlike(f'first {d}', 1), unlike(f'last {d}', 1))}\n{unlike(-d)}") for d in range(1, 41)]
-        got = left(spark, rows)
+        got = dropped(spark, rows)
         assert all(got[d] == f"{unlike(d)}\n{unlike(-d)}" for d, _ in rows), form
 
 
