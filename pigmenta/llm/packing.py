@@ -1,8 +1,8 @@
 """Packing documents into fixed-length token sequences, first fit decreasing.
 
 Documents are tokenised once. Each is cut into full pieces, which fill a
-sequence by themselves, and one remainder. Documents are dealt by a hash into
-groups of bounded size; each group packs its remainders by itself, longest
+sequence by themselves, and one remainder. Pieces are dealt by a hash into
+groups of about one size; each group packs its pieces by itself, longest
 first, each into the leftmost bin with room. A tournament tree over the bins'
 free room finds that bin in logarithmic time.
 
@@ -10,6 +10,8 @@ Defined results
   * null or empty text: the document is its end token alone;
   * repeated rows: each row is packed as a document of its own, with the same doc_id;
   * null doc_id: packed like any other; an empty table gives an empty result;
+  * ties: pieces of one length are taken in order of doc_id, start and checksum; equal ones can't be told apart;
+  * very long texts are tokenised whole, one at a time, and only their pieces' lengths and checksums travel;
   * extra columns are ignored.
 """
 
@@ -42,13 +44,13 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
     A ``.json`` whose ranks also lie beside it as ``.tiktoken`` is read from
     those: same ids, about four times as fast. A text that the fast reader
-    refuses goes to the other one. Special tokens' names in a text are ordinary text.
+    refuses, or that holds the name of a special token (which has an id of its own), goes to the other one.
     """
     import public_tokenizers
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
     def plain(text: str) -> list[int]:
         return slow.encode(text, add_special_tokens=False).ids
@@ -63,6 +65,8 @@ def encoder(path: str) -> Callable[[str], list[int]]:
         return plain
 
     def quick(text: str) -> list[int]:
+        if any(name in text for name in special):
+            return plain(text)
         try:
             return fast.encode_ordinary(text)
         except Exception:  # noqa: BLE001  the regular expression's limits on some very long texts
@@ -127,14 +131,19 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def pack(parts: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
-    """Give each piece its sequence and its offset there (see ``PACKED``). A document's pieces share a group."""
+    """Give each piece its sequence and its offset there (see ``PACKED``).
+
+    Equal pieces are counted and numbered, so that those of repeated rows are dealt over the groups like any others.
+    """
 
     def group(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start", "doc_tokens", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
         where, place = first_fit_decreasing(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=(int(keys[0]) << 32) + where, offset=place)[[x.split(" ")[0] for x in PACKED.split(", ")]].convert_dtypes()
 
-    dealt = parts.withColumn("_group", F.pmod(F.xxhash64(F.lit("pack"), "doc_id", "doc_tokens"), F.lit(groups)))
+    names = [x.split(" ")[0] for x in PIECES.split(", ")]
+    each = parts.groupBy(*names).agg(F.count("*").alias("_n")).select(*names, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+    dealt = each.select(*names, F.pmod(F.xxhash64(F.lit("pack"), *names, "_copy"), F.lit(groups)).alias("_group"))
     return dealt.groupBy("_group").applyInPandas(group, PACKED)
 
 

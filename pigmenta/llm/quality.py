@@ -16,7 +16,8 @@ Defined results
   * nothing to learn from: every score is 0;
   * several labels for one document: the largest counts; rows without label are not learned from;
   * ties of similarity go to the smaller place in the sample's fixed order;
-  * repeated rows: each by itself; null doc_id passes through; extra columns are ignored.
+  * repeated rows: each by itself; null doc_id passes through; extra columns are ignored;
+  * very long texts are treated whole, about 120 bytes a character while their terms are counted.
 """
 
 from __future__ import annotations
@@ -44,18 +45,17 @@ for _c in range(128):
     _ch = chr(_c)
     _KIND[_c] = 0 if _ch.isspace() or _c < 32 else 1 if _ch.islower() else 2 if _ch.isupper() else 3 if _ch.isdigit() else 10 + _c
 _KIND[128] = 1
-_MIX = np.random.default_rng(5).integers(1, 1 << 62, 40, dtype=np.int64).astype(np.uint64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _prints(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
-    out = np.zeros(len(starts), np.uint64)
-    for i in range(most):
-        live = lengths > i
-        if not live.any():
-            break
-        out[live] += values[starts[live] + i].astype(np.uint64) * _MIX[i]
+def _prints(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of each whole run: a polynomial in its values."""
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    powers = np.cumprod(np.full(int(lengths.max()), _BASE))
+    out = np.add.reduceat((values[np.repeat(starts, lengths) + place].astype(np.uint64) + np.uint64(1)) * powers[place], first)
     out ^= out >> np.uint64(31)
-    return out * np.uint64(0x9E3779B97F4A7C15)
+    return out * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _segments(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +76,8 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = kind[1:] != kind[:-1]
     short = kind[new]
     s_start, s_length = _segments(short > 0)
-    shape = _prints(short, s_start, s_length, 10)
-    word = _prints(chars, start, length, 24)
+    shape = _prints(short, s_start, s_length)
+    word = _prints(chars, start, length)
     same = who[1:] == who[:-1]
     pair = (shape[:-1] * np.uint64(31) + shape[1:] * np.uint64(0x85EBCA6B))[same]
     part = lambda h, n: ((h >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
@@ -140,6 +140,14 @@ def fit(texts: list[str], labels: list[int], rank: int = RANK) -> Model:
     return Model(project.astype(np.float32), _unit(x @ right[:rank].T).astype(np.float32), np.asarray(labels, np.float32))
 
 
+def _nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` largest values of each row; of equal ones the first columns."""
+    least = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+    above, equal = cosine > least, cosine == least
+    take = above | (equal & (equal.cumsum(1) <= k - above.sum(1, keepdims=True)))
+    return np.nonzero(take)[1].reshape(len(cosine), k)
+
+
 def score(texts: list[str], model: Model, nearest: int = NEAREST) -> np.ndarray:
     """Similarity-weighted share of label 1 among the nearest labelled vectors."""
     out = np.full(len(texts), model.share)
@@ -156,7 +164,7 @@ def score(texts: list[str], model: Model, nearest: int = NEAREST) -> np.ndarray:
         at = np.zeros((b - a, rows.shape[1]), np.float32)
         at[have] = np.add.reduceat(rows, edges[a:b][have] - edges[a], axis=0)
         cosine = _unit(at) @ model.vectors.T
-        top = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        top = _nearest(cosine, k)
         weight = np.maximum(np.take_along_axis(cosine, top, 1), 0).astype(np.float64) ** 4
         total = weight.sum(1)
         vote = (weight * model.labels[top]).sum(1) / np.maximum(total, 1e-12)

@@ -4,26 +4,31 @@ Tokens are runs of letters, digits and ``_ + / . -``. Each gets a label: O
 outside, B begin or I inside a secret. Features of a token are its shape
 (length, kinds of characters, share of digits, changes between letters and
 digits), whether it or a neighbour names a credential, the separator before it,
-the shape of its neighbours, and features of the whole text. The best labelling
+the shape of its neighbours and their hashed words, and features of the whole text. The best labelling
 is found exactly, by Viterbi over chunks of the token stream whose scores from
 each possible entering label are combined afterwards, so a text may be of any length.
 
 The field is fitted here, by gradient ascent on the conditional likelihood, on
 windows around the spans of three base patterns and on windows without any, from
-a bounded sample (``SAMPLE_DOCS`` documents chosen by a hash of their id,
-``SAMPLE_WINDOWS`` windows). The spans found in every text are the base
-patterns' own, plus those of the field that no base span contains.
+a bounded sample (about ``SAMPLE_DOCS`` documents chosen by a hash of their id,
+``SAMPLE_WINDOWS`` windows). Each window with a span is learned twice, once with all that names a credential masked,
+so that the field learns what secrets look like and finds those that no base pattern names. The spans found in every text are the base
+patterns' own, plus those of the field that overlap none of these.
 
 Defined results
   * null or empty text: no spans;
   * positions are code points, end exclusive; texts are treated whole;
   * with no sample or no base span in it (an empty table, say), the field adds nothing;
+  * ties between labellings go to the lower label, O before B before I; spans of one start are listed by kind;
+  * very long texts: the base patterns run in little memory; the field takes about 300 bytes a token of the longest text, as it is tagged in one piece;
   * repeated rows: each row by itself; extra columns are ignored; null doc_id passes through.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -32,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pigmenta.llm.common import checkpointed
+
 KINDS = ("assign", "access", "hex", "crf")
 SAMPLE_DOCS = 6000
 SAMPLE_WINDOWS = 2000
@@ -40,6 +47,9 @@ REACH = 16
 #: Code points that are featurised at once.
 FLUSH = 1_500_000
 CHUNK = 128
+#: Invented secrets for each one of the sample, and code points that are kept on each side of one.
+INVENTED = 4
+AROUND = 1000
 
 #: Base patterns: name, pattern, the group whose length counts, least length.
 _ASSIGN = re.compile(r"""(?ia:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -87,7 +97,8 @@ def _print_of(word: str) -> int:
 _KEY_PRINTS = np.array(sorted(map(_print_of, _KEY)), np.uint64)
 
 # Feature groups and how many values each has; a token has one value of each group.
-GROUPS = {"length": 12, "kinds": 32, "digits": 8, "turns": 6, "hex": 24, "self": 2, "before": 2, "before2": 2, "gap": 2, "named": 4, "shape_before": 32, "shape_after": 32, "length_after": 12, "file_size": 16, "file_key": 2, "file_digits": 4}
+WORDS = 1024
+GROUPS = {"lower": 2, "upper": 2, "digit": 2, "symbol": 2, "atleast8": 2, "atleast12": 2, "atleast16": 2, "atleast20": 2, "word_before": WORDS, "word_before2": WORDS, "word_after": WORDS, "length": 12, "kinds": 32, "digits": 8, "turns": 6, "hex": 24, "self": 2, "before": 2, "before2": 2, "gap": 2, "named": 4, "shape_before": 32, "shape_after": 32, "length_after": 12, "file_size": 16, "file_key": 2, "file_digits": 4}
 _OFFSETS = dict(zip(GROUPS, np.cumsum([0, *GROUPS.values()])[:-1].tolist(), strict=True))
 WIDTH = sum(GROUPS.values())
 
@@ -124,7 +135,10 @@ def featurise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     kinds = sum((n[k] > 0).astype(np.int64) << (k - 1) for k in range(1, 6))
     long = np.searchsorted([2, 4, 6, 8, 12, 16, 20, 24, 32, 48, 64], length, "right")
     is_hex = (count(_HEXCHAR[code]) == length) & (n[3] > 0)
-    key = np.isin(_spelling(chars, start, length), _KEY_PRINTS) & (length <= 16) & (letters > 0)
+    spelled = _spelling(chars, start, length)
+    key = np.isin(spelled, _KEY_PRINTS) & (length <= 16) & (letters > 0)
+    # Hash 0 is for what isn't a plain word.
+    word = np.where((n[3] == 0) & (n[4] == 0), 1 + ((spelled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(WORDS - 1), 0).astype(np.int64)
     text_no = np.searchsorted(origin, start, "right") - 1
     first = np.searchsorted(text_no, np.arange(len(texts)))
     new = np.ones(len(start), bool)
@@ -151,8 +165,9 @@ def featurise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     some = np.maximum(total, 1)
     with_digit = np.bincount(text_no, n[3] > 0, minlength=len(texts)) / some
     has_key = (np.bincount(text_no, keyed, minlength=len(texts)) > 0).astype(np.int64)
-    values = {
-        "length": long, "kinds": kinds, "digits": np.minimum(n[3] * 8 // np.maximum(length, 1), 7), "turns": np.minimum(turns, 5), "hex": long + 12 * is_hex, "self": keyed,
+    has_kind = {name: (n[k] > 0).astype(np.int64) for k, name in ((1, "lower"), (2, "upper"), (3, "digit"), (4, "symbol"))}
+    values = has_kind | {f"atleast{m}": (length >= m).astype(np.int64) for m in (8, 12, 16, 20)} | {
+        "word_before": before(word), "word_before2": before(before(word)), "word_after": after(word), "length": long, "kinds": kinds, "digits": np.minimum(n[3] * 8 // np.maximum(length, 1), 7), "turns": np.minimum(turns, 5), "hex": long + 12 * is_hex, "self": keyed,
         "before": kb, "before2": before(kb), "gap": gap, "named": kb * 2 + gap, "shape_before": before(kinds), "shape_after": after(kinds), "length_after": after(long),
         "file_size": np.minimum(np.log2(some).astype(np.int64), 15)[text_no], "file_key": has_key[text_no], "file_digits": np.minimum((with_digit * 16).astype(np.int64), 3)[text_no],
     }
@@ -160,6 +175,17 @@ def featurise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return ids, text_no, start - origin[text_no], end - origin[text_no], first
 
 
+def masked(ids: np.ndarray) -> np.ndarray:
+    """The same tokens as if no word near them named a credential, and with the words around them unknown."""
+    out = ids.copy()
+    place = {g: k for k, g in enumerate(GROUPS)}
+    for g in ("self", "before", "before2", "file_key", "word_before", "word_before2", "word_after"):
+        out[..., place[g]] = _OFFSETS[g]
+    at = place["named"]
+    out[..., at] = _OFFSETS["named"] + (ids[..., at] - _OFFSETS["named"]) % 2  # the separator stays
+    return out
+
+
 def fit(ids: np.ndarray, labels: np.ndarray, lengths: np.ndarray, rounds: int = 60, rate: float = 0.25, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Emission weights (features x 3) and transitions (from x to) that maximise the conditional likelihood.
 
@@ -172,9 +198,9 @@ def fit(ids: np.ndarray, labels: np.ndarray, lengths: np.ndarray, rounds: int =
     gold = np.eye(3)[labels] * live[:, :, None]
     both = live[:, 1:] & live[:, :-1]
     gold_moves = np.einsum("nta,ntb->ab", gold[:, :-1] * both[:, :, None], gold[:, 1:])
-    flat = ids.reshape(-1)
+    columns = [np.ascontiguousarray(ids[:, :, g]) for g in range(ids.shape[2])]
     for step in range(1, rounds + 1):
-        emit = weights[ids].sum(2) * live[:, :, None]
+        emit = sum(weights[c] for c in columns) * live[:, :, None]
         alpha, beta = np.zeros((steps, n, 3)), np.zeros((steps, n, 3))
         alpha[0] = emit[:, 0]
         for t in range(1, steps):
@@ -192,8 +218,8 @@ def fit(ids: np.ndarray, labels: np.ndarray, lengths: np.ndarray, rounds: int =
         for t in range(1, steps):
             x = alpha[t - 1][:, :, None] + moves[None] + (emit[:, t] + beta[t])[:, None, :] - total[:, None, None]
             seen += (np.exp(np.minimum(x, 0)) * both[:, t - 1, None, None]).sum(0)
-        gap = (gold - share)[:, :, None, :]
-        slope = np.stack([np.bincount(flat, np.broadcast_to(gap[..., k], ids.shape).reshape(-1), WIDTH) for k in range(3)], 1)
+        gaps = np.moveaxis(gold - share, 2, 0).reshape(3, -1)
+        slope = np.stack([sum(np.bincount(c.reshape(-1), gap, WIDTH) for c in columns) for gap in gaps], 1)
         for x, g, (a, b) in zip((weights, moves), (slope, gold_moves - seen), memory, strict=True):
             g = g / n - decay * x
             a += 0.1 * (g - a)
@@ -251,9 +277,27 @@ def _labels(texts: list[str], text_no: np.ndarray, start: np.ndarray, end: np.nd
     return out
 
 
+_ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+
+
+def _invented(text: str, secret: int, stop: int, seed: int) -> tuple[str, int, int]:
+    """The surroundings of a secret with random characters in its place, and where these stand."""
+    rng = random.Random(seed)
+    own = "".join(rng.choices(rng.choice(_ALPHABETS), k=rng.randrange(16, 49)))
+    before = text[max(0, secret - AROUND) : secret]
+    return before + own + text[stop : stop + AROUND], len(before), len(before) + len(own)
+
+
 def _windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training windows: feature ids and labels as bytes, whether one has a secret, and a hash to choose by."""
-    steps = 2 * REACH
+    """Training windows: feature ids and labels as bytes, whether one has a secret, and a hash to choose by.
+
+    Each secret comes as it is and with invented ones in its place, as the sample's secrets are of few makes.
+    """
+
+    def window(ids: np.ndarray, labels: np.ndarray, at: int, has: bool, place: int) -> tuple:
+        part = slice(max(0, at - REACH), max(0, at - REACH) + 2 * REACH)
+        return ids[part].tobytes(), labels[part].astype(np.uint8).tobytes(), has, place % (1 << 40)
+
     for b in it:
         rows = []
         for value in b.column(0):
@@ -262,13 +306,20 @@ def _windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(ids):
                 continue
             labels = _labels([text], text_no, start, end, first)
-            begins = np.flatnonzero(labels == 1)
             middle = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=6).digest(), "little")
-            for at, has in [*((int(x), True) for x in begins), (middle % len(ids), False)]:
-                a = max(0, at - REACH)
-                part = slice(a, min(len(ids), a + steps))
-                if has or not labels[part].any():
-                    rows.append((ids[part].tobytes(), labels[part].astype(np.uint8).tobytes(), has, (middle + at * 2654435761) % (1 << 40)))
+            rows += [window(ids, labels, int(x), True, middle + int(x) * 2654435761) for x in np.flatnonzero(labels == 1)]
+            plain = middle % len(ids)
+            if not labels[max(0, plain - REACH) : plain + REACH].any():
+                rows.append(window(ids, labels, plain, False, middle))
+            for (_, stop, _), secret, turn in ((*span, turn) for span in base_spans(text) for turn in range(INVENTED)):
+                made, a, z = _invented(text, secret, stop, (middle + secret) * INVENTED + turn)
+                ids2, no, start2, end2, first2 = featurise([made])
+                labels2 = np.where(_labels([made], no, start2, end2, first2) > 0, 2, 0)
+                inside = np.flatnonzero((end2 > a) & (start2 < z))
+                labels2[inside] = 2
+                labels2[inside[:1]] = 1
+                if len(inside):
+                    rows.append(window(ids2, labels2, int(inside[0]), True, middle + secret * 40503 + turn + 1))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.bool_(), pa.int64()), strict=True)], ["ids", "labels", "has", "place"])
 
@@ -278,9 +329,9 @@ Model = tuple[np.ndarray, np.ndarray] | None
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", docs: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> Model:
     """Fit the field on at most ``windows`` windows of at most ``docs`` documents; None if these hold no base span."""
-    chosen = df.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()).orderBy(F.xxhash64(F.lit("secret"), "_k"), "_k").limit(docs).distinct()
-    sample = df.join(F.broadcast(chosen), F.col(key) == F.col("_k"), "left_semi").select(text)
-    cut = sample.mapInArrow(_windows, "ids binary, labels binary, has boolean, place long")
+    known = df.where(F.col(key).isNotNull())
+    place = F.pmod(F.xxhash64(F.lit("secret"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+    cut = checkpointed(known.where(place * known.count() < docs).select(text).mapInArrow(_windows, "ids binary, labels binary, has boolean, place long"))
     rows = [r for half in ("has", "not has") for r in cut.where(half).orderBy("place", "ids").limit(windows // 2).collect()]
     if not any(r["has"] for r in rows):
         return None
@@ -291,7 +342,8 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", docs: int = SA
         lengths[i] = len(y)
         labels[i, : len(y)] = y
         ids[i, : len(y)] = np.frombuffer(r["ids"], np.int32).reshape(-1, g)
-    return fit(ids, labels, lengths)
+    has = np.array([r["has"] for r in rows])
+    return fit(np.concatenate((ids, masked(ids[has]))), np.concatenate((labels, labels[has])), np.concatenate((lengths, lengths[has])))
 
 
 def tag(texts: list[str], model: Model) -> list[list[Span]]:
@@ -329,7 +381,8 @@ def find_secrets(df: DataFrame, model: Model, key: str = "doc_id", text: str = "
             spans = []
             for t, more in zip(texts, tag(texts, shared.value), strict=True):
                 own = [s for s, _ in base_spans(t)]
-                more = [x for x in more if not any(a <= x[0] and x[1] <= b for a, b, _ in own)]
+                ends, reach = [a for a, _, _ in own], np.maximum.accumulate([b for _, b, _ in own] or [0]).tolist()
+                more = [x for x in more if not (at := bisect.bisect_left(ends, x[1])) or reach[at - 1] <= x[0]]
                 spans.append([{"kind": KINDS[k], "start": a, "end": b} for a, b, k in sorted([*own, *more], key=lambda s: (s[0], s[2], s[1]))])
             return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spans, _FOUND_TYPE)], ["doc_id", "spans"])
 

@@ -7,6 +7,8 @@ learner adapts its rate to each coordinate; its L1 term keeps all but a few
 weights at zero, so what is broadcast is a short list of (coordinate, weight),
 and scoring drops nearly all features of a text at the first look.
 
+The scores' level is set on slices that were left out of learning, so that a rare label isn't scored low for being rare.
+
 Learning is sequential. It runs in one task over a bounded sample, about
 ``PER_CLASS`` documents of each label, chosen by a hash of the document's id.
 
@@ -14,7 +16,9 @@ Defined results
   * null or empty text, or one without a word: the score of the constant term alone;
   * nothing to learn from: every score is 0;
   * several labels for one document: the largest counts; rows without label are not learned from;
-  * repeated rows: each by itself; null doc_id passes through; extra columns are ignored.
+  * repeated rows: each by itself; null doc_id passes through; extra columns are ignored;
+  * ties: rows with one place in the order go by their features; the sum of a text's weights doesn't depend on order;
+  * very long texts are treated whole, about 100 bytes a word while their features are hashed.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from pigmenta.llm.common import hash_words, mixed
 DIMS = 1 << 20
 PER_CLASS = 3000
 EPOCHS = 8
+#: Slices of the sample that are left out in turn to set the constant term.
+SLICES = 2
 #: Left-out words between the two of a pair; 0 is the plain word pair.
 GAPS = (0, 1, 2)
 STEMS = (4, 5)
@@ -86,6 +92,35 @@ def ftrl(rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, alpha:
     return Model(where, w[where].astype(np.float32), float(w[-1]))
 
 
+def margins(rows: list[np.ndarray], model: Model) -> np.ndarray:
+    weights = model.dense()
+    return np.array([model.bias + float(weights[r].sum(dtype=np.float64)) for r in rows])
+
+
+def offset(margin: np.ndarray, labels: np.ndarray, prior: float = 0.01) -> float:
+    """What to add to margins so that their likelihood is greatest with both labels counting alike; drawn a little towards 0."""
+    share = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1))
+    low, high = -20.0, 20.0
+    for _ in range(60):
+        b = (low + high) / 2
+        slope = float((share * (labels - 1 / (1 + np.exp(-np.clip(margin + b, -35, 35))))).sum()) - prior * b
+        low, high = (b, high) if slope > 0 else (low, b)
+    return b
+
+
+def fit(rows: list[np.ndarray], labels: list[int], slices: int = SLICES) -> Model:
+    """The learner over all rows. Its constant term is set so that 0.5 means even odds between labels of equal number, told by slices that were left out in turn."""
+    model, held = ftrl(rows, labels), [np.zeros(0), np.zeros(0)]
+    for k in range(slices):
+        rest = [i for i in range(len(rows)) if i % slices != k]
+        if 0 < sum(labels[i] for i in rest) < len(rest):
+            part = ftrl([rows[i] for i in rest], [labels[i] for i in rest])
+            held = [np.append(held[0], margins(rows[k::slices], part)), np.append(held[1], labels[k::slices])]
+    if 0 < held[1].sum() < len(held[1]):
+        model.bias += offset(*held)
+    return model
+
+
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """Fit on all rows of ``df``, which is the (bounded) sample, in one task; rows go in the order of a hash of their key."""
 
@@ -94,16 +129,16 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
             rows = [np.unique(features(v.as_py() or "")).astype("<u4").tobytes() for v in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["place", "y", "row"])
 
-    def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [x for b in it for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         if not got:
             return
         got.sort(key=lambda x: (x[0], x[2]))
-        model = ftrl([np.frombuffer(r, "<u4").astype(np.int64) for _, _, r in got], [y for _, y, _ in got])
+        model = fit([np.frombuffer(r, "<u4").astype(np.int64) for _, _, r in got], [y for _, y, _ in got])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(model.where, -1), pa.int64()), pa.array(np.append(model.weight, model.bias), pa.float64())], ["at", "w"])
 
     sample = df.select(F.xxhash64(F.lit("order"), key).alias("place"), F.col(label).cast("int").alias("y"), F.col(text).alias("t"))
-    found = sample.mapInArrow(parts, "place long, y int, row binary").repartition(1).mapInArrow(fit, "at long, w double").toPandas()
+    found = sample.mapInArrow(parts, "place long, y int, row binary").repartition(1).mapInArrow(learn, "at long, w double").toPandas()
     if not len(found):
         return None
     at, w = found["at"].to_numpy(np.int64), found["w"].to_numpy(float)
