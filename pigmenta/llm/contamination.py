@@ -80,10 +80,11 @@ def find_hits(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         lengths = [k for k in sizes if (k + 1) // 2 == b]
         runs = windows.where(F.col("k").isin(lengths)).select(F.explode(_runs(F.split("w", " "), F.lit(b))).alias("block")).distinct()
         cut = docs.select("k", "fp", F.regexp_extract_all("norm", F.lit(rf"(?:[^ ]+ ){{1,{b}}}"), F.lit(0)).alias("blocks"))
-        each = cut.select("k", "fp", "blocks", F.posexplode("blocks").alias("j", "own")).withColumn("block", F.rtrim("own"))
+        beside = F.transform("blocks", lambda x, i: F.struct(x.alias("own"), F.when(i > 0, F.get("blocks", i - 1)).alias("left"), F.get("blocks", i + 1).alias("right")))  # noqa: B023
+        each = cut.select("k", "fp", F.posexplode(beside).alias("j", "at")).select("k", "fp", "j", "at.*").withColumn("block", F.rtrim("own"))
         near = each.join(small_side(runs), "block", "left_semi")
         # The block with its neighbours, and the word number at which those begin.
-        around = F.split(F.rtrim(F.array_join(F.slice("blocks", F.greatest(F.col("j"), F.lit(1)), F.when(F.col("j") > 0, 3).otherwise(2)), "")), " ")
+        around = F.split(F.rtrim(F.concat_ws("", "left", "own", "right")), " ")
         near = near.select("k", "fp", around.alias("words"), (F.greatest(F.col("j") - 1, F.lit(0)) * b).alias("base"), (F.least(F.col("j"), F.lit(1)) * b).alias("at"))
         for n in lengths:
             first = F.greatest(F.col("at") - (n - b), F.lit(0))

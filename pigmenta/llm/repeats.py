@@ -22,9 +22,10 @@ exchange serves both joins.
 
 Defined results
   * null or empty text: no words, nothing removed, kept text empty;
-  * null doc_id: comes before all others in order;
+  * null doc_id: each text without id is a document, before all others, in order of its hash (so that they don't meet in one task);
   * rows with one doc_id: one document's repeated rows; windows at the same
     place are no repeat of each other, and each row is judged by its own text;
+  * ties: equal windows that start together (repeated rows) are all kept;
   * very long texts are treated whole; extra columns are ignored;
   * an empty table gives an empty result.
 """
@@ -47,9 +48,10 @@ COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14)}
 PERIOD = 13
 #: Entries that a worker gathers before it settles and sends them.
 FLUSH = 400_000
-#: Least number of hash buckets; a partition takes several.
+#: Least number of hash buckets; a worker holds one bucket at a time.
 BUCKETS = 128
-NO_ID = -(1 << 63)
+#: Bytes of text for which there is one bucket more (their entries take about as much).
+BUCKET_BYTES = 64 << 20
 
 BLOCK = "bucket int, block binary"
 
@@ -315,12 +317,15 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     cover = COVERS[period]
     if not is_cover(cover, period) or window <= period:
         raise ValueError("the period needs a difference cover and must be under the window")
-    buckets = max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    buckets = max(BUCKETS, size // BUCKET_BYTES)
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
     doc = F.col(key).cast("long")
-    docs = df.select(F.coalesce(doc, F.lit(NO_ID)).alias("k"), F.xxhash64(text).alias("fp"), F.col(text).cast("binary").alias("t"), doc.alias("doc_id"))
+    no_id = F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64(text), 2)
+    docs = df.select(F.coalesce(doc, no_id).alias("k"), F.xxhash64(text).alias("fp"), F.col(text).cast("binary").alias("t"), doc.alias("doc_id"))
 
     def answers(blocks: DataFrame, answer) -> DataFrame:
-        found = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "k long, found binary")
+        found = blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "k long, found binary")
         return found.groupBy("k").agg(F.collect_list("found").alias("found"))
 
     anchors = docs.select("k", "t").mapInArrow(_anchor_blocks(cover, period, window, buckets), BLOCK)

@@ -95,6 +95,9 @@ def test_repeats(spark, seed, monkeypatch):
 def test_repeats_awkward(spark):
     got = repeats.remove_repeats(brute.edge_frame(spark))
     assert rows_of(got, "doc_id", "n_words", "kept") == sorted(([*x] for x in brute.repeats(brute.EDGE)), key=str)
+    rows = [(None if d % 3 else d, t) for d, t in corpus(7)]
+    got = repeats.remove_repeats(brute.edge_frame(spark, rows))
+    assert rows_of(got, "doc_id", "n_words", "kept") == sorted(([*x] for x in brute.repeats(rows)), key=str)
     assert repeats.remove_repeats(brute.edge_frame(spark, [])).count() == 0
     assert all(repeats.is_cover(c, p) for p, c in repeats.COVERS.items())
 

@@ -31,3 +31,24 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, d).columns == docs.columns
         assert stage(spark, docs.limit(0), d).count() == 0
+
+
+def test_stages_with_repeated_and_null_ids(spark, tmp_path):
+    say = lambda seed, n: " ".join(f"w{(seed * 7919 + i * i * 31 + i) % 997}" for i in range(n))
+    rows = [(1, say(1, 60)), (7, say(1, 60)), (7, say(2, 60)), (9, say(2, 60)), (None, say(3, 50)), (None, say(3, 50)), (None, None), (8, ""), (8, ""), (5, say(5, 30) + " " + say(90, 20)), (6, say(6, 40))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "x", 3, 2.5, 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _text string, k int, d double, gone int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, say(90, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, 1)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    after = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, after, str(tmp_path))
+        assert after.columns == docs.columns
+        got = sorted(((r.doc_id, r.text) for r in after.collect()), key=str)
+        if name in ("toxicity", "line_dedup"):
+            assert got == sorted(rows, key=str)
+        if name == "near_dedup":  # documents 7 and 9 are of the group of 1; what has no id stays
+            assert got == sorted((x for x in rows if x[0] not in (7, 9)), key=str)
+    assert got == sorted((x for x in rows if x[0] not in (7, 9, 5)), key=str)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert len(pieces) == len(got) and pieces["doc_id"].isna().sum() == 3
