@@ -1,4 +1,4 @@
-"""Connected components of a mask, one photo to a task."""
+"""Connected components of a mask, and distances from it; one photo to a task."""
 
 from __future__ import annotations
 
@@ -52,3 +52,49 @@ def components(cells: DataFrame, diagonal: bool = False) -> DataFrame:
         return pdf.assign(label=label(mask, diagonal)[y, x])[["photo_id", "y", "x", "label"]]
 
     return cells.groupBy("photo_id").applyInPandas(one, LABELS)
+
+
+_FAR = np.int64(1) << 40
+
+
+def nearest_site(sites: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Squared distance, row and column of the nearest site for the ``wanted`` cells; ties go to the lowest column, then above.
+
+    Nearest site within each column, then columns at growing distance until no wanted cell can gain.
+    """
+    (h, w), rows = sites.shape, np.arange(sites.shape[0])[:, None]
+    above = np.maximum.accumulate(np.where(sites, rows, -_FAR), 0)
+    below = np.minimum.accumulate(np.where(sites, rows, _FAR)[::-1], 0)[::-1]
+    row = np.where(rows - above <= below - rows, above, below)
+    gap = np.minimum(np.minimum(rows - above, below - rows), 1 << 20)
+    flat = gap * gap
+    best, col = flat.copy(), np.broadcast_to(np.arange(w), (h, w)).copy()
+    for d in range(1, w):
+        if not wanted.any() or d * d > best[wanted].max():
+            break
+        left = flat[:, :-d] + d * d
+        better = left <= best[:, d:]
+        best[:, d:][better] = left[better]
+        col[:, d:][better] = np.broadcast_to(np.arange(w - d), left.shape)[better]
+        right = flat[:, d:] + d * d
+        better = right < best[:, :-d]
+        best[:, :-d][better] = right[better]
+        col[:, :-d][better] = np.broadcast_to(np.arange(d, w), right.shape)[better]
+    return best, np.take_along_axis(row, col, 1), col
+
+
+DISTANCES = "photo_id long, y int, x int, d2 int"
+
+
+def distances(cells: DataFrame) -> DataFrame:
+    """(photo_id, y, x, site), all cells of a photo, to each one's squared distance from the nearest site; a photo without sites gives no rows."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        sites = np.zeros((y.max() + 1, x.max() + 1), bool)
+        sites[y, x] = pdf["site"]
+        if not sites.any():
+            return pdf.iloc[:0].assign(d2=0)[["photo_id", "y", "x", "d2"]]
+        return pdf.assign(d2=nearest_site(sites, np.ones_like(sites))[0][y, x].astype(np.int32))[["photo_id", "y", "x", "d2"]]
+
+    return cells.groupBy("photo_id").applyInPandas(one, DISTANCES)

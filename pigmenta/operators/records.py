@@ -32,15 +32,21 @@ def delete_sample(samples: DataFrame, locks: DataFrame, sample_id: str) -> tuple
 
 
 def rename(samples: DataFrame, locks: DataFrame, sample_id: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """New label; an empty one changes nothing. The lock follows if no other sample has the old key."""
+    """New label; an empty one, or the present one, changes nothing.
+
+    If the sample was the last with its flavour key, the key's lock moves to the new key, unless that has a lock already, which then stays.
+    Sheets have no lock to move.
+    """
     label = label.strip()
     if not label:
         return samples, locks
     new = samples.withColumn("label", F.when(F.col("id") == sample_id, F.lit(label)).otherwise(F.col("label")))
-    old = samples.where(F.col("id") == sample_id).select(flavor_key("label").alias("flavor_key")).distinct()
-    moved = old.join(new.select(flavor_key("label").alias("flavor_key")).distinct(), "flavor_key", "left_anti").withColumn("moved", F.lit(True))
-    key = F.when(F.col("moved"), flavor_key(F.lit(label))).otherwise(F.col("flavor_key"))
-    return new, locks.join(moved, "flavor_key", "left").select(key.alias("flavor_key"), "paper_id")
+    beans = lambda df: df.where("kind <> 'paper'").select(flavor_key("label").alias("flavor_key")).distinct()
+    fresh = flavor_key(F.lit(label))
+    gone = beans(samples.where(F.col("id") == sample_id)).where(F.col("flavor_key") != fresh).join(beans(new), "flavor_key", "left_anti")
+    moved = locks.join(gone, "flavor_key", "left_semi").select(fresh.alias("flavor_key"), "paper_id")
+    moved = moved.join(locks.select("flavor_key"), "flavor_key", "left_anti").select("flavor_key", "paper_id")
+    return new, locks.join(gone, "flavor_key", "left_anti").select("flavor_key", "paper_id").unionByName(moved)
 
 
 def set_lock(locks: DataFrame, flavor: str, paper_id: str | None) -> DataFrame:
@@ -54,5 +60,5 @@ def set_lock(locks: DataFrame, flavor: str, paper_id: str | None) -> DataFrame:
 
 def next_number(samples: DataFrame, prefix: str) -> DataFrame:
     """One more than the largest number that follows ``prefix`` in a label; 1 if there is none."""
-    rest = F.substring("label", len(prefix) + 1, 1000)
+    rest = F.substr("label", F.lit(len(prefix) + 1))
     return samples.where(F.col("label").startswith(prefix)).agg((F.coalesce(F.max(rest.try_cast("int")), F.lit(0)) + 1).alias("n"))

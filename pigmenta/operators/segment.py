@@ -11,7 +11,7 @@ from pigmenta.functions.color import BRADFORD, D65, TO_XYZ
 from pigmenta.functions.kernels import CONE_TARGET, FROM_CONE, LIGHT, neutral_chroma, xyz_lab
 from pigmenta.operators import grouping
 from pigmenta.operators.measure import CAMERA_FLOOR, NEUTRAL, auto_white, body_colour, per_photo, pixels
-from pigmenta.operators.raster import label
+from pigmenta.operators.raster import label, nearest_site
 from pigmenta.operators.surface import TERMS, solve
 
 # Colour distance from the sheet and weight of lightness there; least share of the sheet; what outshines
@@ -24,7 +24,6 @@ STRETCH, FILL = 3.2, 0.72
 LEAST_SIDE = 32
 #: A larger photo is refused with status ``too_large``; readers scale to a long edge of 1600.
 MOST_PIXELS = 4_000_000
-_FAR = np.int64(1) << 40
 
 
 class NoObjects(Exception):
@@ -86,32 +85,6 @@ def grown(mask: np.ndarray, size: int) -> np.ndarray:
     return mask
 
 
-def nearest_site(sites: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Squared distance, row and column of the nearest site for the ``wanted`` cells; ties go to the lowest column, then above.
-
-    Nearest site within each column, then columns at growing distance until no wanted cell can gain.
-    """
-    (h, w), rows = sites.shape, np.arange(sites.shape[0])[:, None]
-    above = np.maximum.accumulate(np.where(sites, rows, -_FAR), 0)
-    below = np.minimum.accumulate(np.where(sites, rows, _FAR)[::-1], 0)[::-1]
-    row = np.where(rows - above <= below - rows, above, below)
-    gap = np.minimum(np.minimum(rows - above, below - rows), 1 << 20)
-    flat = gap * gap
-    best, col = flat.copy(), np.broadcast_to(np.arange(w), (h, w)).copy()
-    for d in range(1, w):
-        if not wanted.any() or d * d > best[wanted].max():
-            break
-        left = flat[:, :-d] + d * d
-        better = left <= best[:, d:]
-        best[:, d:][better] = left[better]
-        col[:, d:][better] = np.broadcast_to(np.arange(w - d), left.shape)[better]
-        right = flat[:, d:] + d * d
-        better = right < best[:, :-d]
-        best[:, :-d][better] = right[better]
-        col[:, :-d][better] = np.broadcast_to(np.arange(d, w), right.shape)[better]
-    return best, np.take_along_axis(row, col, 1), col
-
-
 def main_colour(lab: np.ndarray) -> tuple[np.ndarray, float]:
     """Median of the pixels near the fullest bin of 8 units (the lowest of equals), and their share."""
     bins, n = np.unique(np.floor(lab / 8), axis=0, return_counts=True)

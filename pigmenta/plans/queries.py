@@ -12,13 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pigmenta.functions.color import ciede2000_stages, hex_stages, nest, pixel_lab_stages, unlab_stages, xyz_stages
+from pigmenta.functions.color import ciede2000_stages, hex_stages, lab_stages, nest, pixel_lab_stages, unlab_stages, xyz_stages
 from pigmenta.operators import assignment, grouping, measure, raster, segment, surface
+from pigmenta.plans import display
 from pigmenta.sources.scenes import COLUMNS, MARGIN, PITCH, family, scene_photos
 
 TABLES = ("customer", "embeddings", "events", "part", "supplier")
-SPARK = {"div": "div", "pct": "percentile", "raster": "SELECT vec_id div 50 AS photo_id, CAST(vec_id % 50 AS INT) AS y, x, CAST(v AS DOUBLE) AS v FROM embeddings LATERAL VIEW posexplode(embedding) t AS x, v", "at": "element_at(embedding, {})"}
-DUCK = {"div": "//", "pct": "quantile_cont", "raster": "SELECT vec_id // 50 AS photo_id, CAST(vec_id % 50 AS INT) AS y, CAST(unnest(range(0, len(embedding))) AS INT) AS x, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings", "at": "embedding[{}]"}
+SPARK = {"key": r"lower(trim(regexp_replace(label, '(?U)\\s+', ' ')))", "hexed": "format_string('#%02x%02x%02x', h_r, h_g, h_b)", "div": "div", "pct": "percentile", "raster": "SELECT vec_id div 50 AS photo_id, CAST(vec_id % 50 AS INT) AS y, x, CAST(v AS DOUBLE) AS v FROM embeddings LATERAL VIEW posexplode(embedding) t AS x, v", "rgb": "SELECT vec_id div 50 AS photo_id, CAST(vec_id % 50 AS INT) AS y, x, CAST(v AS DOUBLE) AS v0, CAST(embedding[(x + 21) % 64] AS DOUBLE) AS v1, CAST(embedding[(x + 42) % 64] AS DOUBLE) AS v2 FROM embeddings LATERAL VIEW posexplode(embedding) t AS x, v", "at": "element_at(embedding, {})"}
+DUCK = {"key": r"lower(trim(regexp_replace(label, '[\s\p{Z}]+', ' ', 'g')))", "hexed": "printf('#%02x%02x%02x', h_r, h_g, h_b)", "div": "//", "pct": "quantile_cont", "raster": "SELECT vec_id // 50 AS photo_id, CAST(vec_id % 50 AS INT) AS y, CAST(unnest(range(0, len(embedding))) AS INT) AS x, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings", "rgb": "SELECT photo_id, y, x, CAST(embedding[x + 1] AS DOUBLE) AS v0, CAST(embedding[(x + 21) % 64 + 1] AS DOUBLE) AS v1, CAST(embedding[(x + 42) % 64 + 1] AS DOUBLE) AS v2 FROM (SELECT vec_id // 50 AS photo_id, CAST(vec_id % 50 AS INT) AS y, CAST(unnest(range(0, 64)) AS INT) AS x, embedding FROM embeddings) AS e", "at": "embedding[{}]"}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +35,7 @@ def _papers(space: str = "sRGB") -> str:
 
 def _flavors() -> str:
     measured = nest(_samples(), pixel_lab_stages())
-    return f"SELECT lower(trim(label)) AS flavor, min_by(label, seq) AS label, avg(lab_l) AS fl, avg(lab_a) AS fa, avg(lab_b) AS fb, count(*) AS samples, min(seq) AS first_seq FROM ({measured}) AS m GROUP BY lower(trim(label))"
+    return f"SELECT flavor, min_by(label, seq) AS label, avg(lab_l) AS fl, avg(lab_a) AS fa, avg(lab_b) AS fb, count(*) AS samples, min(seq) AS first_seq FROM (SELECT *, {{key}} AS flavor FROM ({measured}) AS m) AS m GROUP BY flavor"
 
 
 def _costs(k_l: float = 2.0) -> str:
@@ -42,18 +43,15 @@ def _costs(k_l: float = 2.0) -> str:
     return nest(pairs, ciede2000_stages(("fl", "fa", "fb"), ("pl", "pa", "pb"), k_l))
 
 
-def _small_costs() -> str:
-    return f"SELECT flavor, paper, delta_e FROM (SELECT *, dense_rank() OVER (ORDER BY flavor) AS fr, dense_rank() OVER (ORDER BY paper) AS pr FROM ({_costs()}) AS c) AS c WHERE fr <= 4 AND pr <= 6"
-
-
 def _objects() -> str:
     """Objects of a photo with a colour; {e1}.. stand for the first components."""
     return "SELECT vec_id {div} 50 AS photo_id, vec_id AS object_id, 50 + 60 * CAST({e1} AS DOUBLE) AS lab_l, 60 * CAST({e2} AS DOUBLE) AS lab_a, 60 * CAST({e3} AS DOUBLE) AS lab_b, CAST(vec_id % 3 AS INT) AS grp FROM embeddings"
 
 
 def _rgb() -> str:
-    level = "CAST(least(greatest(floor((v + 0.6e0) / 1.2e0 * 255e0), 0e0), 255e0) AS DOUBLE)"
-    return f"SELECT photo_id, y, CAST(x {{div}} 3 AS INT) AS x, max(CASE WHEN x % 3 = 0 THEN {level} END) AS r, max(CASE WHEN x % 3 = 1 THEN {level} END) AS g, max(CASE WHEN x % 3 = 2 THEN {level} END) AS b FROM ({{raster}}) AS t WHERE x < 63 GROUP BY photo_id, y, x {{div}} 3"
+    """A photo of 64 x 50 pixels; each value of a row serves each channel once."""
+    level = lambda v: f"CAST(least(greatest(floor(({v} + 0.6e0) / 1.2e0 * 255e0), 0e0), 255e0) AS DOUBLE)"
+    return f"SELECT photo_id, y, x, {level('v0')} AS r, {level('v1')} AS g, {level('v2')} AS b FROM ({{rgb}}) AS t"
 
 
 def _cross(inner: str, column: str, how: str) -> str:
@@ -72,13 +70,25 @@ def _sites() -> str:
 
 
 _PIXEL = nest(_samples(), [*pixel_lab_stages(), *unlab_stages(), *hex_stages()])
-_XYZ = nest(_rgb().replace(" AS x,", " AS px,").replace("photo_id, y, CAST", "photo_id, y AS py, CAST"), xyz_stages())
+_XYZ = nest(f"SELECT photo_id, x AS px, y AS py, r, g, b FROM ({_rgb()}) AS t", xyz_stages())
+_NEUTRAL = nest(f"SELECT * FROM ({nest(f'SELECT * FROM ({_XYZ}) AS t WHERE px % 4 = 0 AND py % 4 = 0', [{'even': 'greatest(y, 0.0001e0)'}, {'nx': 'x / even', 'ny': 'y / even', 'nz': 'z / even'}])}) AS t", lab_stages("nx", "ny", "nz", ("nl", "na", "nb")))
+# Pixels around each tap, in Lab; every seventh object of a photo is a tap's place.
+_TAPPED = nest("SELECT a.photo_id, a.tap, sqrt((p.x - a.tx) * (p.x - a.tx) + (p.y - a.ty) * (p.y - a.ty)) AS far, a.tr, r, g, b FROM (SELECT vec_id {div} 50 AS photo_id, vec_id AS tap, CAST(vec_id * 13 % 70 AS INT) AS tx, CAST(vec_id % 50 AS INT) AS ty, CAST(2 + vec_id % 7 AS INT) AS tr FROM embeddings WHERE vec_id % 7 = 0) AS a JOIN (" + _rgb() + ") AS p ON a.photo_id = p.photo_id AND p.x BETWEEN a.tx - a.tr AND a.tx + a.tr AND p.y BETWEEN a.ty - a.tr AND a.ty + a.tr WHERE (p.x - a.tx) * (p.x - a.tx) + (p.y - a.ty) * (p.y - a.ty) <= a.tr * a.tr", pixel_lab_stages())
+_PLACES = "SELECT photo_id, v, 2e0 * x / 64e0 - 1e0 AS u, 2e0 * y / 50e0 - 1e0 AS w FROM ({raster}) AS t WHERE x % 6 = 0 AND y % 6 = 0"
+_SUMS = ", ".join([*(f"round(sum(({surface.TERMS[i]}) * ({surface.TERMS[j]})), 6) AS a{i}{j}" for i in range(6) for j in range(i, 6)), *(f"round(sum(({t}) * v{k}), 6) AS b{i}{k}" for i, t in enumerate(surface.TERMS) for k in range(3))])
 _KNOWN_SITES = "SELECT a.photo_id, a.y, a.x, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d2 FROM ({raster}) AS a JOIN (" + _sites() + ") AS b ON a.photo_id = b.photo_id GROUP BY a.photo_id, a.y, a.x"
 _LABELS_SQL = "WITH RECURSIVE s AS (" + _sites() + "), r AS (SELECT photo_id, y, x, y * 64 + x AS seed FROM s UNION SELECT s.photo_id, s.y, s.x, r.seed FROM r JOIN s ON s.photo_id = r.photo_id AND abs(s.y - r.y) + abs(s.x - r.x) = 1), l AS (SELECT photo_id, y, x, min(seed) AS seed FROM r GROUP BY photo_id, y, x) SELECT photo_id, y, x, CAST(dense_rank() OVER (PARTITION BY photo_id ORDER BY seed) AS INT) AS label FROM l"
 
+
+
+def _moments(labels: str) -> str:
+    """Ellipse of each object from its moments; ry is never under one pixel."""
+    return f"SELECT photo_id, label, area, round(cx, 6) AS cx, round(cy, 6) AS cy, round(sqrt(greatest(2e0 * (sxx + syy + root), 0e0)), 5) AS rx, round(sqrt(greatest(2e0 * (sxx + syy - root), 1e0)), 5) AS ry, round(CASE WHEN abs(sxy) < 1e-9 THEN CASE WHEN sxx >= syy - 1e-9 THEN 0e0 ELSE 90e0 END ELSE 0.5e0 * degrees(atan2(2e0 * sxy, sxx - syy)) END, 5) AS angle FROM (SELECT *, sqrt((sxx - syy) * (sxx - syy) + 4e0 * sxy * sxy) AS root FROM (SELECT photo_id, label, count(*) AS area, avg(x) AS cx, avg(y) AS cy, avg(CAST(x * x AS DOUBLE)) - avg(x) * avg(x) AS sxx, avg(CAST(y * y AS DOUBLE)) - avg(y) * avg(y) AS syy, avg(CAST(x * y AS DOUBLE)) - avg(x) * avg(y) AS sxy FROM ({labels}) AS s GROUP BY photo_id, label) AS m) AS m"
+
+
 TEXTS: dict[str, str] = {
     "pixel_to_lab": f"SELECT seq, round(lab_l, 6) AS l, round(lab_a, 6) AS a, round(lab_b, 6) AS b FROM ({_PIXEL}) AS p",
-    "lab_to_hex": f"SELECT seq, h_r, h_g, h_b FROM ({_PIXEL}) AS p",
+    "lab_to_hex": f"SELECT seq, h_r, h_g, h_b, {{hexed}} AS hex FROM ({_PIXEL}) AS p",
     "lab_roundtrip": f"SELECT seq, round(abs(ux - x) + abs(uy - y) + abs(uz - z), 9) AS gap FROM ({_PIXEL}) AS p",
     "ciede2000_pairs": f"SELECT flavor, paper, round(delta_e, 6) AS delta_e FROM ({_costs(1.0)}) AS c",
     "flavor_rollup": f"SELECT flavor, label, round(fl, 6) AS l, round(fa, 6) AS a, round(fb, 6) AS b, samples, first_seq FROM ({_flavors()}) AS f",
@@ -87,31 +97,30 @@ TEXTS: dict[str, str] = {
     "nearest_flavor_hint": f"SELECT paper, min_by(flavor, delta_e) AS flavor, round(min(delta_e), 6) AS delta_e FROM ({_costs(1.0)}) AS c GROUP BY paper HAVING min(delta_e) < 7e0",
     "verdict_bands": f"SELECT flavor, paper, CASE WHEN delta_e <= 2e0 THEN 1 WHEN delta_e <= 5e0 THEN 2 WHEN delta_e <= 10e0 THEN 3 ELSE 4 END AS match_band, CASE WHEN delta_e < 2e0 THEN 1 WHEN delta_e < 4e0 THEN 2 WHEN delta_e < 8e0 THEN 3 ELSE 4 END AS separation_band FROM ({_costs(1.0)}) AS c",
     "suggestions": "SELECT label, place FROM (SELECT label, row_number() OVER (ORDER BY CASE WHEN lower(label) LIKE 'r%' THEN 0 ELSE 1 END, first_seq) AS place FROM (SELECT p_name AS label, min(p_partkey) AS first_seq FROM part GROUP BY p_name) AS f WHERE lower(label) LIKE '%r%') AS s WHERE place <= 12",
-    "match_assignment_small": f"WITH c AS ({_small_costs()}), f AS (SELECT flavor, row_number() OVER (ORDER BY flavor) AS i FROM (SELECT DISTINCT flavor FROM c) AS d), n AS (SELECT i, c.flavor, paper, delta_e FROM c JOIN f ON c.flavor = f.flavor), best AS (SELECT a.paper AS p1, b.paper AS p2, e.paper AS p3, g.paper AS p4 FROM n a, n b, n e, n g WHERE a.i = 1 AND b.i = 2 AND e.i = 3 AND g.i = 4 AND a.paper <> b.paper AND a.paper <> e.paper AND a.paper <> g.paper AND b.paper <> e.paper AND b.paper <> g.paper AND e.paper <> g.paper ORDER BY a.delta_e * a.delta_e + b.delta_e * b.delta_e + e.delta_e * e.delta_e + g.delta_e * g.delta_e LIMIT 1) SELECT n.flavor, n.paper, round(n.delta_e, 6) AS delta_e FROM n, best WHERE n.paper = CASE n.i WHEN 1 THEN p1 WHEN 2 THEN p2 WHEN 3 THEN p3 ELSE p4 END",
-    "auto_white": f"WITH s AS ({_XYZ}), p AS (SELECT photo_id, {{pct}}(y, 0.98) AS top, count(*) AS n FROM s GROUP BY photo_id), c AS (SELECT s.*, n FROM s JOIN p ON s.photo_id = p.photo_id WHERE y >= 0.5e0 * top), q AS (SELECT photo_id, {{pct}}(y, 0.98) AS top FROM c GROUP BY photo_id), b AS (SELECT c.* FROM c JOIN q ON c.photo_id = q.photo_id WHERE y BETWEEN 0.8e0 * top AND top) SELECT photo_id, round({{pct}}(x, 0.5), 6) AS wx, round({{pct}}(y, 0.5), 6) AS wy, round({{pct}}(z, 0.5), 6) AS wz, greatest({{pct}}(r, 0.5), {{pct}}(g, 0.5), {{pct}}(b, 0.5)) >= 250e0 AS clipped FROM b GROUP BY photo_id",
+    "auto_white": f"WITH s AS (SELECT photo_id, r, g, b, x, y, z, sqrt(na * na + nb * nb) < 30e0 AS neutral FROM ({_NEUTRAL}) AS s), p AS (SELECT photo_id, {{pct}}(y, 0.98) AS top, count(*) AS n FROM s GROUP BY photo_id), c AS (SELECT s.*, n FROM s JOIN p ON s.photo_id = p.photo_id WHERE neutral AND y >= 0.5e0 * top), q AS (SELECT photo_id, {{pct}}(y, 0.98) AS top FROM c GROUP BY photo_id HAVING count(*) >= 0.03e0 * max(n)), b AS (SELECT c.* FROM c JOIN q ON c.photo_id = q.photo_id WHERE y BETWEEN 0.8e0 * top AND top), m AS (SELECT photo_id, {{pct}}(x, 0.5) AS wx, {{pct}}(y, 0.5) AS wy, {{pct}}(z, 0.5) AS wz, greatest({{pct}}(r, 0.5), {{pct}}(g, 0.5), {{pct}}(b, 0.5)) >= 250e0 AS clipped FROM b GROUP BY photo_id) SELECT p.photo_id, round(coalesce(wx, 0.95047e0 * camera), 6) AS wx, round(coalesce(wy, camera), 6) AS wy, round(coalesce(wz, 1.08883e0 * camera), 6) AS wz, coalesce(clipped, FALSE) AS clipped, wx IS NOT NULL AS found FROM (SELECT photo_id, least(greatest(top, 0.75e0), 1e0) AS camera FROM p) AS p LEFT JOIN m ON p.photo_id = m.photo_id",
     "dominant_colour": f"SELECT photo_id, br, bg, bb, n FROM (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY n DESC, br, bg, bb) AS place FROM (SELECT photo_id, CAST(floor(r / 8e0) AS INT) AS br, CAST(floor(g / 8e0) AS INT) AS bg, CAST(floor(b / 8e0) AS INT) AS bb, count(*) AS n FROM ({_rgb()}) AS t GROUP BY photo_id, floor(r / 8e0), floor(g / 8e0), floor(b / 8e0)) AS h) AS o WHERE place = 1",
-    "sample_at_tap": "WITH d AS (SELECT photo_id, v, sqrt((x - 32) * (x - 32) + (y - 25) * (y - 25)) AS far FROM ({raster}) AS t WHERE x BETWEEN 22 AND 42 AND y BETWEEN 15 AND 35 AND (x - 32) * (x - 32) + (y - 25) * (y - 25) <= 100), k AS (SELECT photo_id, {pct}(v, 0.5) AS mid FROM d WHERE far <= 4e0 GROUP BY photo_id), s AS (SELECT d.photo_id, v FROM d JOIN k ON d.photo_id = k.photo_id WHERE abs(v - mid) < 0.3e0), p AS (SELECT photo_id, {pct}(v, 0.15) AS lo, {pct}(v, 0.85) AS hi FROM s GROUP BY photo_id) SELECT s.photo_id, round({pct}(v, 0.5), 6) AS body FROM s JOIN p ON s.photo_id = p.photo_id WHERE v BETWEEN lo AND hi GROUP BY s.photo_id",
-    "borrowed_white_asof": "SELECT a.event_id, max_by(b.event_id, b.ts) AS lender FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id <> a.event_id AND b.ts <= a.ts AND a.ts < b.ts + INTERVAL '2' HOUR AND b.event_type IN ('view', 'click') GROUP BY a.event_id",
+    "sample_at_tap": f"WITH d AS (SELECT tap, far, tr, lab_l AS l, lab_a AS a, lab_b AS b FROM ({_TAPPED}) AS t), k AS (SELECT tap, {{pct}}(l, 0.5) AS ml, {{pct}}(a, 0.5) AS ma, {{pct}}(b, 0.5) AS mb FROM d WHERE far <= greatest(1.5e0, 0.4e0 * tr) GROUP BY tap), s AS (SELECT d.*, coalesce((l - ml) * (l - ml) + (a - ma) * (a - ma) + (b - mb) * (b - mb) < 900e0, FALSE) AS same FROM d LEFT JOIN k ON d.tap = k.tap), n AS (SELECT tap, sum(CASE WHEN same THEN 1 ELSE 0 END) >= 8 AS narrow FROM s GROUP BY tap), o AS (SELECT s.* FROM s JOIN n ON s.tap = n.tap WHERE same OR NOT narrow), p AS (SELECT tap, {{pct}}(l, 0.15) AS lo, {{pct}}(l, 0.85) AS hi, count(*) AS n FROM o GROUP BY tap) SELECT o.tap, round({{pct}}(l, 0.5), 6) AS l, round({{pct}}(a, 0.5), 6) AS a, round({{pct}}(b, 0.5), 6) AS b FROM o JOIN p ON o.tap = p.tap WHERE n < 8 OR l BETWEEN lo AND hi GROUP BY o.tap",
+    "borrowed_white_asof": "SELECT a.event_id, max({'t': b.ts, 'e': b.event_id}).e AS lender FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id <> a.event_id AND b.ts <= a.ts AND a.ts < b.ts + INTERVAL '2' HOUR AND b.event_type IN ('view', 'click') GROUP BY a.event_id",
     "erode": _cross(_mask(-0.1), "m", "least"),
     "opening": _cross(_cross(_cross(_cross(_mask(-0.1), "m", "least"), "m", "least"), "m", "greatest"), "m", "greatest"),
     "dilate": f"SELECT photo_id, y, x, max(m) OVER (PARTITION BY photo_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM (SELECT photo_id, y, x, max(m) OVER (PARTITION BY photo_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM ({_mask(0.15)}) AS t) AS t",
     "distance_transform": _KNOWN_SITES,
     "components": _LABELS_SQL,
     "component_boxes": f"SELECT photo_id, label, count(*) AS area, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, (min(x) = 0 OR min(y) = 0 OR max(x) = 63 OR max(y) = 49) AS on_edge FROM ({_LABELS_SQL}) AS l GROUP BY photo_id, label",
-    "object_moments": "SELECT photo_id, area, round(cx, 6) AS cx, round(cy, 6) AS cy, round(sqrt(greatest(2e0 * (sxx + syy + root), 0e0)), 6) AS rx, round(sqrt(greatest(2e0 * (sxx + syy - root), 1e0)), 6) AS ry FROM (SELECT *, sqrt((sxx - syy) * (sxx - syy) + 4e0 * sxy * sxy) AS root FROM (SELECT photo_id, count(*) AS area, avg(x) AS cx, avg(y) AS cy, avg(CAST(x * x AS DOUBLE)) - avg(x) * avg(x) AS sxx, avg(CAST(y * y AS DOUBLE)) - avg(y) * avg(y) AS syy, avg(CAST(x * y AS DOUBLE)) - avg(x) * avg(y) AS sxy FROM (" + _sites() + ") AS s GROUP BY photo_id) AS m) AS m",
-    "surface_fit_sums": "SELECT photo_id, count(*) AS n, round(sum(u), 6) AS su, round(sum(w), 6) AS sw, round(sum(u * u), 6) AS suu, round(sum(u * w), 6) AS suw, round(sum(w * w), 6) AS sww, round(sum(v), 6) AS sv, round(sum(u * v), 6) AS suv, round(sum(w * v), 6) AS swv, round(sum(u * u * v), 6) AS suuv, round(sum(u * w * v), 6) AS suwv, round(sum(w * w * v), 6) AS swwv FROM (SELECT photo_id, v, 2e0 * x / 64e0 - 1e0 AS u, 2e0 * y / 50e0 - 1e0 AS w FROM ({raster}) AS t WHERE x % 6 = 0 AND y % 6 = 0) AS t GROUP BY photo_id",
+    "object_moments": _moments(_LABELS_SQL),
+    "surface_fit_sums": f"SELECT photo_id, {_SUMS} FROM (SELECT photo_id, v0, v1, v2, 2e0 * x / 64e0 - 1e0 AS u, 2e0 * y / 50e0 - 1e0 AS w FROM ({{rgb}}) AS t WHERE x % 6 = 0 AND y % 6 = 0) AS t GROUP BY photo_id",
     "silhouette": "WITH o AS (SELECT photo_id, object_id, grp, 0.7e0 * lab_l AS l, lab_a AS a, lab_b AS b FROM (" + _objects() + ") AS o), n AS (SELECT photo_id, grp, count(*) AS size FROM o GROUP BY photo_id, grp), d AS (SELECT p.photo_id, p.object_id, p.grp, q.grp AS other, sum(sqrt((p.l - q.l) * (p.l - q.l) + (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b))) AS total FROM o p JOIN o q ON p.photo_id = q.photo_id GROUP BY p.photo_id, p.object_id, p.grp, q.grp), m AS (SELECT d.photo_id, d.object_id, max(CASE WHEN other = d.grp AND size > 1 THEN total / greatest(size - 1, 1) END) AS own, min(CASE WHEN other <> d.grp THEN total / size END) AS near FROM d JOIN n ON d.photo_id = n.photo_id AND d.other = n.grp GROUP BY d.photo_id, d.object_id) SELECT photo_id, round(avg(coalesce((near - own) / greatest(own, near, 1e-12), 0e0)), 6) AS score FROM m GROUP BY photo_id",
     "group_separation": "WITH o AS (" + _objects() + "), c AS (SELECT photo_id, grp, {pct}(lab_l, 0.5) AS l, {pct}(lab_a, 0.5) AS a, {pct}(lab_b, 0.5) AS b FROM o GROUP BY photo_id, grp) SELECT photo_id, round(min(delta_e), 6) AS separation FROM (" + nest("SELECT p.photo_id, p.l AS l1, p.a AS a1, p.b AS b1, q.l AS l2, q.a AS a2, q.b AS b2 FROM c p JOIN c q ON p.photo_id = q.photo_id AND p.grp < q.grp", ciede2000_stages(("l1", "a1", "b1"), ("l2", "a2", "b2"))) + ") AS s GROUP BY photo_id",
     "colour_covariance": "SELECT photo_id, round(covar_samp(lab_l, lab_l), 5) AS ll, round(covar_samp(lab_l, lab_a), 5) AS la, round(covar_samp(lab_l, lab_b), 5) AS lb, round(covar_samp(lab_a, lab_a), 5) AS aa, round(covar_samp(lab_a, lab_b), 5) AS ab, round(covar_samp(lab_b, lab_b), 5) AS bb FROM (" + _objects() + ") AS o GROUP BY photo_id",
 }
 
-TEXTS["match_summary"] = f"SELECT count(*) AS matched, round(avg(delta_e), 6) AS mean_delta_e, max_by(flavor, delta_e) AS worst, round(max(delta_e), 6) AS worst_delta_e FROM ({TEXTS['match_assignment_small']}) AS m"
+TEXTS |= display.TEXTS
 
 
 def _filled(text: str, dialect: dict[str, str]) -> str:
     for i in (1, 2, 3):
         text = text.replace(f"{{e{i}}}", dialect["at"].format(i))
-    for key in ("raster", "div", "pct"):
+    for key in ("raster", "rgb", "key", "hexed", "div", "pct"):
         text = text.replace(f"{{{key}}}", dialect[key])
     return text
 
@@ -125,18 +134,8 @@ def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **named)
 
 
-def _assignment_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    costs = run(spark, sf_dir, _small_costs()).select(F.lit(0).cast("long").alias("project"), "flavor", "paper", "delta_e")
-    return assignment.assign_projects(costs).select("flavor", "paper", F.round("delta_e", 6).alias("delta_e"))
-
-
-def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = _assignment_small(spark, sf_dir)
-    return matched.agg(F.count("paper").alias("matched"), F.round(F.avg("delta_e"), 6).alias("mean_delta_e"), F.max_by("flavor", "delta_e").alias("worst"), F.round(F.max("delta_e"), 6).alias("worst_delta_e"))
-
-
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, "SELECT photo_id, v, 2e0 * x / 64e0 - 1e0 AS u, 2e0 * y / 50e0 - 1e0 AS w FROM ({raster}) AS t WHERE x % 6 = 0 AND y % 6 = 0")
+    return run(spark, sf_dir, _PLACES)
 
 
 def _surface(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,8 +180,8 @@ def _assignment_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assignment.assign_projects(costs)
 
 
-def _summary_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole table; without SQL, as the assignment has none. ``match_summary`` has some, over few flavours and sheets."""
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the whole table; without SQL, as the assignment has none."""
     available = run(spark, sf_dir, f"SELECT count(*) AS available FROM ({_papers()}) AS p WHERE available")
     return assignment.summarise(_assignment_full(spark, sf_dir), available)
 
@@ -192,7 +191,7 @@ def _locked(spark: SparkSession, sf_dir: str) -> DataFrame:
     project = F.lit(0).cast("long").alias("project")
     flavors = run(spark, sf_dir, _flavors()).select(project, "flavor", "label")
     costs = run(spark, sf_dir, _costs()).select(project, "flavor", "paper", "available", "delta_e")
-    first = "SELECT f.flavor, p.paper FROM (SELECT flavor, row_number() OVER (ORDER BY flavor) AS i FROM (SELECT DISTINCT lower(trim(p_name)) AS flavor FROM part) AS d ORDER BY flavor LIMIT 2) AS f JOIN (SELECT s_suppkey AS paper, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier ORDER BY s_suppkey LIMIT 2) AS p ON f.i = p.i"
+    first = "SELECT f.flavor, p.paper FROM (SELECT flavor, row_number() OVER (ORDER BY flavor) AS i FROM (SELECT DISTINCT {key} AS flavor FROM (SELECT p_name AS label FROM part) AS n) AS d ORDER BY flavor LIMIT 2) AS f JOIN (SELECT s_suppkey AS paper, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier ORDER BY s_suppkey LIMIT 2) AS p ON f.i = p.i"
     matched = assignment.match_projects(flavors, costs, run(spark, sf_dir, first).select(project, "flavor", "paper"))
     return matched.select("flavor", "paper", F.round("delta_e", 6).alias("delta_e"), "locked", F.expr("transform(alternates, a -> named_struct('paper', a.paper, 'delta_e', round(a.delta_e, 6), 'taken_by', a.taken_by))").alias("alternates"))
 
@@ -206,19 +205,24 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labels(spark, sf_dir).groupBy("photo_id", "label").agg(F.count("*").alias("area"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), edge.alias("on_edge"))
 
 
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_moments("SELECT * FROM {labels}"), labels=_labels(spark, sf_dir))
+
+
 def _distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Separable: nearest site in each column by two windows, then each row against its own columns only."""
-    marked = f"SELECT photo_id, y, x, CASE WHEN v > 0.15e0 THEN y END AS site FROM ({{raster}}) AS t"
-    up = "last_value(site, true) OVER (PARTITION BY photo_id, x ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    down = "first_value(site, true) OVER (PARTITION BY photo_id, x ORDER BY y ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
-    column = f"SELECT photo_id, y, x, least((y - {up}) * (y - {up}), ({down} - y) * ({down} - y)) AS dy2 FROM ({marked}) AS t"
-    return run(spark, sf_dir, f"WITH c AS ({column}) SELECT a.photo_id, a.y, a.x, min((a.x - b.x) * (a.x - b.x) + b.dy2) AS d2 FROM c a JOIN c b ON a.photo_id = b.photo_id AND a.y = b.y WHERE b.dy2 IS NOT NULL GROUP BY a.photo_id, a.y, a.x")
+    return raster.distances(run(spark, sf_dir, "SELECT photo_id, y, x, v > 0.15e0 AS site FROM ({raster}) AS t"))
 
 
 def _lender(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of lookup with one window over each user's events: the last measured one before, if under two hours old."""
-    last = "last_value(CASE WHEN event_type IN ('view', 'click') THEN struct(ts, event_id) END, true) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    return run(spark, sf_dir, f"SELECT event_id, seen.event_id AS lender FROM (SELECT event_id, ts, {last} AS seen FROM events) AS e WHERE ts < seen.ts + INTERVAL '2' HOUR")
+    """As-of lookup with one window over each user's events: the newest measured one up to now, itself left out.
+
+    Of events at one instant the one with the larger id counts as newer. Only the two newest up to an instant can be the answer.
+    """
+    seen = "CASE WHEN event_type IN ('view', 'click') THEN struct(ts, event_id) END"
+    text = f"""
+        WITH own AS (SELECT event_id, user_id, ts, max({seen}) OVER (PARTITION BY user_id ORDER BY ts) AS newest, max({seen}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events)
+        SELECT event_id, lender.event_id AS lender FROM (SELECT event_id, ts, CASE WHEN newest.event_id = event_id THEN before ELSE newest END AS lender FROM own) AS e WHERE ts < lender.ts + INTERVAL '2' HOUR"""
+    return run(spark, sf_dir, text)
 
 
 def _ward(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +230,7 @@ def _ward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Spark's own plan where it isn't the text; without a text beside it, SQL can't state the result.
-OWN: dict[str, Query] = {"match_assignment_small": _assignment_small, "components": _labels, "component_boxes": _boxes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_summary_full": _summary_full, "match_locked": _locked, "surface_fit": _surface, "surface_fit_robust": _robust_surface, "ward_cut": _ward, "group_suggestion": _groups, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
+OWN: dict[str, Query] = {"components": _labels, "component_boxes": _boxes, "object_moments": _shapes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_locked": _locked, "surface_fit": _surface, "surface_fit_robust": _robust_surface, "ward_cut": _ward, "group_suggestion": _groups, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
 
 
 def queries() -> dict[str, Query]:

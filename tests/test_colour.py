@@ -38,6 +38,7 @@ def test_published_differences_both_ways(spark):
 
 def test_measured_pixels_and_round_trip(spark):
     white = (0.659726868, 0.691085816, 0.552663648)
+    # Measured pixels that must come out the same.
     for rgb, space, lab, code in (((200, 60, 50), "sRGB", (51.7517, 57.5539, 31.7471), "#da4749"), ((200, 60, 50), "displayP3", (52.829, 69.2447, 41.0705), "#ee333c"), ((12, 10, 14), "sRGB", (3.892, 1.9414, -5.027), "#0d0d16")):
         df = spark.createDataFrame([tuple(map(float, rgb))], "r double, g double, b double")
         r = apply(df, [*pixel_lab_stages(space, white), *unlab_stages(), *hex_stages(), *lab_stages("ux", "uy", "uz", ("l", "a", "b"))]).first()
@@ -59,10 +60,9 @@ def test_assignment_against_all_injections():
 
 
 def test_clusters_axes_and_labels():
-    rng = np.random.default_rng(3)
-    points = np.concatenate([rng.normal(c, 0.5, (15, 3)) for c in ((0, 0, 0), (10, 0, 0), (0, 10, 0))])
-    groups = cut(ward_merges(points), 45, 3)
-    assert groups == [0] * 15 + [1] * 15 + [2] * 15
+    rng = np.random.default_rng(17)
+    points = np.concatenate([rng.uniform(-1, 1, (n, 3)) + c for n, c in ((9, (20, 0, 5)), (14, (0, 30, 5)), (6, (-20, 0, 40)))])
+    assert cut(ward_merges(points), 29, 3) == [0] * 9 + [1] * 14 + [2] * 6
     values, vectors = eigen(np.diag([1.0, 4.0, 2.0]))
     assert np.allclose(values, (4, 2, 1)) and np.allclose(vectors[:, 0], (0, 1, 0))
     mask = np.array([[1, 0, 1], [0, 1, 0], [1, 1, 0]], bool)
@@ -71,7 +71,7 @@ def test_clusters_axes_and_labels():
 
 
 def test_solve_and_surface(spark):
-    assert np.allclose(solve([[2, 1, -1], [-3, -1, 2], [-2, 1, 2]], [8, -11, -3]), (2, 3, -1)) and solve([[1, 2], [2, 4]], [1, 2]) is None
+    assert np.allclose(solve([[0, 3, 1], [4, 1, 0], [1, 0, 5]], [7, 6, 6]), (1, 2, 1)) and solve([[3, 6], [1, 2]], [9, 3]) is None
     rows = [(1, u / 5, w / 5, 1 + u / 5 - w / 5 + 0.5 * u * w / 25) for u in range(-5, 6) for w in range(-5, 6)] + [(2, 0.0, 0.0, 1.0)]
     got = {r.photo_id: r[1:] for r in fit_surface(spark.createDataFrame(rows, "photo_id long, u double, w double, v double")).collect()}
     assert np.allclose(got[1], (1, 1, -1, 0, 0.5, 0), atol=1e-9) and got[2][0] is None
@@ -106,6 +106,27 @@ def test_records(spark):
     assert left.count() == 1 and cleared.where(F.col("photo_id") == "q").count() == 1 and cleared.where("tap_x is null").count() == 2
 
 
+def test_rename_and_locks(spark):
+    samples = spark.createDataFrame([("1", "bean", "Lime"), ("2", "bean", "Cherry"), ("3", "paper", "Lime"), ("4", "bean", "Plum")], "id string, kind string, label string")
+    locks = spark.createDataFrame([("lime", "3"), ("cherry", "9")], "flavor_key string, paper_id string")
+    after = lambda i, name: sorted(map(tuple, records.rename(samples, locks, i, name)[1].collect()))
+    assert after("1", "Cherry") == [("cherry", "9")]  # the lock that is there stays
+    assert after("1", "Pear") == [("cherry", "9"), ("pear", "3")]
+    assert after("3", "Pear") == after("1", " Lime ") == after("1", "") == after("4", "Lime") == [("cherry", "9"), ("lime", "3")]
+    long = spark.createDataFrame([("1", "p" * 3000 + "41")], "id string, label string")
+    assert records.next_number(long, "p" * 3000).first().n == 42
+
+
+def test_lender_of_equal_times(spark, tmp_path):
+    rows = [(1, 0, 1, "view"), (2, 0, 1, "view"), (3, 60, 1, "error"), (4, 7260, 1, "click"), (5, 7260, 2, "view"), (6, 0, 1, "error")]
+    events = spark.createDataFrame([(i, t, u, k) for i, t, u, k in rows], "event_id long, s long, user_id long, event_type string").selectExpr("event_id", "timestamp_seconds(s) AS ts", "user_id", "event_type")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.lender for r in plans.queries()["borrowed_white_asof"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == dict(con.sql(plans.oracle_sql()["borrowed_white_asof"]).fetchall()) == {1: 2, 2: 1, 3: 2, 6: 2}
+
+
 def test_match_with_locks(spark):
     def match(costs, locks, names=("Cherry", "Berry")):
         flavors = spark.createDataFrame([(1, n.lower(), n) for n in names], "project long, flavor string, label string")
@@ -139,7 +160,7 @@ def test_summary_of_the_whole_table(spark):
     sizes = [plans.run(spark, d, t).first()[0] for t in (f"SELECT count(*) FROM ({plans._flavors()}) AS f", f"SELECT count(*) FROM ({plans._papers()}) AS p WHERE available")]
     pairs = {(r.flavor, r.paper): r.delta_e for r in plans.run(spark, d, plans._costs()).collect()}
     at = [(r.flavor, r.paper) for r in plans.queries()["match_assignment_full"](spark, d).collect() if r.paper is not None]
-    got = plans.queries()["match_summary_full"](spark, d).first()
+    got = plans.queries()["match_summary"](spark, d).first()
     off = [pairs[x] for x in at]
     assert (got.flavors, got.matched, got.spare) == (sizes[0], min(sizes), max(sizes[1] - sizes[0], 0)) and got.flavors > 4
     assert (got.mean_delta_e, got.worst_delta_e) == (pytest.approx(sum(off) / len(off), abs=1e-6), pytest.approx(max(off), abs=1e-6))
