@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -28,18 +29,21 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; every document stays."""
+    gc.collect()  # the plans of the stage before, with their broadcasts, live on the driver as long as Python holds them
     kept = lines.drop_lines(docs)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, with all its rows; rows without id stay."""
+    gc.collect()
     others = small_side(checkpointed(neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()))
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
+    gc.collect()
     return contamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 

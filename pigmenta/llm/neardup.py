@@ -40,6 +40,7 @@ Defined results
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -248,6 +249,7 @@ def components(links: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select("v", "v")).groupBy("node").agg(F.min("comp").alias("comp"))
+        gc.collect()  # plans of the rounds before live on the driver as long as Python holds them
         before, heavy = now, heavy_from(2 * now[0])
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("k"))
