@@ -53,6 +53,20 @@ samples array<struct<id:string,kind:string,label:string,photoID:string,tap:struc
 locks map<string,string>, _broken string"""
 
 
-def read_projects(spark: SparkSession, path: str) -> DataFrame:
-    """Saved projects; a file that can't be read keeps its text in ``_broken`` and is left as it is."""
-    return spark.read.schema(PROJECT).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken").withColumn("path", F.input_file_name())
+def read_projects(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Saved projects, one to a file or, as ``write_projects`` saves them, one to a line; one that can't be read keeps its text in ``_broken``, and the file is left as it is."""
+    return spark.read.schema(PROJECT).json(path, multiLine=not lines, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken").withColumn("path", F.input_file_name())
+
+
+def split_projects(projects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Projects that were read, and (path, text) of files to be kept aside: no JSON, or (text null) JSON without a version, which is no project."""
+    sound = F.col("_broken").isNull() & F.col("version").isNotNull()
+    return projects.where(sound).drop("_broken"), projects.where(~sound).select("path", F.col("_broken").alias("text"))
+
+
+def write_projects(projects: DataFrame, path: str) -> None:
+    """Save projects as JSON, one to a line, in a new folder; readers find all of it or nothing, as its files are moved there when the job commits.
+
+    Projects must be those of ``split_projects``: what could not be read is not saved as an empty project.
+    """
+    projects.drop("path").write.mode("errorifexists").json(path)

@@ -1,6 +1,7 @@
 """Published values, algebraic properties and brute force for the colour operators; SQL for the queries."""
 
 import itertools
+import json
 
 import duckdb
 import numpy as np
@@ -14,7 +15,7 @@ from pigmenta.operators.grouping import cut, eigen, ward_merges
 from pigmenta.operators.raster import label
 from pigmenta.operators.surface import fit_surface, solve
 from pigmenta.plans import queries as plans
-from pigmenta.sources.ppm import decode_ppm, read_ppm, read_projects
+from pigmenta.sources.ppm import decode_ppm, read_ppm, read_projects, split_projects, write_projects
 
 # Published CIEDE2000 pairs (Sharma, Wu and Dalal 2005).
 PAIRS = [
@@ -90,6 +91,24 @@ def test_sources(spark, tmp_path):
     assert sorted(str(r.version) for r in read_projects(spark, str(tmp_path / "p")).select("version", "_broken").collect()) == ["1", "None"]
 
 
+def test_projects_saved_and_read_again(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    tap = {"x": 3.0, "y": 4.5, "r": 9.0}
+    sample = {"id": "s", "kind": "bean", "label": "Größe\n2", "photoID": None, "tap": tap, "lab": [50.0, 1.0, -2.0], "available": True, "created": 7.0}
+    whole = {"version": 1, "photos": [], "samples": [sample], "locks": {"lime": "s"}}
+    (tmp_path / "p" / "a.json").write_text(json.dumps(whole, indent=1))
+    (tmp_path / "p" / "b.json").write_text("{ no project")
+    (tmp_path / "p" / "d.json").write_text('{"other": 1}')
+    (tmp_path / "p" / "c.json").write_text(json.dumps(whole | {"version": 2, "samples": [], "locks": {}}))
+    sound, aside = split_projects(read_projects(spark, str(tmp_path / "p")))
+    assert sorted((r.path.rsplit("/", 1)[1], r.text) for r in aside.collect()) == [("b.json", "{ no project"), ("d.json", None)]
+    write_projects(sound, str(tmp_path / "saved"))
+    again, broken = split_projects(read_projects(spark, str(tmp_path / "saved"), lines=True))
+    plain = lambda df: sorted((r.asDict(True) for r in df.drop("path").collect()), key=lambda r: r["version"])
+    assert broken.count() == 0 and plain(again) == plain(sound)
+    assert plain(again)[0]["samples"][0]["label"] == "Größe\n2" and plain(again)[0]["locks"] == {"lime": "s"}
+
+
 def test_records(spark):
     samples = spark.createDataFrame([("1", "object", "Lime  x", "p", 1.0, 1.0, True), ("2", "object", "lime X", "q", 1.0, 1.0, True), ("3", "paper", "#7", None, None, None, True)], "id string, kind string, label string, photo_id string, tap_x double, tap_y double, available boolean")
     locks = spark.createDataFrame([("lime x", "3"), ("berry", "9")], "flavor_key string, paper_id string")
