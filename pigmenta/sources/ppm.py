@@ -59,8 +59,8 @@ def read_projects(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 
 
 def split_projects(projects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Projects that were read, and (path, text) of files to be kept aside: no JSON, or (text null) JSON without a version, which is no project."""
-    sound = F.col("_broken").isNull() & F.col("version").isNotNull()
+    """Projects that were read, and (path, text) of files to be kept aside: no JSON, or (text null) JSON that lacks the version, photos, samples or locks."""
+    sound = F.expr("_broken IS NULL AND version IS NOT NULL AND photos IS NOT NULL AND samples IS NOT NULL AND locks IS NOT NULL")
     return projects.where(sound).drop("_broken"), projects.where(~sound).select("path", F.col("_broken").alias("text"))
 
 

@@ -98,7 +98,7 @@ def test_projects_saved_and_read_again(spark, tmp_path):
     whole = {"version": 1, "photos": [], "samples": [sample], "locks": {"lime": "s"}}
     (tmp_path / "p" / "a.json").write_text(json.dumps(whole, indent=1))
     (tmp_path / "p" / "b.json").write_text("{ no project")
-    (tmp_path / "p" / "d.json").write_text('{"other": 1}')
+    (tmp_path / "p" / "d.json").write_text('{"version": 1, "photos": [], "locks": {}}')
     (tmp_path / "p" / "c.json").write_text(json.dumps(whole | {"version": 2, "samples": [], "locks": {}}))
     sound, aside = split_projects(read_projects(spark, str(tmp_path / "p")))
     assert sorted((r.path.rsplit("/", 1)[1], r.text) for r in aside.collect()) == [("b.json", "{ no project"), ("d.json", None)]
