@@ -56,10 +56,10 @@ ASSIGNED = "project long, flavor string, paper long, delta_e double"
 
 
 def assign_projects(costs: DataFrame) -> DataFrame:
-    """(project, flavor, paper, delta_e), all pairs of a project, to each flavour's sheet at least total squared difference; null if none is left."""
+    """(project, flavor, paper, delta_e), all pairs of a project, to each flavour's sheet at least total squared difference; null if none is left. Of a repeated pair the least difference counts."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot(index="flavor", columns="paper", values="delta_e").sort_index().sort_index(axis=1)
+        table = pdf.sort_values("delta_e").drop_duplicates(["flavor", "paper"]).pivot(index="flavor", columns="paper", values="delta_e").sort_index().sort_index(axis=1)
         if table.size > MOST_CELLS:
             raise ValueError(f"project {pdf['project'].iloc[0]} has {table.size} cells; at most {MOST_CELLS} are assigned in one task")
         cost = table.to_numpy(float)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pigmenta.functions.color import apply, ciede2000_stages, hex_stages, lab_stages, pixel_lab_stages, unlab_stages
 from pigmenta.operators import records
-from pigmenta.operators.assignment import assign, match_projects
+from pigmenta.operators.assignment import assign, assign_projects, match_projects
 from pigmenta.operators.grouping import cut, eigen, ward_merges
 from pigmenta.operators.raster import label
 from pigmenta.operators.surface import fit_surface, solve
@@ -196,3 +196,9 @@ def test_query_against_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     rows = lambda df: sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+def test_assignment_with_repeated_pairs(spark):
+    rows = [(0, "lime", 1, 9.0), (0, "lime", 1, 2.0), (0, "lime", 2, 3.0), (0, "plum", 1, 1.0), (0, "plum", 2, 4.0), (0, "plum", 2, 4.0)]
+    out = assign_projects(spark.createDataFrame(rows, "project long, flavor string, paper long, delta_e double")).collect()
+    assert sorted((r.flavor, r.paper, r.delta_e) for r in out) == [("lime", 2, 3.0), ("plum", 1, 1.0)]
