@@ -20,7 +20,7 @@ connected components of the links.
    drop out. (At similarity 0.8 fewer than 35 of 64 agree with probability under 1e-6.)
 4. Only now are the full sets of what is left fetched. Inside a chunk, which also holds its group's hub, pairs above
    the threshold that are not connected yet are confirmed on the full sets; connected ones are skipped.
-   What comes out is a spanning forest of links, never a row for every pair. In groups of several chunks the
+   What comes out is a star for each part of a chunk that hangs together, never a row for every pair. In groups of several chunks the
    members outside the group's largest component are then compared with all of its chunks, block by
    block; nothing is left out.
 5. Components are found by alternating large-star and small-star steps on the executors.
@@ -175,7 +175,10 @@ def close_pairs(sigs: np.ndarray, size: np.ndarray, first: np.ndarray, second: n
 
 
 def link_block(nodes: list[int], comps: list[int], first: np.ndarray, second: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect different components, between members marked in ``first`` and in ``second``; a spanning forest of them."""
+    """Links that connect different components, between members marked in ``first`` and in ``second``.
+
+    What was connected comes out as stars: each member's link to the first of those it is connected with.
+    """
     place: dict[int, int] = {}
     forest = Forest(len(nodes))
     for i, c in enumerate(comps):
@@ -183,17 +186,19 @@ def link_block(nodes: list[int], comps: list[int], first: np.ndarray, second: np
     a, b, hits = close_pairs(np.stack([signature(x) for x in sets]), np.array([len(x) for x in sets]), first, second)
     order = np.argsort(-hits, kind="stable")
     a, b = a[order], b[order]
-    out, step = [], 256
+    met, step = set(), 256
     while len(a):
         for i, j in zip(a[:step].tolist(), b[:step].tolist(), strict=True):
             if forest.find(i) != forest.find(j) and linked(sets[i], sets[j]):
                 forest.join(i, j)
-                out.append((nodes[i], nodes[j]))
+                met |= {i, j}
         a, b, step = a[step:], b[step:], step * 2
         root = forest.roots()
         apart = root[a] != root[b]
         a, b = a[apart], b[apart]
-    return out
+    heads: dict[int, int] = {}
+    stars = [(i, heads.setdefault(forest.find(i), i)) for i in sorted(met)]
+    return [(nodes[i], nodes[j]) for i, j in stars if i != j]
 
 
 GROUP = ["hub", "hub_h1"]
@@ -240,23 +245,29 @@ def _link_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
+def _rows(df: DataFrame, names: tuple[str, str], *pairs: tuple) -> DataFrame:
+    """A row (columns ``names``) for each of ``pairs`` of columns or numbers, from every row of ``df``; they are read once."""
+    value = lambda x: F.col(x) if isinstance(x, str) else F.lit(x)
+    return df.select(F.explode(F.array(*(F.struct(*(value(x).alias(n) for x, n in zip(p, names, strict=True))) for p in pairs))).alias("e")).select("e.*")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node of ``links`` (a, b); comp is the smallest node reachable."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before = None
     while True:
         edges = checkpointed(edges)
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select("v", "v")).groupBy("node").agg(F.min("comp").alias("comp"))
+        # Done when each node either only has others above it or has one edge, which leads to such a node.
+        ends = _rows(edges, ("node", "up"), ("u", 1), ("v", 0)).groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+        n, unsettled = ends.agg(F.coalesce(F.sum("ups"), F.lit(0)), F.count_if((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("least") == 0)))).first()
+        if not unsettled:
+            return _rows(edges, ("node", "comp"), ("u", "v"), ("v", "v")).distinct()
         gc.collect()  # plans of the rounds before live on the driver as long as Python holds them
-        before, heavy = now, heavy_from(2 * now[0])
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        heavy = heavy_from(2 * n)
+        both = _rows(edges, ("u", "v"), ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("k"))
         large = checkpointed(spread_join(both, least, ["u"], "k", heavy).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
-        pair = lambda x, y: F.struct(F.col(x).alias("u"), F.col(y).alias("v"))
-        edges = spread_join(large, least, ["u"], "k", heavy).select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        edges = _rows(spread_join(large, least, ["u"], "k", heavy), ("u", "v"), ("u", "m"), ("v", "m")).where("u <> v").distinct()
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -353,7 +364,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         comps = _merge(comps, checkpointed(_dealt(_rest(wide, comps), sets, _link_blocks, LINKS)))
 
     component = lambda at: F.coalesce("comp", at).alias("component_id")
-    placed = classes.select(*print_, "node", "copies").join(comps, "node", "left").select(*print_, "copies", component("node"))
+    placed = checkpointed(classes.select(*print_, "node", "copies").join(comps, "node", "left").select(*print_, "copies", component("node")))
     out = spread_join(named, placed, print_, "copies", heavy).select("doc_id", "n", "component_id")
     empty = rows.where("n = 0 and doc_id is not null").select("doc_id", "n").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", component("doc_id"))
     out = out.union(empty).union(rows.where("doc_id is null").select("doc_id", "n", F.lit(None).cast("long")))
