@@ -384,6 +384,23 @@ def test_near_duplicates_repeated_ids_at_random(spark, seed, heavy, monkeypatch)
     assert got.where("kept <> (doc_id = component_id)").count() == 0
 
 
+PATH = random.Random(3).sample(range(200), 200)
+
+
+@pytest.mark.parametrize("links", [[], [(1, 1)], [(2, 1), (1, 2), (2, 1)], list(zip(PATH, PATH[1:])), [(9000, i) for i in range(2500)], [(random.Random(i).randrange(400), random.Random(-i - 7).randrange(400)) for i in range(220)]])  # noqa: B905
+def test_components_against_union_find(spark, links):
+    up = {x: x for link in links for x in link}
+    for a, b in links:
+        while up[a] != a:
+            a = up[a]
+        while up[b] != b:
+            b = up[b]
+        up[max(a, b)] = min(a, b)
+    least = lambda x: x if up[x] == x else least(up[x])
+    want = sorted({(x, least(x)) for a, b in links if a != b for x in (a, b)})
+    assert sorted(tuple(r) for r in neardup.components(spark.createDataFrame(links, "a long, b long")).select("node", "comp").collect()) == want
+
+
 def test_near_duplicates_of_one_boilerplate(spark, monkeypatch):
     """A group held together by shared words only: members without a close partner in their chunk meet all the others."""
     monkeypatch.setattr(neardup, "CHUNK", 6)
