@@ -1,4 +1,4 @@
-"""The ten operators as queries over the test tables, and their SQL where SQL can express them.
+"""The operators of this subpackage as queries over the test tables, and their SQL where SQL can express them.
 
 A query is thin: it runs its operator over the whole table and derives the digest columns.
 """
@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pigmenta.llm import contamination, langid, lines, neardup, ogg, packing, quality, repeats, secrets, toxicity
+from pigmenta.llm import contamination, interaction, langid, lines, neardup, ogg, packing, quality, repeats, repetition, secrets, toxicity, whitening
 from pigmenta.llm.common import class_sample, crc_mod, read, small_side
 
 
@@ -89,8 +89,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = repetition.repetition_rules(read(spark, sf_dir, "documents"), keep=("doc_id",))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ogg_media, op2_substring_dedup, op3_secret_scan, op4_language_id, op5_decontamination, op6_line_dedup, op7_packing, op8_minhash_neardup, op9_toxicity, op10_quality)
+    f.__name__: f for f in (op1_ogg_media, op2_substring_dedup, op3_secret_scan, op4_language_id, op5_decontamination, op6_line_dedup, op7_packing, op8_minhash_neardup, op9_toxicity, op10_quality, op11_repetition_rules, op12_filter_audit, op13_whitening)
 }
 
 _OP2 = r"""
@@ -158,4 +171,37 @@ SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, w
 FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": _OP2, "op5_decontamination": _OP5, "op6_line_dedup": _OP6, "op8_minhash_neardup": _OP8}
+_OP11 = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+pos AS (SELECT doc_id, unnest(ws) AS v, unnest(range(0, len(ws))) AS p FROM w),
+chars AS (SELECT doc_id, sum(length(v)) AS c FROM pos GROUP BY doc_id),
+win AS (SELECT doc_id, k, i, array_to_string(ws[i + 1:i + k], ' ') AS t FROM (SELECT doc_id, ws, k, unnest(range(0, len(ws) - k + 1)) AS i FROM w, (SELECT unnest([3, 5, 6, 7, 8, 9, 10]) AS k) AS ks WHERE len(ws) >= k)),
+many AS (SELECT doc_id, k, t, min(i) AS f FROM win GROUP BY doc_id, k, t HAVING count(*) > 1),
+cover AS (SELECT DISTINCT doc_id, k, unnest(range(i, i + k)) AS p FROM win JOIN many USING (doc_id, k, t) WHERE k = 3 OR i > f),
+rep AS (SELECT doc_id, count(*) AS n FROM cover WHERE k = 3 GROUP BY doc_id),
+dup AS (SELECT doc_id, k, sum(length(v)) AS c FROM cover JOIN pos USING (doc_id, p) WHERE k > 3 GROUP BY doc_id, k),
+heavy AS (SELECT DISTINCT doc_id FROM dup JOIN chars USING (doc_id) WHERE 100 * dup.c > CASE k WHEN 5 THEN 15 WHEN 6 THEN 14 WHEN 7 THEN 13 WHEN 8 THEN 12 WHEN 9 THEN 11 ELSE 10 END * chars.c),
+ls AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS l FROM w),
+ln AS (SELECT doc_id, l, count(*) AS n FROM ls WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id, l),
+lines AS (SELECT doc_id, sum(n - 1) AS n, sum((n - 1) * length(l)) AS dup, sum(n * length(l)) AS total FROM ln GROUP BY doc_id),
+b AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(chars.c, 0) AS word_chars, length(x) - length(translate(x, '#*$%&|<>', '')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, heavy.doc_id IS NOT NULL OR coalesce(100 * lines.dup > 20 * lines.total, FALSE) AS bad FROM w LEFT JOIN chars USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN heavy USING (doc_id) LEFT JOIN lines USING (doc_id)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
+FROM v
+"""
+
+_OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, FALSE)) AS good, bool_or(coalesce(toxic = 1, FALSE)) AS bad FROM labels GROUP BY doc_id),
+m AS (SELECT part, (CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END) || (CASE WHEN 100 * (length(x) - length(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(x) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN doc_id > first THEN 'E' ELSE '' END) AS mask, coalesce(good, FALSE) AS good, coalesce(bad, FALSE) AS bad FROM d LEFT JOIN l USING (doc_id)),
+cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM m GROUP BY part, mask),
+parts AS (SELECT part, sum(n) AS total FROM cells GROUP BY part),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || e.f || g.f AS o FROM f a, f b, f c, f e, f g WHERE length(translate('ABCDE', a.f || b.f || c.f || e.f || g.f, '')) = 0),
+steps AS (SELECT o, s, substr(o, s, 1) AS f, substr(o, 1, s - 1) AS done FROM orders, (SELECT unnest(range(1, 6)) AS s) AS t),
+r AS (SELECT part, o, s, f, sum(CASE WHEN contains(mask, f) AND length(translate(mask, done, '')) = length(mask) THEN n ELSE 0 END) AS removed, sum(CASE WHEN contains(mask, f) AND length(translate(mask, done, '')) < length(mask) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = f THEN n ELSE 0 END) AS uniq, sum(CASE WHEN contains(mask, f) AND length(translate(mask, done, '')) = length(mask) THEN good ELSE 0 END) AS good, sum(CASE WHEN contains(mask, f) AND length(translate(mask, done, '')) = length(mask) THEN bad ELSE 0 END) AS bad FROM cells, steps GROUP BY part, o, s, f)
+SELECT part, o AS filter_order, CAST(s AS INT) AS step, CAST(total - sum(removed) OVER (PARTITION BY part, o ORDER BY s) AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(uniq AS BIGINT) AS unique_fails, CAST(good AS BIGINT) AS good_lost, CAST(bad AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r JOIN parts USING (part)
+"""
+
+ORACLES: dict[str, str] = {"op2_substring_dedup": _OP2, "op5_decontamination": _OP5, "op6_line_dedup": _OP6, "op8_minhash_neardup": _OP8, "op11_repetition_rules": _OP11, "op12_filter_audit": _OP12}
