@@ -148,7 +148,7 @@ forms AS (SELECT ts, ts AS u FROM shapes WHERE nw > 0 AND 2 * nw >= n UNION SELE
 uses AS (SELECT text, i, chars, u FROM m JOIN forms USING (ts)),
 often AS (SELECT u FROM uses GROUP BY u HAVING count(DISTINCT text) >= 10),
 covered AS (SELECT text, sum(chars) AS c FROM (SELECT DISTINCT text, i, chars FROM uses SEMI JOIN often USING (u)) GROUP BY text),
-own AS (SELECT text FROM covered JOIN (SELECT text, sum(chars) AS total FROM m GROUP BY text) USING (text) WHERE 2 * c <= total),
+own AS (SELECT text FROM covered JOIN (SELECT text, sum(chars) AS total FROM m GROUP BY text) USING (text) WHERE 9 * c <= 8 * total),
 bad AS (SELECT u FROM uses SEMI JOIN often USING (u) SEMI JOIN own USING (text) GROUP BY u HAVING count(DISTINCT text) >= 10),
 gone AS (SELECT DISTINCT text, i FROM uses SEMI JOIN bad USING (u)),
 kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS k FROM raw ANTI JOIN gone USING (text, i) GROUP BY doc_id),

@@ -114,8 +114,8 @@ def lines(rows, recur=10):
         return {f for f, x in by.items() if len(x) >= recur}
 
     seen = often(texts)
-    mostly_own = [x for x, ls in texts.items() if 2 * sum(len(v) for _, v, t in ls if forms[t] & seen) <= sum(len(v) for _, v, _ in ls)]
-    bad = often(mostly_own)
+    no_copies = [x for x, ls in texts.items() if 9 * sum(len(v) for _, v, t in ls if forms[t] & seen) <= 8 * sum(len(v) for _, v, _ in ls)]
+    bad = often(no_copies)
     out = []
     for d, text in rows:
         gone = {i for i, _, t in texts.get(text, []) if forms[t] & bad}

@@ -288,6 +288,25 @@ def test_lines_fields(spark):
         assert all(got[d] == f"{unlike(d)}\n{unlike(-d)}" for d, _ in rows), form
 
 
+def test_lines_boilerplate_over_half_of_a_text(spark):
+    block = [f"{unlike(f'block {i}', 6)} and so on" for i in range(5)]
+    rows = [(d, "\n".join([unlike(d, 15), *block, unlike(-d, 15)])) for d in range(1, 201)]
+    assert sum(map(len, block)) > 0.5 * len(rows[0][1])
+    assert dropped(spark, rows) == {d: f"{unlike(d, 15)}\n{unlike(-d, 15)}" for d, _ in rows}
+
+
+def test_lines_of_one_very_long_text(spark):
+    """Work grows with the lines: a text of many equal lines, one of many different ones, and boilerplate in both."""
+    hot = "thanks for reading this story of ours"
+    rows = [(d, f"{unlike(d)}\n{hot}\n{unlike(-d)}") for d in range(20)]
+    same, other = "the same line again and again\n" * 50_000, "\n".join(f"{unlike(i % 977, 3)} {unlike(i // 977, 3)}" for i in range(50_000))
+    rows += [(100, f"{same}{hot}"), (101, f"{other}\n{hot}\n{other}"), (102, f"{unlike(102)}\nthe same line again and again\n{unlike(103)}"), (103, f"{hot}\n" * 50_000 + unlike(104))]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in lines.drop_lines(brute.edge_frame(spark, rows)).collect()}
+    assert got[100] == (same[:-1], 50_001, 1)
+    assert got[101] == (f"{other}\n{other}", 100_001, 1) and got[103] == (unlike(104), 50_001, 50_000)
+    assert all(got[d] == (f"{unlike(d)}\n{unlike(-d)}", 3, 1) for d in range(20)) and got[102][1:] == (3, 0)
+
+
 # 7 Packing
 
 
