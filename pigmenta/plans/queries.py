@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pigmenta.functions.color import ciede2000_stages, hex_stages, lab_stages, nest, pixel_lab_stages, unlab_stages, xyz_stages
 from pigmenta.operators import assignment, grouping, measure, raster, segment, surface
-from pigmenta.plans import display
+from pigmenta.plans import display, matching
 from pigmenta.sources.scenes import COLUMNS, MARGIN, PITCH, family, scene_photos
 
 TABLES = ("customer", "embeddings", "events", "part", "supplier")
@@ -177,7 +177,7 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _assignment_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     costs = run(spark, sf_dir, _costs()).where("available").select(F.lit(0).cast("long").alias("project"), "flavor", "paper", "delta_e")
-    return assignment.assign_projects(costs)
+    return assignment.assign_projects(costs).select("project", "flavor", "paper", "delta_e")
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,9 +189,9 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _locked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match under the locks of FIXTURES.md: the first two flavours to the two lowest sheets."""
     project = F.lit(0).cast("long").alias("project")
-    flavors = run(spark, sf_dir, _flavors()).select(project, "flavor", "label")
+    flavors = run(spark, sf_dir, _flavors()).select(project, F.col("first_seq").alias("ord"), "flavor", "label")
     costs = run(spark, sf_dir, _costs()).select(project, "flavor", "paper", "available", "delta_e")
-    first = "SELECT f.flavor, p.paper FROM (SELECT flavor, row_number() OVER (ORDER BY flavor) AS i FROM (SELECT DISTINCT {key} AS flavor FROM (SELECT p_name AS label FROM part) AS n) AS d ORDER BY flavor LIMIT 2) AS f JOIN (SELECT s_suppkey AS paper, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier ORDER BY s_suppkey LIMIT 2) AS p ON f.i = p.i"
+    first = "SELECT f.flavor, p.paper FROM (SELECT flavor, row_number() OVER (ORDER BY flavor) AS i FROM (SELECT DISTINCT {key} AS flavor FROM (SELECT p_name AS label FROM part) AS n ORDER BY flavor LIMIT 2) AS d) AS f JOIN (SELECT paper, row_number() OVER (ORDER BY paper) AS i FROM (SELECT s_suppkey AS paper FROM supplier ORDER BY s_suppkey LIMIT 2) AS t) AS p ON f.i = p.i"
     matched = assignment.match_projects(flavors, costs, run(spark, sf_dir, first).select(project, "flavor", "paper"))
     return matched.select("flavor", "paper", F.round("delta_e", 6).alias("delta_e"), "locked", F.expr("transform(alternates, a -> named_struct('paper', a.paper, 'delta_e', round(a.delta_e, 6), 'taken_by', a.taken_by))").alias("alternates"))
 
@@ -233,10 +233,13 @@ def _ward(spark: SparkSession, sf_dir: str) -> DataFrame:
 OWN: dict[str, Query] = {"components": _labels, "component_boxes": _boxes, "object_moments": _shapes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_locked": _locked, "surface_fit": _surface, "surface_fit_robust": _robust_surface, "ward_cut": _ward, "group_suggestion": _groups, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
 
 
+OWN |= matching.queries(run, _costs())
+
+
 def queries() -> dict[str, Query]:
     plain = {name: (lambda spark, sf_dir, text=text: run(spark, sf_dir, text)) for name, text in TEXTS.items()}
     return plain | OWN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _filled(text, DUCK) for name, text in TEXTS.items()}
+    return {name: _filled(text, DUCK) for name, text in (TEXTS | matching.oracle_sql(_costs())).items()}

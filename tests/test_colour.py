@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pigmenta.functions.color import apply, ciede2000_stages, hex_stages, lab_stages, pixel_lab_stages, unlab_stages
 from pigmenta.operators import records
-from pigmenta.operators.assignment import assign, assign_projects, match_projects
+from pigmenta.operators.assignment import UNITS, assign_projects, auction, certify, match_projects
 from pigmenta.operators.grouping import cut, eigen, ward_merges
 from pigmenta.operators.raster import label
 from pigmenta.operators.surface import fit_surface, solve
@@ -48,16 +48,52 @@ def test_measured_pixels_and_round_trip(spark):
         assert f"#{r.h_r:02x}{r.h_g:02x}{r.h_b:02x}" == code
 
 
-def test_assignment_against_all_injections():
+def nearest_pairs(cost):
+    """Each row's cheapest columns, as many as there are rows, times the rows and one; and the names of these columns."""
+    n = len(cost)
+    order = np.argsort(cost, 1, kind="stable")[:, :n]
+    names = np.unique(order)
+    return np.take_along_axis(cost, order, 1) * (n + 1), np.searchsorted(names, order), names
+
+
+def test_auction_against_all_injections():
     rng = np.random.default_rng(42)
-    for n, m in ((1, 1), (2, 3), (3, 3), (4, 2), (3, 5), (5, 4)):
-        for _ in range(20):
-            cost = rng.random((n, m)) * 10
-            at = assign(cost)
-            got = sum(cost[i, j] for i, j in enumerate(at) if j >= 0)
-            c = cost if n <= m else cost.T
-            best = min(sum(c[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(c.shape[1]), c.shape[0]))
-            assert abs(got - best) < 1e-9 and len({j for j in at if j >= 0}) == min(n, m)
+    for n, m in ((1, 1), (1, 4), (2, 3), (3, 3), (3, 5), (4, 6), (5, 7)):
+        for high in (2, 50, 10**10):  # ties, few ties, none
+            for _ in range(20):
+                cost = rng.integers(0, high, (n, m))
+                pairs, at, names = nearest_pairs(cost)
+                held, price = auction(pairs, at, len(names))
+                best = min(sum(cost[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
+                assert len(set(held)) == n and sum(cost[i, names[j]] for i, j in enumerate(held)) == best
+                assert (price >= 0).all() and not price[[j for j in range(len(names)) if j not in held]].any()
+
+
+def test_auction_of_many_is_proved_by_its_prices():
+    x, y = (np.random.default_rng(s).random((700, 3)) * 100 for s in (1, 2))
+    cost = (((x[:, None] - y[None]) ** 2).sum(2) * UNITS).astype(np.int64)[:500]
+    pairs, at, names = nearest_pairs(cost)
+    held, price = auction(pairs, at, len(names))
+    whole = np.zeros(700, np.int64)
+    whole[names] = price
+    total, bound = int(cost[np.arange(500), names[held]].sum()), ((cost * 501 + whole).min(1).sum() - whole.sum()) / 501
+    assert len(set(held)) == 500 and 0 <= total - bound < 1
+
+
+@pytest.mark.parametrize("sides", [(4, 6), (6, 4)])
+def test_rounds_find_what_tasks_find(spark, sides):
+    rng = np.random.default_rng(sum(sides))
+    rows = [(p, f"f{i}", j, float(rng.integers(0, 9)) / 1000) for p in (1, 2) for i in range(sides[0]) for j in range(sides[1])]
+    costs = spark.createDataFrame(rows, "project long, flavor string, paper long, delta_e double")
+    proofs = []
+    for most in (1_000_000, 0):
+        out = assign_projects(costs, most)
+        found = out.collect()
+        assert len(found) == 2 * sides[0] and sum(r.paper is not None for r in found) == 8
+        proof = certify(costs, out).collect()
+        proofs.append(sorted((r.project, r.flavors, r.papers, r.matched, r.sheets, round(r.total, 9)) for r in proof))
+        assert all(abs(r.total - r.bound) < 0.9 / UNITS for r in proof)
+    assert proofs[0] == proofs[1] and proofs[0][0][3:5] == (4, 4)
 
 
 def test_clusters_axes_and_labels():
@@ -148,7 +184,7 @@ def test_lender_of_equal_times(spark, tmp_path):
 
 def test_match_with_locks(spark):
     def match(costs, locks, names=("Cherry", "Berry")):
-        flavors = spark.createDataFrame([(1, n.lower(), n) for n in names], "project long, flavor string, label string")
+        flavors = spark.createDataFrame([(1, i, n.lower(), n) for i, n in enumerate(names)], "project long, ord long, flavor string, label string")
         rows = [(1, f, p, a, e) for f, p, a, e in costs]
         pairs = spark.createDataFrame(rows, "project long, flavor string, paper long, available boolean, delta_e double")
         held = spark.createDataFrame([(1, *x) for x in locks], "project long, flavor string, paper long")
@@ -165,6 +201,9 @@ def test_match_with_locks(spark):
     got = match(used, [("cherry", 1)])
     assert (got["Cherry"].paper, got["Cherry"].locked, got["Berry"].paper) == (1, True, 2)
     assert [(a.paper, a.taken_by) for a in got["Berry"].alternates] == [(2, None), (1, "Cherry")]
+    got = match(costs, [("berry", 1), ("cherry", 1)])  # both keep the sheet; the last in input order, not by key, is its holder
+    assert [(r.paper, r.locked) for r in got.values()] == [(1, True)] * 2
+    assert got["Cherry"].alternates[0].taken_by == "Berry" and got["Berry"].alternates[1].taken_by is None
     none = match([], [])
     assert [(r.paper, r.locked, r.alternates) for r in none.values()] == [(None, False, [])] * 2
     rows = plans.queries()["match_locked"](spark, "/root/testdata/sf0.001").collect()
