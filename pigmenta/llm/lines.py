@@ -77,7 +77,7 @@ def _recurring(uses: DataFrame, key: str, recur: int) -> DataFrame:
 def candidates(docs: DataFrame, recur: int = RECUR) -> DataFrame:
     """Lines of (fp, text) in recurring leaves: fp, number ``i``, characters of the line and of its text's lines, leaf ``t``, print ``c`` and hashed tokens (null for a field)."""
     each = _own_lines(docs)
-    leaves = lambda *own: each.select(*own, F.explode(_leaves(_tokens(F.col("x")))).alias("t"))
+    leaves = lambda *own: each.select(*own, _tokens(F.col("x")).alias("ts")).select(*own, F.explode(_leaves(F.col("ts"))).alias("t"))
     hot = small_side(checkpointed(_recurring(leaves("fp"), "t", recur).select("t")))
     placed = leaves("fp", "total", "i", "x").join(hot, "t", "left_semi")
     found = placed.select("fp", "i", F.char_length("x").alias("chars"), "total", "t", _tokens(F.col("x")).alias("ts"))
