@@ -1,4 +1,9 @@
-"""Ward clustering cut at every group count, the suggested count, and principal axes; one photo's objects to a task."""
+"""Ward clustering cut at every group count, the suggested count, and principal axes.
+
+A photo's objects are merged in one task by nearest-neighbour chains: time goes with the square of their number, memory with the number
+itself. What follows from the groups (medians, order, distances, the suggestion) is SQL in ``plans.grouping``; ``group`` does the
+same on arrays for the photo kernel.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +12,10 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pigmenta.functions.kernels import ciede2000
 
-MOST_OBJECTS = 5000
 GROUPS = 6
 LIGHTNESS = 0.7
 # Least silhouette and colour distance of a suggested count; least variance of an axis that is stretched.
@@ -19,38 +24,50 @@ LEAST_VARIANCE = 2.25
 
 
 def ward_merges(points: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs in the order they are joined; of equal distances the first pair in row order."""
+    """Pairs of groups, each named by its first point, in the order of growing cost at which Ward's method joins them.
+
+    A chain goes from group to nearest group until two are nearest to each other; those are joined at once. Ward's cost of a join never
+    falls below that of the joins before it, so the joins, sorted by cost, are those of always taking the cheapest pair. Of
+    equally near groups the chain prefers where it came from, then the first; so among equal costs the order may differ from taking
+    the first cheapest pair.
+    """
     n = len(points)
-    d = ((points[:, None, :] - points[None, :, :]) ** 2).sum(2)
-    d[np.tril_indices(n)] = np.inf
-    size, merges = np.ones(n), []
-    for _ in range(n - 1):
-        a, b = divmod(int(d.argmin()), n)
-        merges.append((a, b))
-        full = np.minimum(d, d.T)
-        total = size + size[a] + size[b]
-        new = ((size[a] + size) * full[a] + (size[b] + size) * full[b] - size * d[a, b]) / total
-        new[~np.isfinite(full[a]) | ~np.isfinite(full[b])] = np.inf
-        new[[a, b]] = np.inf
-        d[a, a + 1 :], d[:a, a] = new[a + 1 :], new[:a]
-        d[b, :], d[:, b] = np.inf, np.inf
-        size[a] += size[b]
-    return merges
-
-
-def cut(merges: list[tuple[int, int]], n: int, k: int) -> list[int]:
-    """Group of each point, numbered by first appearance, when ``k`` groups are left."""
-    up = list(range(n))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for a, b in merges[: max(0, n - k)]:
-        up[root(b)] = root(a)
-    seen: dict[int, int] = {}
-    return [seen.setdefault(root(i), len(seen)) for i in range(n)]
+    centre, size, alive = np.array(points, float), np.ones(n), np.arange(n)
+    cost, made = np.zeros(n), []
+    chain: list[int] = []
+    place = np.arange(n)  # of a group among the living
+    while len(alive) > 1:
+        if not chain:
+            chain.append(int(alive[0]))
+        tip = chain[-1]
+        near = size[alive] * size[tip] / (size[alive] + size[tip]) * ((centre[alive] - centre[tip]) ** 2).sum(1)
+        near[place[tip]] = np.inf
+        best = int(near.argmin())
+        if len(chain) > 1 and near[place[chain[-2]]] <= near[best]:
+            a, b = sorted((chain.pop(), chain.pop()))
+            joined = max(float(near[place[b if tip == a else a]]), cost[a], cost[b])  # rounding can't let a join precede its parts
+            centre[a] = (size[a] * centre[a] + size[b] * centre[b]) / (size[a] + size[b])
+            size[a] += size[b]
+            cost[a] = joined
+            made.append((joined, a, b))
+            alive = np.delete(alive, place[b])
+            place[alive] = np.arange(len(alive))
+        else:
+            chain.append(int(alive[best]))
+    order = np.argsort([c for c, _, _ in made], kind="stable") if made else []
+    return [made[i][1:] for i in order]
+
+
+def cuts(merges: list[tuple[int, int]], n: int, most: int) -> dict[int, np.ndarray]:
+    """Group of each point when 1, 2, .. up to ``most`` groups are left, numbered by first appearance."""
+    first, out = np.arange(n), {}  # the first point of each point's group, so groups sort as they appear
+    for left in range(n, 0, -1):
+        if left <= most:
+            out[left] = np.unique(first, return_inverse=True)[1]
+        if left > 1:
+            a, b = merges[n - left]
+            first[first == b] = a
+    return dict(sorted(out.items()))
 
 
 def eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,14 +80,20 @@ def eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, vectors
 
 
-def silhouette(distances: np.ndarray, groups: np.ndarray) -> float:
-    """Mean silhouette; a lone object scores 0."""
-    one = np.eye(groups.max() + 1)[groups]
-    size, total = one.sum(0), distances @ one
-    own = total[np.arange(len(groups)), groups] / np.maximum(size[groups] - 1, 1)
-    near = np.where(one > 0, np.inf, total / size).min(1)
-    score = (near - own) / np.maximum(np.maximum(own, near), 1e-12)
-    return float(np.where(size[groups] > 1, score, 0.0).mean())
+def silhouettes(points: np.ndarray, groupings: list[np.ndarray], block: int = 512) -> list[float]:
+    """Mean silhouette of each grouping, distances a block of points at a time; a lone object scores 0."""
+    ones = [np.eye(g.max() + 1)[g] for g in groupings]
+    sizes, total = [o.sum(0) for o in ones], np.zeros(len(groupings))
+    for at in range(0, len(points), block):
+        part = slice(at, at + block)
+        far = np.sqrt(((points[part, None] - points[None]) ** 2).sum(2))
+        for i, (g, one, size) in enumerate(zip(groupings, ones, sizes, strict=True)):
+            own_group, sums = g[part], far @ one
+            own = sums[np.arange(len(own_group)), own_group] / np.maximum(size[own_group] - 1, 1)
+            near = np.where(one[part] > 0, np.inf, sums / size).min(1)
+            score = (near - own) / np.maximum(np.maximum(own, near), 1e-12)
+            total[i] += np.where(size[own_group] > 1, score, 0.0).sum()
+    return (total / len(points)).tolist()
 
 
 class Partition(NamedTuple):
@@ -96,8 +119,6 @@ class Grouped(NamedTuple):
 def group(labs: np.ndarray) -> Grouped:
     """Groups of Lab colours at every count, and the suggested count: the best silhouette among those far enough apart."""
     n = len(labs)
-    if n > MOST_OBJECTS:
-        raise ValueError(f"{n} objects; at most {MOST_OBJECTS} are grouped in one task")
     features = labs * [LIGHTNESS, 1, 1]
     enhanced, principal = labs.copy(), np.zeros((n, 2))
     if n >= 3:
@@ -109,53 +130,41 @@ def group(labs: np.ndarray) -> Grouped:
     partitions = [Partition(1, np.zeros(n, int), np.median(labs, 0)[None] if n else np.zeros((0, 3)), np.array([n]), None, None)]
     if n < 2:
         return Grouped(enhanced, principal, partitions, 1)
-    merges, suggested, best = ward_merges(features), 1, LEAST_SCORE
-    distances = np.sqrt(((features[:, None] - features[None]) ** 2).sum(2))
-    for k in range(2, min(GROUPS, n) + 1):
-        raw = np.array(cut(merges, n, k))
+    at = cuts(ward_merges(features), n, GROUPS)
+    scores = dict(zip(at, silhouettes(features, list(at.values())), strict=True)) if n > 2 else {}
+    suggested, best = 1, LEAST_SCORE
+    for k, raw in at.items():
+        if k == 1:
+            continue
         middle = np.array([np.median(labs[raw == g], 0) for g in range(k)])
         order = np.argsort(-middle[:, 0], kind="stable")
         assignment, middle = np.argsort(order)[raw], middle[order]
         i, j = np.triu_indices(k, 1)
         apart = float(ciede2000(middle[i], middle[j]).min())
-        score = silhouette(distances, assignment) if k < n else None
+        score = scores[k] if k < n else None
         partitions.append(Partition(k, assignment, middle, np.bincount(assignment, minlength=k), apart, score))
         if score is not None and score > best and apart >= LEAST_SEPARATION:
             suggested, best = k, score
     return Grouped(enhanced, principal, partitions, suggested)
 
 
-GROUPS_OF = "photo_id long, k int, grp int, size int, lab_l double, lab_a double, lab_b double, separation double, score double, suggested boolean"
-
-
-def group_objects(objects: DataFrame) -> DataFrame:
-    """(photo_id, object_id, lab_l, lab_a, lab_b) to the groups at every count (see ``GROUPS_OF``), light to dark; of a photo with over ``MOST_OBJECTS``, one row of nulls."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = [x.split(" ")[0] for x in GROUPS_OF.split(", ")]
-        if len(pdf) > MOST_OBJECTS:
-            return pd.DataFrame([(pdf["photo_id"].iloc[0], *[None] * (len(columns) - 1))], columns=columns, dtype=object)
-        pdf = pdf.sort_values("object_id")
-        got = group(pdf[["lab_l", "lab_a", "lab_b"]].to_numpy(float))
-        rows = [(pdf["photo_id"].iloc[0], p.k, g, int(p.counts[g]), *p.centroids[g], p.separation, p.score, p.k == got.suggested) for p in got.partitions for g in range(p.k)]
-        return pd.DataFrame(rows, columns=columns)
-
-    return objects.groupBy("photo_id").applyInPandas(one, GROUPS_OF)
-
-
-CUT = "photo_id long, k int, object_id long, grp int"
+CUT = "photo_id long, k int, object_id long, grp int, score double"
 
 
 def ward_groups(objects: DataFrame, most: int = GROUPS) -> DataFrame:
-    """(photo_id, object_id, lab_l, lab_a, lab_b) to each object's group at every count up to ``most`` (see ``CUT``); lightness counts 0.7. Over ``MOST_OBJECTS`` k and grp are null."""
+    """(photo_id, object_id, lab_l, lab_a, lab_b) to each object's group at every count up to ``most`` (see ``CUT``); lightness counts 0.7.
+
+    ``score`` is the grouping's mean silhouette, null for one group and for groups of one object each.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("object_id")
         n = len(pdf)
-        if n > MOST_OBJECTS:
-            return pd.DataFrame({"photo_id": pdf["photo_id"], "k": pd.array([None] * n, "Int32"), "object_id": pdf["object_id"], "grp": pd.array([None] * n, "Int32")})
-        merges = ward_merges(pdf[["lab_l", "lab_a", "lab_b"]].to_numpy(float) * [LIGHTNESS, 1, 1])
-        parts = [pd.DataFrame({"photo_id": pdf["photo_id"], "k": k, "object_id": pdf["object_id"], "grp": cut(merges, n, k)}) for k in range(1, min(most, n) + 1)]
-        return pd.concat(parts)
-
-    return objects.groupBy("photo_id").applyInPandas(one, CUT)
+        points = pdf[["lab_l", "lab_a", "lab_b"]].to_numpy(float) * [LIGHTNESS, 1, 1]
+        at = cuts(ward_merges(points), n, min(most, n))
+        scored = [k for k in at if 1 < k < n]
+        scores = dict(zip(scored, silhouettes(points, [at[k] for k in scored]), strict=True)) if scored else {}
+        return pd.concat([pd.DataFrame({"photo_id": pdf["photo_id"], "k": k, "object_id": pdf["object_id"], "grp": g, "score": scores.get(k, np.nan)}) for k, g in at.items()])
+
+    cut = objects.groupBy("photo_id").applyInPandas(one, CUT)
+    return cut.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pigmenta.functions.color import ciede2000_stages, hex_stages, lab_stages, nest, pixel_lab_stages, unlab_stages, xyz_stages
-from pigmenta.operators import assignment, grouping, measure, raster, segment, surface
-from pigmenta.plans import display, matching
+from pigmenta.operators import assignment, measure, raster, segment, surface
+from pigmenta.plans import display, grouping, matching
 from pigmenta.sources.scenes import COLUMNS, MARGIN, PITCH, family, scene_photos
 
 TABLES = ("customer", "embeddings", "events", "part", "supplier")
@@ -171,10 +171,6 @@ def _taps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.measure_taps(scenes(spark, sf_dir).withColumn("white", F.lit(None).cast("array<double>")), taps)
 
 
-def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.group_objects(run(spark, sf_dir, _objects()).drop("grp"))
-
-
 def _assignment_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     costs = run(spark, sf_dir, _costs()).where("available").select(F.lit(0).cast("long").alias("project"), "flavor", "paper", "delta_e")
     return assignment.assign_projects(costs).select("project", "flavor", "paper", "delta_e")
@@ -225,15 +221,12 @@ def _lender(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, text)
 
 
-def _ward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.ward_groups(run(spark, sf_dir, _objects()).drop("grp"))
-
-
 #: Spark's own plan where it isn't the text; without a text beside it, SQL can't state the result.
-OWN: dict[str, Query] = {"components": _labels, "component_boxes": _boxes, "object_moments": _shapes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_locked": _locked, "surface_fit": _surface, "surface_fit_robust": _robust_surface, "ward_cut": _ward, "group_suggestion": _groups, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
+OWN: dict[str, Query] = {"components": _labels, "component_boxes": _boxes, "object_moments": _shapes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_locked": _locked, "surface_fit": _surface, "surface_fit_robust": _robust_surface, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
 
 
-OWN |= matching.queries(run, _costs())
+TEXTS |= grouping.texts(_objects())
+OWN |= matching.queries(run, _costs()) | grouping.queries(run, _objects(), lambda text: _filled(text, SPARK))
 
 
 def queries() -> dict[str, Query]:
@@ -242,4 +235,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _filled(text, DUCK) for name, text in (TEXTS | matching.oracle_sql(_costs())).items()}
+    return {name: _filled(text, DUCK) for name, text in (TEXTS | matching.oracle_sql(_costs()) | grouping.oracle_sql(_objects())).items()}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pigmenta.functions.color import apply, ciede2000_stages, hex_stages, lab_stages, pixel_lab_stages, unlab_stages
 from pigmenta.operators import records
 from pigmenta.operators.assignment import UNITS, assign_projects, auction, certify, match_projects
-from pigmenta.operators.grouping import cut, eigen, ward_merges
+from pigmenta.operators.grouping import cuts, eigen, ward_merges
 from pigmenta.operators.raster import label
 from pigmenta.operators.surface import fit_surface, solve
 from pigmenta.plans import queries as plans
@@ -99,7 +99,7 @@ def test_rounds_find_what_tasks_find(spark, sides):
 def test_clusters_axes_and_labels():
     rng = np.random.default_rng(17)
     points = np.concatenate([rng.uniform(-1, 1, (n, 3)) + c for n, c in ((9, (20, 0, 5)), (14, (0, 30, 5)), (6, (-20, 0, 40)))])
-    assert cut(ward_merges(points), 29, 3) == [0] * 9 + [1] * 14 + [2] * 6
+    assert cuts(ward_merges(points), 29, 3)[3].tolist() == [0] * 9 + [1] * 14 + [2] * 6
     values, vectors = eigen(np.diag([1.0, 4.0, 2.0]))
     assert np.allclose(values, (4, 2, 1)) and np.allclose(vectors[:, 0], (0, 1, 0))
     mask = np.array([[1, 0, 1], [0, 1, 0], [1, 1, 0]], bool)

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pigmenta.__main__ import Failure, report, triple
 from pigmenta.functions.color import TO_XYZ, WHITE_Y, apply, ciede2000_stages
 from pigmenta.functions.kernels import ciede2000, lab_hex
-from pigmenta.operators.grouping import cut, group, group_objects, silhouette, ward_merges
+from pigmenta.operators.grouping import cuts, group, silhouettes, ward_groups, ward_merges
 from pigmenta.operators.measure import auto_white, borrowed_white, measure_taps, measure_whites, sample_colour, set_white, white_at
 from pigmenta.operators.segment import NoObjects, analyse_photos, grown, nearest_site, opened, segment
 from pigmenta.operators.surface import fit_surface_robust
 from pigmenta.plans import queries as plans
+from pigmenta.plans.grouping import suggest
 from pigmenta.sources.photos import read_photos, read_ppm_photos, shrink
 from pigmenta.sources.scenes import LAMP, PAPER, family, lattice, photograph
 from tests.test_colour import PAIRS
@@ -133,7 +134,7 @@ def test_differences_and_silhouette(spark):
         own = [d[i, j] for j in range(20) if groups[j] == g and j != i]
         near = min(np.mean([d[i, j] for j in range(20) if groups[j] == o]) for o in set(groups.tolist()) - {g})
         want.append((near - np.mean(own)) / max(near, np.mean(own)) if own else 0)
-    assert abs(silhouette(d, groups) - np.mean(want)) < 1e-12
+    assert abs(silhouettes(points, [groups], block=7)[0] - np.mean(want)) < 1e-12
     assert lab_hex(np.array([51.7517, 57.5539, 31.7471])) == "#da4749"
 
 
@@ -143,15 +144,19 @@ def test_group_counts(spark):
     got = group(labs)
     assert got.suggested == 3 and got.partitions[2].counts.tolist() == [12] * 3 and (np.diff(got.partitions[2].centroids[:, 0]) < 0).all()
     assert not np.allclose(got.enhanced, labs) and got.principal[:, 0].std() >= got.principal[:, 1].std() > 0
-    raw = cut(ward_merges(labs * [0.7, 1, 1]), len(labs), 4)
+    raw = cuts(ward_merges(labs * [0.7, 1, 1]), len(labs), 4)[4]
     assert sorted(np.bincount(raw)) == sorted(got.partitions[3].counts)
     for n in (0, 1, 2):
         small = group(labs[:n])
         assert small.suggested == 1 and len(small.partitions) == max(n, 1) and (small.enhanced == labs[:n]).all()
     assert group(np.repeat(labs[:1], 5, 0)).suggested == 1
     df = spark.createDataFrame([(7, i, *map(float, v)) for i, v in enumerate(labs)], "photo_id long, object_id long, lab_l double, lab_a double, lab_b double")
-    rows = group_objects(df).collect()
+    rows = suggest(spark, df, ward_groups(df), lambda text: plans._filled(text, plans.SPARK)).collect()
     assert len(rows) == 21 and {r.k for r in rows if r.suggested} == {3}
+    for r in rows:
+        own = got.partitions[r.k - 1]
+        assert np.allclose((r.lab_l, r.lab_a, r.lab_b), own.centroids[r.grp], atol=1e-6) and r["size"] == own.counts[r.grp] and r.suggested == (r.k == got.suggested)
+        assert r.k == 1 or (abs(r.separation - own.separation) < 1e-6 and abs(r.score - own.score) < 1e-6)
 
 
 def test_whites_and_taps(spark):
@@ -230,25 +235,3 @@ def test_photo_queries(spark):
     assert len(beans) == suppliers == sum(r.beans for r in photos) and all(r.status == "ok" and r.white_paper for r in photos)
     assert q["tap_colours"](spark, d).count() == suppliers and all(r.found for r in q["photo_whites"](spark, d).collect())
     assert {r.k for r in q["group_suggestion"](spark, d).collect()} == set(range(1, 7)) and q["surface_fit_robust"](spark, d).where("c0 IS NULL").count() == 0
-
-
-def test_too_many_objects_fail_no_other_photo(spark):
-    from pigmenta.operators.grouping import MOST_OBJECTS, ward_groups
-
-    many = spark.range(MOST_OBJECTS + 1).selectExpr("1L AS photo_id", "id AS object_id", "50e0 AS lab_l", "CAST(id % 7 AS DOUBLE) AS lab_a", "0e0 AS lab_b")
-    few = spark.range(4).selectExpr("2L AS photo_id", "id AS object_id", "50e0 AS lab_l", "CAST(id * 9 AS DOUBLE) AS lab_a", "0e0 AS lab_b")
-    rows = group_objects(many.union(few)).collect()
-    assert [(r.k, r.suggested) for r in rows if r.photo_id == 1] == [(None, None)] and sum(r.photo_id == 2 for r in rows) == 10
-    cuts = ward_groups(many.union(few)).collect()
-    assert {(r.k, r.grp) for r in cuts if r.photo_id == 1} == {(None, None)} and len(cuts) == MOST_OBJECTS + 1 + 4 * 4
-
-
-def test_too_many_objects_of_a_scene(monkeypatch):
-    from pigmenta.operators import grouping, segment
-
-    monkeypatch.setattr(grouping, "MOST_OBJECTS", 0)
-    monkeypatch.setattr(segment, "pixels", lambda row: np.zeros((1, 1, 3)))
-    monkeypatch.setattr(segment, "segment", lambda *a: type("Found", (), {"labs": np.zeros((1, 3))}))
-    monkeypatch.setattr(segment, "per_photo", lambda df, one, schema: one({"photo_id": 1, "space": "sRGB"}))
-    photos = type("Photos", (), {"columns": [], "select": lambda self, *a: self, "schema": {"photo_id": type("T", (), {"dataType": type("D", (), {"simpleString": staticmethod(lambda: "bigint")})})}})()
-    assert segment.analyse_photos(photos) == [{"photo_id": 1, "status": "too_many_objects"}]
