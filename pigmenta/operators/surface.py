@@ -1,15 +1,15 @@
-"""Small dense solves, and the quadratic surface of a photo's brightness."""
+"""The quadratic surface of a photo's brightness, and small dense solves on arrays for the photo kernel."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from pigmenta.functions.color import nest
+from pigmenta.functions.linear import LEAST_PIVOT, ldl_stages
 
 #: Terms of the surface in u and w, each -1 to 1 over the photo.
 TERMS = ("1e0", "u", "w", "u * u", "u * w", "w * w")
-LEAST_PIVOT = 1e-12
+CHANNELS = 3
 
 
 def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
@@ -26,33 +26,29 @@ def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     return m[:, n:].reshape(np.shape(b))
 
 
-SURFACE = "photo_id long, c0 double, c1 double, c2 double, c3 double, c4 double, c5 double"
-
+COEFFICIENTS = [f"c{i}{k}" for i in range(6) for k in range(CHANNELS)]
 
-def fit_surface(points: DataFrame) -> DataFrame:
-    """(photo_id, u, w, v) to six coefficients a photo, null if they can't be told apart. Sums are native; only a row a photo is solved in Python."""
-    pairs = [(i, j) for i in range(6) for j in range(i, 6)]
-    sums = points.groupBy("photo_id").agg(*(F.sum(F.expr(f"({TERMS[i]}) * ({TERMS[j]})")).alias(f"a{i}{j}") for i, j in pairs), *(F.sum(F.expr(f"({t}) * v")).alias(f"b{i}") for i, t in enumerate(TERMS)))
 
-    def each(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                a = np.array([[r[f"a{min(i, j)}{max(i, j)}"] for j in range(6)] for i in range(6)])
-                c = solve(a, np.array([r[f"b{i}"] for i in range(6)]))
-                rows.append([r["photo_id"], *(c if c is not None else [None] * 6)])
-            yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in SURFACE.split(", ")])
+def fit_text(points: str) -> str:
+    """(photo_id, u, w, v0, v1, v2) to a row (photo_id, c00 .. c52) a photo: coefficient of each term and channel, null if they can't be told apart or there are under six points.
 
-    return sums.mapInPandas(each, SURFACE)
+    One aggregation makes the sums of the normal equations, which are then solved in columns.
+    """
+    sums = [f"sum(({TERMS[i]}) * ({TERMS[j]})) AS a{i}{j}" for i in range(6) for j in range(i, 6)] + [f"sum(({t}) * v{k}) AS b{i}{k}" for i, t in enumerate(TERMS) for k in range(CHANNELS)]
+    solved = nest(f"SELECT photo_id, count(*) AS points, {', '.join(sums)} FROM ({points}) AS p GROUP BY photo_id", ldl_stages(6, CHANNELS))
+    return f"SELECT photo_id, {', '.join(f'CASE WHEN points >= 6 THEN {c} END AS {c}' for c in COEFFICIENTS)} FROM ({solved}) AS s"
 
 
-def fit_surface_robust(points: DataFrame) -> DataFrame:
-    """``fit_surface``, fitted again without the points more than 1.5 robust deviations below; the first fit stays where the second fails."""
-    keys, value = [f"c{i}" for i in range(6)], " + ".join(f"c{i} * ({t})" for i, t in enumerate(TERMS))
-    first = fit_surface(points)
-    off = points.join(first, "photo_id").select("photo_id", "u", "w", "v", F.expr(f"v - ({value})").alias("off"))
-    middle = off.groupBy("photo_id").agg(F.percentile("off", F.lit(0.5)).alias("middle"))
-    spread = off.join(middle, "photo_id").groupBy("photo_id").agg((F.percentile(F.abs(F.col("off") - F.col("middle")), F.lit(0.5)) * 1.4826 + 1e-6).alias("spread"))
-    again = fit_surface(off.join(spread, "photo_id").where("off > -1.5 * spread").select("photo_id", "u", "w", "v"))
-    names = [F.coalesce(F.col(f"again.{c}"), F.col(f"first.{c}")).alias(c) for c in keys]
-    return first.alias("first").join(again.alias("again"), "photo_id", "left").select("photo_id", *names)
+def robust_text(points: str) -> str:
+    """As ``fit_text``, fitted again without the points that lie more than 1.5 robust deviations below (mean of the channels); the first fit stays where the second fails."""
+    predicted = lambda k: " + ".join(f"c{i}{k} * ({t})" for i, t in enumerate(TERMS))
+    off = " + ".join(f"(v{k} - ({predicted(k)}))" for k in range(CHANNELS))
+    again = fit_text("SELECT d.* FROM d JOIN s ON d.photo_id = s.photo_id WHERE far > -1.5e0 * spread")
+    return (
+        f"WITH p AS ({points}), f AS ({fit_text('SELECT * FROM p')}), "
+        f"d AS (SELECT p.*, ({off}) / {CHANNELS}e0 AS far FROM p JOIN f ON p.photo_id = f.photo_id), "
+        "m AS (SELECT photo_id, {pct}(far, 0.5) AS middle FROM d GROUP BY photo_id), "
+        "s AS (SELECT d.photo_id, 1.4826e0 * {pct}(abs(far - middle), 0.5) + 1e-6 AS spread FROM d JOIN m ON d.photo_id = m.photo_id GROUP BY d.photo_id), "
+        f"g AS ({again}) "
+        f"SELECT f.photo_id, {', '.join(f'coalesce(g.{c}, f.{c}) AS {c}' for c in COEFFICIENTS)} FROM f LEFT JOIN g ON f.photo_id = g.photo_id"
+    )

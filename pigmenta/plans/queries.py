@@ -74,8 +74,9 @@ _XYZ = nest(f"SELECT photo_id, x AS px, y AS py, r, g, b FROM ({_rgb()}) AS t",
 _NEUTRAL = nest(f"SELECT * FROM ({nest(f'SELECT * FROM ({_XYZ}) AS t WHERE px % 4 = 0 AND py % 4 = 0', [{'even': 'greatest(y, 0.0001e0)'}, {'nx': 'x / even', 'ny': 'y / even', 'nz': 'z / even'}])}) AS t", lab_stages("nx", "ny", "nz", ("nl", "na", "nb")))
 # Pixels around each tap, in Lab; every seventh object of a photo is a tap's place.
 _TAPPED = nest("SELECT a.photo_id, a.tap, sqrt((p.x - a.tx) * (p.x - a.tx) + (p.y - a.ty) * (p.y - a.ty)) AS far, a.tr, r, g, b FROM (SELECT vec_id {div} 50 AS photo_id, vec_id AS tap, CAST(vec_id * 13 % 70 AS INT) AS tx, CAST(vec_id % 50 AS INT) AS ty, CAST(2 + vec_id % 7 AS INT) AS tr FROM embeddings WHERE vec_id % 7 = 0) AS a JOIN (" + _rgb() + ") AS p ON a.photo_id = p.photo_id AND p.x BETWEEN a.tx - a.tr AND a.tx + a.tr AND p.y BETWEEN a.ty - a.tr AND a.ty + a.tr WHERE (p.x - a.tx) * (p.x - a.tx) + (p.y - a.ty) * (p.y - a.ty) <= a.tr * a.tr", pixel_lab_stages())
-_PLACES = "SELECT photo_id, v, 2e0 * x / 64e0 - 1e0 AS u, 2e0 * y / 50e0 - 1e0 AS w FROM ({raster}) AS t WHERE x % 6 = 0 AND y % 6 = 0"
+_PLACES = "SELECT photo_id, v0, v1, v2, 2e0 * x / 64e0 - 1e0 AS u, 2e0 * y / 50e0 - 1e0 AS w FROM ({rgb}) AS t WHERE x % 6 = 0 AND y % 6 = 0"
 _SUMS = ", ".join([*(f"round(sum(({surface.TERMS[i]}) * ({surface.TERMS[j]})), 6) AS a{i}{j}" for i in range(6) for j in range(i, 6)), *(f"round(sum(({t}) * v{k}), 6) AS b{i}{k}" for i, t in enumerate(surface.TERMS) for k in range(3))])
+_COEFFICIENTS = ", ".join(f"round({c}, 5) AS {c}" for c in surface.COEFFICIENTS)
 _KNOWN_SITES = "SELECT a.photo_id, a.y, a.x, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d2 FROM ({raster}) AS a JOIN (" + _sites() + ") AS b ON a.photo_id = b.photo_id GROUP BY a.photo_id, a.y, a.x"
 _LABELS_SQL = "WITH RECURSIVE s AS (" + _sites() + "), r AS (SELECT photo_id, y, x, y * 64 + x AS seed FROM s UNION SELECT s.photo_id, s.y, s.x, r.seed FROM r JOIN s ON s.photo_id = r.photo_id AND abs(s.y - r.y) + abs(s.x - r.x) = 1), l AS (SELECT photo_id, y, x, min(seed) AS seed FROM r GROUP BY photo_id, y, x) SELECT photo_id, y, x, CAST(dense_rank() OVER (PARTITION BY photo_id ORDER BY seed) AS INT) AS label FROM l"
 
@@ -108,7 +109,9 @@ TEXTS: dict[str, str] = {
     "components": _LABELS_SQL,
     "component_boxes": f"SELECT photo_id, label, count(*) AS area, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, (min(x) = 0 OR min(y) = 0 OR max(x) = 63 OR max(y) = 49) AS on_edge FROM ({_LABELS_SQL}) AS l GROUP BY photo_id, label",
     "object_moments": _moments(_LABELS_SQL),
-    "surface_fit_sums": f"SELECT photo_id, {_SUMS} FROM (SELECT photo_id, v0, v1, v2, 2e0 * x / 64e0 - 1e0 AS u, 2e0 * y / 50e0 - 1e0 AS w FROM ({{rgb}}) AS t WHERE x % 6 = 0 AND y % 6 = 0) AS t GROUP BY photo_id",
+    "surface_fit_sums": f"SELECT photo_id, {_SUMS} FROM ({_PLACES}) AS t GROUP BY photo_id",
+    "surface_fit": f"SELECT photo_id, {_COEFFICIENTS} FROM ({surface.fit_text(_PLACES)}) AS f",
+    "surface_fit_robust": f"SELECT photo_id, {_COEFFICIENTS} FROM ({surface.robust_text(_PLACES)}) AS f",
     "silhouette": "WITH o AS (SELECT photo_id, object_id, grp, 0.7e0 * lab_l AS l, lab_a AS a, lab_b AS b FROM (" + _objects() + ") AS o), n AS (SELECT photo_id, grp, count(*) AS size FROM o GROUP BY photo_id, grp), d AS (SELECT p.photo_id, p.object_id, p.grp, q.grp AS other, sum(sqrt((p.l - q.l) * (p.l - q.l) + (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b))) AS total FROM o p JOIN o q ON p.photo_id = q.photo_id GROUP BY p.photo_id, p.object_id, p.grp, q.grp), m AS (SELECT d.photo_id, d.object_id, max(CASE WHEN other = d.grp AND size > 1 THEN total / greatest(size - 1, 1) END) AS own, min(CASE WHEN other <> d.grp THEN total / size END) AS near FROM d JOIN n ON d.photo_id = n.photo_id AND d.other = n.grp GROUP BY d.photo_id, d.object_id) SELECT photo_id, round(avg(coalesce((near - own) / greatest(own, near, 1e-12), 0e0)), 6) AS score FROM m GROUP BY photo_id",
     "group_separation": "WITH o AS (" + _objects() + "), c AS (SELECT photo_id, grp, {pct}(lab_l, 0.5) AS l, {pct}(lab_a, 0.5) AS a, {pct}(lab_b, 0.5) AS b FROM o GROUP BY photo_id, grp) SELECT photo_id, round(min(delta_e), 6) AS separation FROM (" + nest("SELECT p.photo_id, p.l AS l1, p.a AS a1, p.b AS b1, q.l AS l2, q.a AS a2, q.b AS b2 FROM c p JOIN c q ON p.photo_id = q.photo_id AND p.grp < q.grp", ciede2000_stages(("l1", "a1", "b1"), ("l2", "a2", "b2"))) + ") AS s GROUP BY photo_id",
     "colour_covariance": "SELECT photo_id, round(covar_samp(lab_l, lab_l), 5) AS ll, round(covar_samp(lab_l, lab_a), 5) AS la, round(covar_samp(lab_l, lab_b), 5) AS lb, round(covar_samp(lab_a, lab_a), 5) AS aa, round(covar_samp(lab_a, lab_b), 5) AS ab, round(covar_samp(lab_b, lab_b), 5) AS bb FROM (" + _objects() + ") AS o GROUP BY photo_id",
@@ -134,18 +137,6 @@ def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **named)
 
 
-def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, _PLACES)
-
-
-def _surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surface.fit_surface(_points(spark, sf_dir))
-
-
-def _robust_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surface.fit_surface_robust(_points(spark, sf_dir))
-
-
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rendered photo of every twenty suppliers, each an object in one of three look-alike reds."""
     colour = "CASE s_suppkey * 7 % 3 " + " ".join(f"WHEN {i} THEN array({', '.join(f'{v}e0' for v in c)})" for i, c in enumerate(family("reds").tolist())) + " END"
@@ -222,7 +213,7 @@ def _lender(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Spark's own plan where it isn't the text; without a text beside it, SQL can't state the result.
-OWN: dict[str, Query] = {"components": _labels, "component_boxes": _boxes, "object_moments": _shapes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_locked": _locked, "surface_fit": _surface, "surface_fit_robust": _robust_surface, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
+OWN: dict[str, Query] = {"components": _labels, "component_boxes": _boxes, "object_moments": _shapes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_locked": _locked, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
 
 
 TEXTS |= grouping.texts(_objects())

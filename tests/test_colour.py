@@ -13,7 +13,7 @@ from pigmenta.operators import records
 from pigmenta.operators.assignment import UNITS, assign_projects, auction, certify, match_projects
 from pigmenta.operators.grouping import cuts, eigen, ward_merges
 from pigmenta.operators.raster import label
-from pigmenta.operators.surface import fit_surface, solve
+from pigmenta.operators.surface import fit_text, robust_text, solve
 from pigmenta.plans import queries as plans
 from pigmenta.sources.ppm import decode_ppm, read_ppm, read_projects, split_projects, write_projects
 
@@ -109,9 +109,17 @@ def test_clusters_axes_and_labels():
 
 def test_solve_and_surface(spark):
     assert np.allclose(solve([[0, 3, 1], [4, 1, 0], [1, 0, 5]], [7, 6, 6]), (1, 2, 1)) and solve([[3, 6], [1, 2]], [9, 3]) is None
-    rows = [(1, u / 5, w / 5, 1 + u / 5 - w / 5 + 0.5 * u * w / 25) for u in range(-5, 6) for w in range(-5, 6)] + [(2, 0.0, 0.0, 1.0)]
-    got = {r.photo_id: r[1:] for r in fit_surface(spark.createDataFrame(rows, "photo_id long, u double, w double, v double")).collect()}
-    assert np.allclose(got[1], (1, 1, -1, 0, 0.5, 0), atol=1e-9) and got[2][0] is None
+    surfaces = [(1, 1, -1, 0, 0.5, 0), (2, 0, 0, 1, 0, -1), (0.5, 0, 3, 0, 0, 0.25)]
+    terms = lambda u, w: (1, u, w, u * u, u * w, w * w)
+    seen = lambda u, w: [float(np.dot(c, terms(u, w))) for c in surfaces]
+    rows = [(1, u / 5, w / 5, *seen(u / 5, w / 5)) for u in range(-5, 6) for w in range(-5, 6)] + [(2, 0.0, 0.0, 1.0, 1.0, 1.0)] + [(3, float(i % 2), float(i % 3), 1.0, 2.0, 3.0) for i in range(4)]
+    dark = [(4, *r[1:3], *(v - (5 if i % 9 == 0 else 0) + 0.001 * (i % 3) for v in r[3:])) for i, r in enumerate(rows[:121])]
+    points = spark.createDataFrame(rows + dark, "photo_id long, u double, w double, v0 double, v1 double, v2 double")
+    run = lambda text: {r.photo_id: np.array(r[1:], object).reshape(6, 3).T for r in spark.sql(plans._filled(text, plans.SPARK), points=points).collect()}
+    plain, robust = run(fit_text("SELECT * FROM {points}")), run(robust_text("SELECT * FROM {points}"))
+    assert np.allclose(plain[1].astype(float), surfaces, atol=1e-9) and np.allclose(robust[1].astype(float), surfaces, atol=1e-9)
+    assert all(v is None for i in (2, 3) for v in [*plain[i].ravel(), *robust[i].ravel()])
+    assert np.abs(robust[4].astype(float) - surfaces).max() < 0.01 < 0.2 < np.abs(plain[4].astype(float) - surfaces).max()  # shadows are left out
 
 
 def test_sources(spark, tmp_path):

@@ -234,4 +234,4 @@ def test_photo_queries(spark):
     suppliers = spark.read.parquet(f"{d}/supplier.parquet").count()
     assert len(beans) == suppliers == sum(r.beans for r in photos) and all(r.status == "ok" and r.white_paper for r in photos)
     assert q["tap_colours"](spark, d).count() == suppliers and all(r.found for r in q["photo_whites"](spark, d).collect())
-    assert {r.k for r in q["group_suggestion"](spark, d).collect()} == set(range(1, 7)) and q["surface_fit_robust"](spark, d).where("c0 IS NULL").count() == 0
+    assert {r.k for r in q["group_suggestion"](spark, d).collect()} == set(range(1, 7)) and q["surface_fit_robust"](spark, d).where("c00 IS NULL").count() == 0
