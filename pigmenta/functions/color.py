@@ -67,10 +67,27 @@ def lab_stages(x: str = "x", y: str = "y", z: str = "z", out: tuple[str, str, st
     return [scaled, dict(zip(out, ("116e0 * fy - 16e0", "500e0 * (fx - fy)", "200e0 * (fy - fz)"), strict=True))]
 
 
-def pixel_lab_stages(space: str = "sRGB", white: Iterable[float] = (0.659726868, 0.691085816, 0.552663648)) -> list[Stage]:
+def pixel_lab_stages(white: Iterable[float], space: str = "sRGB") -> list[Stage]:
     return [*xyz_stages(space, white), *lab_stages()]
 
 
+def balance_stages(white: tuple[str, str, str] = ("wx", "wy", "wz"), space: str = "sRGB", prefix: str = "m") -> list[Stage]:
+    """A white in columns to the nine entries m00 .. m22 of the matrix from linear RGB to balanced XYZ; null if one of the white's cones is 0.
+
+    The matrix is linear in three gains, one a cone, so each entry is three products with constants.
+    """
+    gains = {f"gain{k}": f"{num(t)} / nullif({_dot(row, white)}, 0e0)" for k, (row, t) in enumerate(zip(BRADFORD, BRADFORD @ (D65 * WHITE_Y), strict=True))}
+    back, onto = np.linalg.inv(BRADFORD), BRADFORD @ TO_XYZ[space]
+    return [gains, {f"{prefix}{i}{j}": _dot([back[i, k] * onto[k, j] for k in range(3)], [f"gain{k}" for k in range(3)]) for i in range(3) for j in range(3)}]
+
+
+def balanced_lab_stages(rgb: tuple[str, str, str] = ("r", "g", "b"), prefix: str = "m") -> list[Stage]:
+    """8-bit channels beside the columns of ``balance_stages`` to Lab."""
+    names = ("lin_r", "lin_g", "lin_b")
+    rows = {c: " + ".join(f"{prefix}{i}{j} * {n}" for j, n in enumerate(names)) for i, c in enumerate("xyz")}
+    return [dict(zip(names, map(linear, rgb), strict=True)), rows, *lab_stages()]
+
+
 def unlab_stages(l: str = "lab_l", a: str = "lab_a", b: str = "lab_b") -> list[Stage]:  # noqa: E741
     """Lab to XYZ (ux, uy, uz)."""
     first = {"gy": f"({l} + 16e0) / 116e0"}

@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pigmenta.functions.color import ciede2000_stages, hex_stages, lab_stages, nest, pixel_lab_stages, unlab_stages, xyz_stages
+from pigmenta.functions.color import balance_stages, balanced_lab_stages, ciede2000_stages, hex_stages, lab_stages, nest, pixel_lab_stages, unlab_stages, xyz_stages
 from pigmenta.operators import assignment, measure, raster, segment, surface
-from pigmenta.plans import display, grouping, matching
+from pigmenta.operators.tables import checkpointed
+from pigmenta.plans import display, grouping, matching, whites
 from pigmenta.sources.scenes import COLUMNS, MARGIN, PITCH, family, scene_photos
 
 TABLES = ("customer", "embeddings", "events", "part", "supplier")
@@ -23,6 +24,9 @@ DUCK = {"key": r"lower(trim(regexp_replace(label, '[\s\p{Z}]+', ' ', 'g')))", "h
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: White against which the derived samples and sheets, which have no photo, are measured.
+WHITE = (0.659726868, 0.691085816, 0.552663648)
+
 
 def _samples() -> str:
     return "SELECT p_partkey AS seq, p_name AS label, CAST((p_partkey * 37 + p_size * 5) % 256 AS DOUBLE) AS r, CAST((p_partkey * 91 + p_size * 3) % 256 AS DOUBLE) AS g, CAST((p_partkey * 53 + 17) % 256 AS DOUBLE) AS b FROM part"
@@ -30,11 +34,11 @@ def _samples() -> str:
 
 def _papers(space: str = "sRGB") -> str:
     rgb = "SELECT s_suppkey AS paper, concat('#', CAST(s_suppkey AS VARCHAR(20))) AS paper_label, s_acctbal >= 0 AS available, CAST(s_suppkey * 67 % 256 AS DOUBLE) AS r, CAST(s_suppkey * 29 % 256 AS DOUBLE) AS g, CAST(s_suppkey * 113 % 256 AS DOUBLE) AS b FROM supplier"
-    return f"SELECT paper, paper_label, available, lab_l AS pl, lab_a AS pa, lab_b AS pb FROM ({nest(rgb, pixel_lab_stages(space))}) AS p"
+    return f"SELECT paper, paper_label, available, lab_l AS pl, lab_a AS pa, lab_b AS pb FROM ({nest(rgb, pixel_lab_stages(WHITE, space))}) AS p"
 
 
 def _flavors() -> str:
-    measured = nest(_samples(), pixel_lab_stages())
+    measured = nest(_samples(), pixel_lab_stages(WHITE))
     return f"SELECT flavor, min_by(label, seq) AS label, avg(lab_l) AS fl, avg(lab_a) AS fa, avg(lab_b) AS fb, count(*) AS samples, min(seq) AS first_seq FROM (SELECT *, {{key}} AS flavor FROM ({measured}) AS m) AS m GROUP BY flavor"
 
 
@@ -69,11 +73,25 @@ def _sites() -> str:
     return "SELECT photo_id, y, x FROM ({raster}) AS t WHERE v > 0.15e0"
 
 
-_PIXEL = nest(_samples(), [*pixel_lab_stages(), *unlab_stages(), *hex_stages()])
+_PIXEL = nest(_samples(), [*pixel_lab_stages(WHITE), *unlab_stages(), *hex_stages()])
 _XYZ = nest(f"SELECT photo_id, x AS px, y AS py, r, g, b FROM ({_rgb()}) AS t", xyz_stages())
 _NEUTRAL = nest(f"SELECT * FROM ({nest(f'SELECT * FROM ({_XYZ}) AS t WHERE px % 4 = 0 AND py % 4 = 0', [{'even': 'greatest(y, 0.0001e0)'}, {'nx': 'x / even', 'ny': 'y / even', 'nz': 'z / even'}])}) AS t", lab_stages("nx", "ny", "nz", ("nl", "na", "nb")))
-# Pixels around each tap, in Lab; every seventh object of a photo is a tap's place.
-_TAPPED = nest("SELECT a.photo_id, a.tap, sqrt((p.x - a.tx) * (p.x - a.tx) + (p.y - a.ty) * (p.y - a.ty)) AS far, a.tr, r, g, b FROM (SELECT vec_id {div} 50 AS photo_id, vec_id AS tap, CAST(vec_id * 13 % 70 AS INT) AS tx, CAST(vec_id % 50 AS INT) AS ty, CAST(2 + vec_id % 7 AS INT) AS tr FROM embeddings WHERE vec_id % 7 = 0) AS a JOIN (" + _rgb() + ") AS p ON a.photo_id = p.photo_id AND p.x BETWEEN a.tx - a.tr AND a.tx + a.tr AND p.y BETWEEN a.ty - a.tr AND a.ty + a.tr WHERE (p.x - a.tx) * (p.x - a.tx) + (p.y - a.ty) * (p.y - a.ty) <= a.tr * a.tr", pixel_lab_stages())
+# Pixels around each tap; every seventh object of a photo is a tap's place.
+_AROUND = "SELECT a.photo_id, a.tap, sqrt((p.x - a.tx) * (p.x - a.tx) + (p.y - a.ty) * (p.y - a.ty)) AS far, a.tr, r, g, b FROM (SELECT vec_id {div} 50 AS photo_id, vec_id AS tap, CAST(vec_id * 13 % 70 AS INT) AS tx, CAST(vec_id % 50 AS INT) AS ty, CAST(2 + vec_id % 7 AS INT) AS tr FROM embeddings WHERE vec_id % 7 = 0) AS a JOIN (" + _rgb() + ") AS p ON a.photo_id = p.photo_id AND p.x BETWEEN a.tx - a.tr AND a.tx + a.tr AND p.y BETWEEN a.ty - a.tr AND a.ty + a.tr WHERE (p.x - a.tx) * (p.x - a.tx) + (p.y - a.ty) * (p.y - a.ty) <= a.tr * a.tr"
+_TAPPED = f"SELECT tap, far, tr, lab_l AS l, lab_a AS a, lab_b AS b FROM ({nest(_AROUND, pixel_lab_stages(WHITE))}) AS t"
+# The samples of a photo for its white, and the white from them.
+_WHITE_SAMPLES = f"SELECT photo_id, r, g, b, x, y, z, sqrt(na * na + nb * nb) < 30e0 AS neutral FROM ({_NEUTRAL}) AS s"
+_WHITES = "WITH s AS ({samples}), p AS (SELECT photo_id, {pct}(y, 0.98) AS top, count(*) AS n FROM s GROUP BY photo_id), c AS (SELECT s.*, n FROM s JOIN p ON s.photo_id = p.photo_id WHERE neutral AND y >= 0.5e0 * top), q AS (SELECT photo_id, {pct}(y, 0.98) AS top FROM c GROUP BY photo_id HAVING count(*) >= 0.03e0 * max(n)), b AS (SELECT c.* FROM c JOIN q ON c.photo_id = q.photo_id WHERE y BETWEEN 0.8e0 * top AND top), m AS (SELECT photo_id, {pct}(x, 0.5) AS wx, {pct}(y, 0.5) AS wy, {pct}(z, 0.5) AS wz, greatest({pct}(r, 0.5), {pct}(g, 0.5), {pct}(b, 0.5)) >= 250e0 AS clipped FROM b GROUP BY photo_id) SELECT p.photo_id, coalesce(wx, 0.95047e0 * camera) AS wx, coalesce(wy, camera) AS wy, coalesce(wz, 1.08883e0 * camera) AS wz, coalesce(clipped, FALSE) AS clipped, wx IS NOT NULL AS found FROM (SELECT photo_id, least(greatest(top, 0.75e0), 1e0) AS camera FROM p) AS p LEFT JOIN m ON p.photo_id = m.photo_id"
+_AUTO_WHITE = "SELECT photo_id, round(wx, 6) AS wx, round(wy, 6) AS wy, round(wz, 6) AS wz, clipped, found FROM ({whites}) AS w"
+# The colour of each tap from the pixels around it, in Lab.
+_BODY = "WITH d AS ({tapped}), k AS (SELECT tap, {pct}(l, 0.5) AS ml, {pct}(a, 0.5) AS ma, {pct}(b, 0.5) AS mb FROM d WHERE far <= greatest(1.5e0, 0.4e0 * tr) GROUP BY tap), s AS (SELECT d.*, coalesce((l - ml) * (l - ml) + (a - ma) * (a - ma) + (b - mb) * (b - mb) < 900e0, FALSE) AS same FROM d LEFT JOIN k ON d.tap = k.tap), n AS (SELECT tap, sum(CASE WHEN same THEN 1 ELSE 0 END) >= 8 AS narrow FROM s GROUP BY tap), o AS (SELECT s.* FROM s JOIN n ON s.tap = n.tap WHERE same OR NOT narrow), p AS (SELECT tap, {pct}(l, 0.15) AS lo, {pct}(l, 0.85) AS hi, count(*) AS n FROM o GROUP BY tap) SELECT o.tap, round({pct}(l, 0.5), 6) AS l, round({pct}(a, 0.5), 6) AS a, round({pct}(b, 0.5), 6) AS b FROM o JOIN p ON o.tap = p.tap WHERE n < 8 OR l BETWEEN lo AND hi GROUP BY o.tap"
+# Each photo's own white as a matrix of nine columns, computed once a photo and joined to the pixels.
+_OWN_MATRIX = f"SELECT photo_id, {', '.join(f'm{i}{j}' for i in range(3) for j in range(3))} FROM ({nest('{whites}', balance_stages())}) AS w"
+_OWN_TAPPED = f"SELECT tap, far, tr, lab_l AS l, lab_a AS a, lab_b AS b FROM ({nest(f'SELECT t.*, {", ".join(f"m{i}{j}" for i in range(3) for j in range(3))} FROM ({_AROUND}) AS t JOIN ({_OWN_MATRIX}) AS w ON t.photo_id = w.photo_id', balanced_lab_stages())}) AS t"
+# Flattened shots with sheets of all kinds: photos take turns with a white sheet, a tap, paper on the left, a white from outside, and none of these over a grey or a red sheet.
+_FLAT = f"SELECT *, (x * 7 + y * 3) % 5 = 0 AS bare, photo_id % 5 = 2 AND x < 24 AS surround FROM ({_rgb()}) AS t"
+_SHEETS = "SELECT photo_id, CASE WHEN kind = 0 THEN 0.95047e0 WHEN photo_id % 10 = 9 THEN 0.09e0 ELSE 0.05e0 END AS sx, CASE WHEN kind = 0 THEN 1e0 WHEN photo_id % 10 = 9 THEN 0.04e0 ELSE 0.05e0 END AS sy, CASE WHEN kind = 0 THEN 1.08883e0 WHEN photo_id % 10 = 9 THEN 0.01e0 ELSE 0.05e0 END AS sz, CASE WHEN kind = 1 THEN 0.7e0 END AS tx, CASE WHEN kind = 1 THEN 0.72e0 END AS ty, CASE WHEN kind = 1 THEN 0.6e0 END AS tz, CASE WHEN kind = 3 THEN 0.3e0 END AS ox, CASE WHEN kind = 3 THEN 0.31e0 END AS oy, CASE WHEN kind = 3 THEN 0.25e0 END AS oz FROM (SELECT DISTINCT vec_id {div} 50 AS photo_id, vec_id {div} 50 % 5 AS kind FROM embeddings) AS p"
+_REFERENCE_WHITE = (whites.pixels(_FLAT), whites.levels(_SHEETS))
 _PLACES = "SELECT photo_id, v0, v1, v2, 2e0 * x / 64e0 - 1e0 AS u, 2e0 * y / 50e0 - 1e0 AS w FROM ({rgb}) AS t WHERE x % 6 = 0 AND y % 6 = 0"
 _SUMS = ", ".join([*(f"round(sum(({surface.TERMS[i]}) * ({surface.TERMS[j]})), 6) AS a{i}{j}" for i in range(6) for j in range(i, 6)), *(f"round(sum(({t}) * v{k}), 6) AS b{i}{k}" for i, t in enumerate(surface.TERMS) for k in range(3))])
 _COEFFICIENTS = ", ".join(f"round({c}, 5) AS {c}" for c in surface.COEFFICIENTS)
@@ -98,15 +116,20 @@ TEXTS: dict[str, str] = {
     "nearest_flavor_hint": f"SELECT paper, min_by(flavor, delta_e) AS flavor, round(min(delta_e), 6) AS delta_e FROM ({_costs(1.0)}) AS c GROUP BY paper HAVING min(delta_e) < 7e0",
     "verdict_bands": f"SELECT flavor, paper, CASE WHEN delta_e <= 2e0 THEN 1 WHEN delta_e <= 5e0 THEN 2 WHEN delta_e <= 10e0 THEN 3 ELSE 4 END AS match_band, CASE WHEN delta_e < 2e0 THEN 1 WHEN delta_e < 4e0 THEN 2 WHEN delta_e < 8e0 THEN 3 ELSE 4 END AS separation_band FROM ({_costs(1.0)}) AS c",
     "suggestions": "SELECT label, place FROM (SELECT label, row_number() OVER (ORDER BY CASE WHEN lower(label) LIKE 'r%' THEN 0 ELSE 1 END, first_seq) AS place FROM (SELECT p_name AS label, min(p_partkey) AS first_seq FROM part GROUP BY p_name) AS f WHERE lower(label) LIKE '%r%') AS s WHERE place <= 12",
-    "auto_white": f"WITH s AS (SELECT photo_id, r, g, b, x, y, z, sqrt(na * na + nb * nb) < 30e0 AS neutral FROM ({_NEUTRAL}) AS s), p AS (SELECT photo_id, {{pct}}(y, 0.98) AS top, count(*) AS n FROM s GROUP BY photo_id), c AS (SELECT s.*, n FROM s JOIN p ON s.photo_id = p.photo_id WHERE neutral AND y >= 0.5e0 * top), q AS (SELECT photo_id, {{pct}}(y, 0.98) AS top FROM c GROUP BY photo_id HAVING count(*) >= 0.03e0 * max(n)), b AS (SELECT c.* FROM c JOIN q ON c.photo_id = q.photo_id WHERE y BETWEEN 0.8e0 * top AND top), m AS (SELECT photo_id, {{pct}}(x, 0.5) AS wx, {{pct}}(y, 0.5) AS wy, {{pct}}(z, 0.5) AS wz, greatest({{pct}}(r, 0.5), {{pct}}(g, 0.5), {{pct}}(b, 0.5)) >= 250e0 AS clipped FROM b GROUP BY photo_id) SELECT p.photo_id, round(coalesce(wx, 0.95047e0 * camera), 6) AS wx, round(coalesce(wy, camera), 6) AS wy, round(coalesce(wz, 1.08883e0 * camera), 6) AS wz, coalesce(clipped, FALSE) AS clipped, wx IS NOT NULL AS found FROM (SELECT photo_id, least(greatest(top, 0.75e0), 1e0) AS camera FROM p) AS p LEFT JOIN m ON p.photo_id = m.photo_id",
+    "auto_white": _AUTO_WHITE.replace("{whites}", _WHITES.replace("{samples}", _WHITE_SAMPLES)),
+    "reference_white": whites.reference_white(*_REFERENCE_WHITE, whites.SORTED),
     "dominant_colour": f"SELECT photo_id, br, bg, bb, n FROM (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY n DESC, br, bg, bb) AS place FROM (SELECT photo_id, CAST(floor(r / 8e0) AS INT) AS br, CAST(floor(g / 8e0) AS INT) AS bg, CAST(floor(b / 8e0) AS INT) AS bb, count(*) AS n FROM ({_rgb()}) AS t GROUP BY photo_id, floor(r / 8e0), floor(g / 8e0), floor(b / 8e0)) AS h) AS o WHERE place = 1",
-    "sample_at_tap": f"WITH d AS (SELECT tap, far, tr, lab_l AS l, lab_a AS a, lab_b AS b FROM ({_TAPPED}) AS t), k AS (SELECT tap, {{pct}}(l, 0.5) AS ml, {{pct}}(a, 0.5) AS ma, {{pct}}(b, 0.5) AS mb FROM d WHERE far <= greatest(1.5e0, 0.4e0 * tr) GROUP BY tap), s AS (SELECT d.*, coalesce((l - ml) * (l - ml) + (a - ma) * (a - ma) + (b - mb) * (b - mb) < 900e0, FALSE) AS same FROM d LEFT JOIN k ON d.tap = k.tap), n AS (SELECT tap, sum(CASE WHEN same THEN 1 ELSE 0 END) >= 8 AS narrow FROM s GROUP BY tap), o AS (SELECT s.* FROM s JOIN n ON s.tap = n.tap WHERE same OR NOT narrow), p AS (SELECT tap, {{pct}}(l, 0.15) AS lo, {{pct}}(l, 0.85) AS hi, count(*) AS n FROM o GROUP BY tap) SELECT o.tap, round({{pct}}(l, 0.5), 6) AS l, round({{pct}}(a, 0.5), 6) AS a, round({{pct}}(b, 0.5), 6) AS b FROM o JOIN p ON o.tap = p.tap WHERE n < 8 OR l BETWEEN lo AND hi GROUP BY o.tap",
+    "sample_at_tap": _BODY.replace("{tapped}", _TAPPED),
+    "sample_with_own_white": _BODY.replace("{tapped}", _OWN_TAPPED.replace("{whites}", f"SELECT * FROM ({_WHITES.replace('{samples}', _WHITE_SAMPLES)}) AS w")),
     "borrowed_white_asof": "SELECT a.event_id, max({'t': b.ts, 'e': b.event_id}).e AS lender FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id <> a.event_id AND b.ts <= a.ts AND a.ts < b.ts + INTERVAL '2' HOUR AND b.event_type IN ('view', 'click') GROUP BY a.event_id",
     "erode": _cross(_mask(-0.1), "m", "least"),
     "opening": _cross(_cross(_cross(_cross(_mask(-0.1), "m", "least"), "m", "least"), "m", "greatest"), "m", "greatest"),
     "dilate": f"SELECT photo_id, y, x, max(m) OVER (PARTITION BY photo_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM (SELECT photo_id, y, x, max(m) OVER (PARTITION BY photo_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM ({_mask(0.15)}) AS t) AS t",
     "distance_transform": _KNOWN_SITES,
+    "nearest_seed": "SELECT photo_id, y, x, min(best).d AS d2, min(best).y AS site_y, min(best).x AS site_x FROM (SELECT a.photo_id, a.y, a.x, {'d': (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 'x': b.x, 'y': b.y} AS best FROM ({raster}) AS a JOIN (" + _sites() + ") AS b ON a.photo_id = b.photo_id) AS n GROUP BY photo_id, y, x",
+    "every_16th_pixel": f"SELECT photo_id, y, x FROM (SELECT photo_id, y, x, row_number() OVER (PARTITION BY photo_id ORDER BY y, x) - 1 AS place FROM ({_mask(-0.1)}) AS m WHERE m = 1) AS p WHERE place % 16 = 0",
     "components": _LABELS_SQL,
+    "components_tiled": _LABELS_SQL,
     "component_boxes": f"SELECT photo_id, label, count(*) AS area, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, (min(x) = 0 OR min(y) = 0 OR max(x) = 63 OR max(y) = 49) AS on_edge FROM ({_LABELS_SQL}) AS l GROUP BY photo_id, label",
     "object_moments": _moments(_LABELS_SQL),
     "surface_fit_sums": f"SELECT photo_id, {_SUMS} FROM ({_PLACES}) AS t GROUP BY photo_id",
@@ -128,13 +151,13 @@ def _filled(text: str, dialect: dict[str, str]) -> str:
     return text
 
 
-def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """``text`` over the tables it names, without leaving views behind."""
+def run(spark: SparkSession, sf_dir: str, text: str, **others: DataFrame) -> DataFrame:
+    """``text`` over the tables it names and ``others`` in braces, without leaving views behind."""
     text = _filled(text, SPARK)
     named = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"FROM {t}" in text or f"JOIN {t}" in text}
     for t in named:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
-    return spark.sql(text, **named)
+    return spark.sql(text, **named, **others)
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +210,45 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.components(run(spark, sf_dir, _sites()))
 
 
+def _tiled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with frames cut into tiles of 16 x 16."""
+    return raster.components(run(spark, sf_dir, _sites()), tile=16)
+
+
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.nearest_seeds(run(spark, sf_dir, "SELECT photo_id, y, x, v > 0.15e0 AS site FROM ({raster}) AS t"))
+
+
+def _every_16th(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.every_nth(run(spark, sf_dir, f"SELECT photo_id, y, x FROM ({_mask(-0.1)}) AS m WHERE m = 1"), 16)
+
+
+def _over(spark: SparkSession, sf_dir: str, text: str, name: str, inner: str, **others: DataFrame) -> DataFrame:
+    """``text`` over the rows of ``inner``, which are computed once and written, as the text reads them several times."""
+    once = checkpointed(run(spark, sf_dir, inner, **others))
+    return run(spark, sf_dir, text.replace(f"{{{name}}}", f"SELECT * FROM {{{name}}}"), **{name: once})
+
+
+def _whites_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, _WHITES, "samples", _WHITE_SAMPLES)
+
+
+def _auto_white(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_AUTO_WHITE.replace("({whites})", "{whites}"), whites=_whites_of(spark, sf_dir))
+
+
+def _reference_white(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, whites.reference_white("{shots}", _REFERENCE_WHITE[1], whites.BY_BINS), "shots", _REFERENCE_WHITE[0])
+
+
+def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, _BODY, "tapped", _TAPPED)
+
+
+def _sample_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, _BODY, "tapped", _OWN_TAPPED.replace("{whites}", "SELECT * FROM {whites}"), whites=_whites_of(spark, sf_dir))
+
+
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = (F.min("x") == 0) | (F.min("y") == 0) | (F.max("x") == 63) | (F.max("y") == 49)
     return _labels(spark, sf_dir).groupBy("photo_id", "label").agg(F.count("*").alias("area"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), edge.alias("on_edge"))
@@ -213,7 +275,7 @@ def _lender(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Spark's own plan where it isn't the text; without a text beside it, SQL can't state the result.
-OWN: dict[str, Query] = {"components": _labels, "component_boxes": _boxes, "object_moments": _shapes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_locked": _locked, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
+OWN: dict[str, Query] = {"reference_white": _reference_white, "auto_white": _auto_white, "sample_at_tap": _sample, "sample_with_own_white": _sample_own, "nearest_seed": _seeds, "every_16th_pixel": _every_16th, "components_tiled": _tiled_labels, "components": _labels, "component_boxes": _boxes, "object_moments": _shapes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_locked": _locked, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
 
 
 TEXTS |= grouping.texts(_objects())

@@ -42,7 +42,7 @@ def test_measured_pixels_and_round_trip(spark):
     # Measured pixels that must come out the same.
     for rgb, space, lab, code in (((200, 60, 50), "sRGB", (51.7517, 57.5539, 31.7471), "#da4749"), ((200, 60, 50), "displayP3", (52.829, 69.2447, 41.0705), "#ee333c"), ((12, 10, 14), "sRGB", (3.892, 1.9414, -5.027), "#0d0d16")):
         df = spark.createDataFrame([tuple(map(float, rgb))], "r double, g double, b double")
-        r = apply(df, [*pixel_lab_stages(space, white), *unlab_stages(), *hex_stages(), *lab_stages("ux", "uy", "uz", ("l", "a", "b"))]).first()
+        r = apply(df, [*pixel_lab_stages(white, space), *unlab_stages(), *hex_stages(), *lab_stages("ux", "uy", "uz", ("l", "a", "b"))]).first()
         assert np.allclose((r.lab_l, r.lab_a, r.lab_b), lab, atol=1e-3)
         assert np.allclose((r.l, r.a, r.b), (r.lab_l, r.lab_a, r.lab_b), atol=1e-9)
         assert f"#{r.h_r:02x}{r.h_g:02x}{r.h_b:02x}" == code
