@@ -11,7 +11,7 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -152,8 +152,80 @@ def measure_taps(photos: DataFrame, taps: DataFrame) -> DataFrame:
     return per_photo(joined, one, f"id {taps.schema['id'].dataType.simpleString()}, lab array<double>")
 
 
+RECORD = "white array<double>, clipped boolean, basis string"
+#: Hours for which a photo's white stays good for photos after it.
+SITTING = 2
+
+
+def automatic_whites(photos: DataFrame, known: DataFrame) -> DataFrame:
+    """(photo_id, white, clipped, basis) of photo rows with ``project`` and ``created``, none of them tapped.
+
+    The white is the one found in the photo; failing that, the white of the project's latest photo in ``known`` (project, photo_id, created, white,
+    basis) that was tapped or found, at most at this photo's time and less than ``SITTING`` hours before it, raised if something here is brighter;
+    failing that, the camera's. The photo itself doesn't count; of photos of one instant the one with the larger id does. A broken photo gives no row.
+    """
+    measured = known.where("basis IN ('tapped', 'found')").select("project", F.col("created").alias("seen"), F.col("photo_id").alias("of"), F.col("white").alias("lent"))
+    near = photos.select("project", "photo_id", "created").join(measured, "project").where((F.col("of") != F.col("photo_id")) & (F.col("seen") <= F.col("created")) & (F.col("created") < F.col("seen") + F.expr(f"INTERVAL {SITTING} HOURS")))
+    lender = near.groupBy("photo_id").agg(F.max_by("lent", F.struct("seen", "of")).alias("lent"))
+
+    def one(row: dict[str, Any]) -> list[dict[str, Any]]:
+        try:
+            rgb = pixels(row)
+        except ValueError:
+            return []
+        white = auto_white(rgb, row["space"])
+        basis, xyz = ("found", white.xyz) if white.found else ("camera", white.xyz) if row["lent"] is None else ("borrowed", borrowed_white(rgb, row["space"], np.array(row["lent"])))
+        return [{"photo_id": row["photo_id"], "white": xyz.tolist(), "clipped": white.clipped, "basis": basis}]
+
+    joined = photos.join(lender, "photo_id", "left").select("photo_id", "width", "height", "space", "rgb", "lent")
+    return per_photo(joined, one, f"photo_id {photos.schema['photo_id'].dataType.simpleString()}, {RECORD}")
+
+
+def add_photos(records: DataFrame, photos: DataFrame) -> DataFrame:
+    """Photo records (project, photo_id, created, width, height, white, clipped, basis) with those of new photo rows, each with its automatic white.
+
+    New photos lend each other nothing: those of one call were added at once. A broken photo is not added.
+    """
+    whites = automatic_whites(photos, records)
+    return records.unionByName(photos.select("project", "photo_id", "created", "width", "height").join(whites, "photo_id").select(*records.columns))
+
+
+def white_under(photos: DataFrame, photo_id: Any, x: float, y: float, r: float) -> list[float] | None:
+    """White under a tap on one photo; None outside it."""
+
+    def one(row: dict[str, Any]) -> list[dict[str, Any]]:
+        white = white_at(pixels(row), row["space"], x, y, r)
+        return [] if white is None else [{"white": white.xyz.tolist()}]
+
+    found = per_photo(photos.where(F.col("photo_id") == photo_id).select("photo_id", "width", "height", "space", "rgb"), one, "white array<double>").first()
+    return None if found is None else found["white"]
+
+
+def add_samples(samples: DataFrame, photos: DataFrame, taps: DataFrame) -> DataFrame:
+    """Samples (id, kind, label, photo_id, x, y, r, lab, available) with one for each of ``taps`` (id, kind, label, photo_id, x, y, r) that lies on its photo.
+
+    ``photos`` are photo rows with their white. A null label becomes the next free number of its kind, in order of the taps' ids.
+    """
+    lab = measure_taps(photos, taps)
+    stem = F.when(F.col("kind") == "paper", "#").otherwise("Bean ")
+    behind = F.when(F.startswith("label", stem), F.substr("label", F.length(stem) + 1).try_cast("int"))
+    last = samples.groupBy("kind").agg(F.coalesce(F.max(behind), F.lit(0)).alias("last"))
+    new = taps.join(lab, "id").join(last, "kind", "left")
+    place = F.sum(F.col("label").isNull().cast("int")).over(Window.partitionBy("kind").orderBy("id"))
+    label = F.coalesce("label", F.concat(stem, (F.coalesce("last", F.lit(0)) + place).cast("string")))
+    return samples.unionByName(new.withColumn("label", label).withColumn("available", F.lit(True)).select(*samples.columns))
+
+
+def add_flavor(samples: DataFrame, sample_id: Any, label: str, lab: list[float], photo_id: Any) -> DataFrame:
+    """Samples with a group's colour saved as a flavour: a bean without a tap."""
+    kinds = {f.name: f.dataType for f in samples.schema}
+    values = {"id": F.lit(sample_id), "kind": F.lit("bean"), "label": F.lit(label), "photo_id": F.lit(photo_id), "lab": F.array(*(F.lit(float(v)) for v in lab)), "available": F.lit(True)}
+    one = samples.sparkSession.range(1).select(*(values.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+    return samples.unionByName(one)
+
+
 def set_white(photos: DataFrame, samples: DataFrame, photo_id: Any, white: list[float] | None) -> tuple[DataFrame, DataFrame]:
-    """New white of one photo (None: its automatic one again), and its samples (id, photo_id, x, y, r, lab, ...) measured anew.
+    """New white of one photo (None: its automatic one again; ``white_under`` gives that of a tap, ``automatic_whites`` a borrowed one), and its samples (id, photo_id, x, y, r, lab, ...) measured anew.
 
     A sample whose tap gives no colour any more, and those of other photos, keep theirs.
     """

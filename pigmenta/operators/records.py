@@ -49,6 +49,18 @@ def rename(samples: DataFrame, locks: DataFrame, sample_id: str, label: str) ->
     return new, locks.join(gone, "flavor_key", "left_anti").select("flavor_key", "paper_id").unionByName(moved)
 
 
+def by_id(records: DataFrame, wanted: str | None, key: str = "id") -> DataFrame:
+    """The record of an id: no row for an unknown or null one."""
+    return records.where(F.col(key) == F.lit(wanted))
+
+
+def partition_for(partitions: DataFrame, k: int, grp: int | None = None) -> DataFrame:
+    """Rows (photo_id, k, grp, ...) of each photo's partition into ``k`` groups, or of its first one if it has none of that count; only group ``grp`` if given."""
+    best = partitions.groupBy("photo_id").agg(F.coalesce(F.max(F.when(F.col("k") == k, F.lit(k))), F.min("k")).alias("k"))
+    shown = partitions.join(best, ["photo_id", "k"], "left_semi")
+    return shown if grp is None else shown.where(F.col("grp") == grp)
+
+
 def set_lock(locks: DataFrame, flavor: str, paper_id: str | None) -> DataFrame:
     """Lock a flavour to a sheet, which any other flavour then loses; None unlocks."""
     rest = locks.where(F.col("flavor_key") != flavor)

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pigmenta.functions.color import ciede2000_stages, nest
 from pigmenta.functions.linear import eigen_stages
+from pigmenta.operators.records import partition_for
 from pigmenta.operators.grouping import GROUPS, LEAST_SCORE, LEAST_SEPARATION, LEAST_VARIANCE, LIGHTNESS, ward_groups
 
 Run = Callable[[SparkSession, str, str], DataFrame]
@@ -73,7 +75,14 @@ def texts(objects: str) -> dict[str, str]:
 
 
 def oracle_sql(objects: str) -> dict[str, str]:
-    return {"ward_cut": f"{_ward(objects)} SELECT photo_id, k, object_id, grp FROM l", "group_suggestion": f"{_ward(objects)},{_SCORES}, {_GROUPS}"}
+    shown = "coalesce(max(CASE WHEN k = 1 + photo_id % 9 THEN k END), min(k))"
+    return {
+        "ward_cut": f"{_ward(objects)} SELECT photo_id, k, object_id, grp FROM l",
+        # Photos ask for 1 to 9 groups; where there is no such partition the first is shown.
+        "shown_groups": f"{_ward(objects)} SELECT l.photo_id, l.k, l.object_id, l.grp FROM l JOIN (SELECT photo_id, {shown} AS k FROM l GROUP BY photo_id) AS s ON s.photo_id = l.photo_id AND s.k = l.k",
+        "one_group": f"{_ward(objects)} SELECT photo_id, k, object_id, grp FROM l WHERE k = 3 AND grp = 1",
+        "group_suggestion": f"{_ward(objects)},{_SCORES}, {_GROUPS}",
+    }
 
 
 def suggest(spark: SparkSession, objects: DataFrame, labels: DataFrame, filled: Callable[[str], str]) -> DataFrame:
@@ -90,4 +99,12 @@ def queries(run: Run, objects: str, filled: Callable[[str], str]) -> dict[str, C
         of = run(spark, sf_dir, objects)
         return suggest(spark, of, ward_groups(of), filled)
 
-    return {"ward_cut": cut, "group_suggestion": suggestion}
+    def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+        labels = cut(spark, sf_dir)
+        asked = labels.groupBy("photo_id").agg(F.coalesce(F.max(F.when(F.col("k") == 1 + F.col("photo_id") % 9, F.col("k"))), F.min("k")).alias("k"))
+        return labels.join(asked, ["photo_id", "k"], "left_semi").select("photo_id", "k", "object_id", "grp")
+
+    def one(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return partition_for(cut(spark, sf_dir), 3, 1).select("photo_id", "k", "object_id", "grp")
+
+    return {"ward_cut": cut, "group_suggestion": suggestion, "shown_groups": shown, "one_group": one}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pigmenta.functions.color import balance_stages, balanced_lab_stages, ciede2000_stages, hex_stages, lab_stages, nest, pixel_lab_stages, unlab_stages, xyz_stages
 from pigmenta.operators import assignment, measure, raster, segment, surface
-from pigmenta.operators.tables import checkpointed
+from pigmenta.operators.tables import checkpointed, numbered
 from pigmenta.plans import display, grouping, matching, whites
 from pigmenta.sources.scenes import COLUMNS, MARGIN, PITCH, family, scene_photos
 
@@ -105,18 +105,28 @@ def _moments(labels: str) -> str:
     return f"SELECT photo_id, label, area, round(cx, 6) AS cx, round(cy, 6) AS cy, round(sqrt(greatest(2e0 * (sxx + syy + root), 0e0)), 5) AS rx, round(sqrt(greatest(2e0 * (sxx + syy - root), 1e0)), 5) AS ry, round(CASE WHEN abs(sxy) < 1e-9 THEN CASE WHEN sxx >= syy - 1e-9 THEN 0e0 ELSE 90e0 END ELSE 0.5e0 * degrees(atan2(2e0 * sxy, sxx - syy)) END, 5) AS angle FROM (SELECT *, sqrt((sxx - syy) * (sxx - syy) + 4e0 * sxy * sxy) AS root FROM (SELECT photo_id, label, count(*) AS area, avg(x) AS cx, avg(y) AS cy, avg(CAST(x * x AS DOUBLE)) - avg(x) * avg(x) AS sxx, avg(CAST(y * y AS DOUBLE)) - avg(y) * avg(y) AS syy, avg(CAST(x * y AS DOUBLE)) - avg(x) * avg(y) AS sxy FROM ({labels}) AS s GROUP BY photo_id, label) AS m) AS m"
 
 
+# Rainbow order: neutrals last, light to dark.
+_HUES = f"SELECT flavor, CASE WHEN round(c, 9) < 10e0 THEN 1 ELSE 0 END AS grey, CASE WHEN round(c, 9) < 10e0 THEN -round(fl, 9) ELSE round(CASE WHEN h < 0e0 THEN h + 360e0 ELSE h END, 9) END AS hue FROM (SELECT *, sqrt(fa * fa + fb * fb) AS c, degrees(atan2(fb, fa)) AS h FROM ({_flavors()}) AS f) AS f"
+# A difference under 7 needs lightnesses within 7 times 1.75, the most that lightness is divided by.
+_HINT, _BIN = "7e0", "12.25e0"
+_NEAR_COSTS = nest(f"SELECT f.*, p.* FROM (SELECT *, explode(sequence(CAST(floor(fl / {_BIN}) AS INT) - 1, CAST(floor(fl / {_BIN}) AS INT) + 1)) AS f_bin FROM ({_flavors()}) AS f) AS f JOIN (SELECT *, CAST(floor(pl / {_BIN}) AS INT) AS p_bin FROM ({_papers()}) AS p) AS p ON f_bin = p_bin", ciede2000_stages(("fl", "fa", "fb"), ("pl", "pa", "pb"), 1.0))
+_NEAREST = "SELECT paper, min_by(flavor, delta_e) AS flavor, round(min(delta_e), 6) AS delta_e FROM ({costs}) AS c GROUP BY paper HAVING min(delta_e) < " + _HINT
+
 TEXTS: dict[str, str] = {
     "pixel_to_lab": f"SELECT seq, round(lab_l, 6) AS l, round(lab_a, 6) AS a, round(lab_b, 6) AS b FROM ({_PIXEL}) AS p",
     "lab_to_hex": f"SELECT seq, h_r, h_g, h_b, {{hexed}} AS hex FROM ({_PIXEL}) AS p",
     "lab_roundtrip": f"SELECT seq, round(abs(ux - x) + abs(uy - y) + abs(uz - z), 9) AS gap FROM ({_PIXEL}) AS p",
     "ciede2000_pairs": f"SELECT flavor, paper, round(delta_e, 6) AS delta_e FROM ({_costs(1.0)}) AS c",
     "flavor_rollup": f"SELECT flavor, label, round(fl, 6) AS l, round(fa, 6) AS a, round(fb, 6) AS b, samples, first_seq FROM ({_flavors()}) AS f",
-    "hue_order": f"SELECT flavor, row_number() OVER (ORDER BY CASE WHEN round(c, 9) < 10e0 THEN 1 ELSE 0 END, CASE WHEN round(c, 9) < 10e0 THEN -round(fl, 9) ELSE round(CASE WHEN h < 0e0 THEN h + 360e0 ELSE h END, 9) END, flavor) AS place FROM (SELECT *, sqrt(fa * fa + fb * fb) AS c, degrees(atan2(fb, fa)) AS h FROM ({_flavors()}) AS f) AS f",
+    "hue_order": f"SELECT flavor, row_number() OVER (ORDER BY grey, hue, flavor) AS place FROM ({_HUES}) AS h",
     "match_alternates_top5": f"SELECT flavor, paper, place, round(delta_e, 6) AS delta_e FROM (SELECT *, row_number() OVER (PARTITION BY flavor ORDER BY delta_e, paper) AS place FROM ({_costs()}) AS c WHERE available) AS r WHERE place <= 5",
-    "nearest_flavor_hint": f"SELECT paper, min_by(flavor, delta_e) AS flavor, round(min(delta_e), 6) AS delta_e FROM ({_costs(1.0)}) AS c GROUP BY paper HAVING min(delta_e) < 7e0",
-    "verdict_bands": f"SELECT flavor, paper, CASE WHEN delta_e <= 2e0 THEN 1 WHEN delta_e <= 5e0 THEN 2 WHEN delta_e <= 10e0 THEN 3 ELSE 4 END AS match_band, CASE WHEN delta_e < 2e0 THEN 1 WHEN delta_e < 4e0 THEN 2 WHEN delta_e < 8e0 THEN 3 ELSE 4 END AS separation_band FROM ({_costs(1.0)}) AS c",
+    "nearest_flavor_hint": _NEAREST.replace("{costs}", _costs(1.0)),
+    # The words of the bands.
+    "verdict_bands": f"SELECT flavor, paper, CASE WHEN delta_e <= 2e0 THEN 'near-identical' WHEN delta_e <= 5e0 THEN 'close' WHEN delta_e <= 10e0 THEN 'noticeably off' ELSE 'poor' END AS match_band, CASE WHEN delta_e < 2e0 THEN 'too close to trust' WHEN delta_e < 4e0 THEN 'subtle but measurable' WHEN delta_e < 8e0 THEN 'clear' ELSE 'obvious' END AS separation_band FROM ({_costs(1.0)}) AS c",
     "suggestions": "SELECT label, place FROM (SELECT label, row_number() OVER (ORDER BY CASE WHEN lower(label) LIKE 'r%' THEN 0 ELSE 1 END, first_seq) AS place FROM (SELECT p_name AS label, min(p_partkey) AS first_seq FROM part GROUP BY p_name) AS f WHERE lower(label) LIKE '%r%') AS s WHERE place <= 12",
     "auto_white": _AUTO_WHITE.replace("{whites}", _WHITES.replace("{samples}", _WHITE_SAMPLES)),
+    # Casings of marks: light on a dark shot, whose median lightness is under 50.
+    "casing_colour": f"SELECT photo_id, CASE WHEN {{pct}}(lab_l, 0.5) < 50e0 THEN 'light' ELSE 'dark' END AS casing FROM ({nest(f'SELECT photo_id, r, g, b FROM ({_rgb()}) AS t', pixel_lab_stages(WHITE))}) AS p GROUP BY photo_id",
     "reference_white": whites.reference_white(*_REFERENCE_WHITE, whites.SORTED),
     "dominant_colour": f"SELECT photo_id, br, bg, bb, n FROM (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY n DESC, br, bg, bb) AS place FROM (SELECT photo_id, CAST(floor(r / 8e0) AS INT) AS br, CAST(floor(g / 8e0) AS INT) AS bg, CAST(floor(b / 8e0) AS INT) AS bb, count(*) AS n FROM ({_rgb()}) AS t GROUP BY photo_id, floor(r / 8e0), floor(g / 8e0), floor(b / 8e0)) AS h) AS o WHERE place = 1",
     "sample_at_tap": _BODY.replace("{tapped}", _TAPPED),
@@ -130,7 +140,7 @@ TEXTS: dict[str, str] = {
     "every_16th_pixel": f"SELECT photo_id, y, x FROM (SELECT photo_id, y, x, row_number() OVER (PARTITION BY photo_id ORDER BY y, x) - 1 AS place FROM ({_mask(-0.1)}) AS m WHERE m = 1) AS p WHERE place % 16 = 0",
     "components": _LABELS_SQL,
     "components_tiled": _LABELS_SQL,
-    "component_boxes": f"SELECT photo_id, label, count(*) AS area, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, (min(x) = 0 OR min(y) = 0 OR max(x) = 63 OR max(y) = 49) AS on_edge FROM ({_LABELS_SQL}) AS l GROUP BY photo_id, label",
+    "component_boxes": f"SELECT photo_id, label, count(*) AS area, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, (min(x) = 0 OR min(y) = 0 OR max(x) = 63 OR max(y) = 49) AS on_edge, (min(x) = 0 OR min(y) = 0 OR max(x) = 63 OR max(y) = 49) AND (max(x) - min(x) + 1 > 16 OR max(y) - min(y) + 1 > 12.5e0) AS hugging FROM ({_LABELS_SQL}) AS l GROUP BY photo_id, label",
     "object_moments": _moments(_LABELS_SQL),
     "surface_fit_sums": f"SELECT photo_id, {_SUMS} FROM ({_PLACES}) AS t GROUP BY photo_id",
     "surface_fit": f"SELECT photo_id, {_COEFFICIENTS} FROM ({surface.fit_text(_PLACES)}) AS f",
@@ -237,6 +247,14 @@ def _auto_white(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_AUTO_WHITE.replace("({whites})", "{whites}"), whites=_whites_of(spark, sf_dir))
 
 
+def _hue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(run(spark, sf_dir, _HUES), ["grey", "hue", "flavor"], "place").select("flavor", "place")
+
+
+def _hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, _NEAREST.replace("{costs}", _NEAR_COSTS))
+
+
 def _reference_white(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, sf_dir, whites.reference_white("{shots}", _REFERENCE_WHITE[1], whites.BY_BINS), "shots", _REFERENCE_WHITE[0])
 
@@ -251,7 +269,8 @@ def _sample_own(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = (F.min("x") == 0) | (F.min("y") == 0) | (F.max("x") == 63) | (F.max("y") == 49)
-    return _labels(spark, sf_dir).groupBy("photo_id", "label").agg(F.count("*").alias("area"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), edge.alias("on_edge"))
+    long = (F.max("x") - F.min("x") + 1 > 0.25 * 64) | (F.max("y") - F.min("y") + 1 > 0.25 * 50)
+    return _labels(spark, sf_dir).groupBy("photo_id", "label").agg(F.count("*").alias("area"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), edge.alias("on_edge"), (edge & long).alias("hugging"))
 
 
 def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +294,7 @@ def _lender(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Spark's own plan where it isn't the text; without a text beside it, SQL can't state the result.
-OWN: dict[str, Query] = {"reference_white": _reference_white, "auto_white": _auto_white, "sample_at_tap": _sample, "sample_with_own_white": _sample_own, "nearest_seed": _seeds, "every_16th_pixel": _every_16th, "components_tiled": _tiled_labels, "components": _labels, "component_boxes": _boxes, "object_moments": _shapes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_locked": _locked, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
+OWN: dict[str, Query] = {"hue_order": _hue_order, "nearest_flavor_hint": _hints, "reference_white": _reference_white, "auto_white": _auto_white, "sample_at_tap": _sample, "sample_with_own_white": _sample_own, "nearest_seed": _seeds, "every_16th_pixel": _every_16th, "components_tiled": _tiled_labels, "components": _labels, "component_boxes": _boxes, "object_moments": _shapes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_locked": _locked, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
 
 
 TEXTS |= grouping.texts(_objects())
