@@ -120,3 +120,13 @@ def window_hashes(h: np.ndarray, length: int, turn: int = 31) -> np.ndarray:
             power = mixed(power[: len(power) - size], power[size:], turn)
         size *= 2
     return out
+
+
+def run_prints(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of each whole run: a polynomial in its values."""
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    powers = np.cumprod(np.full(int(lengths.max()), _A))
+    out = np.add.reduceat((values[np.repeat(starts, lengths) + place].astype(np.uint64) + np.uint64(1)) * powers[place], first)
+    out ^= out >> np.uint64(31)
+    return out * np.uint64(0xC2B2AE3D27D4EB4F)

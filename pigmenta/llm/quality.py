@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pigmenta.llm.common import run_prints
+
 PER_CLASS = 2000
 RANK = 48
 NEAREST = 21
@@ -45,18 +47,6 @@ for _c in range(128):
     _ch = chr(_c)
     _KIND[_c] = 0 if _ch.isspace() or _c < 32 else 1 if _ch.islower() else 2 if _ch.isupper() else 3 if _ch.isdigit() else 10 + _c
 _KIND[128] = 1
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _prints(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Hash of each whole run: a polynomial in its values."""
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    powers = np.cumprod(np.full(int(lengths.max()), _BASE))
-    out = np.add.reduceat((values[np.repeat(starts, lengths) + place].astype(np.uint64) + np.uint64(1)) * powers[place], first)
-    out ^= out >> np.uint64(31)
-    return out * np.uint64(0xC2B2AE3D27D4EB4F)
-
 
 def _segments(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
@@ -76,8 +66,8 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = kind[1:] != kind[:-1]
     short = kind[new]
     s_start, s_length = _segments(short > 0)
-    shape = _prints(short, s_start, s_length)
-    word = _prints(chars, start, length)
+    shape = run_prints(short, s_start, s_length)
+    word = run_prints(chars, start, length)
     same = who[1:] == who[:-1]
     pair = (shape[:-1] * np.uint64(31) + shape[1:] * np.uint64(0x85EBCA6B))[same]
     part = lambda h, n: ((h >> np.uint64(33)) % np.uint64(n)).astype(np.int64)

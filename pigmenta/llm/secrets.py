@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pigmenta.llm.common import checkpointed
+from pigmenta.llm.common import checkpointed, run_prints
 
 KINDS = ("assign", "access", "hex", "crf")
 SAMPLE_DOCS = 6000
@@ -76,18 +76,13 @@ for _chars, _k in (("abcdefghijklmnopqrstuvwxyz", 1), ("ABCDEFGHIJKLMNOPQRSTUVWX
 _KIND[128] = 5
 _HEXCHAR = np.zeros(129, bool)
 _HEXCHAR[[ord(c) for c in "0123456789abcdefABCDEF"]] = True
-_SPELL = np.random.default_rng(20).integers(1, 1 << 62, 16, dtype=np.int64).astype(np.uint64)
 
 
 def _spelling(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Print of the first 16 characters of each token, letters in lower case."""
-    out = np.zeros(len(starts), np.uint64)
-    for i, w in enumerate(_SPELL):
-        live = lengths > i
-        c = chars[np.where(live, starts + i, 0)].astype(np.uint64)
-        c += np.where((c >= 65) & (c <= 90), 32, 0).astype(np.uint64)
-        out += np.where(live, c, 0).astype(np.uint64) * w
-    return out
+    """Print of each whole token, ASCII letters in lower case."""
+    low = chars.astype(np.uint32)
+    low[(low >= 65) & (low <= 90)] += 32
+    return run_prints(low, starts, lengths)
 
 
 def _print_of(word: str) -> int:

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from pigmenta.llm import interaction, queries, repetition, whitening
+from pigmenta.llm import interaction, ogg, queries, repetition, secrets, whitening
 from tests.llm import brute
 
 SMALL = "/root/testdata/sf0.001"
@@ -27,6 +27,43 @@ def test_query_against_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+# 1 Media and 3 secrets: what their other tests leave open
+
+
+def pages_of(media):
+    """Byte ranges of the pages."""
+    out, at = [], 0
+    while at < len(media):
+        n = media[at + 26]
+        end = at + 27 + n + sum(media[at + 27 : at + 27 + n])
+        out.append(media[at:end])
+        at = end
+    return out
+
+
+def test_lost_and_swapped_pages(spark):
+    raw = random.Random(3).randbytes(150_000)
+    media = ogg.encode(ogg.pad(raw), len(raw))
+    pages = pages_of(media)
+    assert len(pages) > 5 and b"".join(pages) == media
+    samples = [i for i, p in enumerate(pages) if p[14:18] == pages[0][14:18]]
+    bad = [pages[: samples[2]] + pages[samples[2] + 1 :], [*pages[: samples[1]], pages[samples[2]], *pages[samples[1] + 1 : samples[2]], pages[samples[1]], *pages[samples[2] + 1 :]], pages[:-1]]
+    got = ogg.ogg_decode(spark.createDataFrame([(i, bytearray(b"".join(p))) for i, p in enumerate([pages, *bad])], "i int, media binary")).orderBy("i").collect()
+    assert [r.decoded.ok for r in got] == [True, False, False, False] and all(r.decoded.error for r in got[1:]) and bytes(got[0].decoded.payload)[: len(raw)] == raw
+    assert ogg.ogg_roundtrip(brute.edge_frame(spark, [])).count() == 0 == ogg.ogg_decode(spark.createDataFrame([], "media binary")).count()
+
+
+def test_media_features_by_definition():
+    raw = random.Random(5).randbytes(70_000)
+    wave = np.frombuffer(ogg.pad(raw), np.uint8).astype(np.int64)
+    feature = dict(x.split("=") for x in ogg.decode(ogg.encode(ogg.pad(raw), len(raw)))["feature"].split(";"))
+    assert int(feature["sum"]) == wave.sum() and int(feature["energy"]) == (wave * wave).sum() and int(feature["peak"]) == wave.max() and int(feature["turns"]) == np.count_nonzero(np.diff(wave))
+
+
+def test_whole_tokens_are_told_apart():
+    assert secrets._print_of("internationalizat") != secrets._print_of("internationalizatqqq") and secrets._print_of("Token") == secrets._print_of("tOKEN")
+
+
 # 11 Repetition rules
 
 
