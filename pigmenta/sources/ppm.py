@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_HEADER = re.compile(rb"P6(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s", re.DOTALL)
+HEADER = re.compile(rb"P6(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s", re.DOTALL)
 
 
 def decode_ppm(data: bytes) -> tuple[int, int, np.ndarray]:
     """Width, height and height x width x 3 channels."""
-    m = _HEADER.match(data)
+    m = HEADER.match(data)
     if not m or int(m[3]) != 255:
         raise ValueError("not an 8-bit binary PPM")
     w, h = int(m[1]), int(m[2])
