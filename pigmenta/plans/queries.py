@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pigmenta.functions.color import balance_stages, balanced_lab_stages, ciede2000_stages, hex_stages, lab_stages, nest, pixel_lab_stages, unlab_stages, xyz_stages
 from pigmenta.operators import assignment, measure, raster, segment, surface
 from pigmenta.operators.tables import checkpointed, numbered
-from pigmenta.plans import display, grouping, matching, whites
+from pigmenta.plans import display, grouping, matching, segmentation, whites
 from pigmenta.sources.scenes import COLUMNS, MARGIN, PITCH, family, scene_photos
 
 TABLES = ("customer", "embeddings", "events", "part", "supplier")
@@ -298,6 +298,8 @@ OWN: dict[str, Query] = {"hue_order": _hue_order, "nearest_flavor_hint": _hints,
 
 
 TEXTS |= grouping.texts(_objects())
+_CHAIN = segmentation.steps("SELECT photo_id, y, x, v0, v1, v2 FROM ({rgb}) AS t", WHITE)
+OWN |= segmentation.queries(run, _CHAIN)
 OWN |= matching.queries(run, _costs()) | grouping.queries(run, _objects(), lambda text: _filled(text, SPARK))
 
 
@@ -307,4 +309,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _filled(text, DUCK) for name, text in (TEXTS | matching.oracle_sql(_costs()) | grouping.oracle_sql(_objects())).items()}
+    return {name: _filled(text, DUCK) for name, text in (TEXTS | matching.oracle_sql(_costs()) | grouping.oracle_sql(_objects()) | segmentation.oracle_sql(_CHAIN)).items()}
