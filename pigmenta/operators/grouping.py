@@ -131,7 +131,8 @@ def group(labs: np.ndarray) -> Grouped:
     if n < 2:
         return Grouped(enhanced, principal, partitions, 1)
     at = cuts(ward_merges(features), n, GROUPS)
-    scores = dict(zip(at, silhouettes(features, list(at.values())), strict=True)) if n > 2 else {}
+    scored = [k for k in at if 1 < k < n]
+    scores = dict(zip(scored, silhouettes(features, [at[k] for k in scored]), strict=True)) if scored else {}
     suggested, best = 1, LEAST_SCORE
     for k, raw in at.items():
         if k == 1:
@@ -141,7 +142,7 @@ def group(labs: np.ndarray) -> Grouped:
         assignment, middle = np.argsort(order)[raw], middle[order]
         i, j = np.triu_indices(k, 1)
         apart = float(ciede2000(middle[i], middle[j]).min())
-        score = scores[k] if k < n else None
+        score = scores.get(k)
         partitions.append(Partition(k, assignment, middle, np.bincount(assignment, minlength=k), apart, score))
         if score is not None and score > best and apart >= LEAST_SEPARATION:
             suggested, best = k, score

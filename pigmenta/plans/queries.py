@@ -16,7 +16,6 @@ from pigmenta.functions.color import balance_stages, balanced_lab_stages, ciede2
 from pigmenta.operators import assignment, measure, raster, segment, surface
 from pigmenta.operators.tables import checkpointed, numbered
 from pigmenta.plans import display, grouping, matching, segmentation, whites
-from pigmenta.sources.scenes import COLUMNS, MARGIN, PITCH, family, scene_photos
 
 TABLES = ("customer", "embeddings", "events", "part", "supplier")
 SPARK = {"key": r"lower(trim(regexp_replace(label, '(?U)\\s+', ' ')))", "hexed": "format_string('#%02x%02x%02x', h_r, h_g, h_b)", "div": "div", "pct": "percentile", "raster": "SELECT vec_id div 50 AS photo_id, CAST(vec_id % 50 AS INT) AS y, x, CAST(v AS DOUBLE) AS v FROM embeddings LATERAL VIEW posexplode(embedding) t AS x, v", "rgb": "SELECT vec_id div 50 AS photo_id, CAST(vec_id % 50 AS INT) AS y, x, CAST(v AS DOUBLE) AS v0, CAST(embedding[(x + 21) % 64] AS DOUBLE) AS v1, CAST(embedding[(x + 42) % 64] AS DOUBLE) AS v2 FROM embeddings LATERAL VIEW posexplode(embedding) t AS x, v", "at": "element_at(embedding, {})"}
@@ -77,7 +76,8 @@ _PIXEL = nest(_samples(), [*pixel_lab_stages(WHITE), *unlab_stages(), *hex_stage
 _XYZ = nest(f"SELECT photo_id, x AS px, y AS py, r, g, b FROM ({_rgb()}) AS t", xyz_stages())
 _NEUTRAL = nest(f"SELECT * FROM ({nest(f'SELECT * FROM ({_XYZ}) AS t WHERE px % 4 = 0 AND py % 4 = 0', [{'even': 'greatest(y, 0.0001e0)'}, {'nx': 'x / even', 'ny': 'y / even', 'nz': 'z / even'}])}) AS t", lab_stages("nx", "ny", "nz", ("nl", "na", "nb")))
 # Pixels around each tap; every seventh object of a photo is a tap's place.
-_AROUND = "SELECT a.photo_id, a.tap, sqrt((p.x - a.tx) * (p.x - a.tx) + (p.y - a.ty) * (p.y - a.ty)) AS far, a.tr, r, g, b FROM (SELECT vec_id {div} 50 AS photo_id, vec_id AS tap, CAST(vec_id * 13 % 70 AS INT) AS tx, CAST(vec_id % 50 AS INT) AS ty, CAST(2 + vec_id % 7 AS INT) AS tr FROM embeddings WHERE vec_id % 7 = 0) AS a JOIN (" + _rgb() + ") AS p ON a.photo_id = p.photo_id AND p.x BETWEEN a.tx - a.tr AND a.tx + a.tr AND p.y BETWEEN a.ty - a.tr AND a.ty + a.tr WHERE (p.x - a.tx) * (p.x - a.tx) + (p.y - a.ty) * (p.y - a.ty) <= a.tr * a.tr"
+_TAPS = "SELECT vec_id {div} 50 AS photo_id, vec_id AS tap, CAST(vec_id * 13 % 70 AS INT) AS tx, CAST(vec_id % 50 AS INT) AS ty, CAST(2 + vec_id % 7 AS INT) AS tr FROM embeddings WHERE vec_id % 7 = 0"
+_AROUND = f"SELECT a.photo_id, a.tap, sqrt((p.x - a.tx) * (p.x - a.tx) + (p.y - a.ty) * (p.y - a.ty)) AS far, a.tr, r, g, b FROM ({_TAPS}) AS a JOIN (" + _rgb() + ") AS p ON a.photo_id = p.photo_id AND p.x BETWEEN a.tx - a.tr AND a.tx + a.tr AND p.y BETWEEN a.ty - a.tr AND a.ty + a.tr WHERE (p.x - a.tx) * (p.x - a.tx) + (p.y - a.ty) * (p.y - a.ty) <= a.tr * a.tr"
 _TAPPED = f"SELECT tap, far, tr, lab_l AS l, lab_a AS a, lab_b AS b FROM ({nest(_AROUND, pixel_lab_stages(WHITE))}) AS t"
 # The samples of a photo for its white, and the white from them.
 _WHITE_SAMPLES = f"SELECT photo_id, r, g, b, x, y, z, sqrt(na * na + nb * nb) < 30e0 AS neutral FROM ({_NEUTRAL}) AS s"
@@ -131,6 +131,11 @@ TEXTS: dict[str, str] = {
     "dominant_colour": f"SELECT photo_id, br, bg, bb, n FROM (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY n DESC, br, bg, bb) AS place FROM (SELECT photo_id, CAST(floor(r / 8e0) AS INT) AS br, CAST(floor(g / 8e0) AS INT) AS bg, CAST(floor(b / 8e0) AS INT) AS bb, count(*) AS n FROM ({_rgb()}) AS t GROUP BY photo_id, floor(r / 8e0), floor(g / 8e0), floor(b / 8e0)) AS h) AS o WHERE place = 1",
     "sample_at_tap": _BODY.replace("{tapped}", _TAPPED),
     "sample_with_own_white": _BODY.replace("{tapped}", _OWN_TAPPED.replace("{whites}", f"SELECT * FROM ({_WHITES.replace('{samples}', _WHITE_SAMPLES)}) AS w")),
+    # The white under each tap, and each photo's white lent by the photo before it: raised if something here is brighter.
+    "tap_whites": f"SELECT tap, round({{pct}}(x, 0.5), 6) AS wx, round({{pct}}(y, 0.5), 6) AS wy, round({{pct}}(z, 0.5), 6) AS wz, greatest({{pct}}(r, 0.5), {{pct}}(g, 0.5), {{pct}}(b, 0.5)) >= 250e0 AS clipped FROM ({nest(_AROUND, xyz_stages())}) AS t GROUP BY tap",
+    "borrowed_whites": f"SELECT t.photo_id, w.photo_id AS lender, round(wx * raise, 6) AS wx, round(wy * raise, 6) AS wy, round(wz * raise, 6) AS wz FROM (SELECT p.photo_id, w.photo_id AS lender, greatest(wy, least(top, 1e0)) / wy AS raise FROM (SELECT photo_id, {{pct}}(y, 0.98) AS top FROM ({_WHITE_SAMPLES}) AS s GROUP BY photo_id) AS p JOIN ({{whites}}) AS w ON w.photo_id = p.photo_id - 1) AS t JOIN ({{whites}}) AS w ON w.photo_id = t.lender".replace("{whites}", f"SELECT * FROM ({_WHITES.replace('{samples}', _WHITE_SAMPLES)}) AS w"),
+    "photo_whites": _AUTO_WHITE.replace("{whites}", _WHITES.replace("{samples}", _WHITE_SAMPLES)),
+    "tap_colours": _BODY.replace("{tapped}", _OWN_TAPPED.replace("{whites}", f"SELECT * FROM ({_WHITES.replace('{samples}', _WHITE_SAMPLES)}) AS w")),
     "borrowed_white_asof": "SELECT a.event_id, max({'t': b.ts, 'e': b.event_id}).e AS lender FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id <> a.event_id AND b.ts <= a.ts AND a.ts < b.ts + INTERVAL '2' HOUR AND b.event_type IN ('view', 'click') GROUP BY a.event_id",
     "erode": _cross(_mask(-0.1), "m", "least"),
     "opening": _cross(_cross(_cross(_cross(_mask(-0.1), "m", "least"), "m", "least"), "m", "greatest"), "m", "greatest"),
@@ -170,29 +175,33 @@ def run(spark: SparkSession, sf_dir: str, text: str, **others: DataFrame) -> Dat
     return spark.sql(text, **named, **others)
 
 
-def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rendered photo of every twenty suppliers, each an object in one of three look-alike reds."""
-    colour = "CASE s_suppkey * 7 % 3 " + " ".join(f"WHEN {i} THEN array({', '.join(f'{v}e0' for v in c)})" for i, c in enumerate(family("reds").tolist())) + " END"
-    return scene_photos(run(spark, sf_dir, f"SELECT photo_id, object_id, c[0] AS r, c[1] AS g, c[2] AS b FROM (SELECT s_suppkey div 20 AS photo_id, s_suppkey AS object_id, {colour} AS c FROM supplier) AS s"))
+#: Derived photos as rows with their bytes, and as smoothed ones that show spots.
+_BYTES = "SELECT photo_id, 64 AS width, 50 AS height, 'sRGB' AS space, unhex(array_join(transform(array_sort(collect_list(struct(y, x, h))), p -> p.h), '')) AS rgb FROM (SELECT photo_id, y, x, concat(lpad(hex(CAST(r AS INT)), 2, '0'), lpad(hex(CAST(g AS INT)), 2, '0'), lpad(hex(CAST(b AS INT)), 2, '0')) AS h FROM ({photo}) AS p) AS p GROUP BY photo_id"
+
+
+def photos(spark: SparkSession, sf_dir: str, smooth: bool = False) -> DataFrame:
+    """The derived photos (see ``operators.measure``)."""
+    text = "SELECT photo_id, y, x, red AS r, green AS g, blue AS b FROM (" + _CHAIN[0].text + ") AS p" if smooth else _rgb()
+    return run(spark, sf_dir, _BYTES.replace("{photo}", text))
 
 
 def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.analyse_photos(scenes(spark, sf_dir)).select("photo_id", "status", F.size("beans").alias("beans"), F.size("clumps").alias("clumps"), "white_paper", "calibrated", "suggested", F.expr("transform(sheet, v -> round(v, 3))").alias("sheet"))
+    return segment.analyse_photos(photos(spark, sf_dir, True)).select("photo_id", "status", F.size("beans").alias("beans"), F.size("clumps").alias("clumps"), "white_paper", "calibrated", "suggested", F.expr("transform(sheet, v -> round(v, 3))").alias("sheet"))
 
 
 def _beans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.analyse_photos(scenes(spark, sf_dir)).select("photo_id", "suggested", "partitions", F.posexplode("beans").alias("bean", "of")).select("photo_id", "bean", "of.*", F.expr("element_at(filter(partitions, p -> p.k = suggested), 1).assignment[bean]").alias("grp"))
+    return segment.analyse_photos(photos(spark, sf_dir, True)).select("photo_id", "suggested", "partitions", F.posexplode("beans").alias("bean", "of")).select("photo_id", "bean", "of.*", F.expr("element_at(filter(partitions, p -> p.k = suggested), 1).assignment[bean]").alias("grp"))
 
 
 def _whites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.measure_whites(scenes(spark, sf_dir))
+    whites = measure.measure_whites(photos(spark, sf_dir))
+    return whites.select("photo_id", *(F.round(F.col("white")[i], 6).alias(f"w{c}") for i, c in enumerate("xyz")), "clipped", "found")
 
 
 def _taps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tap on every object's place before jitter."""
-    at = run(spark, sf_dir, "SELECT s_suppkey AS id, s_suppkey div 20 AS photo_id, row_number() OVER (PARTITION BY s_suppkey div 20 ORDER BY s_suppkey) - 1 AS i FROM supplier")
-    taps = at.select("id", "photo_id", F.expr(f"({MARGIN}e0 + i % {COLUMNS} + 0.5e0 * (i div {COLUMNS} % 2)) * {PITCH}").alias("x"), F.expr(f"({MARGIN}e0 + i div {COLUMNS}) * {PITCH}").alias("y"), F.lit(5.0).alias("r"))
-    return measure.measure_taps(scenes(spark, sf_dir).withColumn("white", F.lit(None).cast("array<double>")), taps)
+    taps = run(spark, sf_dir, f"SELECT tap AS id, photo_id, CAST(tx AS DOUBLE) AS x, CAST(ty AS DOUBLE) AS y, CAST(tr AS DOUBLE) AS r FROM ({_TAPS}) AS t")
+    lab = measure.measure_taps(photos(spark, sf_dir).withColumn("white", F.lit(None).cast("array<double>")), taps)
+    return lab.select(F.col("id").alias("tap"), *(F.round(F.col("lab")[i], 6).alias(c) for i, c in enumerate("lab")))
 
 
 def _assignment_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +268,14 @@ def _reference_white(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, sf_dir, whites.reference_white("{shots}", _REFERENCE_WHITE[1], whites.BY_BINS), "shots", _REFERENCE_WHITE[0])
 
 
+def _borrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples and whites are computed once."""
+    samples = checkpointed(run(spark, sf_dir, _WHITE_SAMPLES))
+    whites = checkpointed(spark.sql(_filled(_WHITES.replace("{samples}", "SELECT * FROM {samples}"), SPARK), samples=samples))
+    text = "SELECT p.photo_id, w.photo_id AS lender, round(wx * raise, 6) AS wx, round(wy * raise, 6) AS wy, round(wz * raise, 6) AS wz FROM (SELECT photo_id, percentile(y, 0.98) AS top FROM {samples} GROUP BY photo_id) AS p JOIN {whites} AS w ON w.photo_id = p.photo_id - 1 CROSS JOIN LATERAL (SELECT greatest(wy, least(top, 1e0)) / wy AS raise) AS r"
+    return spark.sql(text, samples=samples, whites=whites)
+
+
 def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, sf_dir, _BODY, "tapped", _TAPPED)
 
@@ -294,7 +311,7 @@ def _lender(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Spark's own plan where it isn't the text; without a text beside it, SQL can't state the result.
-OWN: dict[str, Query] = {"hue_order": _hue_order, "nearest_flavor_hint": _hints, "reference_white": _reference_white, "auto_white": _auto_white, "sample_at_tap": _sample, "sample_with_own_white": _sample_own, "nearest_seed": _seeds, "every_16th_pixel": _every_16th, "components_tiled": _tiled_labels, "components": _labels, "component_boxes": _boxes, "object_moments": _shapes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_locked": _locked, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
+OWN: dict[str, Query] = {"borrowed_whites": _borrowed, "hue_order": _hue_order, "nearest_flavor_hint": _hints, "reference_white": _reference_white, "auto_white": _auto_white, "sample_at_tap": _sample, "sample_with_own_white": _sample_own, "nearest_seed": _seeds, "every_16th_pixel": _every_16th, "components_tiled": _tiled_labels, "components": _labels, "component_boxes": _boxes, "object_moments": _shapes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_locked": _locked, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
 
 
 TEXTS |= grouping.texts(_objects())

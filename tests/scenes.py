@@ -1,4 +1,4 @@
-"""Synthetic photos for tests and queries: rounded pebbles of known colour on paper or cloth, under one lamp.
+"""Synthetic photos for tests: rounded pebbles of known colour on paper or cloth, under one lamp.
 
 A scene is layers of light: a ground with texture, soft shadows away from the lamp, domed pebbles with smooth edges and
 a highlight towards it, the lamp's decay over the frame, and sensor noise. Pebbles lie on a staggered lattice.
