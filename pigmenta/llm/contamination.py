@@ -19,6 +19,8 @@ Defined results
   * an empty benchmark: nothing is hit; empty documents give an empty result;
   * repeated rows: each row is judged by its own text; null doc_id passes through;
   * an item without id counts for hits but is not named; repeated item ids count once;
+  * ties: none, as words and windows are compared for equality alone;
+  * very long texts are treated whole: a row holds a text's words, then one row each of its blocks;
   * extra columns of either table are ignored (``decontaminate`` keeps the documents').
 """
 

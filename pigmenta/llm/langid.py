@@ -15,6 +15,7 @@ Defined results
   * ties go to the language that comes first in alphabetical order;
   * the score is the posterior probability of the answer after the evidence is
     divided by the root of the n-gram count (n-grams are not independent);
+  * very long texts are treated whole, about 70 bytes a character while their n-grams are counted; an empty text is one without a letter;
   * repeated rows: each by itself; null doc_id passes through; extra columns are ignored.
 """
 

@@ -13,7 +13,7 @@ chosen by a hash of the document's id; that bounds what is broadcast.
 
 Defined results
   * null or empty text: no terms; the score is the labelled sample's own share of label 1;
-  * nothing to learn from: every score is 0;
+  * nothing to learn from: every score is 0; an empty table to score gives an empty result;
   * several labels for one document: the largest counts; rows without label are not learned from;
   * ties of similarity go to the smaller place in the sample's fixed order;
   * repeated rows: each by itself; null doc_id passes through; extra columns are ignored;

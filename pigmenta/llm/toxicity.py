@@ -14,7 +14,7 @@ Learning is sequential. It runs in one task over a bounded sample, about
 
 Defined results
   * null or empty text, or one without a word: the score of the constant term alone;
-  * nothing to learn from: every score is 0;
+  * nothing to learn from: every score is 0; an empty table to score gives an empty result;
   * several labels for one document: the largest counts; rows without label are not learned from;
   * repeated rows: each by itself; null doc_id passes through; extra columns are ignored;
   * ties: rows with one place in the order go by their features; the sum of a text's weights doesn't depend on order;

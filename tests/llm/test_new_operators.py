@@ -9,8 +9,9 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pigmenta.llm import interaction, ogg, queries, repetition, secrets, whitening
+from pigmenta.llm import contamination, interaction, ogg, quality, queries, repetition, secrets, toxicity, whitening
 from tests.llm import brute
 
 SMALL = "/root/testdata/sf0.001"
@@ -60,6 +61,23 @@ def test_media_features_by_definition():
     assert int(feature["sum"]) == wave.sum() and int(feature["energy"]) == (wave * wave).sum() and int(feature["peak"]) == wave.max() and int(feature["turns"]) == np.count_nonzero(np.diff(wave))
 
 
+def test_contamination_of_a_very_long_text(spark):
+    passage = " ".join(f"probe{i}" for i in range(12))
+    long = " ".join(f"w{i % 5003}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, f"{long} {passage} {long}"), (2, long)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in contamination.contamination(docs, items).collect()}
+    assert got == {1: (400_012, 12, ["7"]), 2: (200_000, 0, [])}
+
+
+def test_scores_of_an_empty_table(spark):
+    docs = spark.createDataFrame([(d, f"some {'vile filth' if d % 2 else 'kind word'} number {d}") for d in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2, d % 2) for d in range(40)], "doc_id long, quality int, toxic int")
+    none = docs.limit(0)
+    assert toxicity.score_toxicity(none, queries.toxicity_model(docs, labels)).count() == 0
+    assert quality.score_quality(none, quality.train(queries.labelled(docs, labels, "quality", F.lit(True), quality.PER_CLASS))).count() == 0
+
+
 def test_whole_tokens_are_told_apart():
     assert secrets._print_of("internationalizat") != secrets._print_of("internationalizatqqq") and secrets._print_of("Token") == secrets._print_of("tOKEN")
 
