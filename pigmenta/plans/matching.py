@@ -41,10 +41,10 @@ def oracle_sql(costs: str) -> dict[str, str]:
     return {
         "match_projects": solved + """,
 near5 AS (SELECT * FROM (SELECT c.project, c.flavor, c.label, c.paper, c.delta_e, row_number() OVER (PARTITION BY c.project, c.flavor ORDER BY c.delta_e, c.paper) AS place FROM c WHERE available OR EXISTS (SELECT 1 FROM l WHERE l.project = c.project AND l.paper = c.paper)) AS n WHERE place <= 5)
-SELECT m.project, m.ord, m.flavor, m.paper, round(m.delta_e, 6) AS delta_e, m.locked, CAST(near5.place AS INT) AS place, near5.paper AS near_paper, round(near5.delta_e, 6) AS near_delta_e, CASE WHEN h.label <> m.label THEN h.label END AS taken_by
+SELECT m.project, m.ord, m.flavor, coalesce(m.paper, -1) AS paper, round(m.delta_e, 6) AS delta_e, m.locked, CAST(coalesce(near5.place, 0) AS INT) AS place, coalesce(near5.paper, -1) AS near_paper, round(near5.delta_e, 6) AS near_delta_e, CASE WHEN h.label <> m.label THEN h.label ELSE '' END AS taken_by
 FROM m LEFT JOIN near5 ON near5.project = m.project AND near5.flavor = m.flavor LEFT JOIN m AS h ON h.project = m.project AND h.paper = near5.paper""",
         "match_project_summaries": solved + """
-SELECT m.project, count(*) AS flavors, count(m.paper) AS matched, round(coalesce(avg(m.delta_e), 0), 6) AS mean_delta_e, CASE WHEN max(m.delta_e) > 5 THEN arg_max(flavor, m.delta_e) END AS worst, CASE WHEN max(m.delta_e) > 5 THEN round(max(m.delta_e), 6) END AS worst_delta_e, CAST(greatest(max(coalesce(a.n, 0)) - count(m.paper), 0) AS BIGINT) AS spare
+SELECT m.project, count(*) AS flavors, count(m.paper) AS matched, round(coalesce(avg(m.delta_e), 0), 6) AS mean_delta_e, CASE WHEN max(m.delta_e) > 5 THEN arg_max(flavor, m.delta_e) ELSE '' END AS worst, CASE WHEN max(m.delta_e) > 5 THEN round(max(m.delta_e), 6) END AS worst_delta_e, CAST(greatest(max(coalesce(a.n, 0)) - count(m.paper), 0) AS BIGINT) AS spare
 FROM m LEFT JOIN (SELECT s_nationkey AS project, count(*) AS n FROM supplier WHERE s_acctbal >= 0 GROUP BY s_nationkey) AS a ON a.project = m.project GROUP BY m.project""",
         # That an assignment is best can't be computed here for the whole table, but any prices prove it: no gap to their bound.
         "assignment_certificates": """
@@ -59,11 +59,12 @@ def queries(run: Run, costs: str) -> dict[str, Callable[[SparkSession, str], Dat
 
     def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = matched(spark, sf_dir).select("project", "ord", "flavor", "paper", F.round("delta_e", 6).alias("delta_e"), "locked", F.explode_outer("alternates").alias("a"))
-        return rows.select("project", "ord", "flavor", "paper", "delta_e", "locked", "a.place", F.col("a.paper").alias("near_paper"), F.round("a.delta_e", 6).alias("near_delta_e"), "a.taken_by")
+        none = F.lit(-1).cast("long")  # for no sheet
+        return rows.select("project", "ord", "flavor", F.coalesce("paper", none).alias("paper"), "delta_e", "locked", F.coalesce("a.place", F.lit(0)).alias("place"), F.coalesce("a.paper", none).alias("near_paper"), F.round("a.delta_e", 6).alias("near_delta_e"), F.coalesce("a.taken_by", F.lit("")).alias("taken_by"))
 
     def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
         available = run(spark, sf_dir, "SELECT s_nationkey AS project, count(*) AS available FROM supplier WHERE s_acctbal >= 0 GROUP BY s_nationkey")
-        return assignment.summarise_projects(matched(spark, sf_dir), available)
+        return assignment.summarise_projects(matched(spark, sf_dir), available).withColumn("worst", F.coalesce("worst", F.lit("")))
 
     def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Of every nation's project, and of one (-1) that holds all sheets."""
