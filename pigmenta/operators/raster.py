@@ -57,7 +57,7 @@ LABELS = "photo_id long, y int, x int, label int"
 
 
 def _in_tiles(cells: DataFrame, diagonal: bool, tile: int) -> DataFrame:
-    """Cells with the first cell (in raster order, as one number) of their component within the tile."""
+    """Cells with the first cell (in raster order, as one number) of their component within the tile, and its label there."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x = pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64)
@@ -67,10 +67,10 @@ def _in_tiles(cells: DataFrame, diagonal: bool, tile: int) -> DataFrame:
         place = names[y - y.min(), x - x.min()]
         first = np.full(place.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, place, y << 32 | x)
-        return pdf.assign(node=first[place])[["photo_id", "y", "x", "node"]]
+        return pdf.assign(node=first[place], label=place)[["photo_id", "y", "x", "node", "label"]]
 
     tiled = cells.select("photo_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx"))
-    return tiled.groupBy("photo_id", "ty", "tx").applyInPandas(one, "photo_id long, y int, x int, node long")
+    return tiled.groupBy("photo_id", "ty", "tx").applyInPandas(one, "photo_id long, y int, x int, node long, label int")
 
 
 def _touching(nodes: DataFrame, diagonal: bool, tile: int) -> DataFrame:
@@ -100,10 +100,11 @@ def _roots(edges: DataFrame) -> DataFrame:
 def components(cells: DataFrame, diagonal: bool = False, tile: int = TILE) -> DataFrame:
     """(photo_id, y, x) of the cells in a mask, to their component (see ``LABELS``), numbered from 1 in raster order of its first cell."""
     nodes = _in_tiles(cells, diagonal, tile)
-    if not cells.where(f"y >= {tile} OR x >= {tile}").isEmpty():
-        nodes = checkpointed(nodes)
-        roots = _roots(_touching(nodes, diagonal, tile))
-        nodes = nodes.join(roots, ["photo_id", "node"], "left").select("photo_id", "y", "x", F.coalesce("root", "node").alias("node"))
+    if cells.where(f"y >= {tile} OR x >= {tile}").isEmpty():  # every frame is one tile
+        return nodes.select("photo_id", "y", "x", "label")
+    nodes = checkpointed(nodes.drop("label"))
+    roots = _roots(_touching(nodes, diagonal, tile))
+    nodes = nodes.join(roots, ["photo_id", "node"], "left").select("photo_id", "y", "x", F.coalesce("root", "node").alias("node"))
     names = nodes.groupBy("photo_id", "node").agg(F.lit(1).alias("one")).select("photo_id", "node", F.row_number().over(Window.partitionBy("photo_id").orderBy("node")).alias("label"))
     return nodes.join(names, ["photo_id", "node"]).select("photo_id", "y", "x", "label")
 

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from pigmenta.functions.color import ciede2000_stages, nest
 from pigmenta.functions.linear import eigen_stages
-from pigmenta.operators.records import partition_for
 from pigmenta.operators.grouping import GROUPS, LEAST_SCORE, LEAST_SEPARATION, LEAST_VARIANCE, LIGHTNESS, ward_groups
+from pigmenta.operators.records import partition_for
+from pigmenta.operators.tables import checkpointed
 
 Run = Callable[[SparkSession, str, str], DataFrame]
 
@@ -88,6 +89,7 @@ def oracle_sql(objects: str) -> dict[str, str]:
 def suggest(spark: SparkSession, objects: DataFrame, labels: DataFrame, filled: Callable[[str], str]) -> DataFrame:
     """Groups and the suggested count from objects and labels with scores (see ``operators.grouping.ward_groups``)."""
     scores = "SELECT DISTINCT photo_id, k, score FROM {labels}"
+    objects, labels = checkpointed(objects), checkpointed(labels)  # read several times
     return spark.sql(filled(f"WITH o AS (SELECT * FROM {{objects}}), l AS (SELECT * FROM {{labels}}), sc AS ({scores}), {_GROUPS}"), objects=objects, labels=labels)
 
 

@@ -268,6 +268,10 @@ def _reference_white(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, sf_dir, whites.reference_white("{shots}", _REFERENCE_WHITE[1], whites.BY_BINS), "shots", _REFERENCE_WHITE[0])
 
 
+def _robust_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, f"SELECT photo_id, {_COEFFICIENTS} FROM ({surface.robust_text('{points}')}) AS f", "points", _PLACES)
+
+
 def _borrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples and whites are computed once."""
     samples = checkpointed(run(spark, sf_dir, _WHITE_SAMPLES))
@@ -311,7 +315,7 @@ def _lender(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Spark's own plan where it isn't the text; without a text beside it, SQL can't state the result.
-OWN: dict[str, Query] = {"borrowed_whites": _borrowed, "hue_order": _hue_order, "nearest_flavor_hint": _hints, "reference_white": _reference_white, "auto_white": _auto_white, "sample_at_tap": _sample, "sample_with_own_white": _sample_own, "nearest_seed": _seeds, "every_16th_pixel": _every_16th, "components_tiled": _tiled_labels, "components": _labels, "component_boxes": _boxes, "object_moments": _shapes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_locked": _locked, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
+OWN: dict[str, Query] = {"surface_fit_robust": _robust_surface, "borrowed_whites": _borrowed, "hue_order": _hue_order, "nearest_flavor_hint": _hints, "reference_white": _reference_white, "auto_white": _auto_white, "sample_at_tap": _sample, "sample_with_own_white": _sample_own, "nearest_seed": _seeds, "every_16th_pixel": _every_16th, "components_tiled": _tiled_labels, "components": _labels, "component_boxes": _boxes, "object_moments": _shapes, "distance_transform": _distance, "borrowed_white_asof": _lender, "match_assignment_full": _assignment_full, "match_summary": _summary, "match_locked": _locked, "photo_whites": _whites, "tap_colours": _taps, "analyse_photos": _analysed, "photo_objects": _beans}
 
 
 TEXTS |= grouping.texts(_objects())
