@@ -1,7 +1,8 @@
 """A photo's white and the colour under a tap; one photo (or one tap of it) at a time, no shuffle of pixels.
 
 A photo is a row (photo_id, width, height, space, rgb): rgb holds height x width x 3 channels, space is ``sRGB`` or
-``displayP3``. Rows flow through ``mapInArrow`` in batches whose bytes Spark bounds.
+``displayP3``. Rows flow through ``mapInArrow`` in batches whose bytes Spark bounds. A photo of which only some lines
+are known may name them in a column ``lines`` (null: all); rgb then holds these alone, and whites and taps are measured on them.
 """
 
 from __future__ import annotations
@@ -40,16 +41,36 @@ def pixels(row: dict[str, Any]) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(h, w, 3)
 
 
+def known_pixels(row: dict[str, Any]) -> tuple[np.ndarray, np.ndarray | None]:
+    """Channels of a photo row, and which of its lines are known (None: all); unknown ones are black."""
+    lines = row.get("lines")
+    if lines is None:
+        return pixels(row), None
+    if row["height"] is None or lines != sorted({y for y in lines if 0 <= y < row["height"]}):
+        raise ValueError("lines and height of a photo disagree")
+    some = pixels(row | {"height": len(lines)})
+    rgb, known = np.zeros((row["height"], *some.shape[1:]), np.uint8), np.zeros(row["height"], bool)
+    rgb[lines], known[lines] = some, True
+    return rgb, known
+
+
+def _sent(photos: DataFrame) -> list[str]:
+    """The columns of photo rows from which whites and taps are measured."""
+    return ["photo_id", "width", "height", "space", "rgb", *(c for c in ("lines",) if c in photos.columns)]
+
+
 def _white_of(rgb: np.ndarray, space: str) -> White:
     return White(np.median(rgb_xyz(rgb, space), 0), bool(np.median(rgb, 0).max() >= CLIPPED), True)
 
 
-def auto_white(rgb: np.ndarray, space: str) -> White:
+def auto_white(rgb: np.ndarray, space: str, known: np.ndarray | None = None) -> White:
     """Brightest sizeable neutral surface, on every fourth pixel each way; else the camera's own white, not ``found``.
 
-    The same holds if no candidate lies in the band below the top, which takes very few, widely spread ones.
+    The same holds if no candidate lies in the band below the top, which takes very few, widely spread ones. Only ``known`` lines count.
     """
-    some = rgb[::4, ::4].reshape(-1, 3)
+    some = (rgb[::4, ::4] if known is None else rgb[::4, ::4][known[::4]]).reshape(-1, 3)
+    if not len(some):
+        raise ValueError("a photo has no pixel for its white")
     xyz = rgb_xyz(some, space)
     bright = np.percentile(xyz[:, 1], 98)
     fit = (neutral_chroma(xyz) < NEUTRAL) & (xyz[:, 1] >= 0.5 * bright)
@@ -123,12 +144,13 @@ def measure_whites(photos: DataFrame) -> DataFrame:
 
     def one(row: dict[str, Any]) -> list[dict[str, Any]]:
         try:
-            w = auto_white(pixels(row), row["space"])
+            rgb, known = known_pixels(row)
+            w = auto_white(rgb, row["space"], known)
         except ValueError as e:
             return [{"photo_id": row["photo_id"], "error": str(e)}]
         return [{"photo_id": row["photo_id"], "white": w.xyz.tolist(), "clipped": w.clipped, "found": w.found}]
 
-    return per_photo(photos.select("photo_id", "width", "height", "space", "rgb"), one, f"photo_id {photos.schema['photo_id'].dataType.simpleString()}, {WHITES}")
+    return per_photo(photos.select(*_sent(photos)), one, f"photo_id {photos.schema['photo_id'].dataType.simpleString()}, {WHITES}")
 
 
 def measure_taps(photos: DataFrame, taps: DataFrame) -> DataFrame:

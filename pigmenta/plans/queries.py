@@ -175,8 +175,8 @@ def run(spark: SparkSession, sf_dir: str, text: str, **others: DataFrame) -> Dat
     return spark.sql(text, **named, **others)
 
 
-#: Derived photos as rows with their bytes, and as smoothed ones that show spots.
-_BYTES = "SELECT photo_id, 64 AS width, 50 AS height, 'sRGB' AS space, unhex(array_join(transform(array_sort(collect_list(struct(y, x, h))), p -> p.h), '')) AS rgb FROM (SELECT photo_id, y, x, concat(lpad(hex(CAST(r AS INT)), 2, '0'), lpad(hex(CAST(g AS INT)), 2, '0'), lpad(hex(CAST(b AS INT)), 2, '0')) AS h FROM ({photo}) AS p) AS p GROUP BY photo_id"
+#: Derived photos as rows with their bytes, and as smoothed ones that show spots. A photo is as high as its last line; if others are missing, ``lines`` has those that are there.
+_BYTES = "SELECT photo_id, 64 AS width, CAST(max(y) + 1 AS INT) AS height, 'sRGB' AS space, CASE WHEN size(collect_set(y)) <= max(y) THEN array_sort(collect_set(y)) END AS lines, unhex(array_join(transform(array_sort(collect_list(struct(y, x, h))), p -> p.h), '')) AS rgb FROM (SELECT photo_id, y, x, concat(lpad(hex(CAST(r AS INT)), 2, '0'), lpad(hex(CAST(g AS INT)), 2, '0'), lpad(hex(CAST(b AS INT)), 2, '0')) AS h FROM ({photo}) AS p) AS p GROUP BY photo_id"
 
 
 def photos(spark: SparkSession, sf_dir: str, smooth: bool = False) -> DataFrame:
@@ -194,7 +194,7 @@ def _beans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _whites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whites = measure.measure_whites(photos(spark, sf_dir))
+    whites = measure.measure_whites(photos(spark, sf_dir)).where("white IS NOT NULL")  # a photo without any pixel for it has none
     return whites.select("photo_id", *(F.round(F.col("white")[i], 6).alias(f"w{c}") for i, c in enumerate("xyz")), "clipped", "found")
 
 
