@@ -88,11 +88,11 @@ def borrowed_white(rgb: np.ndarray, space: str, white: np.ndarray) -> np.ndarray
     return white * (max(white[1], bright) / white[1])
 
 
-def _disc(rgb: np.ndarray, x: float, y: float, r: float) -> tuple[np.ndarray, np.ndarray]:
+def _disc(rgb: np.ndarray, x: float, y: float, r: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     h, w = rgb.shape[:2]
     rows, cols = np.arange(max(0, int(y - r)), max(0, min(h, int(y + r) + 1))), np.arange(max(0, int(x - r)), max(0, min(w, int(x + r) + 1)))
     far = np.hypot(cols[None, :] - x, rows[:, None] - y)
-    inside = far <= r
+    inside = far <= r if known is None else (far <= r) & known[rows, None]
     return rgb[rows[:, None], cols[None, :]][inside], far[inside]
 
 
@@ -110,9 +110,9 @@ def body_colour(lab: np.ndarray) -> np.ndarray:
     return np.median(lab, 0)
 
 
-def sample_colour(rgb: np.ndarray, space: str, white: np.ndarray, x: float, y: float, r: float) -> np.ndarray | None:
-    """Lab of the object under a tap, measured against ``white``; None outside the photo."""
-    px, far = _disc(rgb, x, y, r)
+def sample_colour(rgb: np.ndarray, space: str, white: np.ndarray, x: float, y: float, r: float, known: np.ndarray | None = None) -> np.ndarray | None:
+    """Lab of the object under a tap, measured against ``white``; None outside the photo or its ``known`` lines."""
+    px, far = _disc(rgb, x, y, r, known)
     if not len(px):
         return None
     lab = xyz_lab(LIGHT[px] @ (adaptation(white) @ TO_XYZ[space]).T)
@@ -156,21 +156,21 @@ def measure_whites(photos: DataFrame) -> DataFrame:
 def measure_taps(photos: DataFrame, taps: DataFrame) -> DataFrame:
     """(id, lab) for each (id, photo_id, x, y, r) of ``taps``, against the photo's ``white`` (its automatic one if null).
 
-    A tap outside its photo, or in a missing or broken one, gives no row. Taps of a photo are few rows a hand made; they
+    A tap outside its photo, or in a missing or broken one, or one without a white, gives no row. Taps of a photo are few rows a hand made; they
     travel to the photo as one list, so that its pixels are sent once.
     """
     lists = taps.groupBy("photo_id").agg(F.collect_list(F.struct("id", "x", "y", "r")).alias("taps"))
 
     def one(row: dict[str, Any]) -> list[dict[str, Any]]:
         try:
-            rgb = pixels(row)
+            rgb, known = known_pixels(row)
+            white = auto_white(rgb, row["space"], known).xyz if row["white"] is None else np.array(row["white"])
         except ValueError:
             return []
-        white = auto_white(rgb, row["space"]).xyz if row["white"] is None else np.array(row["white"])
-        seen = ((t["id"], sample_colour(rgb, row["space"], white, t["x"], t["y"], t["r"])) for t in row["taps"] if None not in (t["x"], t["y"], t["r"]))
+        seen = ((t["id"], sample_colour(rgb, row["space"], white, t["x"], t["y"], t["r"], known)) for t in row["taps"] if None not in (t["x"], t["y"], t["r"]))
         return [{"id": i, "lab": lab.tolist()} for i, lab in seen if lab is not None]
 
-    joined = photos.select("photo_id", "width", "height", "space", "rgb", "white").join(lists, "photo_id")
+    joined = photos.select(*_sent(photos), "white").join(lists, "photo_id")
     return per_photo(joined, one, f"id {taps.schema['id'].dataType.simpleString()}, lab array<double>")
 
 

@@ -254,7 +254,7 @@ def test_photo_queries(spark):
     assert {r.k for r in q["group_suggestion"](spark, d).collect()} == set(range(1, 7)) and q["surface_fit_robust"](spark, d).where("c00 IS NULL").count() == 0
 
 
-@pytest.mark.parametrize("query", ["photo_whites"])
+@pytest.mark.parametrize("query", ["photo_whites", "tap_colours"])
 def test_whites_and_taps_of_photos_with_missing_lines(spark, tmp_path, query):
     """As in SQL: the last photo ends early, others lack lines at the top, in between, or all that whites are measured on."""
     duckdb = pytest.importorskip("duckdb")
@@ -263,6 +263,6 @@ def test_whites_and_taps_of_photos_with_missing_lines(spark, tmp_path, query):
     got = sorted(tuple(r) for r in plans.queries()[query](spark, str(tmp_path)).collect())
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
-    assert got == sorted(con.execute(plans.oracle_sql()[query]).fetchall()) and len(got) == {"photo_whites": 7}[query]
+    assert got == sorted(con.execute(plans.oracle_sql()[query]).fetchall()) and len(got) == {"photo_whites": 7, "tap_colours": 41}[query]
     status = {r.photo_id: r.status for r in plans.queries()["analyse_photos"](spark, str(tmp_path)).collect()}
     assert set(status) == set(range(8)) and status[7] == "no_objects" and "disagree" in status[2]
