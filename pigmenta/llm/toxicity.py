@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,25 +72,26 @@ class Model:
 
 
 def ftrl(rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, alpha: float = 1.0, beta: float = 1.0, l1: float | None = None, l2: float = 0.05) -> Model:
-    """Fit on rows of distinct coordinates, in the given order, ``epochs`` times. ``l1`` grows with the rarer label unless given."""
+    """Fit on rows of distinct coordinates (whole numbers of any width), in the given order, ``epochs`` times. ``l1`` grows with the rarer label unless given."""
     l1 = 2.5 + min(sum(labels), len(labels) - sum(labels)) / 300 if l1 is None else l1
     z, n = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
+
+    def weights(zi: np.ndarray, ni: np.ndarray, reach: np.ndarray | float) -> np.ndarray:
+        return np.where(np.abs(zi) <= reach, 0.0, -(zi - np.sign(zi) * reach) / ((beta + np.sqrt(ni)) / alpha + l2))
+
     for _ in range(epochs):
         for row, y in zip(rows, labels, strict=True):
             at = np.append(row, DIMS)  # the constant term
             zi, ni = z[at], n[at]
             reach = np.full(len(at), l1)
             reach[-1] = 0
-            w = np.where(np.abs(zi) <= reach, 0.0, -(zi - np.sign(zi) * reach) / ((beta + np.sqrt(ni)) / alpha + l2))
+            w = weights(zi, ni, reach)
             g = 1 / (1 + math.exp(-max(-35.0, min(35.0, w.sum())))) - y
             step = (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha
             z[at] += g - step * w
             n[at] += g * g
-    reach = np.full(DIMS + 1, l1)
-    reach[-1] = 0
-    w = np.where(np.abs(z) <= reach, 0.0, -(z - np.sign(z) * reach) / ((beta + np.sqrt(n)) / alpha + l2))
-    where = np.flatnonzero(w[:-1])
-    return Model(where, w[where].astype(np.float32), float(w[-1]))
+    where = np.flatnonzero(np.abs(z[:-1]) > l1)
+    return Model(where, weights(z[where], n[where], l1).astype(np.float32), float(weights(z[-1:], n[-1:], 0.0)[0]))
 
 
 def margins(rows: list[np.ndarray], model: Model) -> np.ndarray:
@@ -121,6 +123,20 @@ def fit(rows: list[np.ndarray], labels: list[int], slices: int = SLICES) -> Mode
     return model
 
 
+def fit_batches(batches: Iterator[pa.RecordBatch]) -> Model | None:
+    """Fit on batches of (place in the order, label, coordinates as little-endian unsigned 32-bit numbers); the coordinates are not copied."""
+    place, labels, rows = [], [], []
+    for b in batches:
+        place += b.column(0).to_pylist()
+        labels += b.column(1).to_pylist()
+        rows += [np.frombuffer(v.as_buffer(), "<u4") for v in b.column(2)]
+    if not rows:
+        return None
+    shared = {p for p, n in Counter(place).items() if n > 1}
+    order = sorted(range(len(rows)), key=lambda i: (place[i], rows[i].tobytes() if place[i] in shared else b""))
+    return fit([rows[i] for i in order], [labels[i] for i in order])
+
+
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """Fit on all rows of ``df``, which is the (bounded) sample, in one task; rows go in the order of a hash of their key."""
 
@@ -130,11 +146,9 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["place", "y", "row"])
 
     def learn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [x for b in it for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        if not got:
+        model = fit_batches(it)
+        if model is None:
             return
-        got.sort(key=lambda x: (x[0], x[2]))
-        model = fit([np.frombuffer(r, "<u4").astype(np.int64) for _, _, r in got], [y for _, y, _ in got])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(model.where, -1), pa.int64()), pa.array(np.append(model.weight, model.bias), pa.float64())], ["at", "w"])
 
     sample = df.select(F.xxhash64(F.lit("order"), key).alias("place"), F.col(label).cast("int").alias("y"), F.col(text).alias("t"))
@@ -158,12 +172,11 @@ def score_toxicity(df: DataFrame, model: Model | None, key: str = "doc_id", text
     """Score of each row's whole text (see ``SCORED``). ``keep`` names columns to carry along unchanged."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights = None if shared.value is None else shared.value.dense()
-        for b in it:
-            scores = [0.0 if weights is None else score(v.as_py() or "", weights, shared.value.bias) for v in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), *b.columns[2:]], ["doc_id", "score", *b.schema.names[2:]])
+        for b in texts:
+            yield pa.array([0.0 if weights is None else score(v.as_py() or "", weights, shared.value.bias) for v in b], pa.float64())
 
     carried = [F.col(c).alias(f"_{c}") for c in keep]
-    kinds = "".join(f", _{c} {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carried).mapInArrow(batches, SCORED + kinds)
+    of = F.arrow_udf(scores, "double")  # the text alone goes to Python, the score alone comes back
+    return df.select(F.col(key).cast("long").alias("doc_id"), of(F.col(text)).alias("score"), *carried)
