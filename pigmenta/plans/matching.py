@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pigmenta.operators import assignment
 
-Run = Callable[[SparkSession, str, str], DataFrame]
+Run = Callable[..., DataFrame]
 
 _LOCKED = "SELECT project, flavor, paper FROM (SELECT project, paper, row_number() OVER (PARTITION BY project ORDER BY paper) AS i FROM (SELECT DISTINCT s_nationkey AS project, s_suppkey AS paper FROM supplier) AS d) AS p JOIN (SELECT flavor, row_number() OVER (ORDER BY flavor) AS i FROM (SELECT DISTINCT {key} AS flavor FROM (SELECT p_name AS label FROM part) AS n) AS d) AS f ON p.i = f.i WHERE p.i <= 2"
 
@@ -52,9 +52,12 @@ SELECT project, flavors, papers, least(flavors, papers) AS matched, least(flavor
     }
 
 
-def queries(run: Run, costs: str) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries(run: Run, costs: Callable[[SparkSession, str], DataFrame]) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(spark, sf_dir, project_costs("SELECT * FROM {costs}"), costs=costs(spark, sf_dir))
+
     def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-        of = run(spark, sf_dir, project_costs(costs))
+        of = paired(spark, sf_dir)
         return assignment.match_projects(None, of, run(spark, sf_dir, _LOCKED))
 
     def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +71,7 @@ def queries(run: Run, costs: str) -> dict[str, Callable[[SparkSession, str], Dat
 
     def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Of every nation's project, and of one (-1) that holds all sheets."""
-        of = run(spark, sf_dir, project_costs(costs)).where("available").select("project", "flavor", "paper", "delta_e")
+        of = paired(spark, sf_dir).where("available").select("project", "flavor", "paper", "delta_e")
         of = of.unionByName(of.withColumn("project", F.lit(-1).cast(of.schema["project"].dataType)))
         proof = assignment.certify(of, assignment.assign_projects(of))
         return proof.select("project", "flavors", "papers", "matched", "sheets", F.abs(F.round(F.col("total") - F.col("bound"), 3)).alias("gap"))

@@ -25,6 +25,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: White against which the derived samples and sheets, which have no photo, are measured.
 WHITE = (0.659726868, 0.691085816, 0.552663648)
+#: Pairs of a flavour and a sheet that a task makes, where they are dealt out; rows up to which the smaller side is broadcast for that.
+TASK_PAIRS, BROADCAST_ROWS = 100_000, 500_000
 
 
 def _samples() -> str:
@@ -204,8 +206,20 @@ def _taps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.select(F.col("id").alias("tap"), *(F.round(F.col("lab")[i], 6).alias(c) for i, c in enumerate("lab")))
 
 
+def _dealt_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``_costs``, made by tasks of about ``TASK_PAIRS`` pairs each: the larger side is dealt out. The text's few flavours lie in one task, which would make all pairs."""
+    flavors, papers = checkpointed(run(spark, sf_dir, _flavors())), checkpointed(run(spark, sf_dir, _papers()))
+    f, p = flavors.count(), papers.count()
+    dealt = max(spark.sparkContext.defaultParallelism, -(-f * p // TASK_PAIRS))
+    few, many = ("f", "p") if f <= p else ("p", "f")
+    sides = {"f": flavors, "p": papers}
+    sides = {few: F.broadcast(sides[few]) if min(f, p) <= BROADCAST_ROWS else sides[few], many: sides[many].repartition(dealt)}
+    pairs = f"SELECT f.*, p.* FROM {{{many}}} AS {many} CROSS JOIN {{{few}}} AS {few}"
+    return spark.sql(nest(pairs, ciede2000_stages(("fl", "fa", "fb"), ("pl", "pa", "pb"), 2.0)), **sides)
+
+
 def _assignment_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    costs = run(spark, sf_dir, _costs()).where("available").select(F.lit(0).cast("long").alias("project"), "flavor", "paper", "delta_e")
+    costs = _dealt_costs(spark, sf_dir).where("available").select(F.lit(0).cast("long").alias("project"), "flavor", "paper", "delta_e")
     return assignment.assign_projects(costs).select("project", "flavor", "paper", "delta_e")
 
 
@@ -219,7 +233,7 @@ def _locked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match under the locks of FIXTURES.md: the first two flavours to the two lowest sheets."""
     project = F.lit(0).cast("long").alias("project")
     flavors = run(spark, sf_dir, _flavors()).select(project, F.col("first_seq").alias("ord"), "flavor", "label")
-    costs = run(spark, sf_dir, _costs()).select(project, "flavor", "paper", "available", "delta_e")
+    costs = _dealt_costs(spark, sf_dir).select(project, "flavor", "paper", "available", "delta_e")
     first = "SELECT f.flavor, p.paper FROM (SELECT flavor, row_number() OVER (ORDER BY flavor) AS i FROM (SELECT DISTINCT {key} AS flavor FROM (SELECT p_name AS label FROM part) AS n ORDER BY flavor LIMIT 2) AS d) AS f JOIN (SELECT paper, row_number() OVER (ORDER BY paper) AS i FROM (SELECT s_suppkey AS paper FROM supplier ORDER BY s_suppkey LIMIT 2) AS t) AS p ON f.i = p.i"
     matched = assignment.match_projects(flavors, costs, run(spark, sf_dir, first).select(project, "flavor", "paper"))
     return matched.select("flavor", "paper", F.round("delta_e", 6).alias("delta_e"), "locked", F.expr("transform(alternates, a -> named_struct('paper', a.paper, 'delta_e', round(a.delta_e, 6), 'taken_by', a.taken_by))").alias("alternates"))
@@ -321,7 +335,7 @@ OWN: dict[str, Query] = {"surface_fit_robust": _robust_surface, "borrowed_whites
 TEXTS |= grouping.texts(_objects())
 _CHAIN = segmentation.steps("SELECT photo_id, y, x, v0, v1, v2 FROM ({rgb}) AS t", WHITE)
 OWN |= segmentation.queries(run, _CHAIN)
-OWN |= matching.queries(run, _costs()) | grouping.queries(run, _objects(), lambda text: _filled(text, SPARK))
+OWN |= matching.queries(run, _dealt_costs) | grouping.queries(run, _objects(), lambda text: _filled(text, SPARK))
 
 
 def queries() -> dict[str, Query]:

@@ -249,3 +249,17 @@ def test_assignment_with_repeated_pairs(spark):
     rows = [(0, "lime", 1, 9.0), (0, "lime", 1, 2.0), (0, "lime", 2, 3.0), (0, "plum", 1, 1.0), (0, "plum", 2, 4.0), (0, "plum", 2, 4.0)]
     out = assign_projects(spark.createDataFrame(rows, "project long, flavor string, paper long, delta_e double")).collect()
     assert sorted((r.flavor, r.paper, r.delta_e) for r in out) == [("lime", 2, 3.0), ("plum", 1, 1.0)]
+
+
+@pytest.mark.parametrize("query", ["match_assignment_full", "match_summary"])
+def test_pairs_for_the_assignment_are_dealt_over_tasks(spark, monkeypatch, query):
+    """The few flavours lie in one task, which made all pairs and held them while it looked for repeated ones."""
+    seen, solve = [], plans.assignment.assign_projects
+    monkeypatch.setattr(plans, "TASK_PAIRS", 60)
+    monkeypatch.setattr(plans.assignment, "assign_projects", lambda costs: seen.append(costs) or solve(costs))
+    d = "/root/testdata/sf0.001"
+    assert plans.queries()[query](spark, d).count() == (plans.run(spark, d, plans._flavors()).count() if query == "match_assignment_full" else 1)
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    want = plans.run(spark, d, plans._costs()).where("available").select("flavor", "paper", F.round("delta_e", 9))
+    got = seen[0].select("flavor", "paper", F.round("delta_e", 9))
+    assert len(sizes) > 4 and max(sizes) <= 128 and got.count() == want.count() == sum(sizes) and got.exceptAll(want).isEmpty()
