@@ -26,6 +26,8 @@ from pigmenta.operators.tables import checkpointed
 
 #: Kept pairs of a project that are auctioned in one task (24 bytes each); beyond it rounds over DataFrames do the same.
 TASK_PAIRS = 4_000_000
+#: Projects or locks up to which these are broadcast.
+BROADCAST_ROWS = 500_000
 #: Whole units of cost to one of squared difference.
 UNITS = 1_000_000
 #: Division of the step from one pass to the next.
@@ -94,12 +96,14 @@ def auction(cost: np.ndarray, at: np.ndarray, items: int) -> tuple[np.ndarray, n
 def _kept(costs: DataFrame) -> DataFrame:
     """Pairs (project, bidder side ``by_paper``, bidder, item, cost) that an optimum needs; flavours bid where there are no more of them than sheets."""
     pairs = costs.groupBy("project", "flavor", "paper").agg(F.min("delta_e").alias("delta_e")).where("delta_e IS NOT NULL")
-    sides = pairs.groupBy("project").agg(F.countDistinct("flavor").alias("flavors"), F.countDistinct("paper").alias("papers"))
-    joined = pairs.join(sides, "project").withColumn("by_paper", F.col("flavors") > F.col("papers")).withColumn("n", F.least("flavors", "papers"))
+    sides = checkpointed(pairs.groupBy("project").agg(F.countDistinct("flavor").alias("flavors"), F.countDistinct("paper").alias("papers")))
+    projects, most = sides.agg(F.count("*"), F.max(F.least("flavors", "papers"))).first()
+    joined = pairs.join(F.broadcast(sides) if projects <= BROADCAST_ROWS else sides, "project").withColumn("by_paper", F.col("flavors") > F.col("papers")).withColumn("n", F.least("flavors", "papers"))
     flavor, paper = F.struct("flavor", F.lit(None).cast("long").alias("paper")), F.struct(F.lit(None).cast("string").alias("flavor"), "paper")
     sided = joined.select("project", "by_paper", "n", F.when(F.col("by_paper"), paper).otherwise(flavor).alias("bidder"), F.when(F.col("by_paper"), flavor).otherwise(paper).alias("item"), F.round(F.col("delta_e") * F.col("delta_e") * UNITS).cast("long").alias("cost"), "delta_e")
     nearest = Window.partitionBy("project", "bidder").orderBy("cost", "item")
-    return sided.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= F.col("n")).drop("place")
+    # The plain number lets Spark drop a task's pairs before the shuffle; else all pairs of a bidder would meet in one task.
+    return sided.withColumn("place", F.row_number().over(nearest)).where((F.col("place") <= (most or 0)) & (F.col("place") <= F.col("n"))).drop("place")
 
 
 ASSIGNED = "project long, flavor string, paper long, delta_e double, flavor_price double, paper_price double"
@@ -239,14 +243,16 @@ def match_projects(flavors: DataFrame | None, costs: DataFrame, locks: DataFrame
     costs = checkpointed(costs)
     flavors = costs.select("project", "ord", "flavor", "label").distinct() if flavors is None else flavors
     pair = ["project", "flavor", "paper"]
-    locked = costs.join(locks.select(*pair).distinct(), pair, "left_semi").select(*pair, "delta_e")
+    wanted = checkpointed(locks.select(*pair).distinct())
+    small = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda df: df  # so the pairs of all projects stay where they were made
+    locked = costs.join(small(wanted), pair, "left_semi").select(*pair, "delta_e")
     locked = checkpointed(locked.join(flavors, ["project", "flavor"], "left_semi"))
     held = locked.select("project", "paper").distinct()
-    free = costs.where("available").join(locked, ["project", "flavor"], "left_anti").join(held, ["project", "paper"], "left_anti")
+    free = costs.where("available").join(small(locked.select("project", "flavor").distinct()), ["project", "flavor"], "left_anti").join(small(held), ["project", "paper"], "left_anti")
     solved = assign_projects(free.select(*pair, "delta_e")).where("paper IS NOT NULL").select(*pair, "delta_e")
     chosen = checkpointed(locked.withColumn("locked", F.lit(True)).unionByName(solved.withColumn("locked", F.lit(False))))
     owners = chosen.join(flavors, ["project", "flavor"]).groupBy("project", "paper").agg(F.max_by("label", "ord").alias("holder"))
-    sheets = costs.join(held.withColumn("held", F.lit(True)), ["project", "paper"], "left").where("available OR held")
+    sheets = costs.join(small(held.withColumn("held", F.lit(True))), ["project", "paper"], "left").where("available OR held")
     nearest = Window.partitionBy("project", "flavor").orderBy("delta_e", "paper")
     near = sheets.select(*pair, "delta_e", F.row_number().over(nearest).alias("place")).where(F.col("place") <= ALTERNATES)
     near = near.join(owners, ["project", "paper"], "left").join(flavors, ["project", "flavor"])

@@ -206,14 +206,22 @@ def _taps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.select(F.col("id").alias("tap"), *(F.round(F.col("lab")[i], 6).alias(c) for i, c in enumerate("lab")))
 
 
+def _measured_flavors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``_flavors``, written once. The first label is looked up afterwards: a text among the aggregates makes Spark sort all samples of a task."""
+    flavors = checkpointed(run(spark, sf_dir, _flavors()).select("flavor", "fl", "fa", "fb", "samples", "first_seq"))
+    samples = f"SELECT seq, label, {{key}} AS flavor FROM ({_samples()}) AS s"
+    first = run(spark, sf_dir, f"SELECT f.flavor, min(label) AS label FROM ({samples}) AS s JOIN {{flavors}} AS f ON s.seq = f.first_seq AND s.flavor <=> f.flavor GROUP BY f.flavor", flavors=flavors)
+    return checkpointed(spark.sql("SELECT f.flavor, label, fl, fa, fb, samples, first_seq FROM {flavors} AS f LEFT JOIN {first} AS l ON f.flavor <=> l.flavor", flavors=flavors, first=first))
+
+
 def _dealt_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of ``_costs``, made by tasks of about ``TASK_PAIRS`` pairs each: the larger side is dealt out. The text's few flavours lie in one task, which would make all pairs."""
-    flavors, papers = checkpointed(run(spark, sf_dir, _flavors())), checkpointed(run(spark, sf_dir, _papers()))
+    """The rows of ``_costs``, made by tasks of about ``TASK_PAIRS`` pairs each: the larger side is dealt out by its key, so that equal pairs meet without another shuffle. The text's few flavours lie in one task, which would make all pairs."""
+    flavors, papers = _measured_flavors(spark, sf_dir), checkpointed(run(spark, sf_dir, _papers()))
     f, p = flavors.count(), papers.count()
     dealt = max(spark.sparkContext.defaultParallelism, -(-f * p // TASK_PAIRS))
-    few, many = ("f", "p") if f <= p else ("p", "f")
+    few, many, key = ("f", "p", "paper") if f <= p else ("p", "f", "flavor")
     sides = {"f": flavors, "p": papers}
-    sides = {few: F.broadcast(sides[few]) if min(f, p) <= BROADCAST_ROWS else sides[few], many: sides[many].repartition(dealt)}
+    sides = {few: F.broadcast(sides[few]) if min(f, p) <= BROADCAST_ROWS else sides[few], many: sides[many].repartition(dealt, key)}
     pairs = f"SELECT f.*, p.* FROM {{{many}}} AS {many} CROSS JOIN {{{few}}} AS {few}"
     return spark.sql(nest(pairs, ciede2000_stages(("fl", "fa", "fb"), ("pl", "pa", "pb"), 2.0)), **sides)
 

@@ -263,3 +263,60 @@ def test_pairs_for_the_assignment_are_dealt_over_tasks(spark, monkeypatch, query
     want = plans.run(spark, d, plans._costs()).where("available").select("flavor", "paper", F.round("delta_e", 9))
     got = seen[0].select("flavor", "paper", F.round("delta_e", 9))
     assert len(sizes) > 4 and max(sizes) <= 128 and got.count() == want.count() == sum(sizes) and got.exceptAll(want).isEmpty()
+
+
+@pytest.mark.parametrize("query", ["match_assignment_full", "match_summary"])
+def test_a_bidders_pairs_do_not_meet_in_one_task(spark, monkeypatch, query):
+    """All pairs were shuffled twice, and all sheets of a flavour met in one task, which then kept a few of them."""
+    seen, solve = [], plans.assignment.assign_projects
+    monkeypatch.setattr(plans.assignment, "assign_projects", lambda costs: seen.append(costs) or solve(costs))
+    plans.queries()[query](spark, "/root/testdata/sf0.01")
+    kept = plans.assignment._kept(seen[0])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if " Exchange " in line and "hashpartitioning(" in line and "REPARTITION" not in line]
+    assert plan.count("WindowGroupLimit") == 2 and len(exchanges) == 1
+    pairs, n = seen[0].collect(), kept.agg(F.max("n")).first()[0]
+    sides = [{r[side] for r in pairs} for side in ("flavor", "paper")]
+    assert n == min(map(len, sides)) and kept.count() == n * n and kept.select("bidder").distinct().count() == n
+
+
+def test_kept_pairs_of_several_projects(spark):
+    """Projects of other sizes and sides, with repeated pairs and pairs without a difference, against all pairs in Python."""
+    rows = [(p, f"f{f}", s, None if (f + s) % 11 == 10 else float((f * 7 + s * 5 + p) % 13) + more) for p, nf, ns in ((1, 2, 9), (2, 6, 3), (3, 4, 4), (4, 1, 1)) for f in range(nf) for s in range(ns) for more in (3.0, 0.0, 0.0)]
+    got = plans.assignment._kept(spark.createDataFrame(rows, "project long, flavor string, paper long, delta_e double").repartition(5)).collect()
+    least, want = {}, set()
+    for p, f, s, e in rows:
+        if e is not None:
+            least[p, f, s] = min(e, least.get((p, f, s), e))
+    for p in (1, 2, 3, 4):
+        own = {(f, s): e for (q, f, s), e in least.items() if q == p}
+        sides = [sorted({k[i] for k in own}) for i in (0, 1)]
+        who = int(len(sides[0]) > len(sides[1]))
+        for b in sides[who]:
+            near = sorted((e, k[1 - who], k) for k, e in own.items() if k[who] == b)[: min(map(len, sides))]
+            want |= {(p, *k, e) for e, _, k in near}
+    assert sorted((r.project, r.bidder.flavor or r.item.flavor, r.item.paper if r.bidder.paper is None else r.bidder.paper, r.delta_e) for r in got) == sorted(want)
+    none = spark.createDataFrame([(1, "f", 1, None)], "project long, flavor string, paper long, delta_e double")
+    assert plans.assignment._kept(none).count() == 0 and [r.paper for r in plans.assignment.assign_projects(none).collect()] == [None]
+
+
+def test_measured_flavors_have_the_first_label(spark, tmp_path):
+    names = [(4, "Old  Lamp"), (2, " old lamp"), (9, "OLD LAMP"), (3, "Red Rod"), (3, "Hot Plate"), (5, "hot plate"), (7, None), (8, None), (None, "no key")]
+    spark.createDataFrame([(k, n, 1 + i) for i, (k, n) in enumerate(names)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    for d in (str(tmp_path), "/root/testdata/sf0.001"):
+        want, got = plans.run(spark, d, plans._flavors()), plans._measured_flavors(spark, d)
+        shown = lambda df: sorted(str([f"{v:.9g}" if isinstance(v, float) else v for v in r]) for r in df.select(*want.columns).collect())
+        assert shown(got) == shown(want) and got.columns == want.columns
+
+
+def test_locks_do_not_shuffle_the_pairs(spark, monkeypatch):
+    """The pairs of all projects were shuffled for the locked flavours and again for their sheets."""
+    seen, solve = [], plans.assignment.assign_projects
+    monkeypatch.setattr(plans.assignment, "assign_projects", lambda costs: seen.append(costs) or solve(costs))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans.queries()["match_project_summaries"](spark, "/root/testdata/sf0.001")
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
